@@ -250,7 +250,9 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     """
     keep = keep or []
     held = docs.sparkSession.sparkContext.broadcast(models)
-    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c) for c in keep])
+    own = {id_col: "__id", text_col: "__text"}  # sent once
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c) for c in keep if c not in own])
+    keep = [c for c in keep if c != id_col]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"__id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, entropy double, rejected boolean" + (f", {kinds}" if keep else "")
 
@@ -259,6 +261,6 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
             for batch in chunks(whole, "__text", CHUNK // 2):
                 lang, score, entropy, bad = held.value.predict(batch.column("__text"))
                 out = {"__id": batch.column("__id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "entropy": pa.array(entropy), "rejected": pa.array(bad)}
-                yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in keep})
+                yield pa.RecordBatch.from_pydict(out | {c: batch.column(own.get(c, c)) for c in keep})
 
     return narrow.mapInArrow(predict, schema).withColumnRenamed("__id", id_col)

@@ -69,7 +69,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col: str = "
         raise ValueError("size must be a power of two")
     kind = docs.schema[id_col].dataType
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<long>" * with_ids
+    schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import chunks
@@ -85,13 +85,13 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col: str = "
                         piece = held[4 * at : 4 * (at + k)]
                         row.append(i), start.append(at), length.append(k), crc.append(zlib.crc32(piece)), total.append(n)
                         if with_ids:
-                            values.append(np.frombuffer(piece, "<u4").astype(np.int64))
+                            values.append(np.frombuffer(piece, "<i4"))
                         at += k
                 out = {"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64()))}
                 out |= {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc), ("doc_tokens", total))}
                 out["bucket"] = pa.array([k.bit_length() - 1 for k in length], pa.int32())
                 if with_ids:
-                    out["ids"] = pa.array(values, pa.list_(pa.int64()))
+                    out["ids"] = pa.array(values, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
     pieces = narrow.mapInArrow(cut, schema)
