@@ -31,7 +31,7 @@ from .common import as_bytes, chunks, materialise, mix, powers, prefix_hash, spa
 
 KGRAM = 20
 UNIT = 2 << 20
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 1 << 20
 """Bytes of corpus text for each bucket."""
 _BLOCK = 1 << 19
 _RUN = 200
@@ -163,11 +163,23 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
+def hashes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the spans (by start), a block of ``data`` at a time."""
+    out = np.empty(len(start), np.uint64)
+    edge = np.searchsorted(start, np.arange(0, len(data) + _BLOCK, _BLOCK))
+    for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+        if a < b:
+            lo = k * _BLOCK
+            prefix = prefix_hash(data[lo : int((start[a:b] + size[a:b]).max())])
+            out[a:b] = span_hash(prefix, start[a:b] - lo, start[a:b] - lo + size[a:b])
+    return out
+
+
 def sorted_answer(text: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For every string of the segments ``text`` (end to end, sizes ``size``), whether a smaller document holds it."""
     end = np.cumsum(size)
     prefix_at = end - size
-    key = span_hash(prefix_hash(text), prefix_at, end)
+    key = hashes_of(text, prefix_at, size)
     _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
     least = np.full(len(index), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, doc)
@@ -227,9 +239,7 @@ class Unit:
         mine = np.flatnonzero(mark[self.of])
         bucket = (self.values[self.of[mine]] >> np.uint64(64 - bits)).astype(np.int64)
         size = self.count[mine] + self.length - 1
-        text = gather(self.data, self.start[mine], size)
-        end = np.cumsum(size)
-        key = span_hash(prefix_hash(text), end - size, end)
+        key = hashes_of(self.data, self.start[mine], size)
         order = np.lexsort((key, bucket))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -276,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must be at least {KGRAM + 8}")
     units = materialise(_units(docs, id_col, text_col))
     total = units.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = min(20, max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
+    bits = min(24, max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
 
     def send_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
