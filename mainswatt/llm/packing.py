@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-MEMO = 400_000
-"""Parts that a worker remembers; beyond it, it forgets them all and starts anew."""
+MEMO = 1_000_000
+"""Words that a worker process remembers; once it has met so many, it adds no more."""
 MEMO_PART = 64
-"""Characters of the longest part worth remembering."""
+"""Characters of the longest word worth remembering."""
 
 
 class Ids:
@@ -35,21 +35,44 @@ class Ids:
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {"": b""}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    @staticmethod
+    def core(part: str) -> tuple[str, str]:
+        """A part as (word, closing mark), folded where folding cannot change its ids.
+
+        The vocabulary is lower case and sets letters and digits apart from other signs. ASCII is folded
+        unless it could spell a special token, and a last point or comma is cut from a letter or digit.
+        """
+        if part.isascii() and "<" not in part:
+            part = part.lower()
+        if len(part) > 1 and part[-1] in ".," and part[-2].isascii() and part[-2].isalnum():
+            return part[:-1], part[-1]
+        return part, ""
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; special tokens spelled out in a text are found as the tokenizer finds them."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         met = set().union(*cut) if cut else set()
-        new = [p for p in met if p not in self.known]
-        if len(self.known) + len(new) > self.memo:
-            self.known = {"": b""}
-            new = [p for p in met if p]
-        here = dict(zip(new, self._encode(new))) if new else {}
-        self.known.update((p, i) for p, i in here.items() if len(p) <= MEMO_PART)
+        cores = {p: self.core(p) for p in met}
         known = self.known
-        return [b"".join([known[p] if p in known else here[p] for p in parts]) for parts in cut]
+        new = [w for w in {x for pair in cores.values() for x in pair} if w not in known]
+        here = {}
+        if new:
+            here = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+            room = self.memo - len(known)
+            known.update((w, i) for w, i in list(here.items())[: max(0, room)] if len(w) <= MEMO_PART)
+        of = lambda w: known[w] if w in known else here[w]
+        ids = {p: of(w) + of(m) if m else of(w) for p, (w, m) in cores.items()}
+        return [b"".join([ids[p] for p in parts]) for parts in cut]
+
+
+_met: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This worker process's tokenizer, with what it remembers from earlier tasks."""
+    if path not in _met:
+        _met[path] = Ids(path)
+    return _met[path]
 
 
 def binary_lengths(n: int, size: int) -> list[int]:
@@ -74,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import chunks
 
-        ids, end = Ids(tokenizer_path), END_ID.to_bytes(4, "little")
+        ids, end = ids_of(tokenizer_path), END_ID.to_bytes(4, "little")
         for whole in batches:
             for batch in chunks(whole, "text"):
                 row, start, length, crc, total, values = [], [], [], [], [], []
