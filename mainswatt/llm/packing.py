@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-MEMO = 1_000_000
-"""Words that a worker process remembers; once it has met so many, it adds no more."""
+MEMO = 1_500_000
+"""Words and parts that a worker process remembers; once it has met so many, it adds no more."""
 MEMO_PART = 64
 """Characters of the longest word worth remembering."""
 
@@ -51,18 +51,20 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; special tokens spelled out in a text are found as the tokenizer finds them."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        met = set().union(*cut) if cut else set()
-        cores = {p: self.core(p) for p in met}
-        known = self.known
-        new = [w for w in {x for pair in cores.values() for x in pair} if w not in known]
-        here = {}
-        if new:
-            here = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            room = self.memo - len(known)
-            known.update((w, i) for w, i in list(here.items())[: max(0, room)] if len(w) <= MEMO_PART)
-        of = lambda w: known[w] if w in known else here[w]
-        ids = {p: of(w) + of(m) if m else of(w) for p, (w, m) in cores.items()}
-        return [b"".join([ids[p] for p in parts]) for parts in cut]
+        known, here = self.known, {}
+        cores = {p: self.core(p) for p in set().union(*cut).difference(known)}
+        if cores:
+            new = list({w for pair in cores.values() for w in pair}.difference(known))
+            coded = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            for p, (w, m) in cores.items():
+                i = coded[w] if w in coded else known[w]
+                here[p] = i + (coded[m] if m in coded else known[m]) if m else i
+            for made in (coded, here):
+                if len(known) + len(made) <= self.memo:
+                    known.update((w, i) for w, i in made.items() if len(w) <= MEMO_PART)
+        if all(map(known.__contains__, here)):
+            return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        return [b"".join([here[p] if p in here else known[p] for p in parts]) for parts in cut]
 
 
 _met: dict[str, Ids] = {}
