@@ -1,11 +1,447 @@
-"""Queries over the library's operators."""
+"""One query per operator over the fixture series, and the SQL that gives the same rows.
+
+The series comes from the events table in hundredths of the usual units, so watt bands are a hundred times
+the defaults. Boxes are 45 rows instead of 450.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import columns
+from .operators import annihilation, energy, groups, lumps, signal, washer
+from .params import Rice, Washer
+from .plans import rice as rice_plan
+from .plans import washer as washer_plan
+from .sources import power
+
+LOW, HIGH, BOX, GAP = 25000.0, 135000.0, 45, 3600.0
+TIMES, TOLERANCE = (60.0, 300.0, 900.0), 30.0
+COARSE = 3_600_000_000
+WASH = Washer(fs=1, box=BOX, kernel=5, end_delay=200, vote_over=0, vote_step=5, vote_boxes=10, ap_range=(100.0, 75000.0), rp_range=(10.0, 150.0), modes=(2, 20), block_sec=20)
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        Q[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, and no negative zero."""
+    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _band(spark, sf):
+    return lumps.watt_band(signal.falling_edges(power.from_events(spark, sf)), LOW, HIGH)
+
+
+def _lumps(spark, sf):
+    return lumps.sessionise(_band(spark, sf), GAP)
+
+
+POWER = """WITH power AS (
+  SELECT 's0' AS site, CAST(user_id % 2 + 1 AS INTEGER) AS channel, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id % 2 ORDER BY epoch_us(ts), event_id) AS idx,
+    CAST(CAST(round(value * 500) AS BIGINT) AS DOUBLE) AS active_power,
+    CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS DOUBLE) AS reactive_power
+  FROM events)"""
+SLOPE = POWER + """, sloped AS (
+  SELECT *, active_power AS v, reactive_power AS s, lead(active_power) OVER w AS v1, lead(reactive_power) OVER w AS s1, lead(us) OVER w AS us1,
+    (lead(active_power) OVER w - active_power) / ((lead(us) OVER w - us) / 1e6) AS speed
+  FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx))"""
+STATE = SLOPE + """, acc AS (
+  SELECT *, speed - lag(speed) OVER (PARTITION BY site, channel ORDER BY idx) AS a FROM sloped WHERE speed IS NOT NULL
+), stated AS (
+  SELECT *, CASE WHEN a IS NULL THEN 0 WHEN speed >= 0 AND a > 0 THEN 1 WHEN speed >= 0 THEN 2 WHEN a <= 0 THEN 3 ELSE 4 END AS state FROM acc)"""
+RUNS = STATE + """, flags AS (
+  SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY site, channel ORDER BY idx) THEN 1 ELSE 0 END AS change FROM stated
+), numbered AS (
+  SELECT *, CAST(sum(change) OVER (PARTITION BY site, channel ORDER BY idx) AS BIGINT) AS run FROM flags
+), runs AS (
+  SELECT site, channel, run, min(idx) AS str, max(idx) AS "end", min(state) AS val, arg_min(v, idx) AS v_at, arg_min(s, idx) AS s_at, arg_min(us, idx) AS us_at,
+    arg_max(v1, idx) AS v_past, arg_max(s1, idx) AS s_past, arg_max(us1, idx) AS us_past, arg_max(speed, idx) AS speed_end
+  FROM numbered GROUP BY site, channel, run)"""
+FALL = RUNS + """, ahead AS (
+  SELECT *, lead(val) OVER w AS val1, lead("end") OVER w AS end1, lead(v_past) OVER w AS vp1, lead(s_past) OVER w AS sp1, lead(us_past) OVER w AS up1
+  FROM runs WINDOW w AS (PARTITION BY site, channel ORDER BY run)
+), edges AS (
+  SELECT site, channel, str AS start_idx, end1 AS end_idx, us_at AS start_us, up1 AS end_us, speed_end AS min_slope, CAST(0 AS DOUBLE) AS h1, vp1 - v_at AS h2, vp1 - v_at AS delta, sp1 - s_at AS sub_delta, end1 - str + 1 AS pattern_size
+  FROM ahead WHERE val = 3 AND val1 IN (4, 1, 2))"""
+BAND = FALL + f", band AS (SELECT * FROM edges WHERE h2 BETWEEN {-HIGH} AND {-LOW})"
+LUMP = BAND + f""", gaps0 AS (
+  SELECT *, (start_us - lag(start_us) OVER w) / 1e6 AS g0 FROM band WINDOW w AS (PARTITION BY site, channel ORDER BY start_us, start_idx)
+), lumps AS (
+  SELECT *, CAST(sum(CASE WHEN g0 >= {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY site, channel ORDER BY start_us, start_idx) + 1 AS BIGINT) AS lump_idx FROM gaps0)"""
+
+
+@query(SLOPE + " SELECT site, channel, idx, round(speed, 6) + 0 AS speed FROM sloped WHERE speed IS NOT NULL")
+def slope(spark, sf):
+    return rounded(signal.slopes(signal.with_signal(power.from_events(spark, sf))).filter("speed is not null").select(*power.KEY, "idx", "speed"))
+
+
+@query(POWER.replace("epoch_us(ts) AS us", f"epoch_us(ts) - epoch_us(ts) % {COARSE} AS us") + """, raw AS (
+  SELECT *, lead(us) OVER w AS us1, CASE WHEN lead(us) OVER w = us THEN NULL ELSE (lead(active_power) OVER w - active_power) / ((lead(us) OVER w - us) / 1e6) END AS speed
+  FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx)
+), near AS (
+  SELECT *, last_value(speed IGNORE NULLS) OVER (PARTITION BY site, channel ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+    first_value(speed IGNORE NULLS) OVER (PARTITION BY site, channel ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM raw)
+SELECT site, channel, idx, round(coalesce(speed, (l + r) / 2, l, r), 6) + 0 AS speed FROM near WHERE us1 IS NOT NULL""")
+def slope_repair(spark, sf):
+    raw = signal.slopes(signal.with_signal(power.from_events(spark, sf, COARSE)))
+    return rounded(signal.repaired(raw).filter("us1 is not null").select(*power.KEY, "idx", "speed"))
+
+
+@query(STATE + " SELECT site, channel, idx, CAST(state AS INTEGER) AS state FROM stated")
+def state_scan(spark, sf):
+    return signal.states(signal.repaired(signal.slopes(signal.with_signal(power.from_events(spark, sf))))).select(*power.KEY, "idx", "state")
+
+
+@query(RUNS + ' SELECT site, channel, run, str, "end", CAST(val AS INTEGER) AS val FROM runs')
+def state_runs(spark, sf):
+    return signal.run_rows(power.from_events(spark, sf)).select(*power.KEY, "run", "str", "end", "val")
+
+
+@query(RUNS + """, a AS (SELECT *, lead(val) OVER w AS b, lead(val, 2) OVER w AS c, lead(val, 3) OVER w AS d FROM runs WINDOW w AS (PARTITION BY site, channel ORDER BY run))
+SELECT site, channel, run, str FROM a WHERE val = 1 AND b = 2 AND c = 3 AND d = 4""")
+def ngram_match(spark, sf):
+    return signal.ngram_starts(signal.run_rows(power.from_events(spark, sf)), (1, 2, 3, 4)).select(*power.KEY, "run", "str")
+
+
+EDGE = "site, channel, start_idx, end_idx, start_us, end_us, pattern_size, round(min_slope, 6) + 0 AS min_slope, h1, h2, delta, sub_delta"
+
+
+def _edge(df):
+    return rounded(df.select(*power.KEY, "start_idx", "end_idx", "start_us", "end_us", "pattern_size", "min_slope", "h1", "h2", "delta", "sub_delta"))
+
+
+@query(FALL + f" SELECT {EDGE} FROM edges")
+def falling_edges(spark, sf):
+    return _edge(signal.falling_edges(power.from_events(spark, sf)))
+
+
+RISE = RUNS + """, ahead AS (
+  SELECT *, lead(val) OVER w AS v_1, lead(val, 2) OVER w AS v_2, lead(val, 3) OVER w AS v_3, lead("end") OVER w AS e1, lead("end", 2) OVER w AS e2, lead("end", 3) OVER w AS e3,
+    lead(v_past) OVER w AS p1, lead(v_past, 2) OVER w AS p2, lead(v_past, 3) OVER w AS p3, lead(s_past) OVER w AS q1, lead(s_past, 2) OVER w AS q2, lead(s_past, 3) OVER w AS q3,
+    lead(us_past) OVER w AS u1, lead(us_past, 2) OVER w AS u2, lead(us_past, 3) OVER w AS u3, lead(speed_end) OVER w AS z1, lead(speed_end, 2) OVER w AS z2
+  FROM runs WINDOW w AS (PARTITION BY site, channel ORDER BY run)
+), pick AS (
+  SELECT *, CASE WHEN val = 1 AND v_1 = 2 AND v_2 = 3 AND v_3 = 4 THEN 0 WHEN val = 1 AND v_1 = 3 AND v_2 = 4 THEN 1 WHEN val = 1 AND v_1 = 2 AND v_2 = 3 AND v_3 = 1 THEN 2
+    WHEN val = 1 AND v_1 = 3 AND v_2 = 1 THEN 3 WHEN val = 1 AND v_1 = 2 THEN 4 WHEN val = 1 AND v_1 = 3 THEN 5 END AS k FROM ahead
+), rise AS (
+  SELECT site, channel, str AS start_idx, CASE k WHEN 0 THEN e3 WHEN 1 THEN e2 WHEN 2 THEN e2 ELSE e1 END AS end_idx, v_at, s_at,
+    us_at AS start_us, CASE k WHEN 0 THEN u3 WHEN 1 THEN u2 WHEN 2 THEN u2 ELSE u1 END AS end_us, speed_end AS max_slope,
+    CASE k WHEN 0 THEN z2 WHEN 1 THEN z1 WHEN 2 THEN z2 WHEN 3 THEN z1 END AS min_slope, CASE k WHEN 0 THEN p1 WHEN 2 THEN p1 WHEN 4 THEN p1 ELSE v_past END AS top,
+    CASE k WHEN 0 THEN p3 WHEN 1 THEN p2 WHEN 2 THEN p2 ELSE p1 END AS vz, CASE k WHEN 0 THEN q3 WHEN 1 THEN q2 WHEN 2 THEN q2 ELSE q1 END AS sz
+  FROM pick WHERE k IS NOT NULL)"""
+
+
+@query(RISE + """ SELECT site, channel, start_idx, end_idx, start_us, end_us, end_idx - start_idx + 1 AS pattern_size, round(max_slope, 6) + 0 AS max_slope, round(min_slope, 6) + 0 AS min_slope,
+  top - v_at AS h1, vz - top AS h2, vz - v_at AS delta, sz - s_at AS sub_delta FROM rise""")
+def rising_edges(spark, sf):
+    e = signal.rising_edges(power.from_events(spark, sf))
+    return rounded(e.select(*power.KEY, "start_idx", "end_idx", "start_us", "end_us", "pattern_size", "max_slope", "min_slope", "h1", "h2", "delta", "sub_delta"))
+
+
+@query(FALL + """, n AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), sums AS (
+  SELECT site, channel, idx, sum(active_power) OVER w AS sv, sum(reactive_power) OVER w AS ss FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx)
+), e AS (SELECT edges.* FROM edges JOIN n USING (site, channel) WHERE start_idx > pattern_size AND end_idx < n - pattern_size), c AS (
+  SELECT e.*, (r1.sv - r0.sv) / pattern_size - (l1.sv - coalesce(l0.sv, 0)) / pattern_size AS dv, (r1.ss - r0.ss) / pattern_size - (l1.ss - coalesce(l0.ss, 0)) / pattern_size AS ds
+  FROM e JOIN sums r1 ON r1.site = e.site AND r1.channel = e.channel AND r1.idx = end_idx + pattern_size + 1 JOIN sums r0 ON r0.site = e.site AND r0.channel = e.channel AND r0.idx = end_idx + 1
+    LEFT JOIN sums l1 ON l1.site = e.site AND l1.channel = e.channel AND l1.idx = start_idx - 1 LEFT JOIN sums l0 ON l0.site = e.site AND l0.channel = e.channel AND l0.idx = start_idx - pattern_size - 1)
+SELECT site, channel, start_idx, CAST(CASE WHEN h2 > 0 OR sub_delta > 0 OR (dv > 0 AND ds > 0) THEN 0 ELSE 1 END AS INTEGER) AS flag, h2 AS org_h2, sub_delta AS org_sub_delta,
+  round((h2 + dv) / 2, 6) + 0 AS h2, round((sub_delta + ds) / 2, 6) + 0 AS sub_delta FROM c""")
+def edge_consistency(spark, sf):
+    samples = power.from_events(spark, sf)
+    e = signal.consistent_edges(samples, signal.falling_edges(samples), 1)
+    return rounded(e.select(*power.KEY, "start_idx", "flag", "org_h2", "org_sub_delta", "h2", "sub_delta"))
+
+
+@query(BAND + f" SELECT {EDGE} FROM band")
+def watt_band_edges(spark, sf):
+    return _edge(_band(spark, sf))
+
+
+def _bounds(df):
+    return df.groupBy(*power.KEY).agg(F.median("h2").alias("min_h2"), F.max("h2").alias("max_h2"), F.median("sub_delta").alias("min_sub"), F.max("sub_delta").alias("max_sub"))
+
+
+@query(BAND + """, m AS (SELECT site, channel, median(h2) AS a, max(h2) AS b, median(sub_delta) AS c, max(sub_delta) AS d FROM band GROUP BY ALL)
+SELECT site, channel, start_idx, end_idx FROM edges JOIN m USING (site, channel) WHERE h2 BETWEEN a - 50 AND b + 50 AND sub_delta BETWEEN c - 20 AND d + 20""")
+def meta_envelope(spark, sf):
+    edges = signal.falling_edges(power.from_events(spark, sf))
+    return lumps.envelope(edges, _bounds(lumps.watt_band(edges, LOW, HIGH)), 50.0, 20.0).select(*power.KEY, "start_idx", "end_idx")
+
+
+@query(BAND + f""", g AS (SELECT *, (start_us - lag(start_us) OVER w) / 1e6 AS a, (lead(start_us) OVER w - start_us) / 1e6 AS b FROM band WINDOW w AS (PARTITION BY site, channel ORDER BY start_us, start_idx)),
+t AS (SELECT CAST(unnest([{', '.join(map(str, TIMES))}]) AS DOUBLE) AS db_time)
+SELECT site, channel, start_idx, db_time FROM g, t WHERE a BETWEEN db_time - {TOLERANCE} AND db_time + {TOLERANCE} OR b BETWEEN db_time - {TOLERANCE} AND db_time + {TOLERANCE}""")
+def period_match(spark, sf):
+    return lumps.period_match(_band(spark, sf), TIMES, TOLERANCE).select(*power.KEY, "start_idx", "db_time")
+
+
+@query(LUMP + " SELECT site, channel, start_idx, lump_idx FROM lumps", "lumps")
+def lump_rows(spark, sf):
+    return _lumps(spark, sf).select(*power.KEY, "start_idx", "lump_idx")
+
+
+@query(LUMP + """, g AS (SELECT *, (start_us - lag(start_us) OVER w) / 1e6 AS gap FROM lumps WINDOW w AS (PARTITION BY site, channel, lump_idx ORDER BY start_us, start_idx)),
+m AS (SELECT *, median(gap) OVER (PARTITION BY site, channel, lump_idx) AS med FROM g)
+SELECT site, channel, lump_idx, count(*) AS "sum", min(start_us) AS lump_start, max(end_us) AS lump_end, round((max(end_us) - min(start_us)) / 1e6, 6) AS lump_duration,
+  min(gap) AS min_t, min(med) AS med_t, max(gap) AS max_t, round(quantile_cont(gap, 0.05) / min(med), 6) AS min_med_rate2, median(h1) AS med_h1, min(delta) AS min_d, median(delta) AS med_d, max(delta) AS max_d,
+  round(stddev_samp(delta), 6) AS sd_d, median(sub_delta) AS med_sub_d, coalesce(sum(greatest(round_even(gap / med, 0) - 1, 0)), 0) AS lost_sig_num,
+  round(coalesce(sum(greatest(round_even(gap / med, 0) - 1, 0)), 0) * 100 / (count(*) + coalesce(sum(greatest(round_even(gap / med, 0) - 1, 0)), 0)), 6) AS lost_sig_rate
+FROM m GROUP BY site, channel, lump_idx""")
+def lump_summary(spark, sf):
+    return rounded(lumps.summarise(_lumps(spark, sf)))
+
+
+WALLS = BAND + """, px AS (SELECT site, channel, 'x' AS axis, delta AS v FROM band UNION ALL SELECT site, channel, 'y', sub_delta FROM band),
+n AS (SELECT *, lead(v) OVER (PARTITION BY site, channel, axis ORDER BY v) AS v1 FROM px), r AS (
+  SELECT *, row_number() OVER (PARTITION BY site, channel, axis ORDER BY v1 - v DESC, v) AS rank FROM n WHERE v1 IS NOT NULL),
+walls AS (SELECT site, channel, axis, (v + v1) / 2 AS wall FROM r WHERE rank <= 5)"""
+CELLS = WALLS + """, d AS (SELECT b.*, (SELECT count(*) FROM walls w WHERE w.site = b.site AND w.channel = b.channel AND axis = 'x' AND wall <= delta) AS x_division,
+  (SELECT count(*) FROM walls w WHERE w.site = b.site AND w.channel = b.channel AND axis = 'y' AND wall <= sub_delta) AS y_division FROM band b),
+cells AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY site, channel, x_division, y_division) >= 7)"""
+
+
+@query(WALLS + " SELECT site, channel, wall FROM walls WHERE axis = 'x'")
+def gap_walls(spark, sf):
+    return groups.walls(_band(spark, sf), "delta", 5)
+
+
+@query(CELLS + " SELECT site, channel, start_idx, CAST(x_division AS INTEGER) AS x_division, CAST(y_division AS INTEGER) AS y_division FROM cells")
+def gap_cells(spark, sf):
+    return groups.cells(_band(spark, sf), "delta", "sub_delta", 5, 7).select(*power.KEY, "start_idx", "x_division", "y_division")
+
+
+@query(CELLS + """, g AS (SELECT *, (start_us - lag(start_us) OVER w) / 1e6 AS gap FROM cells WINDOW w AS (PARTITION BY site, channel, x_division, y_division ORDER BY start_us, start_idx)),
+m AS (SELECT *, median(gap) OVER (PARTITION BY site, channel, x_division, y_division) AS med FROM g)
+SELECT site, channel, CAST(x_division AS INTEGER) AS x_division, CAST(y_division AS INTEGER) AS y_division, count(*) AS "sum", min(gap) AS min_t, round(quantile_cont(gap, 0.25), 6) AS min_t2, min(med) AS med_t,
+  sum(greatest(round_even(gap / med, 0) - 1, 0)) AS lost_sig_num, median(h1) AS med_h1, median(delta) AS med_d, median(sub_delta) AS med_sub_d, round(min(gap) / min(med), 6) AS min_med_rate,
+  round(quantile_cont(gap, 0.25) / min(med), 6) AS min_med_rate2, round(sum(greatest(round_even(gap / med, 0) - 1, 0)) * 100 / (count(*) + sum(greatest(round_even(gap / med, 0) - 1, 0))), 6) AS lost_sig_rate
+FROM m GROUP BY site, channel, x_division, y_division""")
+def cell_summary(spark, sf):
+    return rounded(groups.cell_summary(groups.cells(_band(spark, sf), "delta", "sub_delta", 5, 7), 0.25))
+
+
+def _spans(spark, sf):
+    return _lumps(spark, sf).groupBy(*power.KEY, "lump_idx").agg(F.count("*").alias("n"), F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end")).filter("n >= 3").drop("n")
+
+
+def _particles(spark, sf):
+    return annihilation.tag_particles(_band(spark, sf), _spans(spark, sf), 10800.0)
+
+
+PART = LUMP + """, spans AS (SELECT site, channel, lump_idx, min(start_us) AS ls, max(end_us) AS le FROM lumps GROUP BY ALL HAVING count(*) >= 3), particles AS (
+  SELECT b.*, s.lump_idx, 1 AS side, (b.end_us - le) / 1e6 AS particle_position FROM band b JOIN spans s ON b.site = s.site AND b.channel = s.channel AND b.end_us BETWEEN le AND le + 10800000000
+  UNION ALL SELECT b.*, s.lump_idx, 0, (b.end_us - ls) / 1e6 FROM band b JOIN spans s ON b.site = s.site AND b.channel = s.channel AND b.end_us BETWEEN ls - 10800000000 AND ls)"""
+
+
+@query(PART + " SELECT site, channel, start_idx, lump_idx, CAST(side AS INTEGER) AS side, particle_position FROM particles")
+def particle_tag(spark, sf):
+    return _particles(spark, sf).select(*power.KEY, "start_idx", "lump_idx", "side", "particle_position")
+
+
+@query(PART + """, g AS (SELECT *, (start_us - lag(start_us) OVER w) / 1e6 AS gap FROM particles WINDOW w AS (PARTITION BY site, channel ORDER BY start_us, start_idx, lump_idx, side)),
+m AS (SELECT *, median(gap) OVER (PARTITION BY site, channel) AS med FROM g)
+SELECT site, channel, count(*) AS "sum", min(gap) AS min_t, min(med) AS med_t, min(h2) AS min_h2, max(h2) AS max_h2, coalesce(sum(greatest(round_even(gap / nullif(med, 0), 0) - 1, 0)), 0) AS lost_sig_num,
+  count(*) FILTER (particle_position < 0) AS anti, count(*) FILTER (particle_position >= 0) AS particle, count(DISTINCT lump_idx) AS lumps, round(count(*) FILTER (particle_position >= 0) / count(*), 6) AS particle_prob
+FROM m GROUP BY site, channel""")
+def particle_summary(spark, sf):
+    return rounded(annihilation.particle_summary(_particles(spark, sf)))
+
+
+@query(FALL + f" SELECT site, channel, start_idx, end_idx, start_us, end_us, h2, sub_delta FROM edges EXCEPT SELECT site, channel, start_idx, end_idx, start_us, end_us, h2, sub_delta FROM edges WHERE h2 BETWEEN {-HIGH} AND {-LOW}")
+def edge_except(spark, sf):
+    edges = signal.falling_edges(power.from_events(spark, sf))
+    return lumps.except_edges(edges, lumps.watt_band(edges, LOW, HIGH))
+
+
+@query(LUMP + """, ext AS (SELECT site, channel, lump_idx, min(start_idx) AS lo, max(end_idx) AS hi FROM lumps GROUP BY ALL HAVING count(*) >= 3)
+SELECT e.site, e.channel, e.start_idx, x.lump_idx FROM edges e JOIN ext x ON e.site = x.site AND e.channel = x.channel AND e.start_idx >= lo AND e.end_idx <= hi""")
+def lump_extent_join(spark, sf):
+    spans = lumps.extents(lumps.big_enough(_lumps(spark, sf), 3))
+    return lumps.within_extents(signal.falling_edges(power.from_events(spark, sf)), spans).select(*power.KEY, "start_idx", "lump_idx")
+
+
+@query(LUMP + """, pos AS (
+  SELECT *, row_number() OVER (PARTITION BY site, channel, lump_idx ORDER BY start_us, start_idx) AS a, row_number() OVER (PARTITION BY site, channel, lump_idx ORDER BY start_us DESC, start_idx DESC) AS z FROM lumps
+), ends AS (SELECT *, 0 AS edge_pos FROM pos WHERE a = 1 UNION ALL SELECT *, 1 FROM pos WHERE z = 1), mid AS (SELECT *, avg(end_us) OVER (PARTITION BY site, channel, lump_idx) AS mid_us FROM ends),
+th AS (SELECT m.*, (p0.active_power + p1.active_power) / 2 AS thr FROM mid m JOIN power p0 ON p0.channel = m.channel AND p0.idx = m.start_idx JOIN power p1 ON p1.channel = m.channel AND p1.idx = m.end_idx),
+met AS (SELECT t.site, t.channel, lump_idx, edge_pos, mid_us, h2, p.us FROM th t JOIN power p ON p.channel = t.channel AND p.us BETWEEN end_us - 2400000000 AND end_us + 2400000000 AND p.active_power >= thr),
+isl AS (SELECT *, CASE WHEN (us - lag(us) OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY us)) / 1e6 >= 360 THEN 1 ELSE 0 END AS f FROM met),
+num AS (SELECT *, sum(f) OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY us) AS island FROM isl),
+agg AS (SELECT site, channel, lump_idx, edge_pos, island, count(*) AS n, min(us) AS lo, max(us) AS hi, min(mid_us) AS mid_us, min(h2) AS h2 FROM num GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER w / 10.0 AS sec_on, min(lo) OVER w AS alo, max(hi) OVER w AS ahi, row_number() OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY hi - lo DESC, island) AS r FROM agg WINDOW w AS (PARTITION BY site, channel, lump_idx, edge_pos))
+SELECT site, channel, lump_idx, CAST(edge_pos AS INTEGER) AS edge_pos, round((mid_us - CASE WHEN (hi - lo) / 1e6 < sec_on THEN alo ELSE lo END) / 1e6, 6) + 0 AS start_time,
+  round((CASE WHEN (hi - lo) / 1e6 < sec_on THEN ahi ELSE hi END - mid_us) / 1e6, 6) + 0 AS end_time, CAST(sec_on AS DOUBLE) AS sec_on, round(sec_on * h2 / 3600, 6) + 0 AS wh_on, h2 AS ap_on FROM b WHERE r = 1""")
+def cook_energy(spark, sf):
+    return rounded(energy.cook_energy(power.from_events(spark, sf), _lumps(spark, sf), 10.0, 2400.0, 360.0))
+
+
+@query(BAND + """, slots AS (SELECT site, channel, end_idx, lead(end_idx) OVER (PARTITION BY site, channel ORDER BY end_idx) AS nx FROM (SELECT DISTINCT site, channel, end_idx FROM band) q),
+o AS (SELECT s.site, s.channel, s.end_idx AS slot, count(p.idx) AS len, avg(p.active_power - b.active_power) AS watt FROM slots s JOIN power b ON b.channel = s.channel AND b.idx = s.end_idx
+  LEFT JOIN power p ON p.channel = s.channel AND p.idx > s.end_idx AND p.idx <= s.nx AND p.active_power - b.active_power > 5 WHERE nx IS NOT NULL GROUP BY ALL)
+SELECT site, channel, slot, len, round(watt, 6) AS watt, CAST(greatest(floor(len / 10.0), 1) AS DOUBLE) AS sec, round(coalesce(len * watt / 10.0, 0), 6) AS watt_sec FROM o""")
+def warm_energy(spark, sf):
+    return rounded(energy.warm_slots(power.from_events(spark, sf), _band(spark, sf), 10.0, 5.0))
+
+
+@query(POWER + " SELECT site, unnest(generate_series(CAST(floor(min(us) / 1e6) AS BIGINT), CAST(floor(max(us) / 1e6) AS BIGINT))) AS sec FROM power GROUP BY site")
+def usage_grid(spark, sf):
+    return power.second_grid(power.from_events(spark, sf))
+
+
+@query(LUMP + """, l AS (SELECT site, channel, lump_idx, floor(min(start_us) / 1e6 + (max(end_us) - min(start_us)) / 2e6) AS c FROM lumps GROUP BY ALL HAVING count(*) >= 3),
+s AS (SELECT DISTINCT site, unnest(generate_series(CAST(c - 120 AS BIGINT), CAST(c + 179 AS BIGINT))) AS sec FROM l) SELECT site, sec, CAST(250.0 AS DOUBLE) AS p FROM s""")
+def paint_seconds(spark, sf):
+    big = lumps.big_enough(_lumps(spark, sf), 3).groupBy(*power.KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
+    return rice_plan.painted(big, F.lit(120.0), F.lit(180.0)).select("site", "sec", F.lit(250.0).alias("p"))
+
+
+@query(BAND + """, m AS (SELECT site, channel, count(*) AS n, max(h2) > -26000 AS cook, median(sub_delta) > 0 AS warm FROM band GROUP BY ALL)
+SELECT site, channel FROM m QUALIFY row_number() OVER (PARTITION BY site ORDER BY cook DESC, warm DESC, n DESC, channel) = 1""")
+def channel_choice(spark, sf):
+    m = _band(spark, sf).groupBy(*power.KEY).agg(F.count("*").alias("metric"), (F.max("h2") > -26000).alias("cook"), (F.median("sub_delta") > 0).alias("warm"))
+    return rice_plan.best_channel(m).select(*power.KEY)
+
+
+BOXES = POWER + f""", boxes AS (SELECT site, channel, CAST(floor((idx - 1) / {BOX}) AS BIGINT) AS b, max(idx) AS last_idx, quantile_cont(active_power, 0.8) - quantile_cont(active_power, 0.2) AS ap_diff,
+  quantile_cont(reactive_power, 0.8) - quantile_cont(reactive_power, 0.2) AS rp_diff, count(DISTINCT round_even(reactive_power, -1)) AS modes, min(reactive_power) AS rp_min, max(reactive_power) AS rp_max
+  FROM power GROUP BY site, channel, CAST(floor((idx - 1) / {BOX}) AS BIGINT) HAVING count(*) = {BOX})"""
+VOTES = BOXES + """, f AS (SELECT *, CASE WHEN ap_diff > 100 AND ap_diff < 75000 AND rp_diff > 10 AND rp_diff < 150 AND modes BETWEEN 2 AND 20 THEN 1 ELSE 0 END AS flag FROM boxes),
+v AS (SELECT *, CAST(sum(flag) OVER (PARTITION BY site, channel ORDER BY b ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS BIGINT) AS vote FROM f), votes AS (SELECT * FROM v WHERE b + 1 >= 10 AND (b + 1) % 5 = 0 AND vote > 0)"""
+STARTS = VOTES + """, s0 AS (SELECT site, channel, greatest(last_idx - 15, 45) AS start_idx FROM votes), s1 AS (SELECT *, count(*) OVER (PARTITION BY site, channel) AS n, lag(start_idx) OVER (PARTITION BY site, channel ORDER BY start_idx) AS before FROM s0),
+starts AS (SELECT site, channel, CAST(start_idx AS BIGINT) AS start_idx FROM s1 WHERE n <= 2 OR before IS NULL OR start_idx - before > 1800)"""
+
+
+def _boxes(spark, sf):
+    return washer.flagged(washer.box_features(power.from_events(spark, sf), BOX), WASH)
+
+
+def _cycles(spark, sf):
+    samples = power.from_events(spark, sf)
+    return washer.cycles(washer.starts(washer.votes(_boxes(spark, sf), WASH), WASH), samples, WASH)
+
+
+@query(BOXES + " SELECT site, channel, b, last_idx, round(ap_diff, 6) AS ap_diff, round(rp_diff, 6) AS rp_diff, modes, rp_min, rp_max FROM boxes")
+def box_features(spark, sf):
+    return rounded(washer.box_features(power.from_events(spark, sf), BOX))
+
+
+@query(VOTES + " SELECT site, channel, b, last_idx, vote FROM votes")
+def box_vote(spark, sf):
+    return washer.votes(_boxes(spark, sf), WASH)
+
+
+@query(STARTS + " SELECT * FROM starts")
+def washer_starts(spark, sf):
+    return washer.starts(washer.votes(_boxes(spark, sf), WASH), WASH)
+
+
+@query(STARTS + """ SELECT s.site, s.channel, s.start_idx, CAST(hour(make_timestamp(us)) AS INTEGER) AS hour, CAST(day(make_timestamp(us)) AS INTEGER) AS day, CAST(month(make_timestamp(us)) AS INTEGER) AS month, CAST(dayofweek(make_timestamp(us)) + 1 AS INTEGER) AS weekday
+FROM starts s JOIN power p ON p.channel = s.channel AND p.idx = s.start_idx""")
+def washer_calendar(spark, sf):
+    return washer.calendar(washer.starts(washer.votes(_boxes(spark, sf), WASH), WASH), power.from_events(spark, sf))
+
+
+@query(POWER + """, b AS (SELECT *, CAST(floor((idx - 1) / 45) AS BIGINT) AS block FROM power)
+SELECT site, channel, idx, block, round(active_power - avg(active_power) OVER w, 6) + 0 AS x_mean, round(var_samp(active_power) OVER w, 4) AS x_var, round(active_power - quantile_cont(active_power, 0.01) OVER w, 6) + 0 AS x_low FROM b WINDOW w AS (PARTITION BY site, channel, block)""")
+def block_center(spark, sf):
+    return rounded(washer.block_center(power.from_events(spark, sf), 45).withColumn("x_var", F.round("x_var", 4)))
+
+
+WPOWER = STARTS + """, top AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), cyc AS (SELECT s.*, start_idx + 200 AS end_idx FROM starts s JOIN top USING (site, channel) WHERE start_idx + 200 <= n),
+met AS (SELECT p.*, c.start_idx, floor((p.idx - c.start_idx) / 20) AS block FROM power p JOIN cyc c ON p.channel = c.channel AND p.idx BETWEEN c.start_idx AND c.end_idx),
+low AS (SELECT *, greatest(active_power - quantile_cont(active_power, 0.01) OVER (PARTITION BY channel, start_idx, block), 0) AS pw FROM met), fin AS (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY channel, idx ORDER BY start_idx DESC) = 1),
+wp AS (SELECT p.site, p.channel, p.idx, p.us, coalesce(f.pw, 0) AS p, CASE WHEN f.idx IS NULL THEN 0 ELSE p.reactive_power END AS q FROM power p LEFT JOIN fin f ON p.channel = f.channel AND p.idx = f.idx)"""
+
+
+@query(WPOWER + " SELECT site, channel, idx, us, round(p, 6) AS p, CAST(q AS DOUBLE) AS q FROM wp")
+def washer_power(spark, sf):
+    return rounded(washer.washer_power(power.from_events(spark, sf), _cycles(spark, sf), WASH))
+
+
+@query(POWER + " SELECT site, us, sum(active_power) AS p, sum(reactive_power) AS q FROM power GROUP BY site, us")
+def channel_sum(spark, sf):
+    return washer.channel_sum(power.from_events(spark, sf).select("site", "us", F.col("active_power").alias("p"), F.col("reactive_power").alias("q")))
+
+
+@query(POWER + """, d AS (SELECT *, CASE WHEN active_power - lag(active_power) OVER (PARTITION BY site, channel ORDER BY idx) > 0 THEN 1 ELSE -1 END AS sgn FROM power)
+SELECT site, channel, CAST(floor((idx - 1) / 180) + 1 AS BIGINT) AS segment, count(*) FILTER (sgn = 1) AS up, count(*) FILTER (sgn = -1) AS down FROM d GROUP BY ALL""")
+def contingency(spark, sf):
+    return washer.contingency(power.from_events(spark, sf), 180)
+
+
+@query(POWER + " SELECT site, channel, idx, round((active_power - min(active_power) OVER w) / (max(active_power) OVER w - min(active_power) OVER w), 6) AS scaled FROM power WINDOW w AS (PARTITION BY site, channel)")
+def minmax_scale(spark, sf):
+    return rounded(columns.minmax_scale(power.from_events(spark, sf), "active_power").select(*power.KEY, "idx", "scaled"))
+
+
+@query(POWER + " SELECT site, channel, idx, CAST(floor((idx - 1) / 180) + 1 AS BIGINT) AS segment FROM power")
+def segment_ids(spark, sf):
+    return columns.segment_ids(power.from_events(spark, sf), 180).select(*power.KEY, "idx", "segment")
+
+
+@query()
+def group_search(spark, sf):
+    return rounded(groups.detect_groups(_band(spark, sf), med_max=7200.0, periodicity=0.01))
+
+
+@query()
+def pair_annihilation(spark, sf):
+    edges = _band(spark, sf)
+    spans = _spans(spark, sf)
+    count = spans.groupBy(*power.KEY).agg(F.count("*").alias("n_lumps"))
+    return rounded(annihilation.annihilation_edges(annihilation.tag_particles(edges, spans, 10800.0), edges, count, iterations=60, prob=0.4, max_gap=1e6, med_max=1e6, coverage=0.0, lump_size=1))
+
+
+def _home(spark):
+    return power.planted(spark, "cook").unionByName(power.planted(spark, "warm"))
+
+
+@query()
+def rice_meta(spark, sf):
+    return rice_plan.train(_home(spark), Rice())
+
+
+@query()
+def rice_usage(spark, sf):
+    home = _home(spark)
+    return rice_plan.predict(home, rice_plan.train(home, Rice()), Rice())
+
+
+@query()
+def dip_test(spark, sf):
+    return rounded(washer.dip_test(power.from_events(spark, sf), BOX))
+
+
+@query()
+def washer_usage(spark, sf):
+    return washer_plan.predict(power.planted(spark, "wash"), Washer())
+
+
+@query()
+def washer_reliability(spark, sf):
+    samples = power.from_events(spark, sf)
+    return rounded(washer.reliability(samples, _cycles(spark, sf), WASH))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

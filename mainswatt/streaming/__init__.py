@@ -1,0 +1 @@
+"""Empty on purpose: the engine is batch only, and a gap-sessionised stream is left to a later version."""
