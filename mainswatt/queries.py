@@ -39,8 +39,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, and no negative zero."""
-    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles but exact medians to six digits, and no negative zero."""
+    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" and c != "med_t" else F.col(c) for c, t in df.dtypes])
 
 
 def _band(spark, sf):
@@ -285,10 +285,11 @@ isl AS (SELECT *, CASE WHEN (us - lag(us) OVER (PARTITION BY site, channel, lump
 num AS (SELECT *, sum(f) OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY us) AS island FROM isl),
 agg AS (SELECT site, channel, lump_idx, edge_pos, island, count(*) AS n, min(us) AS lo, max(us) AS hi, min(mid_us) AS mid_us, min(h2) AS h2 FROM num GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER w / 10.0 AS sec_on, min(lo) OVER w AS alo, max(hi) OVER w AS ahi, row_number() OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY hi - lo DESC, island) AS r FROM agg WINDOW w AS (PARTITION BY site, channel, lump_idx, edge_pos))
-SELECT site, channel, lump_idx, CAST(edge_pos AS INTEGER) AS edge_pos, round((mid_us - CASE WHEN (hi - lo) / 1e6 < sec_on THEN alo ELSE lo END) / 1e6, 6) + 0 AS start_time,
-  round((CASE WHEN (hi - lo) / 1e6 < sec_on THEN ahi ELSE hi END - mid_us) / 1e6, 6) + 0 AS end_time, CAST(sec_on AS DOUBLE) AS sec_on, round(sec_on * h2 / 3600, 6) + 0 AS wh_on, h2 AS ap_on FROM b WHERE r = 1""")
+SELECT site, channel, lump_idx, CAST(edge_pos AS INTEGER) AS edge_pos, round((mid_us - CASE WHEN (hi - lo) / 1e6 < sec_on THEN alo ELSE lo END) / 1e6, 4) + 0 AS start_time,
+  round((CASE WHEN (hi - lo) / 1e6 < sec_on THEN ahi ELSE hi END - mid_us) / 1e6, 4) + 0 AS end_time, CAST(sec_on AS DOUBLE) AS sec_on, round(sec_on * h2 / 3600, 6) + 0 AS wh_on, h2 AS ap_on FROM b WHERE r = 1""")
 def cook_energy(spark, sf):
-    return rounded(energy.cook_energy(power.from_events(spark, sf), _lumps(spark, sf), 10.0, 2400.0, 360.0))
+    out = energy.cook_energy(power.from_events(spark, sf), _lumps(spark, sf), 10.0, 2400.0, 360.0)
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("start_time", "end_time")}))
 
 
 @query(BAND + """, slots AS (SELECT site, channel, end_idx, lead(end_idx) OVER (PARTITION BY site, channel ORDER BY end_idx) AS nx FROM (SELECT DISTINCT site, channel, end_idx FROM band) q),
@@ -308,7 +309,7 @@ def usage_grid(spark, sf):
 s AS (SELECT DISTINCT site, unnest(generate_series(CAST(c - 120 AS BIGINT), CAST(c + 179 AS BIGINT))) AS sec FROM l) SELECT site, sec, CAST(250.0 AS DOUBLE) AS p FROM s""")
 def paint_seconds(spark, sf):
     big = lumps.big_enough(_lumps(spark, sf), 3).groupBy(*power.KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
-    return rice_plan.painted(big, F.lit(120.0), F.lit(180.0)).select("site", "sec", F.lit(250.0).alias("p"))
+    return rice_plan.painted(big, F.lit(120.0), F.lit(180.0)).select("site", "sec").distinct().withColumn("p", F.lit(250.0))
 
 
 @query(BAND + """, m AS (SELECT site, channel, count(*) AS n, max(h2) > -26000 AS cook, median(sub_delta) > 0 AS warm FROM band GROUP BY ALL)
