@@ -32,8 +32,9 @@ def slopes(signal: DataFrame) -> DataFrame:
 def repaired(sloped: DataFrame) -> DataFrame:
     """Slopes over equal times become the mean of the finite neighbours, or the one neighbour at an end."""
     back = by_idx().rowsBetween(Window.unboundedPreceding, -1)
-    ahead = by_idx().rowsBetween(1, Window.unboundedFollowing)
-    left, right = F.last("speed", ignorenulls=True).over(back), F.first("speed", ignorenulls=True).over(ahead)
+    # A frame to the end of the channel would be rebuilt at every row; reading backwards it only grows.
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.last("speed", ignorenulls=True).over(back), F.last("speed", ignorenulls=True).over(ahead)
     fixed = F.when(F.col("us1").isNotNull(), F.coalesce("speed", (left + right) / 2, left, right))
     return sloped.withColumn("speed", fixed)
 

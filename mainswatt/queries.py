@@ -398,7 +398,7 @@ def segment_ids(spark, sf):
 
 @query()
 def group_search(spark, sf):
-    return rounded(groups.detect_groups(_band(spark, sf), med_max=7200.0, periodicity=0.01))
+    return rounded(groups.detect_groups(lumps.watt_band(signal.falling_edges(_home(spark)), 250.0, 1350.0)))
 
 
 @query()
