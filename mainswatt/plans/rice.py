@@ -81,8 +81,9 @@ def _warm_annihilated(samples: DataFrame, edges: DataFrame, cook_lumps: DataFram
 
 def train_channels(samples: DataFrame, p: Rice = Rice()) -> DataFrame:
     """site, channel, cook (struct or null), warm (struct or null), start_us, end_us of every channel with either."""
-    edges = falling_edges(samples)
+    edges = falling_edges(samples).persist()  # read by every branch below; small beside the samples
     members, held = candidates(edges, p)
+    members, held = members.persist(), held.persist()
     spans = held.groupBy(*CAND, "lump_idx").agg(F.min("start_us").alias("a"), F.max("end_us").alias("z"))
     kind = spans.groupBy(*CAND).agg((F.max((F.col("z") - F.col("a")) / 1e6) >= p.long_lump).alias("long"))
     held = held.join(kind, list(CAND))
@@ -126,7 +127,7 @@ def predict(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
     """site, sec, p, q: the rice cooker's power at every second; zero for a site without a model."""
     grid = second_grid(samples)
     chosen = samples.join(meta.select(*KEY), list(KEY), "left_semi")
-    edges = falling_edges(chosen)
+    edges = falling_edges(chosen).persist()
     cook, warm = _part(meta, "cook"), _part(meta, "warm")
     near = lumps.envelope(edges, cook.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), p.ap_margin, p.rp_margin)
     timed = _at_period(near, cook, p)
