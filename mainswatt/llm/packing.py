@@ -6,8 +6,9 @@ none needs padding (each length is a power of two), and sequences of equal lengt
 bucket is the upper part of ``sequence_id``; a batch is drawn from one bucket.
 
 Tokenising is the whole cost. White space separates tokens in the given vocabulary, so a text is the
-concatenation of its space-separated parts; each worker keeps the ids of parts it has met, as bytes, and
-a text's ids are one join. No shuffle: pieces are numbered by partition and row.
+concatenation of its space-separated parts; each worker keeps the ids of parts it has met, as bytes, asks
+for a chunk's different parts once, and gathers the ids of its texts. No shuffle: pieces are numbered by
+partition and row.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ MEMO = 1_500_000
 """Words and parts that a worker process remembers; once it has met so many, it adds no more."""
 MEMO_PART = 64
 """Characters of the longest word worth remembering."""
+RUN = 512
+"""Words that the tokenizer gets at once."""
+CHUNK = 4 << 20
+"""Bytes of text cut at once; a longer text is cut alone."""
 
 
 class Ids:
@@ -34,6 +40,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def core(part: str) -> tuple[str, str]:
@@ -48,23 +57,60 @@ class Ids:
             return part[:-1], part[-1]
         return part, ""
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; special tokens spelled out in a text are found as the tokenizer finds them."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+    def coded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words the tokenizer has not been asked for.
+
+        Words of ASCII letters go to it many at a time, spaced: each is one pre-token, and only a pre-token's last
+        id stands for an ending. Others, and a run whose endings are not one a word, go one by one.
+        """
+        plain, rest, out = [w for w in words if w.isascii() and w.isalpha()], [w for w in words if not (w.isascii() and w.isalpha())], {}
+        for at in range(0, len(plain), RUN):
+            run = plain[at : at + RUN]
+            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(run) or ends[-1] != len(ids):
+                rest += run
+                continue
+            held, ends = ids.tobytes(), (4 * ends).tolist()
+            out.update(zip(run, (held[s:e] for s, e in zip([0, *ends], ends))))
+        out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        return out
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each space-separated part."""
         known, here = self.known, {}
-        cores = {p: self.core(p) for p in set().union(*cut).difference(known)}
+        cores = {p: self.core(p) for p in parts if p not in known}
         if cores:
-            new = list({w for pair in cores.values() for w in pair}.difference(known))
-            coded = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            coded = self.coded([w for w in {w for pair in cores.values() for w in pair} if w not in known])
             for p, (w, m) in cores.items():
                 i = coded[w] if w in coded else known[w]
                 here[p] = i + (coded[m] if m in coded else known[m]) if m else i
             for made in (coded, here):
                 if len(known) + len(made) <= self.memo:
                     known.update((w, i) for w, i in made.items() if len(w) <= MEMO_PART)
-        if all(map(known.__contains__, here)):
-            return [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        return [b"".join([here[p] if p in here else known[p] for p in parts]) for parts in cut]
+        return [here[p] if p in here else known[p] for p in parts]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column (null: none), and each row's offset in them.
+
+        Special tokens spelled out in a text are found as the tokenizer finds them.
+        """
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        word = pc.list_flatten(cut).dictionary_encode()
+        held = self.parts(word.dictionary.to_pylist())
+        size = np.fromiter((len(h) // 4 for h in held), np.int64, len(held))
+        flat, code = np.frombuffer(b"".join(held), "<u4"), word.indices.to_numpy(zero_copy_only=False)
+        each, start = size[code], np.cumsum(size) - size
+        ends = np.r_[0, np.cumsum(each)]
+        at = np.repeat(start[code] - ends[:-1], each)
+        at += np.arange(len(at))
+        rows = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]
+        return flat[at], ends[rows]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        ids, at = self.encode(pa.array(texts, pa.string()))
+        return [ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
 
 
 _met: dict[str, Ids] = {}
@@ -101,10 +147,11 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, id_col: str = "
 
         ids, end = ids_of(tokenizer_path), END_ID.to_bytes(4, "little")
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", CHUNK):
                 row, start, length, crc, total, values = [], [], [], [], [], []
-                for i, held in enumerate(ids([t or "" for t in batch.column("text").to_pylist()])):
-                    held += end
+                coded, bounds = ids.encode(batch.column("text"))
+                for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    held = coded[low:high].tobytes() + end
                     at, n = 0, len(held) // 4
                     for k in binary_lengths(n, size):
                         piece = held[4 * at : 4 * (at + k)]
