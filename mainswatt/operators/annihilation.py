@@ -63,6 +63,7 @@ def _refine(cell: pd.DataFrame, size: int) -> pd.DataFrame:
 def annihilation_edges(particles: DataFrame, edges: DataFrame, cook_lumps: DataFrame, iterations: int = 650, size: int = 8, prob: float = 0.9, max_gap: float = 300.0, med_min: float = 10.0, med_max: float = 700.0, coverage: float = 0.75, lump_size: int = 8) -> DataFrame:
     """All edges in the bounding box of the best refined group; ``cook_lumps`` has site, channel, n_lumps."""
     columns = [x.split()[0] for x in _TAGGED.split(", ")]
+    nothing = pd.DataFrame({"site": pd.Series([], dtype=object), "channel": pd.Series([], dtype="int32")} | {c: pd.Series([], dtype=float) for c in ("d0", "d1", "s0", "s1")})
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         n_lumps = int(pdf["n_lumps"].iloc[0])
@@ -79,7 +80,7 @@ def annihilation_edges(particles: DataFrame, edges: DataFrame, cook_lumps: DataF
                 found.append(_refine(cell, size))
         best = max(found, key=len, default=None)
         if best is None or not len(best):
-            return pd.DataFrame({"site": [], "channel": [], "d0": [], "d1": [], "s0": [], "s1": []})
+            return nothing.copy()
         box = [best["delta"].min(), best["delta"].max(), best["sub_delta"].min(), best["sub_delta"].max()]
         return pd.DataFrame([[pdf["site"].iloc[0], pdf["channel"].iloc[0], *box]], columns=["site", "channel", "d0", "d1", "s0", "s1"])
 

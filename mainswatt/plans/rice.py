@@ -1,6 +1,7 @@
 """Rice cooker: learn one model a site from its better channel, and predict usage by the second.
 
-The model is a DataFrame of one row per (site, channel) all the way; nothing is collected.
+The model is a DataFrame of one row per (site, channel) all the way; nothing is collected. Edges, groups, lumps
+and the parts of the model are each read by several branches and are written to the shared folder between steps.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..operators import annihilation, energy, groups, lumps
 from ..operators.signal import falling_edges
 from ..params import Rice
 from ..sources.power import KEY, second_grid
+from ..sources.shared import materialise
 
 CAND = (*KEY, "cand_rank", "db_time")
 
@@ -32,7 +34,7 @@ def painted(spans: DataFrame, before: Column, after: Column) -> DataFrame:
 
 def candidates(edges: DataFrame, p: Rice) -> tuple[DataFrame, DataFrame]:
     """Groups (members), and the lumps of each group and period."""
-    members = groups.detect_groups(lumps.watt_band(edges, p.min_watt, p.max_watt), p.search_iter, p.eff_size, p.periodicity, p.quantile_prob, p.med_sec_min, p.med_sec_max)
+    members = materialise(groups.detect_groups(lumps.watt_band(edges, p.min_watt, p.max_watt), p.search_iter, p.eff_size, p.periodicity, p.quantile_prob, p.med_sec_min, p.med_sec_max))
     matched = lumps.period_match(members, p.db_times, p.db_tolerance, (*KEY, "cand_rank"))
     return members, lumps.big_enough(lumps.sessionise(matched, p.lump_gap, CAND), p.eff_size, CAND)
 
@@ -81,18 +83,17 @@ def _warm_annihilated(samples: DataFrame, edges: DataFrame, cook_lumps: DataFram
 
 def train_channels(samples: DataFrame, p: Rice = Rice()) -> DataFrame:
     """site, channel, cook (struct or null), warm (struct or null), start_us, end_us of every channel with either."""
-    edges = falling_edges(samples).persist()  # read by every branch below; small beside the samples
+    edges = materialise(falling_edges(samples))
     members, held = candidates(edges, p)
-    members, held = members.persist(), held.persist()
     spans = held.groupBy(*CAND, "lump_idx").agg(F.min("start_us").alias("a"), F.max("end_us").alias("z"))
     kind = spans.groupBy(*CAND).agg((F.max((F.col("z") - F.col("a")) / 1e6) >= p.long_lump).alias("long"))
-    held = held.join(kind, list(CAND))
+    held = materialise(held.join(kind, list(CAND)))
     short, long = held.filter("not long").drop("long"), held.filter("long").drop("long")
-    cook = _cook(samples, short, p)
+    cook = materialise(_cook(samples, short, p))
     cook_lumps = short.join(cook.select(*CAND), list(CAND), "left_semi")
-    warm_long = _warm_long(samples, members, long, p)
+    warm_long = materialise(_warm_long(samples, members, long, p))
     no_long = cook_lumps.join(long.select(*KEY).distinct(), list(KEY), "left_anti")
-    warm = warm_long.unionByName(_warm_annihilated(samples, edges, no_long, p))
+    warm = warm_long.unionByName(materialise(_warm_annihilated(samples, edges, no_long, p)))
     cook_struct = F.struct("lumps", "proper_lumps", "min_h2", "max_h2", "min_sub", "max_sub", F.col("db_time").alias("db_time_sec"), "min_flucs_proper_lump", "usage_start_time", "usage_end_time", "usage_sec_on", "usage_wh_on", "usage_ap_on")
     warm_struct = F.struct("type", "samples", "lumps", "min_h2", "max_h2", "min_sub", "max_sub", F.col("db_time").alias("db_time_sec"), "usage_sec_on", "usage_watt")
     both = cook.select(*KEY, cook_struct.alias("cook_info")).join(warm.select(*KEY, warm_struct.alias("warm_info")), list(KEY), "full_outer")
@@ -125,13 +126,13 @@ def _part(meta: DataFrame, part: str) -> DataFrame:
 
 def predict(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
     """site, sec, p, q: the rice cooker's power at every second; zero for a site without a model."""
-    grid = second_grid(samples)
+    grid, meta = second_grid(samples), materialise(meta)
     chosen = samples.join(meta.select(*KEY), list(KEY), "left_semi")
-    edges = falling_edges(chosen).persist()
+    edges = materialise(falling_edges(chosen))
     cook, warm = _part(meta, "cook"), _part(meta, "warm")
     near = lumps.envelope(edges, cook.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), p.ap_margin, p.rp_margin)
     timed = _at_period(near, cook, p)
-    cook_lumps = lumps.big_enough(lumps.sessionise(timed, p.lump_gap), p.eff_size)
+    cook_lumps = materialise(lumps.big_enough(lumps.sessionise(timed, p.lump_gap), p.eff_size))
     spans = cook_lumps.groupBy(*KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
     e = energy.cook_energy(chosen, cook_lumps, p.hz, p.proper_cook_time, p.min_cook_on).groupBy(*KEY, "lump_idx").agg(F.bool_or(F.col("sec_on") >= p.min_cook_on).alias("proper"), F.median("sec_on").alias("own_sec"), F.median("ap_on").alias("own_ap"))
     shaped = spans.join(e, [*KEY, "lump_idx"]).join(cook.select(*KEY, "usage_start_time", "usage_end_time", "usage_wh_on"), list(KEY))
@@ -140,7 +141,7 @@ def predict(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
     minor = shaped.filter("not proper")
     level = minor.groupBy(*KEY).agg(F.median("own_ap").alias("ap"))
     minor = painted(minor, F.col("own_sec") / 2, F.col("own_sec") / 2).join(level, list(KEY)).select("site", "sec", (-F.col("ap")).alias("p"))
-    held = _warm_edges(edges, warm, cook_lumps, p)
+    held = materialise(_warm_edges(edges, warm, cook_lumps, p))
     paint = held.join(warm.select(*KEY, "usage_sec_on", "usage_watt"), list(KEY))
     first = F.floor(F.col("start_us") / 1000000)
     length = F.bround("usage_sec_on").cast("long")
@@ -161,7 +162,7 @@ def _warm_edges(edges: DataFrame, warm: DataFrame, cook_lumps: DataFrame, p: Ric
     inside = lumps.envelope(edges, warm.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), 0.0, 0.0)
     kind = lambda t: warm.filter(F.col("type") == t).select(*KEY)
     periodic = _at_period(inside.join(kind(0), list(KEY), "left_semi"), warm, p)
-    held = lumps.big_enough(lumps.sessionise(periodic, p.lump_gap), p.eff_size).unionByName(lumps.big_enough(lumps.sessionise(inside.join(kind(1), list(KEY), "left_semi"), p.lump_gap), p.ann_lump_size))
+    held = materialise(lumps.big_enough(lumps.sessionise(periodic, p.lump_gap), p.eff_size).unionByName(lumps.big_enough(lumps.sessionise(inside.join(kind(1), list(KEY), "left_semi"), p.lump_gap), p.ann_lump_size)))
     group = groups.detect_groups(lumps.watt_band(edges, p.min_watt, p.max_watt), p.search_iter, p.eff_size, p.periodicity, p.quantile_prob, p.med_sec_min, p.med_sec_max)
     near = lumps.envelope(lumps.within_extents(group, lumps.extents(held)), warm.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), 1e18, 1e18)
     near = near.join(warm.select(*KEY, F.col("min_h2").alias("a"), F.col("max_h2").alias("z")), list(KEY)).filter(F.col("h2").between(F.col("a"), F.col("z")))
