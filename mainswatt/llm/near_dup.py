@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
                 held = [value[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "root": batch.column("root"), "size": batch.column("size"), "held": pa.array(held, pa.binary())})
 
-    wanted = rows.join(placed, "doc").mapInArrow(hold, "doc long, root long, size long, held binary").dropDuplicates(["doc"])
+    # Groups grow with the documents: a merge join at every size, so that small inputs run the plan of large ones.
+    wanted = rows.join(placed.hint("merge"), "doc").mapInArrow(hold, "doc long, root long, size long, held binary").dropDuplicates(["doc"])
     exact = _blocks(wanted, "group", "size").groupBy("root", "lo", "hi").applyInArrow(lambda t: near_sets(t, threshold), "a long, b long, links long")
     exact = materialise(exact)
     classes = components(exact.filter("b is not null").select("a", "b"))
