@@ -110,6 +110,19 @@ def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
     return every.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
 
 
+def _marked(rows: DataFrame, ids: DataFrame, bits: int = 1 << 27) -> DataFrame:
+    """``rows`` whose doc may be one of ``ids``: all that are, and others by chance as ``ids`` nears ``bits``.
+
+    The bitmap is broadcast in pages; it has ``bits`` bits (16 MB) at most, however many ids there are.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    page, at = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767))
+    pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("held"))
+    byte = F.conv(F.hex(F.col("held").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(pages), page == F.col("page"))
+    return found.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+
+
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the first and of the second block of a task (the same ones where the blocks are one)."""
     block, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
@@ -240,8 +253,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
                 held = [value[lo:hi].tobytes() for lo, hi in zip(edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "root": batch.column("root"), "size": batch.column("size"), "held": pa.array(held, pa.binary())})
 
-    # Groups grow with the documents: a merge join at every size, so that small inputs run the plan of large ones.
-    wanted = rows.join(placed.hint("merge"), "doc").mapInArrow(hold, "doc long, root long, size long, held binary").dropDuplicates(["doc"])
+    # Ids meet a bitmap of bounded size first, so texts outside of groups stay out of the shuffle; then the ids
+    # themselves. Rows of one id are made one before the sets are built, where the join has them side by side.
+    chosen = _marked(rows, placed).join(placed, "doc").dropDuplicates(["doc"])
+    wanted = chosen.mapInArrow(hold, "doc long, root long, size long, held binary")
     exact = _blocks(wanted, "group", "size").groupBy("root", "lo", "hi").applyInArrow(lambda t: near_sets(t, threshold), "a long, b long, links long")
     exact = materialise(exact)
     classes = components(exact.filter("b is not null").select("a", "b"))
