@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 2
-MEMO = 1_500_000
+MEMO = 500_000
 """Words and parts that a worker process remembers; once it has met so many, it adds no more."""
 MEMO_PART = 64
 """Characters of the longest word worth remembering."""
 RUN = 512
 """Words that the tokenizer gets at once."""
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 """Bytes of text cut at once; a longer text is cut alone."""
 
 
@@ -73,7 +73,9 @@ class Ids:
                 continue
             held, ends = ids.tobytes(), (4 * ends).tolist()
             out.update(zip(run, (held[s:e] for s, e in zip([0, *ends], ends))))
-        out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        for at in range(0, len(rest), RUN):
+            run = rest[at : at + RUN]
+            out.update(zip(run, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False))))
         return out
 
     def parts(self, parts: list[str]) -> list[bytes]:
