@@ -13,6 +13,7 @@ partition and row.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +28,9 @@ MEMO = 500_000
 """Words and parts that a worker process remembers; once it has met so many, it adds no more."""
 MEMO_PART = 64
 """Characters of the longest word worth remembering."""
-RUN = 512
+RUN = 2048
 """Words that the tokenizer gets at once."""
-CHUNK = 1 << 20
+CHUNK = 4 << 20
 """Bytes of text cut at once; a longer text is cut alone."""
 
 
@@ -39,6 +40,7 @@ class Ids:
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -63,7 +65,9 @@ class Ids:
         Words of ASCII letters go to it many at a time, spaced: each is one pre-token, and only a pre-token's last
         id stands for an ending. Others, and a run whose endings are not one a word, go one by one.
         """
-        plain, rest, out = [w for w in words if w.isascii() and w.isalpha()], [w for w in words if not (w.isascii() and w.isalpha())], {}
+        plain, rest, out = [], [], {}
+        for w in words:
+            (plain if w.isascii() and w.isalpha() else rest).append(w)
         for at in range(0, len(plain), RUN):
             run = plain[at : at + RUN]
             ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
@@ -80,17 +84,19 @@ class Ids:
 
     def parts(self, parts: list[str]) -> list[bytes]:
         """The ids of each space-separated part."""
-        known, here = self.known, {}
-        cores = {p: self.core(p) for p in parts if p not in known}
-        if cores:
-            coded = self.coded([w for w in {w for pair in cores.values() for w in pair} if w not in known])
-            for p, (w, m) in cores.items():
+        known = self.known
+        held = list(map(known.get, parts))
+        new = [k for k, h in enumerate(held) if h is None]
+        if new:
+            cores = [self.core(parts[k]) for k in new]
+            coded = self.coded([w for w in {w for pair in cores for w in pair} if w not in known])
+            for k, (w, m) in zip(new, cores):
                 i = coded[w] if w in coded else known[w]
-                here[p] = i + (coded[m] if m in coded else known[m]) if m else i
-            for made in (coded, here):
+                held[k] = i + (coded[m] if m in coded else known[m]) if m else i
+            for made in (coded, {parts[k]: held[k] for k in new}):
                 if len(known) + len(made) <= self.memo:
                     known.update((w, i) for w, i in made.items() if len(w) <= MEMO_PART)
-        return [here[p] if p in here else known[p] for p in parts]
+        return held
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column (null: none), and each row's offset in them.
@@ -100,7 +106,7 @@ class Ids:
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
         word = pc.list_flatten(cut).dictionary_encode()
         held = self.parts(word.dictionary.to_pylist())
-        size = np.fromiter((len(h) // 4 for h in held), np.int64, len(held))
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         flat, code = np.frombuffer(b"".join(held), "<u4"), word.indices.to_numpy(zero_copy_only=False)
         each, start = size[code], np.cumsum(size) - size
         ends = np.r_[0, np.cumsum(each)]
