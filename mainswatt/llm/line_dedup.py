@@ -1,12 +1,17 @@
 """Line dedup by pairwise alignment.
 
 Every line of at least ``min_words`` words is an anchor. Grouping anchors by hash tells the first document
-that holds each; a later document with a shared anchor is linked to that first holder, and to no other, so
-links grow with the lines and never with the square of a group (a line that a third of all documents hold
-costs one link a document). The rarer the line, the more telling the link: links carry the least document
-frequency of their anchors, and a document's links are aligned from the rarest on. Linked documents are
-aligned with patience diff (lines unique on both sides, longest increasing subsequence, equal neighbours,
-recursion between), and aligned common blocks that hold an anchor are deleted from the later document.
+that holds each; a later document with a shared anchor is linked to that first holder, so links grow with
+the lines and never with the square of a group (a line that a third of all documents hold costs one link a
+document). The rarer the line, the more telling the link: links carry the least document frequency of their
+anchors. Linked documents are aligned with patience diff (lines unique on both sides, longest increasing
+subsequence, equal neighbours, recursion between), and aligned common blocks that hold an anchor are deleted
+from the later document.
+
+Anchors of which an occurrence still stands are then linked to further earlier holders in rounds: to the
+least of each share of the holders, and at last to all that were not tried. Every anchor that some earlier
+holder aligns is so deleted. Most lines go with the first holders; one that no holder aligns is compared with
+every earlier holder, the one part whose cost is not bounded by the lines.
 """
 
 from __future__ import annotations
@@ -15,11 +20,14 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+SALTS = (16, 64)
+"""Shares that the holders of a line still standing are dealt to, by round: the least of each share, then all."""
+
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned common blocks (start in a, start in b, lines), in order."""
@@ -79,21 +87,23 @@ def line_hashes(docs: DataFrame, min_words: int, id_col: str, text_col: str) ->
     return rows.select("doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), telling.alias("telling"))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """doc_id, first (the earlier document), rarest: one row per pair to align."""
-    anchors = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("hashes", "telling"), lambda z: z["telling"]), lambda z: z["hashes"]))).alias("h"))
-    first = anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.count("*").alias("df")).filter("first < final").drop("final")
-    met = anchors.join(first, "h").filter("doc_id > first")
-    return met.groupBy("doc_id", "first").agg(F.min("df").alias("rarest"))
+def anchors_of(gone: Column | None = None) -> Column:
+    """Hashes of the anchors of a row of :func:`line_hashes`, those at the positions ``gone`` aside."""
+    lines = F.arrays_zip("hashes", "telling")
+    if gone is not None:
+        lines = F.when(gone.isNull(), lines).otherwise(F.filter(lines, lambda z, i: ~F.array_contains(gone, i)))
+    return F.array_distinct(F.transform(F.filter(lines, lambda z: z["telling"]), lambda z: z["hashes"]))
+
+
+def pairs_of(met: DataFrame) -> DataFrame:
+    """doc_id, first (an earlier document), rarest: one row per pair to align."""
+    return met.filter("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"))
 
 
 def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lines to delete (positions from 0), blocks: only documents that lose lines."""
     rows = materialise(line_hashes(docs, min_words, id_col, text_col))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("telling").alias("t"))
-    earlier = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-    pairs = links(rows).join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "t", "rarest")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +118,47 @@ def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_c
                 if kept:
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(kept)), "gone": pa.array(lines, pa.list_(pa.int32())), "blocks": pa.array(count, pa.int64()), "rarest": part.column("rarest").take(pa.array(kept))})
 
-    found = pairs.mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long, rarest long")
-    by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("rarest", "gone"))), lambda x: x["gone"])
-    return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(by_rarity))).alias("gone"), F.sum("blocks").alias("blocks"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("telling").alias("t"))
+        earlier = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
+        both = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "t", "rarest")
+        return materialise(both.mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long, rarest long"))
+
+    def merged(found: DataFrame) -> DataFrame:
+        by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("rarest", "gone"))), lambda x: x["gone"])
+        return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(by_rarity))).alias("gone"), F.sum("blocks").alias("blocks"))
+
+    anchors = rows.select("doc_id", F.explode(anchors_of()).alias("h")).distinct()
+    lines = materialise(anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.count("*").alias("df")).filter("first < final").drop("final"))
+    held = materialise(anchors.join(lines, "h"))
+
+    def undone(found: DataFrame, last: DataFrame) -> DataFrame:
+        """The rows (doc_id, h) of ``last`` of which an occurrence stands."""
+        some = rows.join(last.select("doc_id").distinct(), "doc_id", "left_semi").join(merged(found).select("doc_id", "gone"), "doc_id", "left")
+        return last.join(some.select("doc_id", F.explode(anchors_of(F.col("gone"))).alias("h")).distinct(), ["doc_id", "h"], "left_semi")
+
+    found = aligned(pairs_of(held))
+    # A line that two documents hold has no other holder before the later one.
+    left = materialise(undone(found, held.filter("doc_id > first and df > 2").select("doc_id", "h", "df")))
+    tried = lines.select("h", F.col("first").alias("holder"))
+    for salts in SALTS:
+        if left.isEmpty():
+            break
+        rest = held.select("h", F.col("doc_id").alias("holder")).join(left.groupBy("h").agg(F.max("doc_id").alias("until")), "h").filter("holder < until").drop("until")
+        rest = rest.join(tried, ["h", "holder"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("holder"), F.lit(salts)))
+        chosen = materialise(rest.groupBy("h", "salt").agg(F.min("holder").alias("holder")) if salts < SALTS[-1] else rest)
+        met = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).join(chosen, ["h", "salt"])
+        more = aligned(pairs_of(met.withColumnRenamed("holder", "first")))
+        found = found.unionByName(more)
+        if salts < SALTS[-1]:
+            left, tried = materialise(undone(found, left)), tried.unionByName(chosen.select("h", "holder"))
+    return merged(found)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the deleted lines gone from the text, and n_lines, n_removed, n_blocks after the other columns.
 
-    The earlier of two documents is that of the smaller id. Null texts count as empty and stay null; documents
+    The earlier of two documents is that of the smaller id; n_blocks counts the blocks of all alignments made. Null texts count as empty and stay null; documents
     with a null id stay as they are. Rows that repeat an id are one document (of equal text) to the alignment
     and are each edited alike. Lines of fewer than ``min_words`` words go only inside a block with a longer one.
     An empty table gives no rows. Input columns named like an output column are replaced.
