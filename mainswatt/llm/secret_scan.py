@@ -3,12 +3,13 @@
 Each text yields base spans (assignments, access keys, long hex strings) and further candidates: long tokens
 of mixed characters and high entropy outside any base span. Every candidate's value is hashed, and the corpus
 tells by how many distinct repositories and owners each value is held. A value that at least ``copied``
-repositories hold is a widely copied example; one held by fewer is owner-specific and looks live. Live
-candidates are added as spans of kind ``value``; base spans stay, and are counted as live or copied.
+repositories or ``owned`` owners hold is a widely copied example; one held by fewer of both is owner-specific
+and looks live. Live candidates are added as spans of kind ``value``; base spans stay, and are counted as live
+or copied.
 
 A worker reduces each text to its spans at once. Frequencies are counted over distinct (value, repository)
 and (value, owner) pairs, pre-aggregated in each task, so a secret that a third of all documents hold costs
-one row per task and repository.
+one row per task and repository, and one per owner.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def candidates(text: str, base: list[tuple]) -> list[tuple[int, int, str]]:
     return out
 
 
-def scan(docs: DataFrame, copied: int = 3, repo_col: str = "source", owner_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, copied: int = 3, repo_col: str = "source", owner_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", owned: int = 10) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex (base spans), n_live, n_copied, n_value, base_sha256, spans.
 
     Null and empty texts have no spans. A null repository or owner counts as one of its own kind. Repeated rows
@@ -78,7 +79,7 @@ def scan(docs: DataFrame, copied: int = 3, repo_col: str = "source", owner_col:
     spans = rows.select("row", "repo", "owner", F.explode("held").alias("x")).select("row", "repo", "owner", "x.kind", "x.s", "x.e", F.sha2("x.v", 256).alias("h"))
     repos = spans.groupBy("h", "repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n_repos"))
     owners = spans.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n_owners"))
-    verdict = repos.join(owners, "h").withColumn("live", F.col("n_repos") < copied)
+    verdict = repos.join(owners, "h").withColumn("live", (F.col("n_repos") < copied) & (F.col("n_owners") < owned))
     judged = spans.join(verdict, "h")
     of_row = judged.groupBy("row").agg(
         F.count_if((F.col("kind") != "value") & F.col("live")).alias("n_live"),

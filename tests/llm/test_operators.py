@@ -176,6 +176,13 @@ def test_secrets_by_ownership(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_secrets_of_many_owners_are_copied(spark):
+    many, few = "abcd1234efgh5678ijkl90", "zyxw9876vuts5432rqpo10"
+    rows = [(i, f"token = '{many}' or {many} y", "s0") for i in range(10)] + [(i, f"token = '{few}' or {few} y", "s0") for i in range(20, 29)]
+    out = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert (out[0].n_live, out[0].n_copied, out[0].n_value) == (0, 1, 0) and (out[20].n_live, out[20].n_copied, out[20].n_value) == (1, 0, 1)
+
+
 def test_decontamination(spark, corpus, nothing):
     item = "the farm of Alice sold 12 boxes and later on sold 7 more boxes to the old shop near town"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
