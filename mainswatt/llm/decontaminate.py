@@ -6,6 +6,7 @@ sentence become one name placeholder, all else is the lower-cased word. Windows
 tokens are hashed on both sides and hash-joined; where a window of a document equals one of an item, the
 values in its slots are paired, and the match stands only if one value of the item always meets the same
 value of the document. A question with other numbers or names is thus found, a chance template is not.
+Windows that hold too few plain words for that, and items too short for it, are found by their raw words.
 
 The item windows are broadcast in blocks of at most ``block_bytes`` of benchmark text, so the broadcast
 has a fixed bound and a large benchmark costs more passes over the documents. Matching is local to a
@@ -32,7 +33,7 @@ _KIND[48:58] = _DIGIT
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 63, 124]] = True
 SHORTEST = 6
-"""An item of fewer template tokens than this cannot be told from chance and has no window."""
+"""An item of fewer template tokens than this cannot be told from chance by its template, only by its raw words."""
 
 
 def _unit_hashes() -> np.ndarray:
@@ -42,11 +43,14 @@ def _unit_hashes() -> np.ndarray:
 
 
 def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Template tokens of each row: hash, kind, row and the bytes they stand for (start, end)."""
+    """Template tokens of each row: hash, kind, row, the bytes they stand for (start, end) and the first of their raw tokens (lo).
+
+    Raw tokens are the lower-cased words and numbers; ``raw`` holds their hashes and ``raw_row`` their rows.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
     if not n:
-        return {"hash": np.zeros(0, np.uint64), "kind": np.zeros(0, np.uint8), "row": empty, "start": empty, "end": empty}
+        return {"hash": np.zeros(0, np.uint64), "kind": np.zeros(0, np.uint8), "row": empty, "start": empty, "end": empty, "lo": empty, "raw": np.zeros(0, np.uint64), "raw_row": empty}
     big = (data >= 65) & (data <= 90)
     big[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
     small = data + (big * np.uint8(32))
@@ -64,6 +68,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     row = np.searchsorted(offsets, start, "right") - 1
     hashes = span_hash(prefix_hash(small), start, end)
     kinds = np.where(kind[start] == _DIGIT, NUMBER, WORD).astype(np.uint8)
+    raw, raw_row, group = hashes, row, empty
     if len(start):
         stops = np.r_[0, np.cumsum(_STOP[data])]
         same = np.r_[False, row[1:] == row[:-1]]
@@ -81,7 +86,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         end = end[np.r_[group[1:], len(first)] - 1]
         start, row, kinds, hashes = start[group], row[group], kinds[group], hashes[group]
         hashes = np.where(kinds == WORD, hashes, mix(kinds.astype(np.uint64)))
-    return {"hash": hashes, "kind": kinds, "row": row, "start": start, "end": end}
+    return {"hash": hashes, "kind": kinds, "row": row, "start": start, "end": end, "lo": group, "raw": raw, "raw_row": raw_row}
 
 
 def template_windows(t: dict[str, np.ndarray], size: int, literal: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,65 +103,101 @@ def template_windows(t: dict[str, np.ndarray], size: int, literal: float) -> tup
         return mix((total[at + size] - total[at]) * down[at] + np.uint64(size)), at
 
 
+def raw_windows(t: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first raw token of each window of ``size`` raw tokens in one row."""
+    return template_windows({"hash": t["raw"], "kind": np.zeros(len(t["raw"]), np.uint8), "row": t["raw_row"]}, size, 0)
+
+
 def item_index(items: list[tuple], window: int, literal: float) -> dict:
-    """The items' windows, sorted by hash, with their slots' values, for a broadcast."""
+    """The items' windows, sorted by hash, with their slots' values, for a broadcast; ``raw`` has those found by raw words."""
     data, offsets = as_bytes(pa.array([x[1] or "" for x in items], pa.string()))
     t = template(data, offsets)
     count = np.bincount(t["row"], minlength=len(items))
     size_of = np.minimum(count, window)
-    found = []
-    for size in sorted({int(s) for s in size_of if s >= SHORTEST}):
+    ends = np.r_[t["lo"], len(t["raw"])]
+    found, plain = [], []
+    for size in sorted({int(s) for s in size_of if s}):
         h, at = template_windows(t, size, literal)
-        keep = size_of[t["row"][at]] == size
+        keep = (size_of[t["row"][at]] == size) & (size >= SHORTEST)
         found.append((h[keep], at[keep], np.full(int(keep.sum()), size)))
-    h, at, size = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(h, kind="stable")
+        every = template_windows(t, size, 0)[1]
+        other = np.setdiff1d(every[size_of[t["row"][every]] == size], at[keep])
+        length = ends[other + size] - ends[other]
+        length = np.where(count[t["row"][other]] > window, np.minimum(length, window), length)
+        plain += zip(other.tolist(), length.tolist(), [size] * len(other))
     values = {int(i): bytes(data[t["start"][i] : t["end"][i]]).lower() for i in np.flatnonzero(t["kind"] != WORD)}
-    row, total = t["row"][at[order]], np.maximum(count - size_of + 1, 1)
-    return {"hash": h[order], "at": at[order], "item": row, "sizes": sorted({int(s) for s in size}), "values": values, "total": total, "ids": [x[0] for x in items]}
+
+    def table(found: list[tuple], spans: list | None = None) -> dict:
+        h, at, size = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        return {"hash": h[order], "at": at[order], "item": t["row"][at[order]], "span": (size if spans is None else np.concatenate(spans) if spans else size)[order], "sizes": sorted({int(s) for s in size})}
+
+    raw, spans = [], []
+    for length in sorted({n for _, n, _ in plain}):
+        at, span = np.array([(i, size) for i, n, size in plain if n == length]).T
+        h, every = raw_windows(t, length)
+        raw.append((h[np.searchsorted(every, t["lo"][at])], at, np.full(len(at), length)))
+        spans.append(span)
+    return table(found) | {"raw": table(raw, spans), "values": values, "total": np.maximum(count - size_of + 1, 1), "ids": [x[0] for x in items]}
+
+
+def _hits(table: dict, size: int, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first token, place in the table) of each window that the table holds."""
+    lo = np.searchsorted(table["hash"], h, "left")
+    hit = np.flatnonzero(table["hash"][np.minimum(lo, len(table["hash"]) - 1)] == h)
+    for i, k in zip(at[hit].tolist(), lo[hit].tolist()):
+        value = table["hash"][k]
+        while k < len(table["hash"]) and table["hash"][k] == value:
+            yield i, k
+            k += 1
 
 
 def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[int, int, int, int, int, float]]:
     """(row, item, windows, slots, changed slots, coverage) for each row and item with a consistent match."""
     data, offsets = as_bytes(batch.column("text"))
     t = template(data, offsets)
-    pairs: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+    pairs: dict[tuple[int, int, int], list[tuple[int, int, int, bool]]] = {}
     for size in index["sizes"]:
-        h, at = template_windows(t, size, literal)
-        lo = np.searchsorted(index["hash"], h, "left")
-        hit = np.flatnonzero(index["hash"][np.minimum(lo, len(index["hash"]) - 1)] == h)
-        for i, first in zip(at[hit].tolist(), lo[hit].tolist()):
-            k, value = first, index["hash"][first]
-            while k < len(index["hash"]) and index["hash"][k] == value:
-                there = int(index["at"][k])
-                pairs.setdefault((int(t["row"][i]), int(index["item"][k]), i - there), []).append((i, there, size))
-                k += 1
+        for i, k in _hits(index, size, *template_windows(t, size, literal)):
+            there = int(index["at"][k])
+            pairs.setdefault((int(t["row"][i]), int(index["item"][k]), i - there), []).append((i, there, size, False))
+    raw = index["raw"]
+    for size in raw["sizes"]:
+        for i, k in _hits(raw, size, *raw_windows(t, size)):
+            i, there = int(np.searchsorted(t["lo"], i, "right")) - 1, int(raw["at"][k])
+            pairs.setdefault((int(t["row"][i]), int(raw["item"][k]), i - there), []).append((i, there, int(raw["span"][k]), True))
     best: dict[tuple[int, int], list] = {}
     for (row, item, _), hits in pairs.items():
         means: dict[tuple[int, bytes], bytes] = {}
-        slots = changed = 0
-        good, seen = True, set()
-        for i, there, size in hits:
+        slots: dict[int, bool] = {}
+        good = True
+        for i, there, size, same in hits:
             for k in range(size):
-                if t["kind"][i + k] == WORD or there + k in seen:
+                if same or there + k not in index["values"] or there + k in slots:
                     continue
-                seen.add(there + k)
                 ours = bytes(data[t["start"][i + k] : t["end"][i + k]]).lower()
                 theirs = index["values"][there + k]
                 good &= means.setdefault((int(t["kind"][i + k]), theirs), ours) == ours
-                slots, changed = slots + 1, changed + (ours != theirs)
-        if good:
+                slots[there + k] = ours != theirs
+        stands = [x for x in hits if good or x[3]]
+        slots = slots if good else {}
+        for _, there, size, same in stands:
+            for k in range(there, there + size):
+                if same and k in index["values"]:
+                    slots.setdefault(k, False)
+        if stands:
             x = best.setdefault((row, item), [set(), 0, 0])
-            x[0] |= {there for _, there, _ in hits}
-            x[1], x[2] = max(x[1], slots), max(x[2], changed)
+            x[0] |= {there for _, there, *_ in stands}
+            x[1], x[2] = max(x[1], len(slots)), max(x[2], sum(slots.values()))
     return [(r, i, len(x[0]), x[1], x[2], min(1.0, len(x[0]) / int(index["total"][i]))) for (r, i), x in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, literal: float = 0.6, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that share a template window: n_windows, n_slots, n_changed, coverage.
 
-    Null, empty and short texts match nothing; items of under six template tokens have no window, items of
-    under ``window`` tokens one. Repeated document rows are matched each on its own; null ids stay null. An
+    Null and empty texts match nothing; items of under ``window`` template tokens have one window. Items of
+    under six template tokens (down to one word), and windows of which less than ``literal`` are plain words,
+    match verbatim only (case and punctuation aside). Repeated document rows are matched each on its own; null ids stay null. An
     empty table on either side gives no rows; extra columns are not read. A very long text is one chunk.
     """
     spark = docs.sparkSession
@@ -175,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, litera
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for whole in batches:
-                for batch in chunks(whole, "text") if len(index["hash"]) else ():
+                for batch in chunks(whole, "text") if index["sizes"] or index["raw"]["sizes"] else ():
                     if rows := matches(batch, index, literal):
                         row, item, *rest = zip(*rows)
                         out = {"doc_id": batch.column("doc_id").take(pa.array(row))}

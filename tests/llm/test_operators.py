@@ -192,6 +192,14 @@ def test_decontamination(spark, corpus, nothing):
     assert decontaminate.contaminated(corpus, bench).count() == 0 and decontaminate.contaminated(nothing, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies(spark):
+    items = {1: "Alice buys 12 kg at 3 eur and Bob buys 7 kg at 5 eur", 2: "Name the capital", 3: "pay 5 usd, 6 usd, 7 usd, 8 usd, 9 usd, 10 usd, 11 usd and 12 usd at once", 4: "Anna Bell Carl Dorn 1 2"}
+    rows = [(i, f"so then: {t}. And more") for i, t in items.items()] + [(9, items[1].replace("7", "8")), (8, "name a capital")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(out) == {(i, i) for i in items} and all(r.n_changed == 0 and r.coverage == 1 for r in out.values())
+
+
 def test_packing_round_trip(corpus, nothing):
     from tokenizers import Tokenizer
 
