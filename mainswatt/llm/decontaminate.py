@@ -4,8 +4,8 @@ Text becomes a sequence of template tokens: runs of digits (with inner points an
 placeholder, a unit right after a number becomes a unit placeholder, runs of capitalised words inside a
 sentence become one name placeholder, all else is the lower-cased word. Windows of ``window`` template
 tokens are hashed on both sides and hash-joined; where a window of a document equals one of an item, the
-values in its slots are paired, and the match stands only if one value of the item always meets the same
-value of the document. A question with other numbers or names is thus found, a chance template is not.
+values in its slots are paired, and the window stands only if each value of the item meets one value of the
+document throughout the window; every window is judged on its own. A question with other numbers or names is thus found, a chance template is not.
 Windows that hold too few plain words for that, and items too short for it, are found by their raw words.
 
 The item windows are broadcast in blocks of at most ``block_bytes`` of benchmark text, so the broadcast
@@ -168,26 +168,28 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
             pairs.setdefault((int(t["row"][i]), int(raw["item"][k]), i - there), []).append((i, there, int(raw["span"][k]), True))
     best: dict[tuple[int, int], list] = {}
     for (row, item, _), hits in pairs.items():
-        means: dict[tuple[int, bytes], bytes] = {}
         slots: dict[int, bool] = {}
-        good = True
+        stands = set()
         for i, there, size, same in hits:
+            means: dict[tuple[int, bytes], bytes] = {}
+            mine: dict[int, bool] = {}
+            good = True
             for k in range(size):
-                if same or there + k not in index["values"] or there + k in slots:
+                theirs = index["values"].get(there + k)
+                if theirs is None:
+                    continue
+                if same:
+                    mine[there + k] = False
                     continue
                 ours = bytes(data[t["start"][i + k] : t["end"][i + k]]).lower()
-                theirs = index["values"][there + k]
                 good &= means.setdefault((int(t["kind"][i + k]), theirs), ours) == ours
-                slots[there + k] = ours != theirs
-        stands = [x for x in hits if good or x[3]]
-        slots = slots if good else {}
-        for _, there, size, same in stands:
-            for k in range(there, there + size):
-                if same and k in index["values"]:
-                    slots.setdefault(k, False)
+                mine[there + k] = ours != theirs
+            if good:
+                stands.add(there)
+                slots |= mine
         if stands:
             x = best.setdefault((row, item), [set(), 0, 0])
-            x[0] |= {there for _, there, *_ in stands}
+            x[0] |= stands
             x[1], x[2] = max(x[1], len(slots)), max(x[2], sum(slots.values()))
     return [(r, i, len(x[0]), x[1], x[2], min(1.0, len(x[0]) / int(index["total"][i]))) for (r, i), x in best.items()]
 

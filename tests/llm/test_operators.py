@@ -200,6 +200,16 @@ def test_decontamination_finds_verbatim_copies(spark):
     assert set(out) == {(i, i) for i in items} and all(r.n_changed == 0 and r.coverage == 1 for r in out.values())
 
 
+def test_decontamination_judges_windows_apart(spark):
+    item = f"{prose(20, 501)} 7 {prose(20, 502)} 7 {prose(20, 503)}"
+    rows = [(1, item.replace(" 7 ", " 8 ", 1)), (2, item)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, f"{prose(5, 504)} 7 a b 7 {prose(6, 505)}")], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(out) == {(1, 1), (2, 1)} and out[1, 1].n_slots == 2 and out[1, 1].n_changed == 1 and out[1, 1].coverage == 1
+    clash = docs.limit(0).unionByName(spark.createDataFrame([(3, f"{prose(5, 504)} 8 a b 9 {prose(6, 505)}")], "doc_id long, text string"))
+    assert decontaminate.contaminated(clash, bench).count() == 0
+
+
 def test_packing_round_trip(corpus, nothing):
     from tokenizers import Tokenizer
 
