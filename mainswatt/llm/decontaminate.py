@@ -6,7 +6,8 @@ sentence become one name placeholder, all else is the lower-cased word. Windows
 tokens are hashed on both sides and hash-joined; where a window of a document equals one of an item, the
 values in its slots are paired, and the window stands only if each value of the item meets one value of the
 document throughout the window; every window is judged on its own. A question with other numbers or names is thus found, a chance template is not.
-Windows that hold too few plain words for that, and items too short for it, are found by their raw words.
+An item's first word, which opens a sentence there but not where a document quotes it after other words, is
+read both ways. Windows that hold too few plain words, and items too short, are found by their raw words.
 
 The item windows are broadcast in blocks of at most ``block_bytes`` of benchmark text, so the broadcast
 has a fixed bound and a large benchmark costs more passes over the documents. Matching is local to a
@@ -42,9 +43,10 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hash(prefix_hash(data), ends - [len(u) for u in UNITS], ends))
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def template(data: np.ndarray, offsets: np.ndarray, inside: bool = False) -> dict[str, np.ndarray]:
     """Template tokens of each row: hash, kind, row, the bytes they stand for (start, end) and the first of their raw tokens (lo).
 
+    The start of a row opens a sentence, unless the rows are read as if from ``inside`` one.
     Raw tokens are the lower-cased words and numbers; ``raw`` holds their hashes and ``raw_row`` their rows.
     """
     n = len(data)
@@ -75,7 +77,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         opens = ~same | np.r_[True, stops[start[1:]] > stops[end[:-1]]]
         capital = big[start] | ((data[start] == 0xC3) & np.r_[big[1:], False][start])
         second = np.minimum(start + 1 + (data[start] == 0xC3), n - 1)
-        name = (kinds == WORD) & capital & ~opens & (end - start > 1) & ~big[second]
+        name = (kinds == WORD) & capital & ~(opens & same if inside else opens) & (end - start > 1) & ~big[second]
         after = np.r_[False, kinds[:-1] == NUMBER] & same & ~opens
         units = _unit_hashes()
         at = np.minimum(np.searchsorted(units, hashes), len(units) - 1)
@@ -115,22 +117,37 @@ def item_index(items: list[tuple], window: int, literal: float) -> dict:
     count = np.bincount(t["row"], minlength=len(items))
     size_of = np.minimum(count, window)
     ends = np.r_[t["lo"], len(t["raw"])]
+    begin = np.searchsorted(t["row"], np.arange(len(items)))
     found, plain = [], []
     for size in sorted({int(s) for s in size_of if s}):
         h, at = template_windows(t, size, literal)
         keep = (size_of[t["row"][at]] == size) & (size >= SHORTEST)
         found.append((h[keep], at[keep], np.full(int(keep.sum()), size)))
         every = template_windows(t, size, 0)[1]
-        other = np.setdiff1d(every[size_of[t["row"][every]] == size], at[keep])
+        every = every[size_of[t["row"][every]] == size]
+        # The first word reads otherwise after other text, so its window is also found by raw words.
+        other = np.union1d(np.setdiff1d(every, at[keep]), every[every == begin[t["row"][every]]])
         length = ends[other + size] - ends[other]
         length = np.where(count[t["row"][other]] > window, np.minimum(length, window), length)
         plain += zip(other.tolist(), length.tolist(), [size] * len(other))
     values = {int(i): bytes(data[t["start"][i] : t["end"][i]]).lower() for i in np.flatnonzero(t["kind"] != WORD)}
+    # First windows of items whose first word is a name where a sentence goes on before it; their tokens follow the others.
+    u, n = template(data, offsets, inside=True), len(t["hash"])
+    first = np.flatnonzero(np.r_[True, u["row"][1:] != u["row"][:-1]]) if len(u["row"]) else np.zeros(0, np.int64)
+    first = first[u["kind"][first] == NAME]
+    short = np.minimum(np.bincount(u["row"], minlength=len(items)), window)[u["row"][first]]
+    for size in sorted({int(s) for s in short if s >= SHORTEST}):
+        h, at = template_windows(u, size, literal)
+        keep = np.isin(at, first[short == size])
+        found.append((h[keep], at[keep] + n, np.full(int(keep.sum()), size)))
+        values |= {int(i) + n: bytes(data[u["start"][i] : u["end"][i]]).lower() for f in at[keep] for i in range(f, f + size) if u["kind"][i] != WORD}
+    rows = np.r_[t["row"], u["row"]]
+    ordinal = np.r_[np.arange(n) - begin[t["row"]], np.zeros(len(u["row"]), np.int64)]
 
     def table(found: list[tuple], spans: list | None = None) -> dict:
         h, at, size = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(h, kind="stable")
-        return {"hash": h[order], "at": at[order], "item": t["row"][at[order]], "span": (size if spans is None else np.concatenate(spans) if spans else size)[order], "sizes": sorted({int(s) for s in size})}
+        return {"hash": h[order], "at": at[order], "item": rows[at[order]], "ordinal": ordinal[at[order]], "span": (size if spans is None else np.concatenate(spans) if spans else size)[order], "sizes": sorted({int(s) for s in size})}
 
     raw, spans = [], []
     for length in sorted({n for _, n, _ in plain}):
@@ -156,21 +173,21 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
     """(row, item, windows, slots, changed slots, coverage) for each row and item with a consistent match."""
     data, offsets = as_bytes(batch.column("text"))
     t = template(data, offsets)
-    pairs: dict[tuple[int, int, int], list[tuple[int, int, int, bool]]] = {}
+    pairs: dict[tuple[int, int, int], list[tuple[int, int, int, int, bool]]] = {}
     for size in index["sizes"]:
         for i, k in _hits(index, size, *template_windows(t, size, literal)):
             there = int(index["at"][k])
-            pairs.setdefault((int(t["row"][i]), int(index["item"][k]), i - there), []).append((i, there, size, False))
+            pairs.setdefault((int(t["row"][i]), int(index["item"][k]), i - there), []).append((i, there, int(index["ordinal"][k]), size, False))
     raw = index["raw"]
     for size in raw["sizes"]:
         for i, k in _hits(raw, size, *raw_windows(t, size)):
             i, there = int(np.searchsorted(t["lo"], i, "right")) - 1, int(raw["at"][k])
-            pairs.setdefault((int(t["row"][i]), int(raw["item"][k]), i - there), []).append((i, there, int(raw["span"][k]), True))
+            pairs.setdefault((int(t["row"][i]), int(raw["item"][k]), i - there), []).append((i, there, int(raw["ordinal"][k]), int(raw["span"][k]), True))
     best: dict[tuple[int, int], list] = {}
     for (row, item, _), hits in pairs.items():
         slots: dict[int, bool] = {}
         stands = set()
-        for i, there, size, same in hits:
+        for i, there, ordinal, size, same in hits:
             means: dict[tuple[int, bytes], bytes] = {}
             mine: dict[int, bool] = {}
             good = True
@@ -185,7 +202,7 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
                 good &= means.setdefault((int(t["kind"][i + k]), theirs), ours) == ours
                 mine[there + k] = ours != theirs
             if good:
-                stands.add(there)
+                stands.add(ordinal)
                 slots |= mine
         if stands:
             x = best.setdefault((row, item), [set(), 0, 0])

@@ -210,6 +210,14 @@ def test_decontamination_judges_windows_apart(spark):
     assert decontaminate.contaminated(clash, bench).count() == 0
 
 
+def test_decontamination_reads_first_words_both_ways(spark):
+    items = {1: "What is the sum of 3 apples and 4 pears", 2: "Which Paris museum is the oldest of the old town today", 3: "In the house of the old man we met"}
+    rows = [(1, f'Then he asked, "{items[1]}"'), (2, f"they asked of Bob, ({items[2]})"), (3, f"page 7 - {items[3]}"), (4, 'he asked, "' + items[1].replace("3", "5")), (5, items[1])]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(out) == {(1, 1), (2, 2), (3, 3), (4, 1), (5, 1)} and all(r.coverage == 1 for r in out.values())
+
+
 def test_packing_round_trip(corpus, nothing):
     from tokenizers import Tokenizer
 
