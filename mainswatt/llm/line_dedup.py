@@ -5,7 +5,8 @@ that holds each; a later document with a shared anchor is linked to that first h
 the lines and never with the square of a group (a line that a third of all documents hold costs one link a
 document). The rarer the line, the more telling the link: links carry the least document frequency of their
 anchors. Linked documents are aligned with patience diff (lines unique on both sides, longest increasing
-subsequence, equal neighbours, recursion between), and aligned common blocks that hold an anchor are deleted
+subsequence, equal neighbours, recursion between; the exact longest common subsequence of a range that has
+no such line), and aligned common blocks that hold an anchor are deleted
 from the later document.
 
 Anchors of which an occurrence still stands are then linked to further earlier holders in rounds: to the
@@ -19,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,45 @@ SALTS = (16, 64)
 """Shares that the holders of a line still standing are dealt to, by round: the least of each share, then all."""
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of ``b`` the bits that are 0 where the common subsequence with a prefix of ``a`` grows."""
+    at: dict[int, int] = {}
+    for i, h in enumerate(a):
+        at[h] = at.get(h, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for h in b:
+        hit = row & at.get(h, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``b`` and each prefix of ``a``."""
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.r_[0, np.cumsum(bits[: len(a)] == 0)]
+
+
+def lcs(a: list[int], b: list[int], bits: int = 1 << 28) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence; ranges of over ``bits`` comparisons are halved (Hirschberg)."""
+    if len(a) * len(b) > bits and len(a) > 1 and len(b) > 1:
+        half = len(b) // 2
+        cut = int(np.argmax(_lengths(a, b[:half]) + _lengths(a[::-1], b[half:][::-1])[::-1]))
+        return lcs(a[:cut], b[:half], bits) + [(i + cut, j + half) for i, j in lcs(a[cut:], b[half:], bits)]
+    rows = list(_rows(a, b))
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if rows[j] >> i & 1:
+            i -= 1
+        elif j and not rows[j - 1] >> i & 1:
+            j -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned common blocks (start in a, start in b, lines), in order."""
     pairs: list[tuple[int, int]] = []
@@ -63,6 +104,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             chain.append(common[x])
             x = back[x]
         if not chain:
+            ours, theirs = set(a[a0:a1]), set(b[b0:b1])
+            left = [i for i in range(a0, a1) if a[i] in theirs]
+            right = [j for j in range(b0, b1) if b[j] in ours]
+            pairs += [(left[i], right[j]) for i, j in lcs([a[i] for i in left], [b[j] for j in right])]
             continue
         pa_, pb = a0, b0
         for i, j in chain[::-1]:

@@ -56,6 +56,20 @@ def test_patience_blocks():
     assert line_dedup.patience([5, 1, 6], [6, 2, 5]) in ([(0, 2, 1)], [(2, 0, 1)])
 
 
+def test_patience_falls_back_to_lcs():
+    assert line_dedup.patience([7, 1, 2, 8], [5, 1, 2, 6, 1, 2, 4]) in ([(1, 1, 2)], [(1, 4, 2)])
+    rng = np.random.default_rng(3)
+    for bits in (1 << 28, 6):
+        for _ in range(200):
+            a, b = (rng.integers(0, 4, rng.integers(0, 12)).tolist() for _ in range(2))
+            best = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+            got = line_dedup.lcs(a, b, bits)
+            assert len(got) == best[-1, -1] and all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
 def test_line_dedup(corpus, nothing):
     out = {(r.doc_id, r.source): r for r in line_dedup.dedup_lines(corpus).collect()}
     assert out[(12, "s0")].n_removed == 1 and out[(12, "s0")].text == ""
