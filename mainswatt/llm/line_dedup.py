@@ -1,12 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Every line of at least ``min_words`` words is an anchor. Grouping anchors by hash tells the first document
+Every line of at least ``min_words`` words is an anchor; a shorter one makes an anchor with as many lines
+after it as complete ``min_words``, and where words are long a word is four characters. Grouping anchors by hash tells the first document
 that holds each; a later document with a shared anchor is linked to that first holder, so links grow with
 the lines and never with the square of a group (a line that a third of all documents hold costs one link a
 document). The rarer the line, the more telling the link: links carry the least document frequency of their
 anchors. Linked documents are aligned with patience diff (lines unique on both sides, longest increasing
 subsequence, equal neighbours, recursion between; the exact longest common subsequence of a range that has
-no such line), and aligned common blocks that hold an anchor are deleted
+no such line), and aligned common blocks of ``min_words`` or more are deleted
 from the later document.
 
 Anchors of which an occurrence still stands are then linked to further earlier holders in rounds: to the
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import _BASE, materialise, mix
 
 SALTS = (16, 64)
 """Shares that the holders of a line still standing are dealt to, by round: the least of each share, then all."""
@@ -125,19 +127,58 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
 
 
 def line_hashes(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the hash of each line (trailing white space aside), and which lines are anchors."""
+    """doc_id, the hash of each line (trailing white space aside; 0 where blank), and its length in words.
+
+    Lines whose words are long on average (scripts without spaces) have a word for every four characters.
+    """
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.rtrim(x))
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    telling = F.transform("lines", lambda x: F.size(F.filter(F.split(F.trim(x), " "), lambda w: w != "")) >= min_words)
-    return rows.select("doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), telling.alias("telling"))
+    bare = F.transform("lines", lambda x: F.trim(F.translate(x, "\t\u00a0\u3000", "   ")))
+    counted = F.transform(bare, lambda x: F.struct(F.length(x).alias("n"), F.size(F.filter(F.split(x, " "), lambda w: w != "")).alias("words")))
+    size = F.transform(counted, lambda z: F.when(z["n"] > 12 * z["words"], F.greatest(z["words"], (z["n"] / 4).cast("int"))).otherwise(z["words"]))
+    rows = rows.withColumn("words", size)
+    return rows.select("doc_id", F.transform(F.arrays_zip("lines", "words"), lambda z: F.when(z["words"] > 0, F.xxhash64(z["lines"])).otherwise(0)).alias("hashes"), "words")
 
 
-def anchors_of(gone: Column | None = None) -> Column:
-    """Hashes of the anchors of a row of :func:`line_hashes`, those at the positions ``gone`` aside."""
-    lines = F.arrays_zip("hashes", "telling")
-    if gone is not None:
-        lines = F.when(gone.isNull(), lines).otherwise(F.filter(lines, lambda z, i: ~F.array_contains(gone, i)))
-    return F.array_distinct(F.transform(F.filter(lines, lambda z: z["telling"]), lambda z: z["hashes"]))
+def anchors_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, and h and lines of each anchor: a run of lines, blank ones aside, that just reaches ``min_words``."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, hashes = (batch.column(c).flatten().to_numpy() for c in ("words", "hashes"))
+            count = pc.list_value_length(batch.column("words")).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            full = np.flatnonzero(words > 0)
+            row, place, words, hashes = row[full], place[full], words[full], hashes[full].view(np.uint64)
+            total = np.r_[0, np.cumsum(words)]
+            last = np.searchsorted(total, total[:-1] + min_words) - 1
+            ok = np.flatnonzero((last < len(row)) & (row[np.minimum(last, len(row) - 1)] == row))
+            last, h = last[ok], hashes[ok].copy()
+            with np.errstate(over="ignore"):
+                for k in range(1, int((last - ok).max(initial=0)) + 1):
+                    more = ok + k <= last
+                    h[more] = mix(h[more] * np.uint64(_BASE) + hashes[ok[more] + k])
+            size = last - ok + 1
+            edge = np.r_[0, np.cumsum(size)]
+            held = place[np.repeat(ok - edge[:-1], size) + np.arange(edge[-1])].astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(row[ok])), "h": pa.array(h.view(np.int64)), "at": pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(held))})
+
+    return rows.mapInArrow(find, f"doc_id {kind}, h long, at array<int>")
+
+
+def telling(blocks: list[tuple[int, int, int]], a: list[int], b: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """The blocks that have ``least`` words of ``b``, together with those that only blank lines part from them."""
+    out: list[tuple[int, int, int]] = []
+    run: list[tuple[int, int, int]] = []
+    for x in [*blocks, None]:
+        if run and (x is None or any(a[run[-1][0] + run[-1][2] : x[0]]) or any(b[run[-1][1] + run[-1][2] : x[1]])):
+            if sum(sum(words[j : j + n]) for _, j, n in run) >= least:
+                out += run
+            run = []
+        run.append(x)
+    return out
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
@@ -155,8 +196,8 @@ def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_c
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 kept, lines, count = [], [], []
-                for i, (a, b, t) in enumerate(zip(*(part.column(c).to_pylist() for c in "abt"))):
-                    blocks = [x for x in patience(a, b) if any(t[x[1] : x[1] + x[2]])]
+                for i, (a, b, w) in enumerate(zip(*(part.column(c).to_pylist() for c in "abw"))):
+                    blocks = telling(patience(a, b), a, b, w, min_words)
                     if blocks:
                         kept.append(i), count.append(len(blocks))
                         lines.append([j for _, s, n in blocks for j in range(s, s + n)])
@@ -164,23 +205,24 @@ def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_c
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(kept)), "gone": pa.array(lines, pa.list_(pa.int32())), "blocks": pa.array(count, pa.int64()), "rarest": part.column("rarest").take(pa.array(kept))})
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("telling").alias("t"))
+        later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("words").alias("w"))
         earlier = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-        both = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "t", "rarest")
+        both = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "w", "rarest")
         return materialise(both.mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long, rarest long"))
 
     def merged(found: DataFrame) -> DataFrame:
         by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("rarest", "gone"))), lambda x: x["gone"])
         return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(by_rarity))).alias("gone"), F.sum("blocks").alias("blocks"))
 
-    anchors = rows.select("doc_id", F.explode(anchors_of()).alias("h")).distinct()
+    runs = materialise(anchors_of(rows, min_words))
+    anchors = runs.select("doc_id", "h").distinct()
     lines = materialise(anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.count("*").alias("df")).filter("first < final").drop("final"))
     held = materialise(anchors.join(lines, "h"))
 
     def undone(found: DataFrame, last: DataFrame) -> DataFrame:
-        """The rows (doc_id, h) of ``last`` of which an occurrence stands."""
-        some = rows.join(last.select("doc_id").distinct(), "doc_id", "left_semi").join(merged(found).select("doc_id", "gone"), "doc_id", "left")
-        return last.join(some.select("doc_id", F.explode(anchors_of(F.col("gone"))).alias("h")).distinct(), ["doc_id", "h"], "left_semi")
+        """The rows (doc_id, h) of ``last`` of which a line stands."""
+        met = runs.join(last, ["doc_id", "h"]).join(merged(found).select("doc_id", "gone"), "doc_id", "left")
+        return met.filter(F.col("gone").isNull() | (F.size(F.array_except("at", "gone")) > 0)).select("doc_id", "h", "df").distinct()
 
     found = aligned(pairs_of(held))
     # A line that two documents hold has no other holder before the later one.
@@ -205,7 +247,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
 
     The earlier of two documents is that of the smaller id; n_blocks counts the blocks of all alignments made. Null texts count as empty and stay null; documents
     with a null id stay as they are. Rows that repeat an id are one document (of equal text) to the alignment
-    and are each edited alike. Lines of fewer than ``min_words`` words go only inside a block with a longer one.
+    and are each edited alike. Lines of fewer than ``min_words`` words go only inside a block that has as many.
     An empty table gives no rows. Input columns named like an output column are replaced.
     """
     gone = removals(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone"), F.col("blocks").alias("__blocks"))
