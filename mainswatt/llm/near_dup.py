@@ -1,9 +1,9 @@
 """Near-duplicate join on word shingles by chosen paths.
 
-Documents are sets of shingles of ``shingle`` words; a set is represented by ``TOKENS`` min-hash values, so
-that two sets share each token with their Jaccard similarity as probability. A run splits all sets by a
-recursion: at each node a token position is drawn from the node's path, and the node's sets part by their
-token there. After ``depth`` levels the sets of a node form a bucket, which is compared by brute force. A
+Documents are sets of shingles of ``shingle`` words; a token of a set is a min-hash value, so that two sets
+share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: at each
+node the sets part by their token of that level. Each run draws ``depth`` tokens of its own, so runs are
+independent; ``TOKENS`` further ones make the sketch. After ``depth`` levels the sets of a node form a bucket, which is compared by brute force. A
 pair at the threshold stays together with probability threshold ** depth, so runs are repeated until the
 chance of meeting reaches ``recall``. Depth follows the number of documents so that even a third of all
 rows, sharing a third of their tokens (a passage everybody quotes), falls apart into buckets of a bounded
@@ -46,35 +46,42 @@ def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.
     return value, row[at], key
 
 
-def tokens_of(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(value: np.ndarray, row: np.ndarray, count: int = TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """Rows that have shingles, and their min-hash tokens."""
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-    out = np.empty((len(first), TOKENS), np.uint32)
-    seeds = mix(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64))
+    out = np.empty((len(first), count), np.uint32)
+    seeds = mix(np.arange(1, 2 * count + 1, dtype=np.uint64))
     if len(first):
         with np.errstate(over="ignore"):
-            for k in range(TOKENS):
+            for k in range(count):
                 out[:, k] = np.minimum.reduceat(((value ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1))) >> np.uint64(32), first)
     return row[first], out
 
 
 def paths_of(tokens: np.ndarray, runs: int, depth: int) -> np.ndarray:
-    """The leaf that each set reaches in each run."""
-    out, at = np.empty((len(tokens), runs), np.uint64), np.arange(len(tokens))
+    """The leaf that each set reaches in each run; ``tokens`` holds ``depth`` for each run."""
+    out = np.empty((len(tokens), runs), np.uint64)
     with np.errstate(over="ignore"):
         for r in range(runs):
             path = np.full(len(tokens), r + 1, np.uint64)
             for level in range(depth):
-                position = (mix(path + np.uint64(level << 8)) % np.uint64(TOKENS)).astype(np.int64)
-                path = mix(path * np.uint64(_BASE) + tokens[at, position].astype(np.uint64))
+                path = mix(path * np.uint64(_BASE) + tokens[:, r * depth + level].astype(np.uint64))
             out[:, r] = path
     return out
 
 
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Depth and runs for ``n`` documents."""
+    """Depth and runs for ``n`` documents; a tenth of the loss is left to :func:`least_share`."""
     depth = max(4, math.ceil(math.log(max(n / 3 / BUCKET, 1), 3)))
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    return depth, math.ceil(math.log(0.9 * (1 - recall)) / math.log(1 - threshold**depth))
+
+
+def least_share(threshold: float, recall: float) -> float:
+    """The greatest share of equal tokens, under ``threshold`` - 0.2, that a pair at the threshold falls short of by a tenth of the loss at most."""
+    below, k = 0.0, 0
+    while k < (threshold - 0.2) * TOKENS and (below := below + math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)) <= (1 - recall) / 10:
+        k += 1
+    return k / TOKENS
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -218,9 +225,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
         for whole in batches:
             for batch in chunks(whole, "text"):
                 value, row, key = sets_of(batch.column("text"), shingle)
-                have, tokens = tokens_of(value, row)
-                paths = signed(paths_of(tokens, runs, depth))
-                sketch = (tokens & 255).astype(np.uint8)
+                have, tokens = tokens_of(value, row, TOKENS + runs * depth)
+                paths = signed(paths_of(tokens[:, TOKENS:], runs, depth))
+                sketch = (tokens[:, :TOKENS] & 255).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
                     "doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])),
                     "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "paths": pa.array(list(paths), pa.list_(pa.int64())),
@@ -233,7 +240,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
     leaves = reps.select("doc", F.explode("paths").alias("path"))
     crowded = leaves.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
     members = leaves.join(crowded, "path").join(reps.select("doc", "sketch"), "doc")
-    guess = threshold - 0.2
+    guess = least_share(threshold, recall)
     tasks = _blocks(members, "bucket", "size").select("path", "lo", "hi", "block", "doc", "sketch")
     edges = tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long")
     groups = materialise(components(edges))

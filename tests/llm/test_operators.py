@@ -185,6 +185,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: got[i].n_links for i in reps} == links
 
 
+def test_near_duplicate_runs_reach_recall():
+    depth, runs = near_dup.plan(15_000_000, 0.8, 0.9999)
+    rng, pairs = np.random.default_rng(6), 4000
+    shared, own = rng.integers(0, 1 << 63, (pairs, 1, 80), np.uint64), rng.integers(0, 1 << 63, (pairs, 2, 10), np.uint64)
+    value = np.concatenate([np.repeat(shared, 2, axis=1), own], axis=2).reshape(-1)
+    _, tokens = near_dup.tokens_of(value, np.repeat(np.arange(2 * pairs), 90), near_dup.TOKENS + runs * depth)
+    paths = near_dup.paths_of(tokens[:, near_dup.TOKENS :], runs, depth)
+    same = (tokens[::2, : near_dup.TOKENS] == tokens[1::2, : near_dup.TOKENS]).sum(axis=1) >= near_dup.least_share(0.8, 0.9999) * near_dup.TOKENS
+    assert depth == 8 and ((paths[::2] == paths[1::2]).any(axis=1) & same).sum() >= pairs - 4
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 3)], "a long, b long")
     assert {(r.node, r.root) for r in components.components(edges).collect()} == {(2, 1), (3, 1), (9, 1), (5, 4)}
