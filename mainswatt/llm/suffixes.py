@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialise, mix, powers, prefix_hash, span_hash
+from ..sources.shared import materialise
+from .common import as_bytes, chunks, mix, powers, prefix_hash, span_hash
 
 KGRAM = 20
 UNIT = 2 << 20
@@ -46,6 +47,8 @@ def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     Two-stage sorting: suffixes smaller than their successors directly, the others by induction.
     """
     n = len(t)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     padded = np.r_[t, np.zeros(depth + 16, np.uint8)]
     word = np.zeros(n + depth + 8, np.uint64)
     for j in range(8):
@@ -152,7 +155,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
             pieces = (n - 1) // _RUN + 1
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             first, n = np.repeat(first, pieces) + nth * _RUN, np.minimum(np.repeat(n, pieces) - nth * _RUN, _RUN)
-        starts.append(first + lo), counts.append(n), values.append(h[first])
+        starts.append(first + lo), counts.append(n), values.append(mix(h[first]))  # minima are small; mixed, they spread evenly
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(values)
