@@ -10,8 +10,8 @@ from ..sources.power import KEY, by_idx
 
 
 def shifted(name: str, n: int) -> Column:
-    """The value ``n`` rows before (n > 0) or after (n < 0)."""
-    return F.lag(name, n).over(by_idx()) if n > 0 else F.lead(name, -n).over(by_idx())
+    """The value ``n`` rows before (n > 0) or after (n < 0), null beyond the ends."""
+    return F.lag(name, n).over(by_idx())
 
 
 def minmax_scale(df: DataFrame, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ def cells(edges: DataFrame, main: str, sub: str, n: int, size: int) -> DataFrame
     out = edges
     for axis, name in (("x_division", main), ("y_division", sub)):
         held = walls(edges, name, n).groupBy(*KEY).agg(F.collect_list("wall").alias("held"))  # at most n
-        out = out.join(F.broadcast(held), list(KEY), "left")
+        out = out.join(held, list(KEY), "left")
         out = out.withColumn(axis, F.coalesce(F.size(F.filter("held", lambda v: v <= F.col(name))), F.lit(0))).drop("held")
     count = F.count("*").over(Window.partitionBy(*KEY, "x_division", "y_division"))
     return out.withColumn("cell", count).filter(F.col("cell") >= size).drop("cell")

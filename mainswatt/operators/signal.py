@@ -114,34 +114,42 @@ def run_rows(samples: DataFrame, main: str = "active", sub: str = "reactive") ->
 
 
 def _signed(edges: DataFrame, main: str, sub: str) -> DataFrame:
-    """Heights in the sign of the signal that was asked for; slopes stay as measured."""
-    if main.startswith("-"):
-        edges = edges.withColumns({c: -F.col(c) for c in ("h1", "h2", "delta")})
-    if sub.startswith("-"):
-        edges = edges.withColumn("sub_delta", -F.col("sub_delta"))
-    return edges.drop("sub_delta") if main.lstrip("-") == sub.lstrip("-") else edges
+    """Heights in the sign of the signal that was asked for; slopes stay as measured. One signal for both leaves no sub columns."""
+    for kind, names in ((main, ("h1", "h2", "delta", "org_h2")), (sub, ("sub_delta", "org_sub_delta"))):
+        if kind.startswith("-"):
+            edges = edges.withColumns({c: -F.col(c) for c in names if c in edges.columns})
+    return edges.drop("sub_delta", "org_sub_delta") if main == sub else edges
 
 
-def falling_edges(samples: DataFrame, main: str = "active", sub: str = "reactive") -> DataFrame:
-    return _signed(_edges(run_rows(samples, main, sub), FALLING, True), main, sub)
+def falling_edges(samples: DataFrame, main: str = "active", sub: str = "reactive", windows: int = 0, zero_sub: bool = False, consistent: bool = True) -> DataFrame:
+    """Falling edges; with ``windows``, averaged with neighbour windows and, if ``consistent``, without those flagged 0."""
+    return _driven(samples, _edges(run_rows(samples, main, sub), FALLING, True), main, sub, windows, zero_sub, consistent)
 
 
-def rising_edges(samples: DataFrame, main: str = "active", sub: str = "reactive") -> DataFrame:
-    """Long patterns first; the short ones only at runs where none of the long ones begins."""
-    return _signed(_edges(run_rows(samples, main, sub), RISING + FALLBACK, False), main, sub)
+def rising_edges(samples: DataFrame, main: str = "active", sub: str = "reactive", windows: int = 0, zero_sub: bool = False, consistent: bool = True) -> DataFrame:
+    """Long patterns first; the short ones only at runs where none of the long ones begins. Windows as for falling edges."""
+    return _driven(samples, _edges(run_rows(samples, main, sub), RISING + FALLBACK, False), main, sub, windows, zero_sub, consistent)
 
 
-def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_sub: bool = False) -> DataFrame:
-    """Edges with ``flag`` and heights averaged with ``windows`` neighbour windows on either side.
+def _driven(samples: DataFrame, edges: DataFrame, main: str, sub: str, windows: int, zero_sub: bool, consistent: bool) -> DataFrame:
+    if windows:
+        edges = consistent_edges(samples, edges, windows, zero_sub, main, sub)
+        edges = edges.filter("flag = 1") if consistent else edges
+    return _signed(edges, main, sub)
 
-    Edges too near an end of the channel go. Window means are differences of prefix sums, looked up by index.
+
+def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_sub: bool = False, main: str = "active", sub: str = "reactive") -> DataFrame:
+    """Edges (heights as measured on ``main`` and ``sub``) with ``flag`` and heights averaged with ``windows`` neighbour windows on either side.
+
+    Edges too near an end of the channel go. With ``zero_sub`` the windows' sub signal counts as zero and its sign
+    flags nothing. Window means are differences of prefix sums, looked up by index.
     """
     w = by_idx().rowsBetween(Window.unboundedPreceding, 0)
-    sums = with_signal(samples).select(*KEY, "idx", F.sum("v").over(w).alias("sv"), F.sum("s").over(w).alias("ss"), F.count("*").over(Window.partitionBy(*KEY)).alias("n"))
+    sums = with_signal(samples, main, sub).select(*KEY, "idx", F.sum("v").over(w).alias("sv"), F.sum("s").over(w).alias("ss"))
     size = F.col("pattern_size")
     out = edges.withColumns({"c_delta": F.lit(0.0), "c_sub": F.lit(0.0), "flag": F.lit(1)})
-    ends = sums.groupBy(*KEY).agg(F.max("n").alias("n"))
-    out = out.join(F.broadcast(ends), list(KEY)).filter((F.col("start_idx") > windows * size) & (F.col("end_idx") < F.col("n") - windows * size))
+    ends = samples.groupBy(*KEY).agg(F.max("idx").alias("n"))
+    out = out.join(ends, list(KEY)).filter((F.col("start_idx") > windows * size) & (F.col("end_idx") < F.col("n") - windows * size))
     for c in range(1, windows + 1):
         spots = {"r1": F.col("end_idx") + size * c + 1, "r0": F.col("end_idx") + size * (c - 1) + 1, "l1": F.col("start_idx") - size * (c - 1) - 1, "l0": F.col("start_idx") - size * c - 1}
         for k, at in spots.items():
@@ -149,7 +157,7 @@ def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_su
             out = out.withColumn(f"i_{k}", at).join(look, [*KEY, f"i_{k}"], "left")
         zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
         dv = (zero("v_r1") - zero("v_r0")) / size - (zero("v_l1") - zero("v_l0")) / size
-        ds = (zero("s_r1") - zero("s_r0")) / size - (zero("s_l1") - zero("s_l0")) / size
+        ds = F.lit(0.0) if zero_sub else (zero("s_r1") - zero("s_r0")) / size - (zero("s_l1") - zero("s_l0")) / size
         out = out.withColumns({"flag": F.when((dv > 0) & (ds > 0), 0).otherwise(F.col("flag")), "c_delta": F.col("c_delta") + dv, "c_sub": F.col("c_sub") + ds}).drop(*[f"{p}_{k}" for p in "ivs" for k in spots])
     wrong = F.col("h2") > 0
     if not zero_sub:
@@ -157,5 +165,5 @@ def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_su
     mean = lambda name, part: (F.col(name) + F.col(part)) / (windows + 1)
     return out.withColumns({
         "flag": F.when(wrong, 0).otherwise(F.col("flag")), "org_h2": F.col("h2"), "org_sub_delta": F.col("sub_delta"),
-        "h2": mean("h2", "c_delta"), "delta": mean("delta", "c_delta"), "sub_delta": F.lit(0.0) if zero_sub else mean("sub_delta", "c_sub"),
+        "h2": mean("h2", "c_delta"), "delta": mean("delta", "c_delta"), "sub_delta": mean("sub_delta", "c_sub"),
     }).drop("c_delta", "c_sub", "n")

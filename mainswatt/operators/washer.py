@@ -133,7 +133,7 @@ def starts(voted: DataFrame, p: Washer = Washer()) -> DataFrame:
 def cycles(begun: DataFrame, samples: DataFrame, p: Washer = Washer()) -> DataFrame:
     """start_idx, end_idx of cycles that end within the channel."""
     size = samples.groupBy(*KEY).agg(F.max("idx").alias("n"))
-    return begun.withColumn("end_idx", F.col("start_idx") + p.end_delay * p.fs).join(F.broadcast(size), list(KEY)).filter("end_idx <= n").drop("n")
+    return begun.withColumn("end_idx", F.col("start_idx") + p.end_delay * p.fs).join(size, list(KEY)).filter("end_idx <= n").drop("n")
 
 
 def calendar(begun: DataFrame, samples: DataFrame) -> DataFrame:
@@ -168,11 +168,24 @@ def channel_sum(usage: DataFrame) -> DataFrame:
     return usage.groupBy("site", "us").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def contingency(samples: DataFrame, size: int) -> DataFrame:
-    """Counts of rising and falling rows by segment."""
-    sign = F.when(F.col("active_power") - F.lag("active_power").over(Window.partitionBy(*KEY).orderBy("idx")) > 0, 1).otherwise(-1)
-    rows = samples.withColumns({"segment": (F.floor((F.col("idx") - 1) / size) + 1).cast("long"), "sign": sign})
-    return rows.groupBy(*KEY, "segment").agg(F.count_if(F.col("sign") == 1).alias("up"), F.count_if(F.col("sign") == -1).alias("down"))
+def contingency(rows: DataFrame, name: str, size: int, most_zeros: int = 500) -> DataFrame:
+    """Signs of a centred column in each segment of ``size`` rows and the next: segment, neg_1, pos_1, neg_2, pos_2.
+
+    Values of zero or less count as negative. Where either segment has more than ``most_zeros`` zeros all counts are 0.
+    """
+    x = F.col(name)
+    each = rows.withColumn("segment", (F.floor((F.col("idx") - 1) / size) + 1).cast("long"))
+    each = each.groupBy(*KEY, "segment").agg(F.count_if(x <= 0).alias("neg"), F.count_if(x > 0).alias("pos"), F.count_if(x == 0).alias("zero"))
+    w = Window.partitionBy(*KEY).orderBy("segment")
+    both = each.withColumns({f"{c}_2": F.lead(c).over(w) for c in ("neg", "pos", "zero")}).filter("neg_2 is not null")
+    flat = F.greatest("zero", "zero_2") > most_zeros
+    count = lambda c: F.when(flat, 0).otherwise(F.col(c)).cast("long")
+    return both.select(*KEY, "segment", count("neg").alias("neg_1"), count("pos").alias("pos_1"), count("neg_2").alias("neg_2"), count("pos_2").alias("pos_2"))
+
+
+def peaks(tables: DataFrame, least: int) -> DataFrame:
+    """``two_peaks``: whether both signs occur more than ``least`` times in both segments."""
+    return tables.withColumn("two_peaks", F.least("neg_1", "neg_2", "pos_1", "pos_2") > least)
 
 
 def reliability(samples: DataFrame, cyc: DataFrame, p: Washer = Washer()) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# What a model says of itself.
+META_VERSION = "0.1.0"
+SHAPE_TYPE = "ricecooker_pattern_scan"
+
 
 @dataclass(frozen=True)
 class Rice:

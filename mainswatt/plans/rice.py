@@ -12,13 +12,18 @@ from pyspark.sql.window import Window
 
 from ..operators import annihilation, energy, groups, lumps
 from ..operators.signal import falling_edges
-from ..params import Rice
+from ..params import META_VERSION, SHAPE_TYPE, Rice
 from ..sources.power import KEY, second_grid
 from ..sources.shared import materialise
 
 CAND = (*KEY, "cand_rank", "db_time")
 
 
+def clock(t: Column) -> Column:
+    """A time as text, to the second."""
+    return F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+
+
 def best_channel(metas: DataFrame) -> DataFrame:
     """The better channel of each site: cooking, then warm, then the larger metric, then the lower channel."""
     order = Window.partitionBy("site").orderBy(F.desc("cook"), F.desc("warm"), F.desc("metric"), "channel")
@@ -74,7 +79,7 @@ def _warm_annihilated(samples: DataFrame, edges: DataFrame, cook_lumps: DataFram
     count = spans.groupBy(*KEY).agg(F.count("*").alias("n_lumps")).filter(F.col("n_lumps") >= p.ann_lumps)
     small = lumps.watt_band(edges, p.ann_min_watt, p.ann_max_watt, closed=False)
     tagged = annihilation.tag_particles(small, spans.join(count, list(KEY)).drop("n_lumps"), p.ann_span)
-    found = annihilation.annihilation_edges(tagged, small, count, p.search_iter, p.ann_lump_size, p.ann_prob, p.ann_max_gap, p.med_sec_min, p.med_sec_max, p.ann_coverage, p.ann_lump_size)
+    found = annihilation.annihilation_edges(tagged, small, count, p.search_iter, p.eff_size, p.ann_prob, p.ann_max_gap, p.med_sec_min, p.med_sec_max, p.ann_coverage, p.ann_lump_size)
     held = lumps.big_enough(lumps.sessionise(lumps.except_edges(found, cook_lumps), p.lump_gap), p.ann_lump_size)
     shape = held.groupBy(*KEY).agg(F.count("*").alias("samples"), F.countDistinct("lump_idx").alias("lumps"), F.min("h2").alias("min_h2"), F.max("h2").alias("max_h2"), F.min("sub_delta").alias("min_sub"), F.max("sub_delta").alias("max_sub"))
     use = energy.warm_energy(energy.warm_slots(samples, held, p.hz, p.ap_ignore))
@@ -102,7 +107,7 @@ def train_channels(samples: DataFrame, p: Rice = Rice()) -> DataFrame:
 
 
 def train(samples: DataFrame, p: Rice = Rice(), prior: DataFrame | None = None) -> DataFrame:
-    """One model a site: meta_version, shape_type, data used, flags, cook and warm parts, parameters, reliability.
+    """One model a site: meta_version, shape_type, generation info, flags, cook and warm parts, parameters, reliability.
 
     A site where nothing is found keeps its ``prior`` model, channel included.
     """
@@ -110,8 +115,8 @@ def train(samples: DataFrame, p: Rice = Rice(), prior: DataFrame | None = None)
     metas = best_channel(metas.withColumn("metric", F.coalesce("cook_info.min_flucs_proper_lump", "warm_info.lumps")))
     parameter = F.struct(*[F.lit(float(getattr(p, k))).alias(k) for k in ("hz", "eff_size", "periodicity", "search_iter", "quantile_prob", "min_watt", "max_watt", "med_sec_min", "med_sec_max", "db_tolerance", "lump_gap", "proper_cook_time", "min_cook_on", "ann_lump_size")])
     out = metas.select(
-        *KEY, F.lit("0.1.0").alias("meta_version"), F.lit("ricecooker_pattern_scan").alias("shape_type"),
-        F.struct(F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), F.lit(10).alias("sampling")).alias("data_used"),
+        *KEY, F.lit(META_VERSION).alias("meta_version"), F.lit(SHAPE_TYPE).alias("shape_type"),
+        F.struct(F.struct(clock(F.timestamp_micros("start_us")).alias("start"), clock(F.timestamp_micros("end_us")).alias("end"), F.lit(int(p.hz)).alias("sampling")).alias("data_used"), clock(F.current_timestamp()).alias("computed")).alias("generation_info"),
         F.struct(F.col("cook").alias("Cook"), F.col("warm").alias("Warm")).alias("general_info"), "cook_info", "warm_info", parameter.alias("parameter"),
         F.array(*map(F.lit, p.db_times)).alias("db_times"), (0.2 + F.when(F.col("cook"), 0.4).otherwise(0.0) + F.when(F.col("warm"), 0.2).otherwise(0.0)).alias("reliability"),
     )
@@ -124,18 +129,28 @@ def _part(meta: DataFrame, part: str) -> DataFrame:
     return meta.filter(F.col(f"general_info.{part.title()}")).select(*KEY, f"{part}_info.*")
 
 
+def _cooking(chosen: DataFrame, edges: DataFrame, cook: DataFrame, p: Rice) -> tuple[DataFrame, DataFrame]:
+    """Edges of the cook lumps, and one row a lump: its extent, whether it is proper, its energy and the model's usage."""
+    near = lumps.envelope(edges, cook.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), p.ap_margin, p.rp_margin)
+    cook_lumps = materialise(lumps.big_enough(lumps.sessionise(_at_period(near, cook, p), p.lump_gap), p.eff_size))
+    spans = cook_lumps.groupBy(*KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
+    e = energy.cook_energy(chosen, cook_lumps, p.hz, p.proper_cook_time, p.min_cook_on).groupBy(*KEY, "lump_idx").agg(F.bool_or(F.col("sec_on") >= p.min_cook_on).alias("proper"), F.median("sec_on").alias("own_sec"), F.median("ap_on").alias("own_ap"))
+    return cook_lumps, spans.join(e, [*KEY, "lump_idx"]).join(cook.select(*KEY, "usage_start_time", "usage_end_time", "usage_wh_on"), list(KEY))
+
+
 def predict(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
     """site, sec, p, q: the rice cooker's power at every second; zero for a site without a model."""
+    return predict_all(samples, meta, p)[0]
+
+
+def predict_all(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> tuple[DataFrame, DataFrame]:
+    """Usage (site, sec, p, q) and its summary (site, confidence, count of proper cook lumps, sampling_rate)."""
     grid, meta = second_grid(samples), materialise(meta)
     chosen = samples.join(meta.select(*KEY), list(KEY), "left_semi")
     edges = materialise(falling_edges(chosen))
     cook, warm = _part(meta, "cook"), _part(meta, "warm")
-    near = lumps.envelope(edges, cook.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), p.ap_margin, p.rp_margin)
-    timed = _at_period(near, cook, p)
-    cook_lumps = materialise(lumps.big_enough(lumps.sessionise(timed, p.lump_gap), p.eff_size))
-    spans = cook_lumps.groupBy(*KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
-    e = energy.cook_energy(chosen, cook_lumps, p.hz, p.proper_cook_time, p.min_cook_on).groupBy(*KEY, "lump_idx").agg(F.bool_or(F.col("sec_on") >= p.min_cook_on).alias("proper"), F.median("sec_on").alias("own_sec"), F.median("ap_on").alias("own_ap"))
-    shaped = spans.join(e, [*KEY, "lump_idx"]).join(cook.select(*KEY, "usage_start_time", "usage_end_time", "usage_wh_on"), list(KEY))
+    cook_lumps, shaped = _cooking(chosen, edges, cook, p)
+    shaped = materialise(shaped)
     major = painted(shaped.filter("proper"), F.col("usage_start_time"), F.col("usage_end_time")).join(cook, list(KEY))
     major = major.select("site", "sec", (-F.col("usage_wh_on") * 3600 / (F.col("usage_start_time") + F.col("usage_end_time"))).alias("p"))
     minor = shaped.filter("not proper")
@@ -148,7 +163,10 @@ def predict(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
     paint = paint.filter(length > 0).select(*KEY, "usage_watt", F.explode(F.sequence(first, first + length - 1)).alias("sec")).distinct()
     paint = paint.select("site", "sec", (F.col("usage_watt") * p.power_adjust).alias("p"))
     total = major.unionByName(minor).unionByName(paint).groupBy("site", "sec").agg(F.sum("p").alias("p"))
-    return grid.join(total, ["site", "sec"], "left").select("site", "sec", F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(0.0).alias("q"))
+    usage = grid.join(total, ["site", "sec"], "left").select("site", "sec", F.coalesce("p", F.lit(0.0)).alias("p"), F.lit(0.0).alias("q"))
+    count = shaped.filter("proper").groupBy("site").agg(F.count("*").alias("count"))
+    known = samples.select("site").distinct().join(meta.select("site", "reliability"), "site", "left").join(count, "site", "left")
+    return usage, known.select("site", F.coalesce("reliability", F.lit(0.0)).alias("confidence"), F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.lit(1.0).alias("sampling_rate"))
 
 
 def _at_period(edges: DataFrame, part: DataFrame, p: Rice) -> DataFrame:
@@ -158,16 +176,20 @@ def _at_period(edges: DataFrame, part: DataFrame, p: Rice) -> DataFrame:
 
 
 def _warm_edges(edges: DataFrame, warm: DataFrame, cook_lumps: DataFrame, p: Rice) -> DataFrame:
-    """Warm edges: in the envelope, at the period (long type) or all (annihilated type), in lumps, extended within them, less cook edges."""
+    """Warm edges: in the envelope, at the period (long type) or all (annihilated type), in lumps, extended within them, less cook edges.
+
+    The extension takes, within the bounds of the edges found so far, the group with most edges, and of it those
+    inside the lumps' extents.
+    """
     inside = lumps.envelope(edges, warm.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), 0.0, 0.0)
     kind = lambda t: warm.filter(F.col("type") == t).select(*KEY)
     periodic = _at_period(inside.join(kind(0), list(KEY), "left_semi"), warm, p)
     held = materialise(lumps.big_enough(lumps.sessionise(periodic, p.lump_gap), p.eff_size).unionByName(lumps.big_enough(lumps.sessionise(inside.join(kind(1), list(KEY), "left_semi"), p.lump_gap), p.ann_lump_size)))
+    bounds = held.groupBy(*KEY).agg(F.min("h2").alias("min_h2"), F.max("h2").alias("max_h2"), F.min("sub_delta").alias("min_sub"), F.max("sub_delta").alias("max_sub"))
     group = groups.detect_groups(lumps.watt_band(edges, p.min_watt, p.max_watt), p.search_iter, p.eff_size, p.periodicity, p.quantile_prob, p.med_sec_min, p.med_sec_max)
-    near = lumps.envelope(lumps.within_extents(group, lumps.extents(held)), warm.select(*KEY, "min_h2", "max_h2", "min_sub", "max_sub"), 1e18, 1e18)
-    near = near.join(warm.select(*KEY, F.col("min_h2").alias("a"), F.col("max_h2").alias("z")), list(KEY)).filter(F.col("h2").between(F.col("a"), F.col("z")))
+    near = materialise(lumps.envelope(group, bounds, 0.0, 0.0))
     rank = near.groupBy(*KEY, "group_id").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("n"), "group_id"))).filter("r = 1")
-    more = near.join(rank.select(*KEY, "group_id"), [*KEY, "group_id"], "left_semi")
+    more = lumps.within_extents(near.join(rank.select(*KEY, "group_id"), [*KEY, "group_id"], "left_semi"), lumps.extents(held))
     columns = [*KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta"]
     every = held.select(*columns).withColumn("o", F.lit(0)).unionByName(more.select(*columns).withColumn("o", F.lit(1)))
     every = every.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "start_idx").orderBy("o", "end_idx"))).filter("r = 1").drop("o", "r")
@@ -176,6 +198,5 @@ def _warm_edges(edges: DataFrame, warm: DataFrame, cook_lumps: DataFrame, p: Ric
 
 
 def summary(samples: DataFrame, meta: DataFrame, p: Rice = Rice()) -> DataFrame:
-    """site, confidence, sampling_rate: 0 for a site without a model."""
-    sites = samples.select("site").distinct()
-    return sites.join(meta.select("site", "reliability"), "site", "left").select("site", F.coalesce("reliability", F.lit(0.0)).alias("confidence"), F.lit(1.0).alias("sampling_rate"))
+    """site, confidence, count, sampling_rate: confidence and count 0 for a site without a model."""
+    return predict_all(samples, meta, p)[1]

@@ -86,6 +86,16 @@ LUMP = BAND + f""", gaps0 AS (
   SELECT *, CAST(sum(CASE WHEN g0 >= {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY site, channel ORDER BY start_us, start_idx) + 1 AS BIGINT) AS lump_idx FROM gaps0)"""
 
 
+@query(POWER + " SELECT site, channel, us, idx, active_power, reactive_power FROM power")
+def samples(spark, sf):
+    return power.from_events(spark, sf)
+
+
+@query(POWER + """ SELECT site, channel, idx, lag(active_power, 2) OVER w AS two_before, lead(active_power, 3) OVER w AS three_after FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx)""")
+def shift(spark, sf):
+    return power.from_events(spark, sf).select(*power.KEY, "idx", columns.shifted("active_power", 2).alias("two_before"), columns.shifted("active_power", -3).alias("three_after"))
+
+
 @query(SLOPE + " SELECT site, channel, idx, round(speed, 6) + 0 AS speed FROM sloped WHERE speed IS NOT NULL")
 def slope(spark, sf):
     return rounded(signal.slopes(signal.with_signal(power.from_events(spark, sf))).filter("speed is not null").select(*power.KEY, "idx", "speed"))
@@ -154,13 +164,15 @@ def rising_edges(spark, sf):
     return rounded(e.select(*power.KEY, "start_idx", "end_idx", "start_us", "end_us", "pattern_size", "max_slope", "min_slope", "h1", "h2", "delta", "sub_delta"))
 
 
-@query(FALL + """, n AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), sums AS (
+NEAR = FALL + """, n AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), sums AS (
   SELECT site, channel, idx, sum(active_power) OVER w AS sv, sum(reactive_power) OVER w AS ss FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx)
 ), e AS (SELECT edges.* FROM edges JOIN n USING (site, channel) WHERE start_idx > pattern_size AND end_idx < n - pattern_size), c AS (
   SELECT e.*, (r1.sv - r0.sv) / pattern_size - (l1.sv - coalesce(l0.sv, 0)) / pattern_size AS dv, (r1.ss - r0.ss) / pattern_size - (l1.ss - coalesce(l0.ss, 0)) / pattern_size AS ds
   FROM e JOIN sums r1 ON r1.site = e.site AND r1.channel = e.channel AND r1.idx = end_idx + pattern_size + 1 JOIN sums r0 ON r0.site = e.site AND r0.channel = e.channel AND r0.idx = end_idx + 1
-    LEFT JOIN sums l1 ON l1.site = e.site AND l1.channel = e.channel AND l1.idx = start_idx - 1 LEFT JOIN sums l0 ON l0.site = e.site AND l0.channel = e.channel AND l0.idx = start_idx - pattern_size - 1)
-SELECT site, channel, start_idx, CAST(CASE WHEN h2 > 0 OR sub_delta > 0 OR (dv > 0 AND ds > 0) THEN 0 ELSE 1 END AS INTEGER) AS flag, h2 AS org_h2, sub_delta AS org_sub_delta,
+    LEFT JOIN sums l1 ON l1.site = e.site AND l1.channel = e.channel AND l1.idx = start_idx - 1 LEFT JOIN sums l0 ON l0.site = e.site AND l0.channel = e.channel AND l0.idx = start_idx - pattern_size - 1)"""
+
+
+@query(NEAR + """ SELECT site, channel, start_idx, CAST(CASE WHEN h2 > 0 OR sub_delta > 0 OR (dv > 0 AND ds > 0) THEN 0 ELSE 1 END AS INTEGER) AS flag, h2 AS org_h2, sub_delta AS org_sub_delta,
   round((h2 + dv) / 2, 6) + 0 AS h2, round((sub_delta + ds) / 2, 6) + 0 AS sub_delta FROM c""")
 def edge_consistency(spark, sf):
     samples = power.from_events(spark, sf)
@@ -168,11 +180,22 @@ def edge_consistency(spark, sf):
     return rounded(e.select(*power.KEY, "start_idx", "flag", "org_h2", "org_sub_delta", "h2", "sub_delta"))
 
 
+@query(NEAR + """ SELECT site, channel, start_idx, h2 AS org_h2, sub_delta AS org_sub_delta, round((h2 + dv) / 2, 6) + 0 AS h2, round(sub_delta / 2, 6) + 0 AS sub_delta FROM c WHERE h2 <= 0""")
+def edge_consistency_zero_sub(spark, sf):
+    e = signal.falling_edges(power.from_events(spark, sf), windows=1, zero_sub=True)
+    return rounded(e.select(*power.KEY, "start_idx", "org_h2", "org_sub_delta", "h2", "sub_delta"))
+
+
 @query(BAND + f" SELECT {EDGE} FROM band")
 def watt_band_edges(spark, sf):
     return _edge(_band(spark, sf))
 
 
+@query(FALL + f" SELECT {EDGE} FROM edges WHERE h2 > {-HIGH} AND h2 < {-LOW}")
+def watt_band_open(spark, sf):
+    return _edge(lumps.watt_band(signal.falling_edges(power.from_events(spark, sf)), LOW, HIGH, closed=False))
+
+
 def _bounds(df):
     return df.groupBy(*power.KEY).agg(F.median("h2").alias("min_h2"), F.max("h2").alias("max_h2"), F.median("sub_delta").alias("min_sub"), F.max("sub_delta").alias("max_sub"))
 
@@ -380,10 +403,24 @@ def channel_sum(spark, sf):
     return washer.channel_sum(power.from_events(spark, sf).select("site", "us", F.col("active_power").alias("p"), F.col("reactive_power").alias("q")))
 
 
-@query(POWER + """, d AS (SELECT *, CASE WHEN active_power - lag(active_power) OVER (PARTITION BY site, channel ORDER BY idx) > 0 THEN 1 ELSE -1 END AS sgn FROM power)
-SELECT site, channel, CAST(floor((idx - 1) / 180) + 1 AS BIGINT) AS segment, count(*) FILTER (sgn = 1) AS up, count(*) FILTER (sgn = -1) AS down FROM d GROUP BY ALL""")
+SIGNS = POWER + """, c AS (SELECT *, active_power - avg(active_power) OVER (PARTITION BY site, channel, floor((idx - 1) / 45)) AS x FROM power),
+s AS (SELECT site, channel, CAST(floor((idx - 1) / 180) + 1 AS BIGINT) AS segment, count(*) FILTER (x <= 0) AS neg_1, count(*) FILTER (x > 0) AS pos_1, count(*) FILTER (x = 0) AS z FROM c GROUP BY ALL),
+t AS (SELECT *, lead(neg_1) OVER w AS neg_2, lead(pos_1) OVER w AS pos_2, greatest(z, lead(z) OVER w) > 2 AS flat FROM s WINDOW w AS (PARTITION BY site, channel ORDER BY segment)),
+con AS (SELECT site, channel, segment, CASE WHEN flat THEN 0 ELSE neg_1 END AS neg_1, CASE WHEN flat THEN 0 ELSE pos_1 END AS pos_1, CASE WHEN flat THEN 0 ELSE neg_2 END AS neg_2, CASE WHEN flat THEN 0 ELSE pos_2 END AS pos_2 FROM t WHERE neg_2 IS NOT NULL)"""
+
+
+def _signs(spark, sf):
+    return washer.contingency(washer.block_center(power.from_events(spark, sf), BOX), "x_mean", 180, 2)
+
+
+@query(SIGNS + " SELECT site, channel, segment, CAST(neg_1 AS BIGINT) AS neg_1, CAST(pos_1 AS BIGINT) AS pos_1, CAST(neg_2 AS BIGINT) AS neg_2, CAST(pos_2 AS BIGINT) AS pos_2 FROM con")
 def contingency(spark, sf):
-    return washer.contingency(power.from_events(spark, sf), 180)
+    return _signs(spark, sf)
+
+
+@query(SIGNS + " SELECT site, channel, segment, least(neg_1, neg_2, pos_1, pos_2) > 80 AS two_peaks FROM con")
+def two_peaks(spark, sf):
+    return washer.peaks(_signs(spark, sf), 80).select(*power.KEY, "segment", "two_peaks")
 
 
 @query(POWER + " SELECT site, channel, idx, round((active_power - min(active_power) OVER w) / (max(active_power) OVER w - min(active_power) OVER w), 6) AS scaled FROM power WINDOW w AS (PARTITION BY site, channel)")
@@ -396,32 +433,74 @@ def segment_ids(spark, sf):
     return columns.segment_ids(power.from_events(spark, sf), 180).select(*power.KEY, "idx", "segment")
 
 
-@query()
+# Homes of known shape, one a region: cooking, warm, warm with pulses off the period, cooking and keeping warm, idle.
+# Their SQL states what must be found, pulse by pulse; ``e`` is the last tenth of a second that a pulse is on.
+PULSES = """WITH homes AS (SELECT r_name AS site, r_regionkey % 5 AS k, CAST(10 * r_regionkey AS DOUBLE) AS more FROM region),
+pulses AS (
+  SELECT site, k, 'cook' AS part, 1000 + more AS a, 15 AS sub, c.range * 72000 + 6079 + j.range * 160 AS e FROM homes, range(3) c, range(25) j WHERE k = 0
+  UNION ALL SELECT site, k, 'last', 1000 + more, 15, c.range * 72000 + 14999 FROM homes, range(3) c WHERE k = 0
+  UNION ALL SELECT site, k, 'warm', 400 + more, 10, 50199 + j.range * 600 FROM homes, range(150) j WHERE k IN (1, 2)
+  UNION ALL SELECT site, k, 'more', 400 + more, 10, 53499 + j.range * 6000 FROM homes, range(15) j WHERE k = 2
+  UNION ALL SELECT site, k, 'cook', 1000 + more, 15, c.range * 160000 + 6079 + j.range * 160 FROM homes, range(2) c, range(25) j WHERE k = 3
+  UNION ALL SELECT site, k, 'last', 1000 + more, 15, c.range * 160000 + 14999 FROM homes, range(2) c WHERE k = 3
+  UNION ALL SELECT site, k, 'warm', 400 + more, 10, c.range * 160000 + 20199 + j.range * 1000 FROM homes, range(2) c, range(30) j WHERE k = 3),
+falls AS (SELECT site, 1 AS channel, k, part, e + 1 AS start_idx, e + 2 AS end_idx, 1704067200000000 + e * 100000 AS start_us, 1704067200000000 + (e + 2) * 100000 AS end_us, CAST(-a AS DOUBLE) AS h2, CAST(-sub AS DOUBLE) AS sub_delta FROM pulses)"""
+
+
+def _homes(spark, sf):
+    region = spark.read.parquet(f"{sf}/region.parquet")
+    kind = F.element_at(F.array(*map(F.lit, ["cook", "warm", "extra", "keep", "idle"])), (F.col("r_regionkey") % 5 + 1).cast("int"))
+    return power.homes(region.select(F.col("r_name").alias("site"), kind.alias("kind"), (F.col("r_regionkey") * 10).cast("double").alias("more")))
+
+
+@query(PULSES + """, g AS (SELECT *, CASE WHEN k = 3 AND part = 'warm' THEN 2 ELSE 1 END AS group_id, CASE k WHEN 0 THEN 78 WHEN 1 THEN 150 WHEN 2 THEN 165 ELSE CASE part WHEN 'warm' THEN 60 ELSE 52 END END AS n FROM falls)
+SELECT site, CAST(channel AS INTEGER) AS channel, CAST(group_id AS INTEGER) AS group_id, CAST(n AS BIGINT) AS "sum", start_idx, end_idx, start_us, end_us, h2, -h2 AS delta, sub_delta,
+  CAST(CASE WHEN k = 3 THEN 3 - group_id ELSE 1 END AS INTEGER) AS cand_rank FROM g""")
 def group_search(spark, sf):
-    return rounded(groups.detect_groups(lumps.watt_band(signal.falling_edges(_home(spark)), 250.0, 1350.0)))
+    found = groups.detect_groups(lumps.watt_band(signal.falling_edges(_homes(spark, sf)), 250.0, 1350.0))
+    return rounded(found.select(*power.KEY, "group_id", "sum", "start_idx", "end_idx", "start_us", "end_us", "h2", "delta", "sub_delta", "cand_rank"))
 
 
-@query()
+@query(PULSES + " SELECT site, CAST(channel AS INTEGER) AS channel, start_idx, end_idx, start_us, end_us, h2, sub_delta FROM falls WHERE k = 3 AND part = 'warm'")
 def pair_annihilation(spark, sf):
-    edges = _band(spark, sf)
-    spans = _spans(spark, sf)
-    count = spans.groupBy(*power.KEY).agg(F.count("*").alias("n_lumps"))
-    return rounded(annihilation.annihilation_edges(annihilation.tag_particles(edges, spans, 10800.0), edges, count, iterations=60, prob=0.4, max_gap=1e6, med_max=1e6, coverage=0.0, lump_size=1))
+    edges = signal.falling_edges(_homes(spark, sf))
+    spans = lumps.sessionise(lumps.watt_band(edges, 900.0, 1350.0), GAP).groupBy(*power.KEY, "lump_idx").agg(F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
+    small = lumps.watt_band(edges, 50.0, 1350.0, closed=False)
+    found = annihilation.annihilation_edges(annihilation.tag_particles(small, spans, 10800.0), small, spans.groupBy(*power.KEY).agg(F.count("*").alias("n_lumps")))
+    return rounded(found.select(*power.KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta"))
 
 
-def _home(spark):
-    return power.planted(spark, "cook").unionByName(power.planted(spark, "warm"))
+COOK = {"lumps": "CASE k WHEN 0 THEN 3 ELSE 2 END", "proper_lumps": "CASE k WHEN 0 THEN 3.0 ELSE 2.0 END", "min_h2": "-1000 - more", "max_h2": "-1000 - more", "min_sub": "-15.0", "max_sub": "-15.0", "db_time_sec": "16.0", "min_flucs_proper_lump": "25", "usage_start_time": "200.1", "usage_end_time": "699.8", "usage_sec_on": "700.0", "usage_wh_on": "round(-700 * (1000 + more) / 3600, 6)", "usage_ap_on": "-1000 - more"}
+WARM = {"type": "CASE k WHEN 3 THEN 1 ELSE 0 END", "samples": "CASE k WHEN 1 THEN 150 WHEN 2 THEN 165 ELSE 60 END", "lumps": "CASE k WHEN 3 THEN 2 ELSE 1 END", "min_h2": "-400 - more", "max_h2": "-400 - more", "min_sub": "-10.0", "max_sub": "-10.0", "db_time_sec": "CASE k WHEN 3 THEN 0.0 ELSE 60.0 END", "usage_sec_on": "20.0", "usage_watt": "400 + more"}
+_WHOLE = ("lumps", "min_flucs_proper_lump", "samples")
 
 
-@query()
+def _stated(part: str, fields: dict[str, str], when: str) -> str:
+    kind = lambda f: "INTEGER" if f == "type" else "BIGINT" if f in _WHOLE else "DOUBLE"
+    return ", ".join(f"CAST(CASE WHEN {when} THEN {sql} END AS {kind(f)}) AS {part}_{f}" for f, sql in fields.items())
+
+
+@query(PULSES + f""" SELECT site, CAST(1 AS INTEGER) AS channel, k IN (0, 3) AS cook, k IN (1, 2, 3) AS warm, {_stated('cook', COOK, 'k IN (0, 3)')}, {_stated('warm', WARM, 'k IN (1, 2, 3)')},
+  CASE k WHEN 0 THEN 0.6 WHEN 3 THEN 0.8 ELSE 0.4 END::DOUBLE AS reliability, '2024-01-01 00:00:00' AS "start", '2024-01-01 05:59:59' AS "end", CAST(10 AS INTEGER) AS sampling FROM homes WHERE k < 4""")
 def rice_meta(spark, sf):
-    return rice_plan.train(_home(spark), Rice())
+    m = rice_plan.train(_homes(spark, sf), Rice())
+    parts = [F.col(f"{part}_info.{f}").alias(f"{part}_{f}") for part, fields in (("cook", COOK), ("warm", WARM)) for f in fields]
+    return rounded(m.select(*power.KEY, F.col("general_info.Cook").alias("cook"), F.col("general_info.Warm").alias("warm"), *parts, "reliability", "generation_info.data_used.*"))
 
 
-@query()
+@query(PULSES + """, cooking AS (SELECT DISTINCT site, k, (e - 6079) // 10 + 600 + s.range AS sec, 700 * a / 899.9 AS p FROM pulses, range(900) s WHERE part = 'cook' AND (e % CASE k WHEN 0 THEN 72000 ELSE 160000 END) = 6079),
+warming AS (SELECT site, k, e // 10 + s.range AS sec, 2 * a AS p FROM pulses, range(20) s WHERE part IN ('warm', 'more')),
+sums AS (SELECT site, sec, sum(p) AS p FROM (SELECT * FROM cooking UNION ALL SELECT * FROM warming) q GROUP BY ALL)
+SELECT h.site, CAST(1704067200 + t.range AS BIGINT) AS sec, round(coalesce(p, 0), 6) AS p, CAST(0 AS DOUBLE) AS q FROM homes h CROSS JOIN range(21600) t LEFT JOIN sums b ON b.site = h.site AND b.sec = t.range""")
 def rice_usage(spark, sf):
-    home = _home(spark)
-    return rice_plan.predict(home, rice_plan.train(home, Rice()), Rice())
+    home = _homes(spark, sf)
+    return rounded(rice_plan.predict(home, rice_plan.train(home, Rice()), Rice()))
+
+
+@query(PULSES + """ SELECT site, CASE k WHEN 0 THEN 0.6 WHEN 3 THEN 0.8 WHEN 4 THEN 0 ELSE 0.4 END::DOUBLE AS confidence, CAST(CASE k WHEN 0 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS "count", CAST(1 AS DOUBLE) AS sampling_rate FROM homes""")
+def rice_summary(spark, sf):
+    home = _homes(spark, sf)
+    return rounded(rice_plan.summary(home, rice_plan.train(home, Rice()), Rice()))
 
 
 @query()
@@ -429,12 +508,29 @@ def dip_test(spark, sf):
     return rounded(washer.dip_test(power.from_events(spark, sf), BOX))
 
 
-@query()
+def _wash_homes(spark, sf):
+    region = spark.read.parquet(f"{sf}/region.parquet")
+    kind = F.when(F.col("r_regionkey") % 2 == 0, "wash").otherwise("idle")
+    return power.homes(region.select(F.col("r_name").alias("site"), kind.alias("kind"), (F.col("r_regionkey") * 10).cast("double").alias("more")))
+
+
+@query("""WITH t AS (SELECT r_name AS site, r_regionkey AS k, range AS id, r_regionkey % 2 = 0 AND range BETWEEN 54899 AND 99899 AS cycle, range BETWEEN 60000 AND 110000 AND (range // 75) % 2 = 0 AS on_ FROM region, range(216000))
+SELECT site, 1704067200000000 + id * 100000 AS us, CAST(CASE WHEN cycle AND on_ THEN 300 + 10 * k ELSE 0 END AS DOUBLE) AS p, CAST(CASE WHEN cycle AND on_ THEN 70 WHEN cycle THEN 10 ELSE 0 END AS DOUBLE) AS q FROM t""")
 def washer_usage(spark, sf):
-    return washer_plan.predict(power.planted(spark, "wash"), Washer())
+    return rounded(washer_plan.predict(_wash_homes(spark, sf), Washer()))
 
 
-@query()
+@query("SELECT r_name AS site, CAST(2 AS INTEGER) AS channel, CAST(1 AS BIGINT) AS \"count\", CAST(0.5 AS DOUBLE) AS confidence FROM region WHERE r_regionkey % 2 = 0")
+def washer_summary(spark, sf):
+    return rounded(washer_plan.summary(_wash_homes(spark, sf), Washer()))
+
+
+@query(STARTS + """, top AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), cyc AS (SELECT s.* FROM starts s JOIN top USING (site, channel) WHERE start_idx + 200 <= n),
+met AS (SELECT c.site, c.channel, c.start_idx, p.idx - c.start_idx AS col, p.active_power AS v FROM cyc c JOIN power p ON p.channel = c.channel AND p.idx BETWEEN c.start_idx - 1500 AND c.start_idx + 1800),
+z AS (SELECT site, channel, start_idx, col, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM met WINDOW w AS (PARTITION BY site, channel, col)),
+d AS (SELECT a.site, a.channel, a.start_idx AS i, b.start_idx AS j, sqrt(sum((a.z - b.z) ** 2) * 3301 / count(*)) AS d FROM z a JOIN z b ON a.site = b.site AND a.channel = b.channel AND a.col = b.col AND a.start_idx < b.start_idx WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL),
+score AS (SELECT site, channel, (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / nullif(max(d) - min(d), 0) AS score FROM d GROUP BY ALL), num AS (SELECT site, channel, count(*) AS n FROM cyc GROUP BY ALL)
+SELECT n.site, n.channel, n AS "count", round(CASE WHEN n >= 3 THEN score ELSE 0.5 END, 6) AS confidence FROM num n LEFT JOIN score s ON s.site = n.site AND s.channel = n.channel""")
 def washer_reliability(spark, sf):
     samples = power.from_events(spark, sf)
     return rounded(washer.reliability(samples, _cycles(spark, sf), WASH))

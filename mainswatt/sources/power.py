@@ -13,13 +13,18 @@ def by_idx(idx: str = "idx") -> Window:
     return Window.partitionBy(*KEY).orderBy(idx)
 
 
-def normalise(df: DataFrame, tie: str | None = None) -> DataFrame:
-    """site, channel, us (microseconds), idx, active_power, reactive_power from a table with ``timestamp``."""
+def normalise(df: DataFrame, *tie: str) -> DataFrame:
+    """site, channel, us (microseconds), idx, active_power, reactive_power from a frame with ``timestamp`` and both powers.
+
+    Channels are numbered by time, equal times by the ``tie`` columns (else by power). A frame without ``site`` is one home.
+    """
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
     site = F.col("site") if "site" in df.columns else F.lit("s0")
-    out = df.select(site.cast("string").alias("site"), F.col("channel").cast("int").alias("channel"), us.alias("us"), F.col("active_power").cast("double"), F.col("reactive_power").cast("double"), *([F.col(tie).alias("__tie")] if tie else []))
-    order = Window.partitionBy(*KEY).orderBy("us", *(["__tie"] if tie else ["active_power", "reactive_power"]))
-    return out.withColumn("idx", F.row_number().over(order).cast("long")).drop("__tie")
+    ties = [F.col(c).alias(f"__tie{k}") for k, c in enumerate(tie)]
+    out = df.select(site.cast("string").alias("site"), F.col("channel").cast("int").alias("channel"), us.alias("us"), F.col("active_power").cast("double"), F.col("reactive_power").cast("double"), *ties)
+    order = Window.partitionBy(*KEY).orderBy("us", *([f"__tie{k}" for k in range(len(tie))] or ["active_power", "reactive_power"]))
+    out = out.withColumn("idx", F.row_number().over(order).cast("long"))
+    return out.select(*KEY, "us", "idx", "active_power", "reactive_power")
 
 
 def from_events(spark: SparkSession, sf_dir: str, coarse_us: int = 1) -> DataFrame:
@@ -27,31 +32,41 @@ def from_events(spark: SparkSession, sf_dir: str, coarse_us: int = 1) -> DataFra
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = e.select(
-        F.lit("s0").alias("site"), (F.col("user_id") % 2 + 1).cast("int").alias("channel"),
-        (us - F.pmod(us, F.lit(coarse_us))).alias("us"), us.alias("exact"), "event_id",
-        F.round(F.col("value") * 500).cast("long").cast("double").alias("active_power"),
-        F.get_json_object("props", "$.k").cast("long").cast("double").alias("reactive_power"),
+        (F.col("user_id") % 2 + 1).alias("channel"), F.timestamp_micros(us - F.pmod(us, F.lit(coarse_us))).alias("timestamp"), us.alias("exact"), "event_id",
+        F.round(F.col("value") * 500).cast("long").alias("active_power"), F.get_json_object("props", "$.k").cast("long").alias("reactive_power"),
     )
-    order = Window.partitionBy(*KEY).orderBy("exact", "event_id")
-    return rows.withColumn("idx", F.row_number().over(order).cast("long")).select(*KEY, "us", "idx", "active_power", "reactive_power")
+    return normalise(rows, "exact", "event_id")
 
 
-def planted(spark: SparkSession, kind: str, n: int = 216_000) -> DataFrame:
-    """A noise-free waveform at 10 Hz from 2024-01-01: ``cook``, ``warm`` or ``wash``."""
-    start = 1704067200000000
-    m = "id % 72000"
-    shape = {
-        "cook": (1, 100, 1000, 20, 15, f"(({m}) between 6000 and 9999 and (({m}) - 6000) % 160 < 80) or ({m}) between 10000 and 14999"),
-        "warm": (1, 100, 400, 20, 10, "id between 50000 and 139999 and (id - 50000) % 600 < 200"),
-        "wash": (2, 60, 300, 10, 60, "id between 60000 and 110000 and (id div 75) % 2 = 0"),
-    }
-    channel, ap, ap_on, rp, rp_on, on = shape[kind]
-    return spark.range(n).selectExpr(
-        f"'{kind}' site", f"{channel} channel", f"{start} + id * 100000 us", "id + 1 idx",
-        f"cast({ap} + if({on}, {ap_on}, 0) as double) active_power", f"cast({rp} + if({on}, {rp_on}, 0) as double) reactive_power",
+SHAPES = {
+    "cook": (1, "(id % 72000 between 6000 and 9999 and (id % 72000 - 6000) % 160 < 80) or id % 72000 between 10000 and 14999", 1000, 15),
+    "warm": (1, "id between 50000 and 139999 and (id - 50000) % 600 < 200", 400, 10),
+    "extra": (1, "id between 50000 and 139999 and ((id - 50000) % 600 < 200 or (id - 50000) % 6000 between 3300 and 3499)", 400, 10),
+    "keep": (1, "id % 160000 between 20000 and 49999 and id % 1000 < 200", 400, 10),
+    "wash": (2, "id between 60000 and 110000 and (id div 75) % 2 = 0", 300, 60),
+    "idle": (1, "false", 0, 0),
+}
+"""Channel, when the appliance is on (``id`` counts tenths of a second), and its active and reactive power. A ``keep`` home cooks too."""
+_COOKING = "kind = 'keep' and id % 160000 < 15000 and ((id % 160000 between 6000 and 9999 and (id % 160000 - 6000) % 160 < 80) or id % 160000 >= 10000)"
+
+
+def homes(of: DataFrame, n: int = 216_000) -> DataFrame:
+    """Noise-free waveforms at 10 Hz from 2024-01-01 for the homes ``of`` (site, kind, more); an appliance draws ``more`` watts on top of its usual power."""
+    rows = of.select("site", "kind", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("id"))
+    case = lambda part: " ".join(f"when kind = '{k}' and ({on}) then {part(ap, rp)}" for k, (_, on, ap, rp) in SHAPES.items())
+    base = lambda wash, other: f"if(kind = 'wash', {wash}, {other})"
+    return rows.selectExpr(
+        "site", f"{base(2, 1)} channel", "1704067200000000 + id * 100000 us", "id + 1 idx",
+        f"cast({base(60, 100)} + case {case(lambda ap, rp: f'{ap} + more')} when {_COOKING} then 1000 + more else 0 end as double) active_power",
+        f"cast({base(10, 20)} + case {case(lambda ap, rp: rp)} when {_COOKING} then 15 else 0 end as double) reactive_power",
     )
 
 
+def planted(spark: SparkSession, kind: str, n: int = 216_000) -> DataFrame:
+    """One home of a shape, named like it."""
+    return homes(spark.createDataFrame([(kind, kind, 0.0)], "site string, kind string, more double"), n)
+
+
 def second_grid(samples: DataFrame) -> DataFrame:
     """site, sec: every second from a site's first to its last sample, both channels included."""
     span = samples.groupBy("site").agg(F.floor(F.min("us") / 1000000).alias("lo"), F.floor(F.max("us") / 1000000).alias("hi"))

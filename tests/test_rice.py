@@ -1,22 +1,24 @@
 """The rice cooker's model and usage on the planted home, against figures derived by hand."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from mainswatt.operators import annihilation
 from mainswatt.params import Rice
 from mainswatt.plans import rice
-from mainswatt.sources import power
+from mainswatt.sources import power, sinks
 
 
 @pytest.fixture(scope="module")
 def home(spark):
-    return power.planted(spark, "cook").unionByName(power.planted(spark, "warm"))
+    return power.homes(spark.createDataFrame([(k, k, 0.0) for k in ("cook", "warm", "extra", "keep")], "site string, kind string, more double"))
 
 
 def test_train_and_predict(home):
     meta = rice.train(home)
     rows = {r.site: r for r in meta.collect()}
-    assert set(rows) == {"cook", "warm"}
+    assert set(rows) == {"cook", "warm", "extra", "keep"}
     cook, warm = rows["cook"], rows["warm"]
     assert (cook.general_info.Cook, cook.general_info.Warm) == (True, False)
     assert (warm.general_info.Cook, warm.general_info.Warm) == (False, True)
@@ -25,14 +27,43 @@ def test_train_and_predict(home):
     assert c.usage_start_time == pytest.approx(200.1) and c.usage_end_time == pytest.approx(699.8)
     assert c.usage_sec_on == pytest.approx(700.0) and c.usage_wh_on == pytest.approx(-194.44444, abs=1e-4)
     assert (w.type, w.samples, w.lumps, w.db_time_sec, w.usage_sec_on, w.usage_watt) == (0, 150, 1, 60.0, 20.0, 400.0)
-    used = {r.site: r for r in rice.predict(home, meta).groupBy("site").agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.count_if(F.col("p") > 0).alias("on")).collect()}
+    k = rows["keep"].warm_info  # no period of the table fits its pulses; they follow cooking and never precede it
+    assert (k.type, k.samples, k.lumps, k.min_h2, k.max_h2, k.db_time_sec, k.usage_sec_on, k.usage_watt) == (1, 60, 2, -400.0, -400.0, 0.0, 20.0, 400.0)
+    assert rows["keep"].cook_info.proper_lumps == 2 and rows["extra"].warm_info.samples == 165
+    assert cook.generation_info.data_used.start == "2024-01-01 00:00:00" and len(cook.generation_info.computed) == 19
+    usage, known = rice.predict_all(home, meta)
+    assert {r.site: (r["count"], round(r.confidence, 6), r.sampling_rate) for r in known.select("site", F.col("count").alias("count"), "confidence", "sampling_rate").collect()} == {"cook": (3, 0.6, 1.0), "warm": (0, 0.4, 1.0), "extra": (0, 0.4, 1.0), "keep": (2, 0.8, 1.0)}
+    used = {r.site: r for r in usage.groupBy("site").agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.count_if(F.col("p") > 0).alias("on")).collect()}
     assert used["cook"].n == used["warm"].n == 21600  # every second of six hours
     assert used["cook"].on == 3 * 900  # 200 + 700 seconds around each of three lumps
     assert used["cook"].p == pytest.approx(2700 * 194.44444 * 3600 / (200.1 + 699.8), rel=1e-6)  # painted seconds are whole, the rate is not rounded
     assert used["warm"].on == 150 * 20
+    assert used["extra"].on == (150 + 15) * 20  # fifteen pulses lie off the period and come in by extension
+    assert used["keep"].on == 2 * 900 + 60 * 20
     assert used["warm"].p == pytest.approx(150 * 20 * 400 * Rice().power_adjust)
 
 
 def test_nothing_found_keeps_prior(spark, home):
     flat = home.filter("site = 'cook'").withColumns({"active_power": F.lit(100.0), "reactive_power": F.lit(20.0)}).filter("idx <= 3000")
     assert rice.train(flat).count() == 0
+
+
+def test_models_and_usage_survive_the_sinks(spark, home, tmp_path):
+    meta = spark.createDataFrame([("a", 1, (1.5, None), "x")], "site string, channel int, cook_info struct<a:double,b:double>, meta_version string")
+    sinks.write_models(meta, f"{tmp_path}/models")
+    assert sinks.read_models(spark, f"{tmp_path}/models", meta.schema).collect() == meta.collect()
+    assert sinks.model_json(meta).first().model == '{"site":"a","channel":1,"cook_info":{"a":1.5,"b":null},"meta_version":"x"}'
+    sinks.write_usage(spark.createDataFrame([("a", 5, 1.0, 0.0)], "site string, sec long, p double, q double"), f"{tmp_path}/usage")
+    assert spark.read.parquet(f"{tmp_path}/usage").filter("site = 'a'").count() == 1
+
+
+def test_cuts_at_the_median_take_the_lower_side():
+    cell = pd.DataFrame({"delta": [1.0, 2.0, 3.0, 4.0, 5.0], "sub_delta": [0.0, 0.0, 0.0, 0.0, 0.0], "particle_position": [-1.0, 1.0, -1.0, 1.0, 1.0]})
+    wide = cell.assign(sub_delta=[-9.0, -3.0, 0.0, -4.0, -5.0])
+    assert annihilation._refine(cell, 3).equals(cell)  # too few anti-particles
+    kept = annihilation._refine(wide, 1)
+    # Medians 3 and -4. The proposal (1, -9) keeps what is above both: all but itself, at no cost.
+    assert kept["delta"].tolist() == [2.0, 3.0, 4.0, 5.0]
+    at_median = annihilation._refine(wide.iloc[1:].reset_index(drop=True).assign(delta=[2.0, 3.0, 3.0, 5.0], sub_delta=[-3.0, -1.0, -4.0, -5.0]), 1)
+    # The one proposal (3, -1) stands at the median 3: below it, and below -1, only (2, -3) stays.
+    assert at_median["delta"].tolist() == [2.0]

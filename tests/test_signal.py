@@ -11,7 +11,7 @@ from mainswatt.queries import oracle_sql, queries
 from mainswatt.sources import power
 
 SF = "/root/testdata/sf0.001"
-FEW = ["slope", "slope_repair", "state_runs", "falling_edges", "rising_edges", "edge_consistency", "lump_summary", "cell_summary", "particle_summary", "washer_power"]
+FEW = ["samples", "shift", "slope", "slope_repair", "state_runs", "falling_edges", "rising_edges", "edge_consistency", "edge_consistency_zero_sub", "contingency", "two_peaks", "washer_reliability", "lump_summary", "cell_summary", "particle_summary", "washer_power"]
 
 
 def series(spark, values, us=None):
@@ -48,6 +48,38 @@ def test_signed_signal(spark):
     assert e.delta == -8.0
 
 
+def test_equal_signals_leave_no_sub_columns(spark):
+    samples = series(spark, [10, 10, 10, 2, 2, 2])
+    assert "sub_delta" not in signal.falling_edges(samples, "active", "active").columns
+    assert "sub_delta" in signal.falling_edges(samples, "active", "-active").columns
+
+
+def test_contingency_of_too_many_zeros(spark):
+    rows = series(spark, [1, -1, 0, 0, 2, -2, 3, -3]).withColumnRenamed("active_power", "x")
+    assert [tuple(r)[3:] for r in washer.contingency(rows, "x", 4, 5).collect()] == [(3, 1, 2, 2)]
+    assert [tuple(r)[3:] for r in washer.contingency(rows, "x", 4, 1).collect()] == [(0, 0, 0, 0)]
+    assert [r.two_peaks for r in washer.peaks(washer.contingency(rows, "x", 4, 5), 0).collect()] == [True]
+
+
+def test_frames_are_normalised(spark):
+    df = spark.createDataFrame([(2, "2024-01-01 00:00:01", 5, 1.0), (2, "2024-01-01 00:00:00", 3, 2.0)], "channel long, timestamp string, active_power int, reactive_power double")
+    assert [tuple(r) for r in power.normalise(df).orderBy("idx").collect()] == [("s0", 2, 1704067200000000, 1, 3.0, 2.0), ("s0", 2, 1704067201000000, 2, 5.0, 1.0)]
+
+
+def test_hot_keys_are_split(spark):
+    from mainswatt.sources import shared
+
+    many = spark.range(5000).selectExpr("if(id < 4500, 0, id) k", "id v")
+    one = spark.range(5000).selectExpr("id k", "id * 2 w")
+    got = shared.join_split(many, one, "k", many.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n"), 5000)
+    assert sorted(map(tuple, got.collect())) == sorted((0 if i < 4500 else i, i, 0 if i < 4500 else 2 * i) for i in range(5000))
+    with shared.scratch(spark) as keep:
+        gone, kept = shared.materialise(one), shared.materialise(many)
+        keep.append(kept)
+    import os
+    assert kept.count() == 5000 and not os.path.exists(gone._shared_path)
+
+
 def test_single_run_has_no_edges(spark):
     assert signal.falling_edges(series(spark, [1.0])).count() == 0
 
