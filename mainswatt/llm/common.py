@@ -1,4 +1,4 @@
-"""Shared by the operators: shared-folder checkpoints and byte-level views of Arrow text columns.
+"""Shared by the operators: byte-level views of Arrow text columns.
 
 Text columns are never turned into Python strings where bytes will do: a chunk of documents is one
 ``uint8`` array with offsets, and words, shingles and windows are found with whole-array operations.
@@ -6,14 +6,11 @@ Text columns are never turned into Python strings where bytes will do: a chunk o
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
 CHUNK = 1 << 20
 """Bytes of text handled at once; a longer document makes a chunk of its own."""
@@ -22,25 +19,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``limit`` bytes of text each, or of one row."""
     if not batch.num_rows:

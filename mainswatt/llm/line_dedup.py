@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, materialise, mix
+from ..sources.shared import materialise
+from .common import _BASE, mix
 
 SALTS = (16, 64)
 """Shares that the holders of a line still standing are dealt to, by round: the least of each share, then all."""

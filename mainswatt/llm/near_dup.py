@@ -1,34 +1,41 @@
 """Near-duplicate join on word shingles by chosen paths.
 
-Documents are sets of shingles of ``shingle`` words; a token of a set is a min-hash value, so that two sets
-share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: at each
-node the sets part by their token of that level. Each run draws ``depth`` tokens of its own, so runs are
-independent; ``TOKENS`` further ones make the sketch. After ``depth`` levels the sets of a node form a bucket, which is compared by brute force. A
-pair at the threshold stays together with probability threshold ** depth, so runs are repeated until the
-chance of meeting reaches ``recall``. Depth follows the number of documents so that even a third of all
-rows, sharing a third of their tokens (a passage everybody quotes), falls apart into buckets of a bounded
-size. Equal texts (word by word) count as one set throughout.
-
-Buckets give candidate links (estimated similarity well under the threshold), links give candidate groups.
-Within a group every pair is compared exactly, so links are counted exactly; groups and buckets of many sets
-are compared block against block, no pair being written. Verified links give the classes.
+Documents are sets of shingles of ``shingle`` words, drawn as ``TOKENS`` min-hash tokens, so that two sets
+share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: each node
+chooses one of the tokens, and with probability 1 / threshold - 1 a second one, by the hash of its path; a set
+goes on to the child of each value it has there, so a pair at the threshold is expected to stay together in one
+child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; one that
+hardly shrinks at a split holds sets that are near each other, and is compared block against block.
+
+Runs are repeated until the target recall. How many that takes follows from the depth at which sets come to
+rest (:func:`runs_for`): most rest at once and leave after a few runs; those in crowded nodes, as a passage that
+a third of all documents quote makes them, go on for as many as their deepest leaf asks for. Equal texts (word
+by word) count as one set throughout.
+
+Leaves give candidate links (estimated similarity well under the threshold), links give candidate groups.
+Within a group every pair is compared exactly, so links are counted exactly; groups of many sets are compared
+block against block, no pair being written. Verified links give the classes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, as_bytes, chunks, lower, materialise, mix, prefix_hash, signed, span_hash, windows, words
+from ..sources.shared import join_split, materialise
+from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 
-TOKENS = 64
-BUCKET = 2048
+TOKENS = 128
+BUCKET = 256
+DENSE = 0.7
+"""A child with this share of its parent's sets is not split further."""
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,22 +65,46 @@ def tokens_of(value: np.ndarray, row: np.ndarray, count: int = TOKENS) -> tuple[
     return row[first], out
 
 
-def paths_of(tokens: np.ndarray, runs: int, depth: int) -> np.ndarray:
-    """The leaf that each set reaches in each run; ``tokens`` holds ``depth`` for each run."""
-    out = np.empty((len(tokens), runs), np.uint64)
+def root_of(run: np.ndarray) -> np.ndarray:
+    """The path of a run's root."""
+    return mix(run.astype(np.uint64) + np.uint64(1))
+
+
+def children_of(path: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and path of each child that the sets (their node, their tokens) go to."""
+    chosen = mix(path ^ np.uint64(0x5851F42D4C957F2D))
+    first = (chosen % np.uint64(TOKENS)).astype(np.int64)
+    step = 1 + ((chosen >> np.uint64(16)) % np.uint64(TOKENS - 1)).astype(np.int64)
+    more = np.flatnonzero((chosen >> np.uint64(40)).astype(np.float64) < second * 2.0**24)
+    row = np.r_[np.arange(len(path)), more]
+    at = np.r_[first, (first[more] + step[more]) % TOKENS]
     with np.errstate(over="ignore"):
-        for r in range(runs):
-            path = np.full(len(tokens), r + 1, np.uint64)
-            for level in range(depth):
-                path = mix(path * np.uint64(_BASE) + tokens[:, r * depth + level].astype(np.uint64))
-            out[:, r] = path
-    return out
+        return row, mix(path[row] * np.uint64(_BASE) + (at.astype(np.uint64) << np.uint64(16)) + tokens[row, at].astype(np.uint64))
+
+
+def survival(share: np.ndarray, depth: int, second: float) -> np.ndarray:
+    """Probability that two sets with this share of equal tokens are together in a node of ``depth`` in one run.
+
+    The root counts with one chosen token: all pairs have the same root, so its second one is no chance of their own.
+    """
+    out = np.ones_like(share)
+    for _ in range(depth - 1):
+        out = (1 - second) * share * out + second * (1 - (1 - share * out) ** 2)
+    return share * out
 
 
-def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Depth and runs for ``n`` documents; a tenth of the loss is left to :func:`least_share`."""
-    depth = max(4, math.ceil(math.log(max(n / 3 / BUCKET, 1), 3)))
-    return depth, math.ceil(math.log(0.9 * (1 - recall)) / math.log(1 - threshold**depth))
+def runs_for(depth: int, threshold: float, recall: float) -> int:
+    """Runs after which a pair at the threshold has met at ``depth`` or before; a tenth of the loss is left to :func:`least_share`.
+
+    Runs draw from the same tokens, so the chance is taken over the number of tokens that the pair shares.
+    """
+    k = np.arange(TOKENS + 1)
+    weight = np.array([math.comb(TOKENS, int(i)) * threshold**i * (1 - threshold) ** (TOKENS - i) for i in k])
+    miss = 1 - survival(k / TOKENS, depth, 1 / threshold - 1)
+    runs = 1
+    while (weight * miss**runs).sum() > 0.9 * (1 - recall):
+        runs += 1
+    return runs
 
 
 def least_share(threshold: float, recall: float) -> float:
@@ -136,12 +167,16 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(block == lo), np.flatnonzero(block == hi)
 
 
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
+
+
 def near_sketches(table: pa.Table, least: float) -> pa.Table:
-    """A spanning forest of the pairs of one bucket task whose share of equal token bytes is at least ``least``."""
+    """A spanning forest of the pairs of one block task whose share of equal tokens is at least ``least``."""
     doc = table.column("doc").to_numpy()
     order = np.argsort(doc, kind="stable")
     table, doc = table.take(pa.array(order)), doc[order]
-    tokens = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+    tokens = _tokens(table.column("tokens"))
     left, right = _sides(table)
     half = np.zeros((len(left), len(right)), bool)
     other = np.ascontiguousarray(tokens[right])
@@ -151,6 +186,105 @@ def near_sketches(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array([doc[r] for _, r in pairs], pa.int64()), "b": pa.array([doc[x] for x, _ in pairs], pa.int64())})
 
 
+def near_leaves(table: pa.Table, least: float) -> pa.Table:
+    """Spanning forests of the near pairs of many leaves at once: every two sets of a leaf are compared."""
+    doc, path = table.column("doc").to_numpy(), table.column("path").to_numpy()
+    order = np.lexsort((doc, path))
+    doc, path = doc[order], path[order]
+    tokens = _tokens(table.column("tokens").take(pa.array(order)))
+    start = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+    size = np.diff(np.r_[start, len(path)])
+    two = start[size == 2]
+    near = two[(tokens[two] == tokens[two + 1]).sum(axis=1) >= least * TOKENS]
+    a, b = [doc[near]], [doc[near + 1]]
+    for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        mine = tokens[lo : lo + n]
+        close = np.array([(mine == x).sum(axis=1) for x in mine]) >= least * TOKENS
+        if int(close.sum()) > n:
+            pairs = np.array(_forest(close))
+            a.append(doc[lo + pairs[:, 1]]), b.append(doc[lo + pairs[:, 0]])
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bucket: int) -> DataFrame:
+    """a, b: links that join all pairs of ``reps`` (doc, tokens; ``n`` rows) that are likely near, by chosen paths.
+
+    All runs of a depth go level by level at the same time. Sets that came to rest deeper than their runs allow
+    for go on with further runs, from the root, until none is left.
+    """
+    second, guess = 1 / threshold - 1, least_share(threshold, recall)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                lo, hi = (batch.column(c).to_numpy() for c in ("lo", "hi"))
+                row = np.repeat(np.arange(batch.num_rows), hi - lo)
+                run = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+                child, path = children_of(root_of(run), _tokens(batch.column("tokens"))[row], second)
+                taken = pa.array(row[child])
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path)), "parent": batch.column("size").take(taken)})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 16384):
+                batch = whole.slice(at, 16384)
+                child, path = children_of(batch.column("path").to_numpy().view(np.uint64), _tokens(batch.column("tokens")), second)
+                taken = pa.array(child)
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path)), "parent": batch.column("size").take(taken)})
+
+    def leaf_links(leaves: DataFrame, rows: int) -> DataFrame:
+        dealt = leaves.withColumn("task", F.pmod(F.xxhash64("path"), F.lit(rows // 4096 + 1)))
+        return dealt.groupBy("task").applyInArrow(lambda t: near_leaves(t, guess), "a long, b long")
+
+    if n <= bucket:
+        return leaf_links(reps.select("doc", F.lit(0).cast("long").alias("path"), "tokens"), n)
+    shape = "doc long, path long, parent long"
+    runs = [0, runs_for(1, threshold, recall)]  # by depth
+    wanted = reps.select("doc", "tokens", F.lit(0).alias("lo"), F.lit(runs[1]).alias("hi"), F.lit(n).cast("long").alias("size"))
+    leaves, crowds, count, rest = [], [], 0, None  # rest: doc and the depth that its runs allow for
+    while True:
+        rows, level, opened = wanted.mapInArrow(first, shape), 1, []
+        while True:
+            rows = materialise(rows)
+            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
+            total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+            met = materialise(join_split(rows, sizes.withColumnRenamed("n", "size"), "path", sizes, total))
+            leaves.append(met.filter(F.col("size") <= bucket).select("doc", "path"))
+            count += total
+            if most <= bucket:
+                break
+            big = met.filter(F.col("size") > bucket)
+            crowds.append(big.filter(F.col("size") >= DENSE * F.col("parent")).select("doc", "path", "size"))
+            going = materialise(big.filter(F.col("size") < DENSE * F.col("parent")).select("doc", "path", "size"))
+            if going.isEmpty():
+                break
+            level += 1
+            opened.append(going.select("doc").distinct().withColumn("depth", F.lit(level)))
+            rows = _marked(reps, going.select("doc").distinct()).join(going, "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
+        if not opened:
+            break
+        runs += [runs_for(d, threshold, recall) for d in range(len(runs), level + 1)]
+        after = F.element_at(F.array(*map(F.lit, runs[1:])), F.col("depth"))
+        deep = reduce(DataFrame.unionByName, opened).groupBy("doc").agg(F.max("depth").alias("depth"))
+        if rest is None:
+            grown = deep.withColumn("lo", F.lit(runs[1]))
+        else:
+            grown = deep.join(rest.withColumnRenamed("depth", "before"), "doc", "left").filter(F.col("before").isNull() | (F.col("depth") > F.col("before")))
+            grown = grown.withColumn("lo", F.element_at(F.array(*map(F.lit, runs[1:])), F.coalesce("before", F.lit(1)))).drop("before")
+        grown = materialise(grown.withColumn("hi", after))
+        more = grown.count()
+        if not more:
+            break
+        rest = grown.select("doc", "depth") if rest is None else materialise(rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth")))
+        wanted = _marked(reps, grown.select("doc")).join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
+    out = leaf_links(reduce(DataFrame.unionByName, leaves).join(reps, "doc"), count)
+    if crowds:
+        tasks = _blocks(reduce(DataFrame.unionByName, crowds).join(reps, "doc"), "bucket", "size").select("path", "lo", "hi", "block", "doc", "tokens")
+        out = out.unionByName(tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long"))
+    return out
+
+
 def shared_counts(value: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """Sizes of the intersections between the sets ``left`` and ``right``; shingles in many sets by matrix product."""
     _, column, df = np.unique(value, return_inverse=True, return_counts=True)
@@ -209,40 +343,30 @@ def near_sets(table: pa.Table, threshold: float) -> pa.Table:
     })
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id, n_links, copy_of, n_copies.
 
     ``copy_of`` is the least document of equal words (lower-cased), ``n_copies`` how many documents have them;
     ``n_links`` counts the other such texts of similarity ``threshold`` or more; ``class_id`` is the least
     document of the class that links and copies join. Texts of fewer than ``shingle`` words are one shingle.
     Null, empty and blank texts have no shingles: each is a class of its own. Rows with a null id come back with
-    a null class. Repeated rows of one id are one document. An empty table gives no rows; other columns are not read.
+    a null class. Repeated rows of one id are one document. An empty table gives no rows; other columns are not
+    read, whatever their names. Texts of any length are one set, of all their shingles. Ids are whole numbers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    depth, runs = plan(docs.count(), threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 value, row, key = sets_of(batch.column("text"), shingle)
-                have, tokens = tokens_of(value, row, TOKENS + runs * depth)
-                paths = signed(paths_of(tokens[:, TOKENS:], runs, depth))
-                sketch = (tokens[:, :TOKENS] & 255).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict({
-                    "doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])),
-                    "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()), "paths": pa.array(list(paths), pa.list_(pa.int64())),
-                })
-
-    signs = materialise(rows.mapInArrow(sign, "doc long, key long, sketch binary, paths array<long>"))
+                have, tokens = tokens_of(value, row)
+                held = (tokens & 0xFFFF).astype(np.uint16)
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])), "tokens": pa.array([x.tobytes() for x in held], pa.binary())})
+
+    signs = materialise(rows.mapInArrow(sign, "doc long, key long, tokens binary"))
     texts = materialise(signs.groupBy("key").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("n_copies")))
-    reps = signs.join(texts.select(F.col("rep").alias("doc"), "key"), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"])
-    reps = materialise(reps)
-    leaves = reps.select("doc", F.explode("paths").alias("path"))
-    crowded = leaves.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-    members = leaves.join(crowded, "path").join(reps.select("doc", "sketch"), "doc")
-    guess = least_share(threshold, recall)
-    tasks = _blocks(members, "bucket", "size").select("path", "lo", "hi", "block", "doc", "sketch")
-    edges = tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long")
+    reps = materialise(signs.join(texts.select(F.col("rep").alias("doc"), "key"), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("doc", "tokens"))
+    edges = candidate_links(reps, reps.count(), threshold, recall, bucket)
     groups = materialise(components(edges))
     rooted = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = rooted.groupBy("root").agg(F.count("*").alias("size"))

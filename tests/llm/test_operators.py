@@ -185,15 +185,51 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: got[i].n_links for i in reps} == links
 
 
-def test_near_duplicate_runs_reach_recall():
-    depth, runs = near_dup.plan(15_000_000, 0.8, 0.9999)
+def test_near_duplicates_of_crowds(spark):
+    """A third quote one long passage, some of them near each other, and fifty are near copies: small leaves force the recursion."""
+    rng, rows, passage = np.random.default_rng(9), [], prose(40, 800)
+    for i in range(150):
+        w = (passage + " " + prose(40, 900 + i // 2)).split() if i % 3 == 0 else prose(60, 1200 + i).split()
+        if i >= 100:
+            w = prose(120, 850).split()
+            w[rng.integers(0, 120)] = f"y{i}"
+        elif i % 2:
+            w[rng.integers(0, len(w))] = "z"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    links = [sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (4, 32):
+        got = {r.doc_id: r.n_links for r in near_dup.near_duplicates(docs, bucket=bucket).collect()}
+        assert [got[i] for i in range(150)] == links
+    assert sum(links) > 50 * 30
+
+
+def test_chosen_paths_reach_recall():
+    """Simulated pairs at the threshold meet in the stated share of single runs, and of all runs at every depth."""
     rng, pairs = np.random.default_rng(6), 4000
     shared, own = rng.integers(0, 1 << 63, (pairs, 1, 80), np.uint64), rng.integers(0, 1 << 63, (pairs, 2, 10), np.uint64)
     value = np.concatenate([np.repeat(shared, 2, axis=1), own], axis=2).reshape(-1)
-    _, tokens = near_dup.tokens_of(value, np.repeat(np.arange(2 * pairs), 90), near_dup.TOKENS + runs * depth)
-    paths = near_dup.paths_of(tokens[:, near_dup.TOKENS :], runs, depth)
-    same = (tokens[::2, : near_dup.TOKENS] == tokens[1::2, : near_dup.TOKENS]).sum(axis=1) >= near_dup.least_share(0.8, 0.9999) * near_dup.TOKENS
-    assert depth == 8 and ((paths[::2] == paths[1::2]).any(axis=1) & same).sum() >= pairs - 4
+    _, tokens = near_dup.tokens_of(value, np.repeat(np.arange(2 * pairs), 90))
+    tokens = (tokens & 0xFFFF).astype(np.uint16)
+    one, two = tokens[::2], tokens[1::2]
+    for depth in (1, 3):
+        runs, met, alone = near_dup.runs_for(depth, 0.8, 0.9999), np.zeros(pairs, bool), []
+        for run in range(runs):
+            row, path = np.arange(pairs), near_dup.root_of(np.full(pairs, run))
+            for _ in range(depth):
+                r1, p1 = near_dup.children_of(path, one[row], 0.25)
+                r2, p2 = near_dup.children_of(path, two[row], 0.25)
+                same = p1 == p2  # a node's children stand in one order for all sets
+                assert (r1 == r2).all()
+                row, path = row[r1[same]], p1[same]
+            now = np.zeros(pairs, bool)
+            now[row] = True
+            alone.append(now.mean())
+            met |= now
+        assert -0.03 < np.mean(alone) - near_dup.survival(np.array([0.8]), depth, 0.25)[0] < 0.25  # some roots choose two tokens
+        near = (one == two).sum(axis=1) >= near_dup.least_share(0.8, 0.9999) * near_dup.TOKENS
+        assert (met & near).sum() >= pairs - 4
 
 
 def test_components(spark):
