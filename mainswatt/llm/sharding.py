@@ -2,19 +2,24 @@
 
 Records are hashed into ``slots`` virtual slots (thousands, fixed for the life of a dataset). Bytes are
 aggregated per slot (a partial sum per task, so no key is hot), and a versioned map gives each slot a
-shard. Rebalancing edits the map: rows move only with their slot. The map has ``slots`` rows whatever the
-data's size, so it is proven small and is broadcast.
+shard. The map is stored, one folder a version; rebalancing loads the last version, edits it and stores the
+next, and rows move only with their slot. The map has ``slots`` rows whatever the data's size, so it is
+proven small and is broadcast.
 
 Law ``bytes``: shards hold nearly equal bytes. The first map assigns slots, largest first, each to the
-shard with the fewest bytes so far; that greedy pass is a SQL ``aggregate`` over the slot array.
+shard with the fewest bytes so far; that greedy pass is a SQL ``aggregate`` over the slot array. Rows are
+hashed by id and text, so a group of equal texts spreads over all shards: kept together, a group that holds a
+third of all rows would break the law.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import fresh_path, materialise
+
 SLOTS = 4096
 
 
@@ -22,29 +27,35 @@ def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text
     """id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 and the virtual slot of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return narrow.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    mark = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    return narrow.withColumn("vslot", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % slots).cast("int"))
 
 
-def slot_sizes(rows: DataFrame) -> DataFrame:
-    """Bytes and rows per virtual slot in use."""
-    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Bytes and rows of every virtual slot, those without rows too."""
+    used = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+    return every.join(F.broadcast(used), "vslot", "left").select("vslot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
 
 
-def _greedy(sizes: DataFrame, loads: str, free: str) -> DataFrame:
-    """Give each slot of ``sizes``, largest first, the least loaded shard, from the starting ``loads`` (SQL array)."""
-    one = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "vslot")), True).alias("slots"))
-    step = f"""aggregate(slots, named_struct('loads', {loads}, 'at', cast(array() as array<int>)),
+def _dealt(sizes: DataFrame, held: DataFrame, shards: int) -> DataFrame:
+    """vslot, bytes, shard: each slot of ``sizes``, largest first, to the least loaded shard, on top of what shards hold already (``held``: shard, bytes)."""
+    loads = held.agg(F.map_from_entries(F.collect_list(F.struct("shard", "bytes"))).alias("m"))
+    one = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "vslot"))).alias("slots")).crossJoin(loads)  # one row each
+    start = f"transform(sequence(0, {int(shards) - 1}), s -> cast(coalesce(try_element_at(m, s), 0) as bigint))"
+    step = f"""aggregate(slots, named_struct('loads', {start}, 'at', cast(array() as array<int>)),
         (a, s) -> named_struct(
             'loads', transform(a.loads, (v, i) -> if(i = array_position(a.loads, array_min(a.loads)) - 1, v - s.minus, v)),
             'at', concat(a.at, array(cast(array_position(a.loads, array_min(a.loads)) - 1 as int)))),
         a -> a.at)"""
     dealt = one.select("slots", F.expr(step).alias("at")).select(F.explode(F.arrays_zip("slots", "at")).alias("z"))
-    return dealt.select(F.col("z.slots.vslot").alias("vslot"), (-F.col("z.slots.minus")).alias("bytes"), F.col("z.at").alias("shard"), F.expr(free).alias("version"))
+    return dealt.select(F.col("z.slots.vslot").alias("vslot"), (-F.col("z.slots.minus")).alias("bytes"), F.col("z.at").alias("shard"))
 
 
 def first_map(sizes: DataFrame, shards: int) -> DataFrame:
     """Version 1 of the slot-to-shard map: vslot, bytes, shard, version."""
-    return _greedy(sizes, f"array_repeat(cast(0 as bigint), {int(shards)})", "1")
+    nothing = sizes.select(F.lit(0).alias("shard"), "bytes").limit(0)
+    return _dealt(sizes, nothing, shards).withColumn("version", F.lit(1))
 
 
 def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
@@ -54,40 +65,49 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     smallest first up to the share, and the others (and new slots, and those of removed shards) are dealt
     anew, largest first. The moved bytes are thus near the least that evens the shards.
     """
-    now = sizes.join(F.broadcast(old.select("vslot", "shard", "version")), "vslot", "left")
-    share = sizes.agg((F.sum("bytes") / F.lit(shards)).alias("share"), F.lit(1).alias("one"))
-    version = old.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"))
+    now = sizes.select("vslot", "bytes").join(F.broadcast(old.select("vslot", "shard")), "vslot", "left")
+    share = sizes.agg((F.sum("bytes") / F.lit(shards)).alias("share"))
+    version = old.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).cast("int").alias("version"))
     near = Window.partitionBy("shard").orderBy("bytes", "vslot").rowsBetween(Window.unboundedPreceding, 0)
     marked = now.crossJoin(F.broadcast(share)).withColumn("upto", F.sum("bytes").over(near))
-    keep = F.col("shard").isNotNull() & (F.col("shard") < shards) & (F.col("upto") <= F.col("share"))
+    keep = F.coalesce(F.col("shard").isNotNull() & (F.col("shard") < shards) & (F.col("upto") <= F.col("share")), F.lit(False))
     kept = marked.filter(keep).select("vslot", "bytes", "shard")
-    held = kept.groupBy("shard").agg(F.sum("bytes").alias("b"))
-    loads = held.agg(F.map_from_entries(F.collect_list(F.struct("shard", "b"))).alias("m"))
-    moved = marked.filter(~F.coalesce(keep, F.lit(False))).select("vslot", "bytes")
-    start = f"transform(sequence(0, {int(shards) - 1}), s -> cast(coalesce(try_element_at(m, s), 0) as bigint))"
-    one = moved.agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "vslot")), True).alias("slots")).crossJoin(loads)
-    step = f"""aggregate(slots, named_struct('loads', {start}, 'at', cast(array() as array<int>)),
-        (a, s) -> named_struct(
-            'loads', transform(a.loads, (v, i) -> if(i = array_position(a.loads, array_min(a.loads)) - 1, v - s.minus, v)),
-            'at', concat(a.at, array(cast(array_position(a.loads, array_min(a.loads)) - 1 as int)))),
-        a -> a.at)"""
-    dealt = one.select("slots", F.expr(step).alias("at")).select(F.explode(F.arrays_zip("slots", "at")).alias("z"))
-    new = dealt.select(F.col("z.slots.vslot").alias("vslot"), (-F.col("z.slots.minus")).alias("bytes"), F.col("z.at").alias("shard"))
-    return kept.unionByName(new).crossJoin(F.broadcast(version)).withColumn("version", (F.col("v") + 1).cast("int")).drop("v")
+    new = _dealt(marked.filter(~keep).select("vslot", "bytes"), kept.groupBy("shard").agg(F.sum("bytes").alias("bytes")), shards)
+    return kept.unionByName(new).crossJoin(F.broadcast(version))
+
+
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Add a version of the map to those at ``path``."""
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the last one unless named."""
+    every = spark.read.schema("vslot int, bytes long, shard int, version int").parquet(path)
+    if version is not None:
+        return every.filter(F.col("version") == version)
+    return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version").select("vslot", "bytes", "shard", "version")
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, slot_map: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", resize: bool = False) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot (its place in the shard, from 0), grown_shard, vslot, map_version.
 
-    The place is the slot's start within its shard plus the row's rank within its virtual slot, so no window is
-    larger than one slot. Null texts count as empty (size 1) and null ids hash like any value; wholly equal rows
-    share a virtual slot and get places of their own. An empty table gives no rows; other columns are not read.
+    The map is stored at ``map_path`` (a new one in the shared folder unless given). Where that holds versions
+    already, the last one counts, or with ``resize`` is first edited for the present sizes and ``shards``. The place is the slot's start within its shard plus the row's rank
+    within its virtual slot, so no window is larger than one slot. Null texts count as empty (size 1) and null
+    ids hash like any value; wholly equal rows share a virtual slot and get places of their own. An empty table
+    gives no rows; other columns are not read, whatever their names. Texts of any length cost one hash.
     """
-    rows = with_slots(docs, slots, id_col, text_col)
-    sizes = slot_sizes(rows)
-    chosen = first_map(sizes, shards) if slot_map is None else slot_map
+    spark = docs.sparkSession
+    rows = materialise(with_slots(docs, slots, id_col, text_col))
+    sizes = materialise(slot_sizes(rows, slots))
+    if map_path is None:
+        map_path = fresh_path(spark)
+        store_map(first_map(sizes, shards), map_path)
+    elif resize:
+        store_map(materialise(rebalance(load_map(spark, map_path), sizes, shards)), map_path)
     order = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chosen.select("vslot", "shard", "version").join(F.broadcast(sizes.select("vslot", "rows")), "vslot")
+    starts = load_map(spark, map_path).select("vslot", "shard", "version").join(F.broadcast(sizes.select("vslot", "rows")), "vslot")
     starts = starts.withColumn("begin", F.coalesce(F.sum("rows").over(order), F.lit(0))).drop("rows")
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")
     placed = rows.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(starts), "vslot")
