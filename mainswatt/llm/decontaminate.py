@@ -2,10 +2,10 @@
 
 Text becomes a sequence of template tokens: runs of digits (with inner points and commas) become a number
 placeholder, a unit right after a number becomes a unit placeholder, runs of capitalised words inside a
-sentence become one name placeholder, all else is the lower-cased word. Windows of ``window`` template
+sentence become one name placeholder (capitals of ASCII and Latin-1), all else is the lower-cased word. Windows of ``window`` template
 tokens are hashed on both sides and hash-joined; where a window of a document equals one of an item, the
 values in its slots are paired, and the window stands only if each value of the item meets one value of the
-document throughout the window; every window is judged on its own. A question with other numbers or names is thus found, a chance template is not.
+document, and each of the document one of the item, throughout the window; every window is judged on its own. A question with other numbers or names is thus found, a chance template is not.
 An item's first word, which opens a sentence there but not where a document quotes it after other words, is
 read both ways. Windows that hold too few plain words, and items too short, are found by their raw words.
 
@@ -189,6 +189,7 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
         stands = set()
         for i, there, ordinal, size, same in hits:
             means: dict[tuple[int, bytes], bytes] = {}
+            stems: dict[tuple[int, bytes], bytes] = {}
             mine: dict[int, bool] = {}
             good = True
             for k in range(size):
@@ -199,7 +200,8 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
                     mine[there + k] = False
                     continue
                 ours = bytes(data[t["start"][i + k] : t["end"][i + k]]).lower()
-                good &= means.setdefault((int(t["kind"][i + k]), theirs), ours) == ours
+                kind = int(t["kind"][i + k])
+                good &= means.setdefault((kind, theirs), ours) == ours and stems.setdefault((kind, ours), theirs) == theirs
                 mine[there + k] = ours != theirs
             if good:
                 stands.add(ordinal)
