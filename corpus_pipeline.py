@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mainswatt.llm import decontaminate, language, line_dedup, near_dup, packing
-from mainswatt.llm.common import materialise
+from mainswatt.sources.shared import materialise
 from mainswatt.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
