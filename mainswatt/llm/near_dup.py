@@ -4,8 +4,9 @@ Documents are sets of shingles of ``shingle`` words, drawn as ``TOKENS`` min-has
 share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: each node
 chooses one of the tokens, and with probability 1 / threshold - 1 a second one, by the hash of its path; a set
 goes on to the child of each value it has there, so a pair at the threshold is expected to stay together in one
-child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; one that
-hardly shrinks at a split holds sets that are near each other, and is compared block against block.
+child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; one of a few
+times as many, or one that hardly shrinks at a split since its sets are near each other, is compared block against
+block.
 
 Runs are repeated until the target recall. How many that takes follows from the depth at which sets come to
 rest (:func:`runs_for`): most rest at once and leave after a few runs; those in crowded nodes, as a passage that
@@ -34,8 +35,10 @@ from .components import components
 
 TOKENS = 128
 BUCKET = 256
+CROWD = 8
+"""A node of up to so many leaves' sets is compared block against block, not split."""
 DENSE = 0.7
-"""A child with this share of its parent's sets is not split further."""
+"""Nor is a child with this share of its parent's sets."""
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,43 +245,40 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
     shape = "doc long, path long, parent long"
     runs = [0, runs_for(1, threshold, recall)]  # by depth
     wanted = reps.select("doc", "tokens", F.lit(0).alias("lo"), F.lit(runs[1]).alias("hi"), F.lit(n).cast("long").alias("size"))
-    leaves, crowds, count, rest = [], [], 0, None  # rest: doc and the depth that its runs allow for
+    nodes, crowds, rest = [], [], None  # rest: doc and the depth that its runs allow for
     while True:
         rows, level, opened = wanted.mapInArrow(first, shape), 1, []
         while True:
             rows = materialise(rows)
-            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
-            total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-            met = materialise(join_split(rows, sizes.withColumnRenamed("n", "size"), "path", sizes, total))
-            leaves.append(met.filter(F.col("size") <= bucket).select("doc", "path"))
-            count += total
-            if most <= bucket:
-                break
-            big = met.filter(F.col("size") > bucket)
-            crowds.append(big.filter(F.col("size") >= DENSE * F.col("parent")).select("doc", "path", "size"))
-            going = materialise(big.filter(F.col("size") < DENSE * F.col("parent")).select("doc", "path", "size"))
-            if going.isEmpty():
+            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n > 1"))
+            nodes.append((rows, sizes))
+            if level > 1:
+                opened.append(rows.select("doc", F.lit(level).alias("depth")))
+            open_ = sizes.filter((F.col("n") > CROWD * bucket) & (F.col("n") < DENSE * F.col("parent")))
+            total, crowded, more = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > bucket), F.count_if((F.col("n") > CROWD * bucket) & (F.col("n") < DENSE * F.col("parent")))).first()
+            counts = sizes.filter(F.col("n") > bucket).select("path", "n")
+            if crowded > more:
+                crowds.append(join_split(rows.select("doc", "path"), sizes.join(open_.select("path"), "path", "left_anti").filter(F.col("n") > bucket).select("path", F.col("n").alias("size")), "path", counts, total))
+            if not more:
                 break
             level += 1
-            opened.append(going.select("doc").distinct().withColumn("depth", F.lit(level)))
-            rows = _marked(reps, going.select("doc").distinct()).join(going, "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
+            going = join_split(rows.select("doc", "path"), open_.select("path", F.col("n").alias("size")), "path", counts, total)
+            rows = going.join(reps, "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
         if not opened:
             break
         runs += [runs_for(d, threshold, recall) for d in range(len(runs), level + 1)]
-        after = F.element_at(F.array(*map(F.lit, runs[1:])), F.col("depth"))
+        allowed = lambda depth: F.element_at(F.array(*map(F.lit, runs[1:])), depth)
         deep = reduce(DataFrame.unionByName, opened).groupBy("doc").agg(F.max("depth").alias("depth"))
-        if rest is None:
-            grown = deep.withColumn("lo", F.lit(runs[1]))
-        else:
-            grown = deep.join(rest.withColumnRenamed("depth", "before"), "doc", "left").filter(F.col("before").isNull() | (F.col("depth") > F.col("before")))
-            grown = grown.withColumn("lo", F.element_at(F.array(*map(F.lit, runs[1:])), F.coalesce("before", F.lit(1)))).drop("before")
-        grown = materialise(grown.withColumn("hi", after))
+        grown = deep.withColumn("before", F.lit(1)) if rest is None else deep.join(rest.withColumnRenamed("depth", "before"), "doc", "left").withColumn("before", F.coalesce("before", F.lit(1))).filter(F.col("depth") > F.col("before"))
+        grown = materialise(grown.select("doc", "depth", allowed(F.col("before")).alias("lo"), allowed(F.col("depth")).alias("hi")))
         more = grown.count()
         if not more:
             break
-        rest = grown.select("doc", "depth") if rest is None else materialise(rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth")))
-        wanted = _marked(reps, grown.select("doc")).join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
-    out = leaf_links(reduce(DataFrame.unionByName, leaves).join(reps, "doc"), count)
+        rest = grown.select("doc", "depth") if rest is None else rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth"))
+        wanted = reps.join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
+    met = reduce(DataFrame.unionByName, [r.select("doc", "path").join(s.filter(F.col("n") <= bucket).select("path"), "path") for r, s in nodes])
+    met = materialise(met)
+    out = leaf_links(met.join(reps, "doc"), met.count())
     if crowds:
         tasks = _blocks(reduce(DataFrame.unionByName, crowds).join(reps, "doc"), "bucket", "size").select("path", "lo", "hi", "block", "doc", "tokens")
         out = out.unionByName(tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long"))
