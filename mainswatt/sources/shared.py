@@ -77,16 +77,16 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 _delete(spark, path)
 
 
-def join_split(many: DataFrame, one: DataFrame, on: str, counts: DataFrame, total: int) -> DataFrame:
+def join_split(many: DataFrame, one: DataFrame, on: str | list[str], counts: DataFrame, total: int) -> DataFrame:
     """Inner join of ``many`` rows a key with the ``one`` row a key of the other side, hot keys split.
 
     ``counts`` has ``on`` and ``n``, the rows of ``many`` by key, and ``total`` their sum. A hot key's rows are dealt
     to as many parts as keep each under the bound, and its row on the other side is copied to each. Hot keys are
     at most ``HOT_KEYS``, so their table is broadcast.
     """
-    most = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(counts.filter(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    most, on = max(HOT_ROWS, total // HOT_KEYS), [on] if isinstance(on, str) else on
+    hot = F.broadcast(counts.filter(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__parts")))
     part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), F.col("__parts"))).cast("int")
     dealt = many.join(hot, on, "left").withColumn("__part", part).drop("__parts")
     copied = one.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1))).drop("__parts")
-    return dealt.join(copied, [on, "__part"]).drop("__part")
+    return dealt.join(copied, [*on, "__part"]).drop("__part")
