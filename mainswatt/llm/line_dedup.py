@@ -1,19 +1,23 @@
 """Line dedup by pairwise alignment.
 
 Every line of at least ``min_words`` words is an anchor; a shorter one makes an anchor with as many lines
-after it as complete ``min_words``, and where words are long a word is four characters. Grouping anchors by hash tells the first document
-that holds each; a later document with a shared anchor is linked to that first holder, so links grow with
-the lines and never with the square of a group (a line that a third of all documents hold costs one link a
-document). The rarer the line, the more telling the link: links carry the least document frequency of their
-anchors. Linked documents are aligned with patience diff (lines unique on both sides, longest increasing
-subsequence, equal neighbours, recursion between; the exact longest common subsequence of a range that has
-no such line), and aligned common blocks of ``min_words`` or more are deleted
-from the later document.
+after it as complete ``min_words``, and where words are long a word is four characters. Grouping anchors by hash
+tells the first document that holds each, and how many do; a later document with a shared anchor is linked to that
+first holder, so links grow with the lines and never with the square of a group.
+
+Rare lines link first: those that at most ``RARE`` documents hold. Linked documents are aligned with patience diff
+(lines unique on both sides, longest increasing subsequence, equal neighbours, recursion between; the exact
+longest common subsequence of a range that has no such line), and aligned common blocks of ``min_words`` or more
+are deleted from the later document. Common lines (licence lines, menus) mostly go with the blocks that rare lines
+align; only where one still stands does it link its document to the line's first holder. So a line that a third of
+all documents hold makes no link for a copy that its text's rare lines gave away.
 
 Anchors of which an occurrence still stands are then linked to further earlier holders in rounds: to the
 least of each share of the holders, and at last to all that were not tried. Every anchor that some earlier
 holder aligns is so deleted. Most lines go with the first holders; one that no holder aligns is compared with
 every earlier holder, the one part whose cost is not bounded by the lines.
+
+Lines count as equal where their 64-bit hashes are: among 10^12 different lines some tens of pairs collide.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import join_split, materialise
 from .common import _BASE, mix
 
+RARE = 16
+"""Documents that hold a rare line, at most."""
 SALTS = (16, 64)
 """Shares that the holders of a line still standing are dealt to, by round: the least of each share, then all."""
 
@@ -183,8 +189,8 @@ def telling(blocks: list[tuple[int, int, int]], a: list[int], b: list[int], word
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
-    """doc_id, first (an earlier document), rarest: one row per pair to align."""
-    return met.filter("doc_id > first").groupBy("doc_id", "first").agg(F.min("df").alias("rarest"))
+    """doc_id, first (an earlier document): one row per pair to align."""
+    return met.filter("doc_id > first").select("doc_id", "first").distinct()
 
 
 def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,43 +209,46 @@ def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_c
                         kept.append(i), count.append(len(blocks))
                         lines.append([j for _, s, n in blocks for j in range(s, s + n)])
                 if kept:
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(kept)), "gone": pa.array(lines, pa.list_(pa.int32())), "blocks": pa.array(count, pa.int64()), "rarest": part.column("rarest").take(pa.array(kept))})
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(pa.array(kept)), "gone": pa.array(lines, pa.list_(pa.int32())), "blocks": pa.array(count, pa.int64())})
 
     def aligned(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs)
         later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("words").alias("w"))
         earlier = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-        both = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "a", "b", "w", "rarest")
-        return materialise(both.mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long, rarest long"))
+        both = join_split(pairs, earlier, "first", pairs.groupBy("first").agg(F.count("*").alias("n")), pairs.count())
+        return materialise(both.join(later, "doc_id").select("doc_id", "a", "b", "w").mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long"))
 
     def merged(found: DataFrame) -> DataFrame:
-        by_rarity = F.transform(F.sort_array(F.collect_list(F.struct("rarest", "gone"))), lambda x: x["gone"])
-        return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(by_rarity))).alias("gone"), F.sum("blocks").alias("blocks"))
+        return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.sum("blocks").alias("blocks"))
 
     runs = materialise(anchors_of(rows, min_words))
     anchors = runs.select("doc_id", "h").distinct()
     lines = materialise(anchors.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"), F.count("*").alias("df")).filter("first < final").drop("final"))
-    held = materialise(anchors.join(lines, "h"))
+    counts, total = lines.select("h", F.col("df").alias("n")), lines.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    held = materialise(join_split(anchors, lines, "h", counts, total))
 
     def undone(found: DataFrame, last: DataFrame) -> DataFrame:
-        """The rows (doc_id, h) of ``last`` of which a line stands."""
+        """The rows (doc_id, h, first, df) of ``last`` of which a line stands."""
         met = runs.join(last, ["doc_id", "h"]).join(merged(found).select("doc_id", "gone"), "doc_id", "left")
-        return met.filter(F.col("gone").isNull() | (F.size(F.array_except("at", "gone")) > 0)).select("doc_id", "h", "df").distinct()
+        return materialise(met.filter(F.col("gone").isNull() | (F.size(F.array_except("at", "gone")) > 0)).select("doc_id", "h", "first", "df").distinct())
 
-    found = aligned(pairs_of(held))
+    later = held.filter("doc_id > first").select("doc_id", "h", "first", "df")
+    found = aligned(pairs_of(later.filter(F.col("df") <= RARE)))
+    found = found.unionByName(aligned(pairs_of(undone(found, later.filter(F.col("df") > RARE)))))
     # A line that two documents hold has no other holder before the later one.
-    left = materialise(undone(found, held.filter("doc_id > first and df > 2").select("doc_id", "h", "df")))
+    left = undone(found, later.filter("df > 2"))
     tried = lines.select("h", F.col("first").alias("holder"))
     for salts in SALTS:
         if left.isEmpty():
             break
-        rest = held.select("h", F.col("doc_id").alias("holder")).join(left.groupBy("h").agg(F.max("doc_id").alias("until")), "h").filter("holder < until").drop("until")
+        rest = join_split(held.select("h", F.col("doc_id").alias("holder")), left.groupBy("h").agg(F.max("doc_id").alias("until")), "h", counts, total).filter("holder < until").drop("until")
         rest = rest.join(tried, ["h", "holder"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("holder"), F.lit(salts)))
-        chosen = materialise(rest.groupBy("h", "salt").agg(F.min("holder").alias("holder")) if salts < SALTS[-1] else rest)
-        met = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).join(chosen, ["h", "salt"])
-        more = aligned(pairs_of(met.withColumnRenamed("holder", "first")))
-        found = found.unionByName(more)
+        chosen = materialise(rest.groupBy("h", "salt").agg(F.min("holder").alias("first")) if salts < SALTS[-1] else rest.withColumnRenamed("holder", "first"))
+        dealt = left.drop("first").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        by = dealt.groupBy("h", "salt").agg(F.count("*").alias("n"))
+        found = found.unionByName(aligned(pairs_of(join_split(dealt, chosen, ["h", "salt"], by, salts * left.count()))))
         if salts < SALTS[-1]:
-            left, tried = materialise(undone(found, left)), tried.unionByName(chosen.select("h", "holder"))
+            left, tried = undone(found, left), tried.unionByName(chosen.select("h", F.col("first").alias("holder")))
     return merged(found)
 
 
@@ -249,14 +258,14 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     The earlier of two documents is that of the smaller id; n_blocks counts the blocks of all alignments made. Null texts count as empty and stay null; documents
     with a null id stay as they are. Rows that repeat an id are one document (of equal text) to the alignment
     and are each edited alike. Lines of fewer than ``min_words`` words go only inside a block that has as many.
-    An empty table gives no rows. Input columns named like an output column are replaced.
+    An empty table gives no rows. Input columns named like an output column are replaced; others may have any names.
     """
     gone = removals(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__doc"), F.col("gone").alias("__gone"), F.col("blocks").alias("__blocks"))
     kept = docs.drop("n_lines", "n_removed", "n_blocks")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    out = kept.join(gone, kept[id_col] == F.col("__doc"), "left")
-    n = F.coalesce(F.size("__gone"), F.lit(0))
+    of = {c: F.col(f"__kept.`{c}`") for c in kept.columns}
+    out = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("__kept")).join(gone, of[id_col] == F.col("__doc"), "left")
+    lines = F.split(F.coalesce(of[text_col], F.lit("")), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    out = out.withColumns({text_col: text, "n_lines": F.size(lines).cast("long"), "n_removed": F.greatest(n, F.lit(0)).cast("long"), "n_blocks": F.coalesce("__blocks", F.lit(0)).cast("long")})
-    return out.select(*kept.columns, "n_lines", "n_removed", "n_blocks")
+    text = F.when(F.col("__gone").isNull(), of[text_col]).otherwise(left)
+    n = F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*[(text if c == text_col else of[c]).alias(c) for c in kept.columns], F.size(lines).cast("long").alias("n_lines"), n.alias("n_removed"), F.coalesce("__blocks", F.lit(0)).cast("long").alias("n_blocks"))
