@@ -9,8 +9,8 @@ entries that a look-up compares. A text takes the language of least cross-entrop
 
 Text is lower-cased, everything but letters becomes one space, and every character of the whole text
 counts. A text without letters is ``und``. ``rejected`` marks texts that no language explains: their
-cross-entropy lies beyond the language's calibrated limit, which is fitted on documents that the models
-were not trained on.
+cross-entropy lies beyond the language's limit, which is fitted to a stated rate of false rejects on documents
+that the models were not trained on.
 """
 
 from __future__ import annotations
@@ -23,11 +23,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .common import CHUNK, chunks, lower, mix
 
 ORDER = 4
 UND = "und"
+REJECT_RATE = 1e-4
+"""Share of texts in a known language that calibration allows to be rejected."""
+MOST_CHARS = 1 << 16
+"""Characters of a sampled text that count for learning."""
 _K = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -54,32 +59,53 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(alpha[keep], code[keep], 32).astype(np.uint64), row[keep], count
 
 
-def keys(code: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the ``n`` characters that end at each position; before a row stand spaces."""
-    with np.errstate(over="ignore"):
-        out = np.full(len(code), n, np.uint64)
-        for back in range(n - 1, -1, -1):
-            c = code
-            if back:
+class Grams:
+    """Hashes of the characters that end at each position and of those before them, by order; before a row stand spaces."""
+
+    def __init__(self, code: np.ndarray, row: np.ndarray, order: int):
+        self.code, self.back = code, [code]
+        with np.errstate(over="ignore"):
+            for k in range(1, order):
                 c = np.full(len(code), 32, np.uint64)
-                if back < len(code):
-                    same = row[back:] == row[:-back]
-                    c[back:][same] = code[:-back][same]
-            out = mix(out * _K + c) if back == 0 else out * _K + mix(c + np.uint64(back << 32))
+                if k < len(code):
+                    same = row[k:] == row[:-k]
+                    c[k:][same] = code[:-k][same]
+                self.back.append(mix(c + np.uint64(k << 32)))
+
+    def _folded(self, n: int, at: np.ndarray | slice) -> np.ndarray:
+        out = np.full(len(self.code[at]), n, np.uint64)
+        for k in range(n - 1, 0, -1):
+            out = out * _K + self.back[k][at]
         return out
 
+    def keys(self, n: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the ``n`` characters that end at the positions ``at``."""
+        with np.errstate(over="ignore"):
+            return mix(self._folded(n, at) * _K + self.code[at])
+
+    def contexts(self, n: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the ``n - 1`` characters before them."""
+        with np.errstate(over="ignore"):
+            return mix(self._folded(n, at))
+
+
+def keys(code: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` characters that end at each position."""
+    return Grams(code, row, n).keys(n)
+
 
 def contexts(code: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n - 1`` characters before each position, as used by :func:`keys` of order ``n``."""
-    with np.errstate(over="ignore"):
-        out = np.full(len(code), n, np.uint64)
-        for back in range(n - 1, 0, -1):
-            c = np.full(len(code), 32, np.uint64)
-            if back < len(code):
-                same = row[back:] == row[:-back]
-                c[back:][same] = code[:-back][same]
-            out = out * _K + mix(c + np.uint64(back << 32))
-        return mix(out)
+    return Grams(code, row, n).contexts(n)
+
+
+def _by_row(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of ``values`` (a matrix) over equal, ascending ``row``."""
+    out = np.zeros((rows, values.shape[1]))
+    if len(row):
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[start]] = np.add.reduceat(values, start, axis=0, dtype=np.float64)
+    return out
 
 
 class Table:
@@ -164,36 +190,44 @@ class Models:
         """Nats per character of each row under each language, and letters per row."""
         code, row, count = normalised(column)
         total = np.zeros((len(count), len(self.langs)))
-        todo = np.arange(len(code))
         order = max(self.grams)
+        grams, todo = Grams(code, row, order), np.arange(len(code))
         for n in range(order, 0, -1):
-            h = keys(code, row, n)[todo] if len(todo) < len(code) else keys(code, row, n)
-            at = self.grams[n].find(h)
+            at = self.grams[n].find(grams.keys(n, todo))
             hit = at >= 0
-            for j in range(len(self.langs)):
-                total[:, j] += np.bincount(row[todo[hit]], self.grams[n].values[at[hit], j], len(count))
+            total += _by_row(row[todo[hit]], self.grams[n].values[at[hit]], len(count))
             todo = todo[~hit]
             if not len(todo):
                 break
-            ctx = self.weights[n].find(contexts(code, row, n)[todo])
-            for j in range(len(self.langs)):
-                total[:, j] += np.bincount(row[todo], self.weights[n].values[ctx, j], len(count))
+            total += _by_row(row[todo], self.weights[n].values[self.weights[n].find(grams.contexts(n, todo))], len(count))
         if len(todo):
             total += np.bincount(row[todo], minlength=len(count))[:, None] * self.floor
         size = np.bincount(row, minlength=len(count))
         return -total / np.maximum(size, 1)[:, None], count
 
-    def calibrate(self, texts: dict[str, list[str]], slack: float = 1.25) -> None:
-        """Fit the limits (``slack`` times the largest calibration entropy, at most that of a uniform guess) and the score's scale."""
-        gaps = []
+    def calibrate(self, texts: dict[str, list[str]], reject_rate: float = REJECT_RATE) -> None:
+        """Fit the limits of rejection and the score's scale on texts that the models have not seen.
+
+        A text's entropy over its language's median is a gap. Gaps beyond their 90 per cent quantile fall off about
+        exponentially; the limit is where that tail, over all languages, leaves ``reject_rate`` of true texts, and a
+        quarter over the median at least, since few texts tell little of a tail.
+        """
+        gaps, margins, median = [], [], {}
         for j, lang in enumerate(self.langs):
             e, count = self.entropies(pa.array(texts.get(lang, []), pa.string()))
             e = e[count > 0]
             if len(e):
-                self.limits[j] = max(float(e[:, j].max()) * slack, float(e[:, j].mean() + 8 * e[:, j].std()))
+                median[j] = float(np.median(e[:, j]))
+                gaps += (e[:, j] - median[j]).tolist()
             if len(e) and len(self.langs) > 1:
-                gaps += (np.sort(e, axis=1)[:, 1] - e.min(axis=1)).tolist()
-        self.scale = 3.0 / max(float(np.median(gaps)), 1e-3) if gaps else 1.0
+                margins += (np.sort(e, axis=1)[:, 1] - e.min(axis=1)).tolist()
+        if gaps:
+            edge = float(np.quantile(gaps, 0.9))
+            beyond = [g - edge for g in gaps if g > edge]
+            tail = edge + float(np.mean(beyond or [0.0])) * np.log(0.1 / reject_rate)
+            for j, m in median.items():
+                self.limits[j] = m + max(tail, 0.25 * m)
+        self.scale = 3.0 / max(float(np.median(margins)), 1e-3) if margins else 1.0
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, entropy and rejection of each row."""
@@ -206,26 +240,29 @@ class Models:
         score = 1 / soft.sum(axis=1)
         none = count == 0
         names = [UND if z else self.langs[b] for b, z in zip(best.tolist(), none.tolist())]
-        room = 4 / np.sqrt(np.maximum(count, 1))  # a short text's mean scatters more
+        room = 4 / np.sqrt(np.maximum(count, 1))  # a short text's mean scatters more: about three deviations of one letter's
         return names, np.where(none, 0.0, score), least, none | (least > self.limits[best] + room)
 
 
-def fit(labelled: DataFrame, sample: int = 400, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, bytes_most: int = 64 << 20) -> Models:
+def fit(labelled: DataFrame, sample: int = 400, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, bytes_most: int = 64 << 20, langs_most: int = 1024) -> Models:
     """Learn the models from about ``sample`` documents a language, and calibrate on a fifth of them.
 
     The bounds of the sample: rows whose id hash falls under ``sample / rows of the language``, at most
-    ``2 * sample`` rows a language and ``bytes_most`` bytes in all. Rows without language or text don't count.
+    ``2 * sample`` rows a language (least hashes first), ``MOST_CHARS`` characters of each and ``bytes_most``
+    characters in all, of the ``langs_most`` languages with most rows. Rows without language or text don't count;
+    no rows make models without languages.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs_most).collect()}
     if not counts:
         return Models.train({}, order)
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()])
+    chance = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(draw < chance).withColumn("draw", draw)
     texts: dict[str, list] = {k: [] for k in counts}
     held = 0
-    for r in picked.limit(2 * sample * len(counts)).collect():
+    picked = picked.withColumn("text", F.substring("text", 1, MOST_CHARS)).orderBy("draw", "id", "text").limit(2 * sample * len(counts))
+    for r in picked.collect():
         held += len(r["text"])
         if held <= bytes_most and len(texts[r["lang"]]) < 2 * sample:
             texts[r["lang"]].append((r["draw"], r["text"]))
@@ -243,24 +280,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: id, lang_pred, score, entropy, rejected (and the ``keep`` columns unchanged).
+    """One row per document: id, lang_pred, score, entropy, rejected; with ``keep``, a struct ``kept`` of those columns too.
 
     Null texts and texts without a letter are ``und``, score 0, rejected. Repeated rows are each predicted;
-    an empty table gives no rows. Other columns are not read; ``keep`` must not name an output column.
+    an empty table gives no rows. Other columns are not read, and kept ones may have any names. Every character
+    of a text counts, however long it is.
     """
-    keep = keep or []
     held = docs.sparkSession.sparkContext.broadcast(models)
-    own = {id_col: "__id", text_col: "__text"}  # sent once
-    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c) for c in keep if c not in own])
-    keep = [c for c in keep if c != id_col]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"__id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, entropy double, rejected boolean" + (f", {kinds}" if keep else "")
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *([F.struct(*[F.col(f"`{c}`") for c in keep if c != text_col], F.lit(1).alias("__one")).alias("__kept")] if keep else []))
+    found = [StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("entropy", DoubleType()), ("rejected", BooleanType()))]
+    schema = StructType([narrow.schema["__id"], *found, *([narrow.schema["__kept"], narrow.schema["__text"]] if keep else [])])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "__text", CHUNK // 2):
                 lang, score, entropy, bad = held.value.predict(batch.column("__text"))
                 out = {"__id": batch.column("__id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "entropy": pa.array(entropy), "rejected": pa.array(bad)}
-                yield pa.RecordBatch.from_pydict(out | {c: batch.column(own.get(c, c)) for c in keep})
+                yield pa.RecordBatch.from_pydict(out | ({c: batch.column(c) for c in ("__kept", "__text")} if keep else {}))
 
-    return narrow.mapInArrow(predict, schema).withColumnRenamed("__id", id_col)
+    out = narrow.mapInArrow(predict, schema)
+    if keep:
+        inner = [F.col("__text").alias(c) if c == text_col else F.col(f"__kept.`{c}`").alias(c) for c in keep]
+        return out.select(F.col("__id").alias(id_col), "lang_pred", "score", "entropy", "rejected", F.struct(*inner).alias("kept"))
+    return out.withColumnRenamed("__id", id_col)
