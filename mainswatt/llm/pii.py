@@ -1,19 +1,24 @@
 """Personal data by a character-level bidirectional LSTM with CRF transitions.
 
 The tagger is trained in numpy on labelled spans: windows of a bounded sample of the corpus, labelled by the
-base patterns, together with made-up strings of each kind written side by side (which a pattern that takes
-the longest match reads as one and drops). Tags are begin and inside of the four kinds, and outside.
-
-A span of any of the kinds holds a digit or an at sign. Windows of ``WINDOW`` characters, half overlapping,
-are laid over every such character and its surroundings, wherever in the text; a window without one can hold
-no span. The network scores each window; where windows overlap, scores are averaged by how central the
-character stands, and one Viterbi pass decodes each maximal stretch of windows whole. Decoded spans are added
-where they pass their kind's check (Luhn, byte range, digit count) and touch no base span; base spans stay.
+base patterns, together with made-up strings of each kind. Those are written side by side (which a pattern that
+takes the longest match reads as one and drops), and in ways that the patterns do not know: addresses with the at
+sign or the points spelled out, phone numbers without a plus, cards cut by points, bracketed points in IP addresses;
+dates, amounts, versions and plain numbers stand among them unlabelled. Tags are begin and inside of the four
+kinds, and outside.
+
+Windows of ``WINDOW`` characters, half overlapping, are laid over every digit, at sign or spelled-out at and its
+surroundings, wherever in the text; a window without one can hold no span. The network scores each window; where
+windows overlap, scores are averaged by how central the character stands, and one Viterbi pass decodes each maximal
+stretch of windows whole (one of over ``PIECE`` characters in pieces that overlap and meet in the middle of the
+overlap, so memory stays bounded). Decoded spans are added where, written the usual way, they pass their kind's
+check (Luhn, byte range, digit count) and touch no base span; base spans stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +27,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
-from .spans import PERSONAL, digest, digits_of, holds, joined, luhn, personal
+from .spans import PERSONAL, digest, holds, joined, luhn, personal
 
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 SAMPLE = 512
 TAGS = 1 + 2 * len(PERSONAL)
 _CLASSES = "@.-+()% _,:\n\"'="
 CLASSES = len(_CLASSES) + 6
-_trigger = re.compile("[0-9@]")
-_email_shape = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_shapes = {"email": _email_shape, "ip": re.compile(r"[0-9]+(\.[0-9]+){3}"), "card": re.compile(r"[0-9]([ -]?[0-9])+"), "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]")}
+_trigger = re.compile(r"[0-9@]|[(\[{] ?[Aa][Tt] ?[)\]}]| (?:at|AT) (?=[^\n]{1,40} (?:dot|DOT) )")
+_at = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at ", re.IGNORECASE)
+_dot = re.compile(r" ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot ", re.IGNORECASE)
+_email_shape = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_ip_shape = re.compile(r"[0-9]+(\.[0-9]+){3}")
+_card_shape = re.compile(r"[0-9]+([ .-]?[0-9])+")
+_phone_shape = re.compile(r"\+?\(?[0-9]+\)?([ ./-]{0,2}\(?[0-9]+\)?)+")
+_date = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
+PIECE, OVERLAP = 1 << 16, 4 * 64
+"""Characters decoded in one pass, and those that two passes share."""
+
+
+def plausible(kind: str, s: str) -> bool:
+    """Whether a string that the network found is of its kind, once spelled-out signs are written the usual way."""
+    if kind == "email":
+        return bool(_email_shape.fullmatch(_dot.sub(".", _at.sub("@", s))))
+    if kind == "ip":
+        plain = _dot.sub(".", s)
+        return bool(_ip_shape.fullmatch(plain)) and holds("ip", plain)
+    if kind == "card":
+        return bool(_card_shape.fullmatch(s)) and holds("card", s)
+    parts = len(re.findall("[0-9]+", s))
+    return bool(_phone_shape.fullmatch(s)) and holds("phone", s) and (s[0] == "+" or parts > 2) and not _date.search(s) and not _ip_shape.fullmatch(s)
 
 
 def _class_table() -> np.ndarray:
@@ -64,7 +89,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Weights of both LSTM directions, the emission layer and the CRF."""
 
-    def __init__(self, hidden: int = 16, seed: int = 7):
+    def __init__(self, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -135,7 +160,7 @@ class Tagger:
                 dh_next, dc = dz @ w[f"re_{d}"].T, dc * fg
         return float((z.sum() - gold) / n), {k: v / n for k, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 48, rate: float = 0.02, seed: int = 11) -> Tagger:
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 56, rate: float = 0.02, seed: int = 11) -> Tagger:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -164,21 +189,37 @@ class Tagger:
         return tags
 
 
-def _made_up(rng: np.random.Generator, kind: str) -> str:
+def _made_up(rng: np.random.Generator, kind: str, odd: float = 0.0) -> str:
+    """A string of a kind, with probability ``odd`` written in a way that the base patterns do not know."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    strange = rng.random() < odd
     if kind == "email":
-        return f"{word()}{rng.choice(['', '.', '_', '-'])}{d(rng.integers(0, 3))}@{word()}{d(rng.integers(0, 2))}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}".replace(".@", "@")
+        out = f"{word()}{rng.choice(['', '.', '_', '-'])}{d(rng.integers(0, 3))}@{word()}{d(rng.integers(0, 2))}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}".replace(".@", "@")
+        if strange:
+            at, dot = [(" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot "), (" AT ", " DOT ")][rng.integers(0, 6)]
+            name, host = out.split("@")
+            out = name + at + host.replace(".", dot)
+        return out
     if kind == "ip":
-        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        return ["[.]", "(.)"][rng.integers(0, 2)].join(str(x) for x in rng.integers(0, 256, 4)) if strange else ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "phone":
+        if strange:
+            return str(rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{rng.integers(2, 10)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{rng.integers(2, 10)}{d(2)}.{d(3)}.{d(4)}"]))
         return f"+{rng.integers(1, 99)} " + rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(10)}"])
     body = str(rng.integers(3, 7)) + d(14)
     body += next(c for c in "0123456789" if luhn(body + c))
-    gap = rng.choice(["", " ", "-"], p=[0.6, 0.2, 0.2])
+    gap = "." if strange else rng.choice(["", " ", "-"], p=[0.6, 0.2, 0.2])
     return gap.join(body[i : i + 4] for i in range(0, 16, 4))
 
 
+def _distractor(rng: np.random.Generator) -> str:
+    """Digits and ats that are nobody's data."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    forms = [d(rng.integers(1, 9)), f"20{d(2)}-0{rng.integers(1, 10)}-1{d(1)}", f"1{d(1)}/0{rng.integers(1, 10)}/19{d(2)}", f"{rng.integers(0, 9)}.{d(1)}.{d(2)}", f"${d(3)},{d(3)}.{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", d(rng.integers(16, 40)), f"at {d(1)} or", f"{d(3)}-{d(3)}", f"@{d(2)}"]
+    return forms[rng.integers(0, len(forms))]
+
+
 def labelled(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     y = np.zeros(len(text), np.int64)
     for kind, s, e in spans:
@@ -187,10 +228,10 @@ def labelled(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return y
 
 
-def training_set(samples: list[str], made: int = 1200, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def training_set(samples: list[str], made: int = 1800, seed: int = 3, odd: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Windows and tags: sampled texts under the base patterns, and made-up strings set among sampled words."""
     rng, xs, ys = np.random.default_rng(seed), [], []
-    plain = [w for t in samples for w in t.split() if not _trigger.search(w)] or ["and", "the", "of", "to"]
+    plain = [w for t in samples for w in t.split() if not _trigger.search(w)] or ["and", "the", "of", "to", "at", "call", "mail"]
 
     def put(text: str, y: np.ndarray) -> None:
         x = np.full(WINDOW, _PAD, np.uint8)
@@ -202,21 +243,31 @@ def training_set(samples: list[str], made: int = 1200, seed: int = 3) -> tuple[n
         for at in range(0, max(1, len(text) - WINDOW // 2), STRIDE):
             put(text[at : at + WINDOW], y[at : at + WINDOW])
     for _ in range(made):
-        parts = [(str(rng.choice(plain)), "") for _ in range(rng.integers(0, 4))]
-        for _ in range(rng.integers(1, 4)):
-            kind = str(rng.choice(PERSONAL))
-            parts.append((_made_up(rng, kind), kind))
-        parts += [(str(rng.choice(plain)), "") for _ in range(2)] + [("".join(map(str, rng.integers(0, 10, rng.integers(1, 9)))), "")] * int(rng.random() < 0.4)
-        text, spans = "", []
-        for s, kind in parts:
-            if kind:
-                spans.append((kind, len(text), len(text) + len(s)))
-            text += s + " "
+        text, spans = made_up_text(rng, plain, odd)
         at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
         put(text[at : at + WINDOW], labelled(text, spans)[at : at + WINDOW])
     return np.array(xs), np.array(ys)
 
 
+def made_up_text(rng: np.random.Generator, plain: list[str], odd: float) -> tuple[str, list[tuple[str, int, int]]]:
+    """A line of words, strings of the kinds and distractors, and where the strings stand."""
+    words = lambda n: [(str(w), "") for w in rng.choice(plain, n)]
+    parts = words(rng.integers(0, 4))
+    for _ in range(rng.integers(1, 4)):
+        kind = str(rng.choice(PERSONAL))
+        parts.append((_made_up(rng, kind, odd), kind))
+        parts += words(rng.integers(0, 2))
+    parts += words(2)
+    for _ in range(rng.integers(0, 3)):
+        parts.insert(int(rng.integers(0, len(parts) + 1)), (_distractor(rng), ""))
+    text, spans = "", []
+    for s, kind in parts:
+        if kind:
+            spans.append((kind, len(text), len(text) + len(s)))
+        text += s + (", " if rng.random() < 0.1 else " ")
+    return text, spans
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     """Train on the ``sample`` windows of the corpus with a trigger whose hashes are least, and made-up ones."""
     rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
@@ -248,8 +299,8 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def decode(model: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Tags of each stretch: window scores averaged by centrality, then one Viterbi pass over the stretch."""
+def _decoded(model: Tagger, texts: list[str]) -> list[np.ndarray]:
+    """Tags of each text: window scores averaged by centrality, then one Viterbi pass."""
     where, xs = [], []
     codes = [encode(t) for t in texts]
     for k, code in enumerate(codes):
@@ -258,9 +309,9 @@ def decode(model: Tagger, texts: list[str]) -> list[np.ndarray]:
             part = code[at : at + WINDOW]
             x[: len(part)] = part
             where.append((k, at, len(part))), xs.append(x)
-    total = [np.zeros((len(c), TAGS)) for c in codes]
-    weight = [np.zeros((len(c), 1)) for c in codes]
-    central = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(float)[:, None]
+    total = [np.zeros((len(c), TAGS), np.float32) for c in codes]
+    weight = [np.zeros((len(c), 1), np.float32) for c in codes]
+    central = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None]
     for lo in range(0, len(xs), 512):
         for (k, at, n), e in zip(where[lo : lo + 512], model.emissions(np.array(xs[lo : lo + 512]))):
             total[k][at : at + n] += e[:n] * central[:n]
@@ -268,53 +319,75 @@ def decode(model: Tagger, texts: list[str]) -> list[np.ndarray]:
     return [model.viterbi(t / w) if len(t) else np.zeros(0, np.int8) for t, w in zip(total, weight)]
 
 
+def decode(model: Tagger, texts: list[str], piece: int = PIECE) -> list[np.ndarray]:
+    """Tags of each stretch. Stretches go in batches of about ``piece`` characters, and one longer than that in overlapping pieces."""
+    jobs = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - OVERLAP), piece)]
+    out = [np.zeros(len(t), np.int8) for t in texts]
+    lo = 0
+    while lo < len(jobs):
+        hi, held = lo, 0
+        while hi < len(jobs) and (hi == lo or held < piece):
+            k, at = jobs[hi]
+            held += min(len(texts[k]) - at, piece + OVERLAP)
+            hi += 1
+        for (k, at), tags in zip(jobs[lo:hi], _decoded(model, [texts[k][at : at + piece + OVERLAP] for k, at in jobs[lo:hi]])):
+            skip = OVERLAP // 2 if at else 0  # the piece before has decided these
+            out[k][at + skip : at + len(tags)] = tags[skip:]
+        lo = hi
+    return out
+
+
 def added(text: str, base: list[tuple[str, int, int]], parts: list[tuple[int, int]], tags: list[np.ndarray]) -> list[tuple[str, int, int]]:
     """Decoded spans that are of their kind and touch no base span."""
     out = []
-    taken = sorted((s, e) for _, s, e in base)
+    taken: list[list[int]] = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    begins = [s for s, _ in taken]
     for (start, _), y in zip(parts, tags):
-        t = 0
-        while t < len(y):
-            if y[t] == 0:
-                t += 1
-                continue
-            k, e = (y[t] - 1) // 2, t + 1
+        inside = y > 0
+        first = inside & ((y % 2 == 1) | ~np.r_[False, inside[:-1]] | (np.r_[0, y[:-1]] + 1 < y) | (np.r_[0, y[:-1]] > y))
+        for t in np.flatnonzero(first).tolist():
+            k, e = (int(y[t]) - 1) // 2, t + 1
             while e < len(y) and y[e] == 2 * k + 2:
                 e += 1
             kind, s = PERSONAL[k], text[start + t : start + e]
             left = len(s) - len(s.lstrip(" ,;:"))
             s = s.strip(" ,;:.-")
-            span = (kind, start + t + left, start + t + left + len(s))
-            if s and _shapes[kind].fullmatch(s) and holds(kind, s) and (kind != "phone" or digits_of(s)) and not any(a < span[2] and span[1] < b for a, b in taken):
-                out.append(span)
-            t = e
+            at = start + t + left
+            before = bisect_left(begins, at + len(s)) - 1
+            if s and plausible(kind, s) and (before < 0 or taken[before][1] <= at):
+                out.append((kind, at, at + len(s)))
     return out
 
 
 def find(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_email, n_ip, n_card, n_phone (base spans), n_added, base_sha256, spans.
+    """One row per document: id, n_email, n_ip, n_card, n_phone (base spans), n_added, n_personal (all spans), base_sha256, spans.
 
     ``spans`` holds base and added spans, kind:start:end in code points, by kind and then start. Null and empty
     texts have none. Repeated rows and null ids are treated each on their own; an empty table gives no rows;
-    other columns are not read. Texts of any length are decoded whole.
+    other columns are not read, whatever their names. Texts of any length are decoded whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = [*(f"n_{k}" for k in PERSONAL), "n_added"]
+    names = [*(f"n_{k}" for k in PERSONAL), "n_added", "n_personal"]
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string"
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                base = [personal(t) if _trigger.search(t) else [] for t in texts]
+                base = [personal(t) for t in texts]
                 parts = [stretches(t) for t in texts]
                 flat = iter(decode(held.value, [t[s:e] for t, p in zip(texts, parts) for s, e in p]))
                 more = [added(t, b, p, [next(flat) for _ in p]) for t, b, p in zip(texts, base, parts)]
                 every = [sorted(b + m, key=lambda x: (PERSONAL.index(x[0]), x[1])) for b, m in zip(base, more)]
                 out = {"doc_id": batch.column("doc_id")}
                 out |= {f"n_{k}": pa.array([sum(x[0] == k for x in b) for b in base], pa.int64()) for k in PERSONAL}
-                out |= {"n_added": pa.array([len(m) for m in more], pa.int64()), "base_sha256": pa.array([digest(b) for b in base]), "spans": pa.array([joined(s) for s in every])}
+                out |= {"n_added": pa.array([len(m) for m in more], pa.int64()), "n_personal": pa.array([len(x) for x in every], pa.int64()), "base_sha256": pa.array([digest(b) for b in base]), "spans": pa.array([joined(s) for s in every])}
                 yield pa.RecordBatch.from_pydict(out)
 
     return narrow.mapInArrow(tag, schema).withColumnRenamed("doc_id", id_col)
