@@ -97,5 +97,62 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+_SHARDS = """
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) ORDER BY i) AS tab FROM range(256) t(i)),
+hashed AS (
+  SELECT doc_id, octet_length(encode(text)) + 1 AS size,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295)) AS text_crc32
+  FROM docs, crc),
+placed AS (SELECT *, CAST(CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(text_crc32 AS VARCHAR), CAST(size AS VARCHAR))), 1, 8) AS BIGINT) % 4096 AS INTEGER) AS vslot FROM hashed),
+used AS (SELECT vslot, sum(size) AS bytes, count(*) AS n FROM placed GROUP BY vslot),
+ordered AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot) AS turn FROM used),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST(NULL AS INTEGER) AS vslot, CAST(NULL AS INTEGER) AS shard, list_transform(range(16), lambda x: CAST(0 AS HUGEINT)) AS loads
+  UNION ALL
+  SELECT o.turn, o.vslot, CAST(list_position(d.loads, list_min(d.loads)) - 1 AS INTEGER),
+    list_transform(d.loads, lambda v, i: CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN v + o.bytes ELSE v END)
+  FROM dealt d JOIN ordered o ON o.turn = d.turn + 1),
+starts AS (SELECT d.vslot, d.shard, coalesce(sum(u.n) OVER (PARTITION BY d.shard ORDER BY d.vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM dealt d JOIN used u ON u.vslot = d.vslot)
+SELECT p.doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s.shard,
+  CAST(begin + row_number() OVER (PARTITION BY p.vslot ORDER BY doc_id, text_crc32) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, p.vslot, CAST(1 AS INTEGER) AS map_version
+FROM placed p JOIN starts s ON s.vslot = p.vslot
+"""
+
+_REPEATS = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, hex(b) AS x FROM documents),
+places AS (SELECT r, doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM docs),
+strings AS (SELECT r, doc_id, p, hash(array_slice(b, p + 1, p + 50)) AS h FROM places),
+firsts AS (SELECT h, min(doc_id) AS d FROM strings GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT s.r, s.p FROM strings s JOIN firsts l ON s.h = l.h AND s.doc_id > l.d),
+edge AS (SELECT r, p, p - lag(p, 1, -1000) OVER (PARTITION BY r ORDER BY p) > 50 AS new FROM hit),
+run AS (SELECT r, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM edge),
+gone AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY r, k),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, list(struct_pack(a := a, b := b) ORDER BY a) AS spans FROM gone GROUP BY r),
+kept AS (
+  SELECT d.r, d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    CASE WHEN spans IS NULL THEN x ELSE substr(x, 1, 2 * spans[1].a) || array_to_string(list_transform(range(1, len(spans) + 1), lambda i: substr(x, 2 * spans[i].b + 1, 2 * (coalesce(spans[i + 1].a, length(x) // 2) - spans[i].b))), '') END AS rest
+  FROM docs d LEFT JOIN sums s ON s.r = d.r)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+_NEAR = """
+WITH RECURSIVE docs AS (
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x09-\\x0d\\x1c-\\x20]+'), lambda w: w <> '') AS words FROM documents),
+keyed AS (SELECT doc_id, array_to_string(words, ' ') AS k, words FROM docs WHERE len(words) > 0),
+texts AS (SELECT k, min(doc_id) AS rep, count(*) AS n_copies, any_value(words) AS words FROM keyed GROUP BY k),
+sets AS (SELECT DISTINCT rep, unnest(CASE WHEN len(words) < 5 THEN [k] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS s FROM texts),
+sizes AS (SELECT rep, count(*) AS n FROM sets GROUP BY rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT rep AS node, rep AS other FROM texts UNION SELECT r.node, l.b FROM reach r JOIN sides l ON l.a = r.other),
+classes AS (SELECT node AS rep, min(other) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT a AS rep, count(*) AS n_links FROM sides GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(c.class_id, d.doc_id) AS BIGINT) AS class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(t.rep, d.doc_id) AS BIGINT) AS copy_of, CAST(coalesce(t.n_copies, 1) AS BIGINT) AS n_copies
+FROM (SELECT doc_id FROM documents) d LEFT JOIN keyed k ON k.doc_id = d.doc_id LEFT JOIN texts t ON t.k = k.k LEFT JOIN classes c ON c.rep = t.rep LEFT JOIN counts n ON n.rep = t.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": _TOPK}
+    return {"op1_pivot_topk": _TOPK, "op5_near_duplicates": _NEAR, "op9_sharding": _SHARDS, "op10_suffix_dedup": _REPEATS}
