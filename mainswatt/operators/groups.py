@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import lost_signals
 from ..sources.power import KEY
+from ..sources.shared import materialise
 
 
 def walls(edges: DataFrame, name: str, n: int) -> DataFrame:
@@ -28,7 +29,7 @@ def walls(edges: DataFrame, name: str, n: int) -> DataFrame:
 
 def cells(edges: DataFrame, main: str, sub: str, n: int, size: int) -> DataFrame:
     """Edges with x_division and y_division (walls at or below the value), in cells of at least ``size``."""
-    out = edges
+    out = edges = materialise(edges)  # three branches read them
     for axis, name in (("x_division", main), ("y_division", sub)):
         held = walls(edges, name, n).groupBy(*KEY).agg(F.collect_list("wall").alias("held"))  # at most n
         out = out.join(held, list(KEY), "left")

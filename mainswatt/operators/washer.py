@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,13 +97,14 @@ def dip_p_value(x: np.ndarray) -> float:
 def dip_test(samples: DataFrame, size: int) -> DataFrame:
     """site, channel, b, dip, p_val of the reactive power of each complete box."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["reactive_power"].to_numpy()
-        row = [[pdf["site"].iloc[0], pdf["channel"].iloc[0], pdf["b"].iloc[0], dip_statistic(x), dip_p_value(x)]] if len(x) == size else []
-        return pd.DataFrame(row, columns=["site", "channel", "b", "dip", "p_val"])
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = [np.array(x) for x in batch.column("x").to_pylist()]
+            out = {c: batch.column(c) for c in (*KEY, "b")}
+            yield pa.RecordBatch.from_pydict(out | {"dip": pa.array([dip_statistic(x) for x in boxes], pa.float64()), "p_val": pa.array([dip_p_value(x) for x in boxes], pa.float64())})
 
-    boxes = samples.select(*KEY, F.floor((F.col("idx") - 1) / size).cast("long").alias("b"), "reactive_power")
-    return boxes.groupBy(*KEY, "b").applyInPandas(kernel, "site string, channel int, b long, dip double, p_val double")
+    boxes = samples.groupBy(*KEY, F.floor((F.col("idx") - 1) / size).cast("long").alias("b")).agg(F.collect_list("reactive_power").alias("x"))  # at most ``size`` each
+    return boxes.filter(F.size("x") == size).mapInArrow(test, "site string, channel int, b long, dip double, p_val double")
 
 
 def flagged(features: DataFrame, p: Washer = Washer()) -> DataFrame:
