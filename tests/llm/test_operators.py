@@ -395,6 +395,20 @@ def test_packing_round_trip(corpus, nothing):
     assert packing.pack(nothing, tokenizer_path()).count() == 0
 
 
+def test_packing_cuts_at_any_sign(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    special = list(tokenizer.get_added_tokens_decoder().values())
+    texts = ["tab\there\tthen", "two\r\nlines\r\n\r\n", "nul\x00in\x00 it", "\U0001f600\U0001f1e9\U0001f1ea smile \u200d", "e\u0301te\u0301 A\u030a", "a\u00a0b\u2003c\u3000d", "".join(str(t.content) for t in special) + " x", "<s> </s> <pad>", "  lead, trail.  ", "ALL.Caps,Mixed.Case,", "x" * 3000, "\u4e2d\u6587\u5b57 \u0e44\u0e17\u0e22", "a.b,c. d, e.. f,, 1. 2,", "\ufeffbom", "İstanbul ß ŉ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = defaultdict(list)
+    for r in packing.pack(docs, tokenizer_path(), 64, with_ids=True).collect():
+        pieces[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        assert [x for p in sorted(pieces[i], key=lambda p: p.start) for x in p.ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_sharding(spark, corpus, nothing, tmp_path):
     rows = sharding.shard(corpus, 4, 64).collect()
     assert len(rows) == corpus.count()
