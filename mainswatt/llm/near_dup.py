@@ -4,9 +4,8 @@ Documents are sets of shingles of ``shingle`` words, drawn as ``TOKENS`` min-has
 share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: each node
 chooses one of the tokens, and with probability 1 / threshold - 1 a second one, by the hash of its path; a set
 goes on to the child of each value it has there, so a pair at the threshold is expected to stay together in one
-child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; one of a few
-times as many, or one that hardly shrinks at a split since its sets are near each other, is compared block against
-block.
+child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; the sets of one
+that hardly shrinks at a split are near each other, and all are linked to its least.
 
 Runs are repeated until the target recall. How many that takes follows from the depth at which sets come to
 rest (:func:`runs_for`): most rest at once and leave after a few runs; those in crowded nodes, as a passage that
@@ -33,12 +32,11 @@ from ..sources.shared import join_split, materialise
 from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 
-TOKENS = 128
-BUCKET = 256
-CROWD = 8
-"""A node of up to so many leaves' sets is compared block against block, not split."""
+TOKENS, SKETCH = 128, 64
+"""Tokens that paths choose from, and how many of them, cut to a byte each, make the sketch that leaves compare."""
+BUCKET = 2048
 DENSE = 0.7
-"""Nor is a child with this share of its parent's sets."""
+"""A child with this share of its parent's sets is not split further."""
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +99,7 @@ def runs_for(depth: int, threshold: float, recall: float) -> int:
 
     Runs draw from the same tokens, so the chance is taken over the number of tokens that the pair shares.
     """
-    k = np.arange(TOKENS + 1)
+    k = np.arange(TOKENS + 1)  # of those that the pair may share
     weight = np.array([math.comb(TOKENS, int(i)) * threshold**i * (1 - threshold) ** (TOKENS - i) for i in k])
     miss = 1 - survival(k / TOKENS, depth, 1 / threshold - 1)
     runs = 1
@@ -111,11 +109,11 @@ def runs_for(depth: int, threshold: float, recall: float) -> int:
 
 
 def least_share(threshold: float, recall: float) -> float:
-    """The greatest share of equal tokens, under ``threshold`` - 0.2, that a pair at the threshold falls short of by a tenth of the loss at most."""
+    """The greatest share of equal sketch bytes, under ``threshold`` - 0.2, that a pair at the threshold falls short of by a tenth of the loss at most."""
     below, k = 0.0, 0
-    while k < (threshold - 0.2) * TOKENS and (below := below + math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)) <= (1 - recall) / 10:
+    while k < (threshold - 0.2) * SKETCH and (below := below + math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) <= (1 - recall) / 10:
         k += 1
-    return k / TOKENS
+    return k / SKETCH
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -174,35 +172,20 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
 
-def near_sketches(table: pa.Table, least: float) -> pa.Table:
-    """A spanning forest of the pairs of one block task whose share of equal tokens is at least ``least``."""
-    doc = table.column("doc").to_numpy()
-    order = np.argsort(doc, kind="stable")
-    table, doc = table.take(pa.array(order)), doc[order]
-    tokens = _tokens(table.column("tokens"))
-    left, right = _sides(table)
-    half = np.zeros((len(left), len(right)), bool)
-    other = np.ascontiguousarray(tokens[right])
-    for at, i in enumerate(left):
-        half[at] = (other == tokens[i]).sum(axis=1) >= least * TOKENS
-    pairs = _forest(_square(half, left, right, len(doc)))
-    return pa.table({"a": pa.array([doc[r] for _, r in pairs], pa.int64()), "b": pa.array([doc[x] for x, _ in pairs], pa.int64())})
-
-
 def near_leaves(table: pa.Table, least: float) -> pa.Table:
     """Spanning forests of the near pairs of many leaves at once: every two sets of a leaf are compared."""
     doc, path = table.column("doc").to_numpy(), table.column("path").to_numpy()
     order = np.lexsort((doc, path))
     doc, path = doc[order], path[order]
-    tokens = _tokens(table.column("tokens").take(pa.array(order)))
+    sketch = np.frombuffer(b"".join(table.column("sketch").take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, SKETCH)
     start = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     size = np.diff(np.r_[start, len(path)])
     two = start[size == 2]
-    near = two[(tokens[two] == tokens[two + 1]).sum(axis=1) >= least * TOKENS]
+    near = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= least * SKETCH]
     a, b = [doc[near]], [doc[near + 1]]
     for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        mine = tokens[lo : lo + n]
-        close = np.array([(mine == x).sum(axis=1) for x in mine]) >= least * TOKENS
+        mine = sketch[lo : lo + n]
+        close = np.array([(mine == x).sum(axis=1) >= least * SKETCH for x in mine])
         if int(close.sum()) > n:
             pairs = np.array(_forest(close))
             a.append(doc[lo + pairs[:, 1]]), b.append(doc[lo + pairs[:, 0]])
@@ -210,7 +193,7 @@ def near_leaves(table: pa.Table, least: float) -> pa.Table:
 
 
 def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bucket: int) -> DataFrame:
-    """a, b: links that join all pairs of ``reps`` (doc, tokens; ``n`` rows) that are likely near, by chosen paths.
+    """a, b: links that join all pairs of ``reps`` (doc, tokens, sketch; ``n`` rows) that are likely near, by chosen paths.
 
     All runs of a depth go level by level at the same time. Sets that came to rest deeper than their runs allow
     for go on with further runs, from the root, until none is left.
@@ -241,7 +224,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         return dealt.groupBy("task").applyInArrow(lambda t: near_leaves(t, guess), "a long, b long")
 
     if n <= bucket:
-        return leaf_links(reps.select("doc", F.lit(0).cast("long").alias("path"), "tokens"), n)
+        return leaf_links(reps.select("doc", F.lit(0).cast("long").alias("path"), "sketch"), n)
     shape = "doc long, path long, parent long"
     runs = [0, runs_for(1, threshold, recall)]  # by depth
     wanted = reps.select("doc", "tokens", F.lit(0).alias("lo"), F.lit(runs[1]).alias("hi"), F.lit(n).cast("long").alias("size"))
@@ -250,20 +233,20 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         rows, level, opened = wanted.mapInArrow(first, shape), 1, []
         while True:
             rows = materialise(rows)
-            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n > 1"))
+            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.min("doc").alias("least")).filter("n > 1"))
             nodes.append((rows, sizes))
             if level > 1:
                 opened.append(rows.select("doc", F.lit(level).alias("depth")))
-            open_ = sizes.filter((F.col("n") > CROWD * bucket) & (F.col("n") < DENSE * F.col("parent")))
-            total, crowded, more = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > bucket), F.count_if((F.col("n") > CROWD * bucket) & (F.col("n") < DENSE * F.col("parent")))).first()
-            counts = sizes.filter(F.col("n") > bucket).select("path", "n")
-            if crowded > more:
-                crowds.append(join_split(rows.select("doc", "path"), sizes.join(open_.select("path"), "path", "left_anti").filter(F.col("n") > bucket).select("path", F.col("n").alias("size")), "path", counts, total))
+            big = sizes.filter(F.col("n") > bucket).withColumn("dense", F.col("n") >= DENSE * F.col("parent"))
+            total, dense, more = big.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("dense"), F.count_if(~F.col("dense"))).first()
+            counts = big.select("path", "n")
+            if dense:
+                crowds.append(join_split(rows.select("doc", "path"), big.filter("dense").select("path", "least"), "path", counts, total).filter("least < doc").select(F.col("least").alias("a"), F.col("doc").alias("b")))
             if not more:
                 break
             level += 1
-            going = join_split(rows.select("doc", "path"), open_.select("path", F.col("n").alias("size")), "path", counts, total)
-            rows = going.join(reps, "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
+            going = join_split(rows.select("doc", "path"), big.filter(~F.col("dense")).select("path", F.col("n").alias("size")), "path", counts, total)
+            rows = going.join(reps.select("doc", "tokens"), "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
         if not opened:
             break
         runs += [runs_for(d, threshold, recall) for d in range(len(runs), level + 1)]
@@ -275,14 +258,10 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         if not more:
             break
         rest = grown.select("doc", "depth") if rest is None else rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth"))
-        wanted = reps.join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
+        wanted = reps.select("doc", "tokens").join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
     met = reduce(DataFrame.unionByName, [r.select("doc", "path").join(s.filter(F.col("n") <= bucket).select("path"), "path") for r, s in nodes])
     met = materialise(met)
-    out = leaf_links(met.join(reps, "doc"), met.count())
-    if crowds:
-        tasks = _blocks(reduce(DataFrame.unionByName, crowds).join(reps, "doc"), "bucket", "size").select("path", "lo", "hi", "block", "doc", "tokens")
-        out = out.unionByName(tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long"))
-    return out
+    return reduce(DataFrame.unionByName, crowds, leaf_links(met.join(reps.select("doc", "sketch"), "doc"), met.count()))
 
 
 def shared_counts(value: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -361,11 +340,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
                 value, row, key = sets_of(batch.column("text"), shingle)
                 have, tokens = tokens_of(value, row)
                 held = (tokens & 0xFFFF).astype(np.uint16)
-                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])), "tokens": pa.array([x.tobytes() for x in held], pa.binary())})
+                sketch = (held[:, :SKETCH] & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({
+                    "doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])),
+                    "tokens": pa.array([x.tobytes() for x in held], pa.binary()), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
+                })
 
-    signs = materialise(rows.mapInArrow(sign, "doc long, key long, tokens binary"))
+    signs = materialise(rows.mapInArrow(sign, "doc long, key long, tokens binary, sketch binary"))
     texts = materialise(signs.groupBy("key").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("n_copies")))
-    reps = materialise(signs.join(texts.select(F.col("rep").alias("doc"), "key"), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("doc", "tokens"))
+    reps = materialise(signs.join(texts.select(F.col("rep").alias("doc"), "key"), ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("doc", "tokens", "sketch"))
     edges = candidate_links(reps, reps.count(), threshold, recall, bucket)
     groups = materialise(components(edges))
     rooted = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
