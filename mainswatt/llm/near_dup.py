@@ -4,8 +4,8 @@ Documents are sets of shingles of ``shingle`` words, drawn as ``TOKENS`` min-has
 share each token with their Jaccard similarity as probability. A run splits all sets by a recursion: each node
 chooses one of the tokens, and with probability 1 / threshold - 1 a second one, by the hash of its path; a set
 goes on to the child of each value it has there, so a pair at the threshold is expected to stay together in one
-child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; the sets of one
-that hardly shrinks at a split are near each other, and all are linked to its least.
+child of a node. A node of ``bucket`` sets or fewer is a leaf, compared by brute force on sketches; one of more sets
+at depth ``DEEPEST``, as many texts near each other make it, is compared block against block.
 
 Runs are repeated until the target recall. How many that takes follows from the depth at which sets come to
 rest (:func:`runs_for`): most rest at once and leave after a few runs; those in crowded nodes, as a passage that
@@ -32,11 +32,11 @@ from ..sources.shared import join_split, materialise
 from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 
-TOKENS, SKETCH = 128, 64
-"""Tokens that paths choose from, and how many of them, cut to a byte each, make the sketch that leaves compare."""
+TOKENS = SKETCH = 128
+"""Tokens that paths choose from, and bytes of the sketch that leaves compare: each token's last."""
 BUCKET = 2048
-DENSE = 0.7
-"""A child with this share of its parent's sets is not split further."""
+DEEPEST = 8
+"""Levels of splitting; sets that are still many in a node then are mostly near each other."""
 
 
 def sets_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,9 +109,9 @@ def runs_for(depth: int, threshold: float, recall: float) -> int:
 
 
 def least_share(threshold: float, recall: float) -> float:
-    """The greatest share of equal sketch bytes, under ``threshold`` - 0.2, that a pair at the threshold falls short of by a tenth of the loss at most."""
+    """The greatest share of equal sketch bytes that a pair at the threshold falls short of by a tenth of the loss at most."""
     below, k = 0.0, 0
-    while k < (threshold - 0.2) * SKETCH and (below := below + math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) <= (1 - recall) / 10:
+    while (below := below + math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)) <= (1 - recall) / 10:
         k += 1
     return k / SKETCH
 
@@ -172,6 +172,21 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
 
 
+def near_sketches(table: pa.Table, least: float) -> pa.Table:
+    """A spanning forest of the pairs of one block task whose share of equal sketch bytes is at least ``least``."""
+    doc = table.column("doc").to_numpy()
+    order = np.argsort(doc, kind="stable")
+    table, doc = table.take(pa.array(order)), doc[order]
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    left, right = _sides(table)
+    half = np.zeros((len(left), len(right)), bool)
+    other = np.ascontiguousarray(sketch[right])
+    for at, i in enumerate(left):
+        half[at] = (other == sketch[i]).sum(axis=1) >= least * SKETCH
+    pairs = _forest(_square(half, left, right, len(doc)))
+    return pa.table({"a": pa.array([doc[r] for _, r in pairs], pa.int64()), "b": pa.array([doc[x] for x, _ in pairs], pa.int64())})
+
+
 def near_leaves(table: pa.Table, least: float) -> pa.Table:
     """Spanning forests of the near pairs of many leaves at once: every two sets of a leaf are compared."""
     doc, path = table.column("doc").to_numpy(), table.column("path").to_numpy()
@@ -209,7 +224,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
                 run = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
                 child, path = children_of(root_of(run), _tokens(batch.column("tokens"))[row], second)
                 taken = pa.array(row[child])
-                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path)), "parent": batch.column("size").take(taken)})
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path))})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -217,7 +232,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
                 batch = whole.slice(at, 16384)
                 child, path = children_of(batch.column("path").to_numpy().view(np.uint64), _tokens(batch.column("tokens")), second)
                 taken = pa.array(child)
-                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path)), "parent": batch.column("size").take(taken)})
+                yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(taken), "path": pa.array(signed(path))})
 
     def leaf_links(leaves: DataFrame, rows: int) -> DataFrame:
         dealt = leaves.withColumn("task", F.pmod(F.xxhash64("path"), F.lit(rows // 4096 + 1)))
@@ -225,28 +240,28 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
 
     if n <= bucket:
         return leaf_links(reps.select("doc", F.lit(0).cast("long").alias("path"), "sketch"), n)
-    shape = "doc long, path long, parent long"
+    shape = "doc long, path long"
     runs = [0, runs_for(1, threshold, recall)]  # by depth
-    wanted = reps.select("doc", "tokens", F.lit(0).alias("lo"), F.lit(runs[1]).alias("hi"), F.lit(n).cast("long").alias("size"))
+    wanted = reps.select("doc", "tokens", F.lit(0).alias("lo"), F.lit(runs[1]).alias("hi"))
     nodes, crowds, rest = [], [], None  # rest: doc and the depth that its runs allow for
     while True:
         rows, level, opened = wanted.mapInArrow(first, shape), 1, []
         while True:
             rows = materialise(rows)
-            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.min("doc").alias("least")).filter("n > 1"))
+            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
             nodes.append((rows, sizes))
             if level > 1:
                 opened.append(rows.select("doc", F.lit(level).alias("depth")))
-            big = sizes.filter(F.col("n") > bucket).withColumn("dense", F.col("n") >= DENSE * F.col("parent"))
-            total, dense, more = big.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("dense"), F.count_if(~F.col("dense"))).first()
-            counts = big.select("path", "n")
-            if dense:
-                crowds.append(join_split(rows.select("doc", "path"), big.filter("dense").select("path", "least"), "path", counts, total).filter("least < doc").select(F.col("least").alias("a"), F.col("doc").alias("b")))
-            if not more:
+            big = sizes.filter(F.col("n") > bucket)
+            total = big.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if not total:
+                break
+            going = join_split(rows.select("doc", "path"), big.select("path", F.col("n").alias("size")), "path", big, total)
+            if level == DEEPEST:
+                crowds.append(going)
                 break
             level += 1
-            going = join_split(rows.select("doc", "path"), big.filter(~F.col("dense")).select("path", F.col("n").alias("size")), "path", counts, total)
-            rows = going.join(reps.select("doc", "tokens"), "doc").select("doc", "path", "size", "tokens").mapInArrow(split, shape)
+            rows = going.join(reps.select("doc", "tokens"), "doc").select("doc", "path", "tokens").mapInArrow(split, shape)
         if not opened:
             break
         runs += [runs_for(d, threshold, recall) for d in range(len(runs), level + 1)]
@@ -254,14 +269,17 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         deep = reduce(DataFrame.unionByName, opened).groupBy("doc").agg(F.max("depth").alias("depth"))
         grown = deep.withColumn("before", F.lit(1)) if rest is None else deep.join(rest.withColumnRenamed("depth", "before"), "doc", "left").withColumn("before", F.coalesce("before", F.lit(1))).filter(F.col("depth") > F.col("before"))
         grown = materialise(grown.select("doc", "depth", allowed(F.col("before")).alias("lo"), allowed(F.col("depth")).alias("hi")))
-        more = grown.count()
-        if not more:
+        if grown.isEmpty():
             break
         rest = grown.select("doc", "depth") if rest is None else rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth"))
-        wanted = reps.select("doc", "tokens").join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi", F.lit(more).cast("long").alias("size"))
+        wanted = reps.select("doc", "tokens").join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi")
     met = reduce(DataFrame.unionByName, [r.select("doc", "path").join(s.filter(F.col("n") <= bucket).select("path"), "path") for r, s in nodes])
     met = materialise(met)
-    return reduce(DataFrame.unionByName, crowds, leaf_links(met.join(reps.select("doc", "sketch"), "doc"), met.count()))
+    out = leaf_links(met.join(reps.select("doc", "sketch"), "doc"), met.count())
+    if crowds:
+        tasks = _blocks(reduce(DataFrame.unionByName, crowds).join(reps.select("doc", "sketch"), "doc"), "bucket", "size").select("path", "lo", "hi", "block", "doc", "sketch")
+        out = out.unionByName(tasks.groupBy("path", "lo", "hi").applyInArrow(lambda t: near_sketches(t, guess), "a long, b long"))
+    return out
 
 
 def shared_counts(value: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
