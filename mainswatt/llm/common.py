@@ -88,13 +88,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word: a run without ASCII white space inside one row."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word: a run without white space (``space`` by byte) inside one row."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     starts = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dup, packing, pii, secret_scan, sharding, suffixes, topk
+from . import decontaminate, language, line_dedup, near_dup, packing, periodic, pii, secret_scan, sharding, spelling, suffixes, topk
 
 
 def tokenizer_path() -> str:
@@ -76,8 +76,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its more frequent spelling; words lose a letter by a stated rule."""
+    words = spelling.words_of(_table(spark, sf_dir, "documents"), damage=97)
+    return spelling.variants(spelling.vocabulary(words, 5, 3))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and what is left without their repeats; some tails are repeated by a stated rule."""
+    return periodic.digests(periodic.periodic_runs(periodic.repeat_tails(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pivot_topk, op2_line_dedup, op3_pii_spans, op4_language, op5_near_duplicates, op6_secrets, op7_decontamination, op8_packing, op9_sharding, op10_suffix_dedup)
+    found = (op1_pivot_topk, op2_line_dedup, op3_pii_spans, op4_language, op5_near_duplicates, op6_secrets, op7_decontamination, op8_packing, op9_sharding, op10_suffix_dedup, op11_spelling_variants, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
@@ -154,5 +165,60 @@ FROM (SELECT doc_id FROM documents) d LEFT JOIN keyed k ON k.doc_id = d.doc_id L
 """
 
 
+_CRC = """crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) ORDER BY i) AS tab FROM range(256) t(i))"""
+
+
+def _crc32(text: str) -> str:
+    """The crc32 of the UTF-8 bytes of an SQL text, where ``tab`` of ``crc`` is in scope."""
+    return f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295))"
+
+
+_SPELLING = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS c FROM runs GROUP BY doc_id, w),
+hashed AS (SELECT w, c, {_crc32("CAST(doc_id AS VARCHAR) || ':' || w")} AS h FROM each, crc),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, c FROM hashed),
+vocab AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM vocab, unnest(range(1, length(word) + 1)) t(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocab b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN top END AS form_n FROM vocab v LEFT JOIN best b ON b.word = v.word),
+chosen AS (SELECT f.word, f.n, f.n_near, f.form_n, min(p.near) AS form FROM forms f LEFT JOIN pairs p ON p.word = f.word AND p.near_n = f.form_n GROUP BY ALL),
+walk AS (SELECT word, form AS at FROM chosen WHERE form IS NOT NULL UNION ALL SELECT w.word, c.form FROM walk w JOIN chosen c ON c.word = w.at WHERE c.form IS NOT NULL),
+ends AS (SELECT w.word, w.at AS root FROM walk w JOIN chosen c ON c.word = w.at WHERE c.form IS NULL)
+SELECT c.word, c.form, coalesce(e.root, c.word) AS root, c.n, CAST(c.n_near AS BIGINT) AS n_near, c.form_n FROM chosen c LEFT JOIN ends e ON e.word = c.word
+"""
+
+
+_PERIODIC = f"""
+WITH {_CRC},
+split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0d\\x20]+'), lambda w: w <> '') AS held,
+    {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc),
+shape AS (SELECT r, doc_id, held, len(held) AS n, h // 10 AS g, h % 10 = 0 AND len(held) > 0 AS made FROM split),
+tails AS (SELECT *, CASE WHEN made THEN g % n ELSE n END AS a, CASE WHEN made THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM shape),
+plain AS (SELECT r, unnest(held) AS w, unnest(range(n)) AS i FROM tails),
+words AS (SELECT x.r, x.i, y.w FROM plain x JOIN tails t ON t.r = x.r JOIN plain y ON y.r = x.r AND y.i = CASE WHEN x.i < t.a THEN x.i ELSE t.a + (x.i - t.a) % t.p END),
+grams AS (SELECT r, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o || ' ' || lead(w, 5) OVER o AS k FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.k = b.k AND a.i < b.i),
+placed AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM pairs),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + 5 + q AS l FROM placed GROUP BY r, q, part HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.r = x.r AND y.q < x.q AND x.q % y.q = 0 AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+marks AS (SELECT r, s + q AS i, 1 AS d FROM runs UNION ALL SELECT r, s + l, -1 FROM runs),
+level AS (SELECT r, i, sum(d) AS d FROM marks GROUP BY r, i),
+cover AS (SELECT w.r, w.i, w.w, coalesce(sum(l.d) OVER (PARTITION BY w.r ORDER BY w.i), 0) AS depth FROM words w LEFT JOIN level l ON l.r = w.r AND l.i = w.i),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM cover WHERE depth = 0 GROUP BY r),
+sums AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY l DESC, s, q) AS turn FROM runs)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(sums.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM tails t LEFT JOIN sums ON sums.r = t.r LEFT JOIN best b ON b.r = t.r AND b.turn = 1 LEFT JOIN kept k ON k.r = t.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": _TOPK, "op5_near_duplicates": _NEAR, "op9_sharding": _SHARDS, "op10_suffix_dedup": _REPEATS}
+    return {"op1_pivot_topk": _TOPK, "op5_near_duplicates": _NEAR, "op9_sharding": _SHARDS, "op10_suffix_dedup": _REPEATS, "op11_spelling_variants": _SPELLING, "op13_periodic_runs": _PERIODIC}
