@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..sources.power import KEY, by_idx
+from ..sources.power import KEY, with_neighbours
 
 
-def shifted(name: str, n: int) -> Column:
-    """The value ``n`` rows before (n > 0) or after (n < 0), null beyond the ends."""
-    return F.lag(name, n).over(by_idx())
+def shifted(df: DataFrame, moved: dict[str, tuple[str, int]]) -> DataFrame:
+    """``df`` with columns {new: (column, n)} of the value ``n`` rows before (n > 0) or after (n < 0), null beyond the channel's ends."""
+    return with_neighbours(df, {new: (name, -n) for new, (name, n) in moved.items()})
 
 
 def minmax_scale(df: DataFrame, name: str) -> DataFrame:
     """``scaled``: the column stretched to 0 to 1 within its channel; null where it is constant."""
-    w = Window.partitionBy(*KEY)
-    return df.withColumn("scaled", F.try_divide(F.col(name) - F.min(name).over(w), F.max(name).over(w) - F.min(name).over(w)))
+    ends = df.groupBy(*KEY).agg(F.min(name).alias("__lo"), F.max(name).alias("__hi"))
+    return df.join(ends, list(KEY)).withColumn("scaled", F.try_divide(F.col(name) - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
 
 
 def segment_ids(df: DataFrame, size: int) -> DataFrame:

@@ -68,13 +68,32 @@ def extents(lumps: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return lumps.groupBy(*keys, "lump_idx").agg(F.min("start_idx").alias("lo_idx"), F.max("end_idx").alias("hi_idx"))
 
 
-def within_extents(edges: DataFrame, spans: DataFrame) -> DataFrame:
+_CLASSES = tuple(1 << (8 * k) for k in range(5))
+"""Widths of cells of indexes; an interval is filed in cells of the greatest width that is no longer than itself."""
+
+
+def interval_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """``points`` with the columns of each of the ``spans`` of their keys with lo <= at <= hi (whole numbers from 0).
+
+    A span is filed in the cells of its size class that it touches, 257 at most, and a point looks into its own cell of
+    each class; so a span meets points of at most three times its length, and no more pairs are made.
+    """
+    length = F.col(hi) - F.col(lo) + 1
+    size = F.lit(_CLASSES[0])
+    for width in _CLASSES[1:]:
+        size = F.when(length >= width, width).otherwise(size)
+    filed = spans.filter(length > 0).withColumn("__width", size.cast("long"))
+    filed = filed.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / F.col("__width")), F.floor(F.col(hi) / F.col("__width")))))
+    dealt = points.withColumn("__width", F.explode(F.array(*[F.lit(w).cast("long") for w in _CLASSES]))).withColumn("__cell", F.floor(F.col(at) / F.col("__width")))
+    return dealt.join(filed, [*keys, "__width", "__cell"]).filter(F.col(at).between(F.col(lo), F.col(hi))).drop("__width", "__cell")
+
+
+def within_extents(edges: DataFrame, spans: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Edges inside a lump's first to last index, with the lump's number."""
-    near = (F.col("start_idx") >= F.col("lo_idx")) & (F.col("end_idx") <= F.col("hi_idx"))
-    return edges.join(spans, list(KEY)).filter(near).drop("lo_idx", "hi_idx")
+    return interval_join(edges, spans, "start_idx", "lo_idx", "hi_idx", keys).filter(F.col("end_idx") <= F.col("hi_idx")).drop("lo_idx", "hi_idx")
 
 
 def except_edges(edges: DataFrame, other: DataFrame) -> DataFrame:
     """Distinct edges that the other table has not, by position, time and height."""
-    columns = [*KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta"]
+    columns = [*KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta"] + [c for c in ("start_v", "end_v") if c in edges.columns and c in other.columns]
     return edges.select(columns).subtract(other.select(columns))

@@ -1,16 +1,19 @@
-"""From samples to edges: slopes, states, runs and state patterns, in one pass over each channel.
+"""From samples to edges: slopes, states, runs and state patterns.
 
-A run carries the values at its ends, so a pattern's features need no lookup: windows over runs replace
-joins by position. Runs are few where power is steady, and everything after them works on runs.
+Passes go over segments of a channel (days) on their own; what crosses a border is a function of one row a segment. A
+run carries the values at its ends, so a pattern's features need no lookup: windows over runs replace joins by position. Runs are few where power is steady, and everything after them works on runs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.power import KEY, by_idx
+from ..sources.power import KEY, SEGMENT_US, segment_of, with_neighbours
 
 FALLING = ((3, 4), (3, 1), (3, 2))
 RISING = ((1, 2, 3, 4), (1, 3, 4), (1, 2, 3, 1), (1, 3, 1))
@@ -23,56 +26,83 @@ def with_signal(samples: DataFrame, main: str = "active", sub: str = "reactive")
     return samples.withColumns({"v": pick(main), "s": pick(sub)})
 
 
-def slopes(signal: DataFrame) -> DataFrame:
+def segmented(signal: DataFrame, span: int = SEGMENT_US) -> DataFrame:
+    """``signal`` with its segment ``seg`` and, from one row a segment, what lies beyond: ``beyond`` (v, s, us of the next
+    segment's first sample) and ``speed_in`` (the slope over the border into the segment; never over equal times)."""
+    rows = signal.withColumn("seg", segment_of(F.col("us"), span))
+    ends = rows.groupBy(*KEY, "seg").agg(F.min_by(F.struct("v", "s", "us"), "idx").alias("head"), F.max_by(F.struct("v", "us"), "idx").alias("tail"))
+    w = Window.partitionBy(*KEY).orderBy("seg")
+    ends = ends.withColumns({"beyond": F.lead("head").over(w), "before": F.lag("tail").over(w)})
+    speed_in = (F.col("head.v") - F.col("before.v")) / ((F.col("head.us") - F.col("before.us")) / 1e6)
+    return rows.join(ends.select(*KEY, "seg", "beyond", speed_in.alias("speed_in")), [*KEY, "seg"])
+
+
+def _in_segment() -> Window:
+    return Window.partitionBy(*KEY, "seg").orderBy("idx")
+
+
+def slopes(signal: DataFrame, span: int = SEGMENT_US) -> DataFrame:
     """``speed`` on each row but the last of a channel; null where two samples have one time."""
-    w = by_idx()
-    return signal.withColumns({"v1": F.lead("v").over(w), "s1": F.lead("s").over(w), "us1": F.lead("us").over(w)}).withColumn("speed", F.try_divide(F.col("v1") - F.col("v"), (F.col("us1") - F.col("us")) / 1e6))
+    ahead = segmented(signal, span).withColumn("ahead", F.coalesce(F.lead(F.struct("v", "s", "us")).over(_in_segment()), "beyond"))
+    ahead = ahead.withColumns({"v1": F.col("ahead.v"), "s1": F.col("ahead.s"), "us1": F.col("ahead.us")}).drop("ahead", "beyond")
+    return ahead.withColumn("speed", F.try_divide(F.col("v1") - F.col("v"), (F.col("us1") - F.col("us")) / 1e6))
 
 
 def repaired(sloped: DataFrame) -> DataFrame:
-    """Slopes over equal times become the mean of the finite neighbours, or the one neighbour at an end."""
-    back = by_idx().rowsBetween(Window.unboundedPreceding, -1)
-    # A frame to the end of the channel would be rebuilt at every row; reading backwards it only grows.
-    ahead = Window.partitionBy(*KEY).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
-    left, right = F.last("speed", ignorenulls=True).over(back), F.last("speed", ignorenulls=True).over(ahead)
+    """Slopes over equal times become the mean of the finite neighbours, or the one neighbour at an end.
+
+    Equal times lie in one segment; before it comes the slope over its border, and its own last slope is over the next one.
+    """
+    back = _in_segment().rowsBetween(Window.unboundedPreceding, -1)
+    # A frame to the end of the segment would be rebuilt at every row; reading backwards it only grows.
+    ahead = Window.partitionBy(*KEY, "seg").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.coalesce(F.last("speed", ignorenulls=True).over(back), "speed_in"), F.last("speed", ignorenulls=True).over(ahead)
     fixed = F.when(F.col("us1").isNotNull(), F.coalesce("speed", (left + right) / 2, left, right))
     return sloped.withColumn("speed", fixed)
 
 
 def states(sloped: DataFrame) -> DataFrame:
-    """``state`` of each slope by the signs of speed and acceleration; 0 on the first."""
-    accel = F.col("speed") - F.lag("speed").over(by_idx())
+    """``state`` of each slope by the signs of speed and acceleration; 0 on a channel's first."""
+    accel = F.col("speed") - F.coalesce(F.lag("speed").over(_in_segment()), "speed_in")
     up = F.col("speed") >= 0
     state = F.when(accel.isNull(), 0).when(up & (accel > 0), 1).when(up, 2).when(accel <= 0, 3).otherwise(4)
     return sloped.filter("speed is not null").withColumn("state", state)
 
 
 def runs(stated: DataFrame) -> DataFrame:
-    """Maximal runs of one state: run, str, end, val and the signal where they begin and just after they end."""
-    w = by_idx()
+    """Maximal runs of one state: run, str, end, val and the signal where they begin, at their end and just after it.
+
+    Each segment has its own runs first. A run goes on over a border where the segments' states there are equal; so the
+    runs of the segments before, less those that go on, number a segment's runs, and parts of one number are merged.
+    """
+    w = _in_segment()
     change = (F.col("state") != F.lag("state").over(w)) | F.lag("state").over(w).isNull()
-    numbered = stated.withColumn("run", F.sum(change.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*KEY, "run").agg(
+    parts = stated.withColumn("part", F.sum(change.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*KEY, "seg", "part").agg(
         F.min("idx").alias("str"), F.max("idx").alias("end"), F.first("state").alias("val"),
-        F.min_by("v", "idx").alias("v_at"), F.min_by("s", "idx").alias("s_at"), F.min_by("us", "idx").alias("us_at"),
-        F.max_by("v1", "idx").alias("v_past"), F.max_by("s1", "idx").alias("s_past"), F.max_by("us1", "idx").alias("us_past"), F.max_by("speed", "idx").alias("speed_end"),
+        F.min_by(F.struct(F.col("v").alias("v_at"), F.col("s").alias("s_at"), F.col("us").alias("us_at")), "idx").alias("begin"),
+        F.max_by(F.struct(F.col("v").alias("v_end"), F.col("v1").alias("v_past"), F.col("s1").alias("s_past"), F.col("us1").alias("us_past"), F.col("speed").alias("speed_end")), "idx").alias("finish"),
     )
+    order = Window.partitionBy(*KEY).orderBy("seg")
+    ends = parts.groupBy(*KEY, "seg").agg(F.max("part").alias("n"), F.min_by("val", "part").alias("head"), F.max_by("val", "part").alias("tail"))
+    ends = ends.withColumn("goes_on", F.coalesce(F.col("head") == F.lag("tail").over(order), F.lit(False)).cast("long"))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("goes_on").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    joined = parts.join(ends.select(*KEY, "seg", before.alias("before")), [*KEY, "seg"]).withColumn("run", F.col("before") + F.col("part"))
+    merged = joined.groupBy(*KEY, "run").agg(F.min("str").alias("str"), F.max("end").alias("end"), F.first("val").alias("val"), F.min_by("begin", "str").alias("begin"), F.max_by("finish", "end").alias("finish"))
+    return merged.select(*KEY, "run", "str", "end", "val", "begin.*", "finish.*")
 
 
 def ngram_starts(run_rows: DataFrame, pattern: tuple[int, ...]) -> DataFrame:
     """Runs at which the state sequence reads ``pattern``; matches may overlap."""
-    w = by_idx("run")
-    hit = F.lit(True)
+    ahead = with_neighbours(run_rows, {f"__val{k}": ("val", k) for k in range(len(pattern))}, "run")
     for k, p in enumerate(pattern):
-        hit = hit & ((F.lead("val", k).over(w) if k else F.col("val")) == p)
-    return run_rows.withColumn("hit", hit).filter("hit").drop("hit")
+        ahead = ahead.filter(F.col(f"__val{k}") == p)
+    return ahead.drop(*[f"__val{k}" for k in range(len(pattern))])
 
 
 def _edges(run_rows: DataFrame, patterns: tuple[tuple[int, ...], ...], falling: bool) -> DataFrame:
-    """One row per run at which a pattern matches, the first listed first."""
-    w, most = by_idx("run"), max(map(len, patterns))
-    names = ("val", "end", "v_past", "s_past", "us_past", "speed_end")
-    ahead = run_rows.withColumns({f"{c}{k}": F.lead(c, k).over(w) if k else F.col(c) for c in names for k in range(most)})
+    """One row per run at which a pattern matches, the first listed first; ``start_v`` and ``end_v`` are the main signal at both indexes."""
+    names = ("val", "end", "v_end", "v_past", "s_past", "us_past", "speed_end")
+    ahead = with_neighbours(run_rows, {f"{c}{k}": (c, k) for c in names for k in range(max(map(len, patterns)))}, "run")
     which = F.lit(None).cast("int")
     for n in range(len(patterns) - 1, -1, -1):
         match = F.lit(True)
@@ -105,12 +135,13 @@ def _edges(run_rows: DataFrame, patterns: tuple[tuple[int, ...], ...], falling:
         of("speed_end", steepest(3, (4, 1, 2) if falling else (4, 1))).cast("double").alias("min_slope"),
         (v_top - F.col("v_at")).alias("h1"), (of("v_past", last) - v_top).alias("h2"),
         (of("v_past", last) - F.col("v_at")).alias("delta"), (of("s_past", last) - F.col("s_at")).alias("sub_delta"),
+        F.col("v_at").alias("start_v"), of("v_end", last).alias("end_v"),
     )
     return out.withColumn("pattern_size", F.col("end_idx") - F.col("start_idx") + 1)
 
 
-def run_rows(samples: DataFrame, main: str = "active", sub: str = "reactive") -> DataFrame:
-    return runs(states(repaired(slopes(with_signal(samples, main, sub)))))
+def run_rows(samples: DataFrame, main: str = "active", sub: str = "reactive", span: int = SEGMENT_US) -> DataFrame:
+    return runs(states(repaired(slopes(with_signal(samples, main, sub), span))))
 
 
 def _signed(edges: DataFrame, main: str, sub: str) -> DataFrame:
@@ -123,47 +154,65 @@ def _signed(edges: DataFrame, main: str, sub: str) -> DataFrame:
 
 def falling_edges(samples: DataFrame, main: str = "active", sub: str = "reactive", windows: int = 0, zero_sub: bool = False, consistent: bool = True) -> DataFrame:
     """Falling edges; with ``windows``, averaged with neighbour windows and, if ``consistent``, without those flagged 0."""
-    return _driven(samples, _edges(run_rows(samples, main, sub), FALLING, True), main, sub, windows, zero_sub, consistent)
+    edges = _edges(run_rows(samples, main, sub), FALLING, True)
+    return _signed(_windowed(samples, edges, main, sub, windows, zero_sub, consistent), main, sub)
 
 
 def rising_edges(samples: DataFrame, main: str = "active", sub: str = "reactive", windows: int = 0, zero_sub: bool = False, consistent: bool = True) -> DataFrame:
-    """Long patterns first; the short ones only at runs where none of the long ones begins. Windows as for falling edges."""
-    return _driven(samples, _edges(run_rows(samples, main, sub), RISING + FALLBACK, False), main, sub, windows, zero_sub, consistent)
+    """Long patterns, and short ones at the runs where no long one is left. Windows as for falling edges.
+
+    Windows judge both kinds: a long pattern that they take out makes room for a short one, if that one stands.
+    """
+    rows = run_rows(samples, main, sub)
+    if not windows:
+        return _signed(_edges(rows, RISING + FALLBACK, False), main, sub)
+    long, short = (_windowed(samples, _edges(rows, patterns, False), main, sub, windows, zero_sub, consistent) for patterns in (RISING, FALLBACK))
+    return _signed(long.unionByName(short.join(long.select(*KEY, "start_idx"), [*KEY, "start_idx"], "left_anti")), main, sub)
 
 
-def _driven(samples: DataFrame, edges: DataFrame, main: str, sub: str, windows: int, zero_sub: bool, consistent: bool) -> DataFrame:
+def _windowed(samples: DataFrame, edges: DataFrame, main: str, sub: str, windows: int, zero_sub: bool, consistent: bool) -> DataFrame:
     if windows:
         edges = consistent_edges(samples, edges, windows, zero_sub, main, sub)
         edges = edges.filter("flag = 1") if consistent else edges
-    return _signed(edges, main, sub)
+    return edges
+
+
+def prefix_sums(samples: DataFrame, main: str, sub: str, span: int = SEGMENT_US) -> DataFrame:
+    """site, channel, idx, sv, ss: sums of both signals up to a sample, in its segment, and those of the segments before on top."""
+    rows = with_signal(samples, main, sub).withColumn("seg", segment_of(F.col("us"), span))
+    order = Window.partitionBy(*KEY).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(*KEY, "seg").agg(F.sum("v").alias("v"), F.sum("s").alias("s"))
+    whole = whole.select(*KEY, "seg", *[F.coalesce(F.sum(c).over(order), F.lit(0.0)).alias(f"{c}0") for c in "vs"])
+    own = _in_segment().rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(whole, [*KEY, "seg"]).select(*KEY, "idx", (F.col("v0") + F.sum("v").over(own)).alias("sv"), (F.col("s0") + F.sum("s").over(own)).alias("ss"))
 
 
-def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_sub: bool = False, main: str = "active", sub: str = "reactive") -> DataFrame:
+def consistent_edges(samples: DataFrame, edges: DataFrame, windows: int, zero_sub: bool = False, main: str = "active", sub: str = "reactive", span: int = SEGMENT_US) -> DataFrame:
     """Edges (heights as measured on ``main`` and ``sub``) with ``flag`` and heights averaged with ``windows`` neighbour windows on either side.
 
     Edges too near an end of the channel go. With ``zero_sub`` the windows' sub signal counts as zero and its sign
-    flags nothing. Window means are differences of prefix sums, looked up by index.
+    flags nothing. Window means are differences of prefix sums; the window ends of all edges are looked up by index at once.
     """
-    w = by_idx().rowsBetween(Window.unboundedPreceding, 0)
-    sums = with_signal(samples, main, sub).select(*KEY, "idx", F.sum("v").over(w).alias("sv"), F.sum("s").over(w).alias("ss"))
     size = F.col("pattern_size")
-    out = edges.withColumns({"c_delta": F.lit(0.0), "c_sub": F.lit(0.0), "flag": F.lit(1)})
     ends = samples.groupBy(*KEY).agg(F.max("idx").alias("n"))
-    out = out.join(ends, list(KEY)).filter((F.col("start_idx") > windows * size) & (F.col("end_idx") < F.col("n") - windows * size))
-    for c in range(1, windows + 1):
-        spots = {"r1": F.col("end_idx") + size * c + 1, "r0": F.col("end_idx") + size * (c - 1) + 1, "l1": F.col("start_idx") - size * (c - 1) - 1, "l0": F.col("start_idx") - size * c - 1}
-        for k, at in spots.items():
-            look = sums.select(*KEY, F.col("idx").alias(f"i_{k}"), F.col("sv").alias(f"v_{k}"), F.col("ss").alias(f"s_{k}"))
-            out = out.withColumn(f"i_{k}", at).join(look, [*KEY, f"i_{k}"], "left")
-        zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-        dv = (zero("v_r1") - zero("v_r0")) / size - (zero("v_l1") - zero("v_l0")) / size
-        ds = F.lit(0.0) if zero_sub else (zero("s_r1") - zero("s_r0")) / size - (zero("s_l1") - zero("s_l0")) / size
-        out = out.withColumns({"flag": F.when((dv > 0) & (ds > 0), 0).otherwise(F.col("flag")), "c_delta": F.col("c_delta") + dv, "c_sub": F.col("c_sub") + ds}).drop(*[f"{p}_{k}" for p in "ivs" for k in spots])
-    wrong = F.col("h2") > 0
+    out = edges.join(ends, list(KEY)).filter((F.col("start_idx") > windows * size) & (F.col("end_idx") < F.col("n") - windows * size)).drop("n")
+    spots = [F.col("end_idx") + 1 + size * c for c in range(windows + 1)] + [F.col("start_idx") - 1 - size * c for c in range(windows + 1)]
+    wanted = out.select(*KEY, F.struct(*out.columns).alias("edge"), F.posexplode(F.array(*spots)).alias("spot", "idx"))
+    found = wanted.join(prefix_sums(samples, main, sub, span), [*KEY, "idx"], "left")
+    # An index before the first has no sum: nothing lies there.
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("spot") == k, F.col(c))), F.lit(0.0)).alias(f"{c}_{k}")
+    out = found.groupBy(*KEY, F.col("edge.start_idx").alias("__start")).agg(F.first("edge").alias("edge"), *[at(c, k) for c in ("sv", "ss") for k in range(2 * windows + 2)])
+    n, width = windows + 1, F.col("edge.pattern_size")
+    mean = lambda c, k: (F.col(f"{c}_{k}") - F.col(f"{c}_{k - 1}")) / width - (F.col(f"{c}_{n + k - 1}") - F.col(f"{c}_{n + k}")) / width
+    dv = [mean("sv", k) for k in range(1, n)]
+    ds = [F.lit(0.0) if zero_sub else mean("ss", k) for k in range(1, n)]
+    apart = reduce(or_, [(a > 0) & (b > 0) for a, b in zip(dv, ds)])
+    wrong = F.col("edge.h2") > 0
     if not zero_sub:
-        wrong = wrong | (F.col("sub_delta") > 0)
+        wrong = wrong | (F.col("edge.sub_delta") > 0)
+    out = out.select("edge.*", F.when(wrong | apart, 0).otherwise(1).alias("flag"), reduce(add, dv).alias("c_delta"), reduce(add, ds).alias("c_sub"))
     mean = lambda name, part: (F.col(name) + F.col(part)) / (windows + 1)
     return out.withColumns({
-        "flag": F.when(wrong, 0).otherwise(F.col("flag")), "org_h2": F.col("h2"), "org_sub_delta": F.col("sub_delta"),
+        "org_h2": F.col("h2"), "org_sub_delta": F.col("sub_delta"),
         "h2": mean("h2", "c_delta"), "delta": mean("delta", "c_delta"), "sub_delta": mean("sub_delta", "c_sub"),
-    }).drop("c_delta", "c_sub", "n")
+    }).drop("c_delta", "c_sub")

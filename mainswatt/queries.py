@@ -93,7 +93,8 @@ def samples(spark, sf):
 
 @query(POWER + """ SELECT site, channel, idx, lag(active_power, 2) OVER w AS two_before, lead(active_power, 3) OVER w AS three_after FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx)""")
 def shift(spark, sf):
-    return power.from_events(spark, sf).select(*power.KEY, "idx", columns.shifted("active_power", 2).alias("two_before"), columns.shifted("active_power", -3).alias("three_after"))
+    moved = columns.shifted(power.from_events(spark, sf), {"two_before": ("active_power", 2), "three_after": ("active_power", -3)})
+    return moved.select(*power.KEY, "idx", "two_before", "three_after")
 
 
 @query(SLOPE + " SELECT site, channel, idx, round(speed, 6) + 0 AS speed FROM sloped WHERE speed IS NOT NULL")
@@ -186,6 +187,70 @@ def edge_consistency_zero_sub(spark, sf):
     return rounded(e.select(*power.KEY, "start_idx", "org_h2", "org_sub_delta", "h2", "sub_delta"))
 
 
+def _near(edges: str, n: int, name: str) -> str:
+    """CTEs that end in ``name``: the edges with ``n`` neighbour windows on either side, their flag and averaged heights."""
+    at = [f"end_idx + 1 + pattern_size * {c}" for c in range(n + 1)] + [f"start_idx - 1 - pattern_size * {c}" for c in range(n + 1)]
+    joins = " ".join(f"LEFT JOIN sums s{k} ON s{k}.site = e.site AND s{k}.channel = e.channel AND s{k}.idx = e.{x}" for k, x in enumerate(at))
+    mean = lambda c, k: f"(coalesce(s{k}.{c}, 0) - coalesce(s{k - 1}.{c}, 0) - coalesce(s{n + k}.{c}, 0) + coalesce(s{n + k + 1}.{c}, 0)) / pattern_size"
+    every = range(1, n + 1)
+    return f""", {name}_in AS (SELECT e.* FROM {edges} e JOIN (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL) USING (site, channel) WHERE start_idx > {n} * pattern_size AND end_idx < n - {n} * pattern_size),
+{name}_w AS (SELECT e.*, {', '.join(f'{mean("sv", k)} AS dv{k}, {mean("ss", k)} AS ds{k}' for k in every)} FROM {name}_in e {joins}),
+{name} AS (SELECT * EXCLUDE (h2, delta, sub_delta), h2 AS org_h2, sub_delta AS org_sub_delta, CAST(CASE WHEN h2 > 0 OR sub_delta > 0 OR {' OR '.join(f'(dv{k} > 0 AND ds{k} > 0)' for k in every)} THEN 0 ELSE 1 END AS INTEGER) AS flag,
+  (h2 + {' + '.join(f'dv{k}' for k in every)}) / {n + 1} AS h2, (delta + {' + '.join(f'dv{k}' for k in every)}) / {n + 1} AS delta, (sub_delta + {' + '.join(f'ds{k}' for k in every)}) / {n + 1} AS sub_delta FROM {name}_w)"""
+
+
+SUMS = """, sums AS (SELECT site, channel, idx, sum(active_power) OVER w AS sv, sum(reactive_power) OVER w AS ss FROM power WINDOW w AS (PARTITION BY site, channel ORDER BY idx))"""
+CONSISTENT = "SELECT site, channel, start_idx, flag, org_h2, org_sub_delta, round(h2, 6) + 0 AS h2, round(delta, 6) + 0 AS delta, round(sub_delta, 6) + 0 AS sub_delta FROM near"
+
+
+def _consistency(spark, sf, n):
+    samples = power.from_events(spark, sf)
+    e = signal.consistent_edges(samples, signal.falling_edges(samples), n)
+    return rounded(e.select(*power.KEY, "start_idx", "flag", "org_h2", "org_sub_delta", "h2", "delta", "sub_delta"))
+
+
+@query(FALL + SUMS + _near("edges", 2, "near") + CONSISTENT)
+def edge_consistency_two(spark, sf):
+    return _consistency(spark, sf, 2)
+
+
+@query(FALL + SUMS + _near("edges", 3, "near") + CONSISTENT)
+def edge_consistency_three(spark, sf):
+    return _consistency(spark, sf, 3)
+
+
+def _rising(kinds: str) -> str:
+    """Rising edges of some patterns, of the first that matches."""
+    return f"(SELECT site, channel, start_idx, end_idx, end_idx - start_idx + 1 AS pattern_size, vz - top AS h2, vz - v_at AS delta, sz - s_at AS sub_delta FROM rise WHERE k IN ({kinds}))"
+
+
+# A short pattern is told apart at every run, whether or not a long one begins there.
+RISE_EACH = RISE.replace("k, v_at", "v_at").replace("SELECT site, channel, str AS start_idx,", "SELECT k, site, channel, str AS start_idx,").replace("FROM pick WHERE k IS NOT NULL", "FROM (SELECT * FROM pick WHERE k < 4 UNION ALL SELECT * REPLACE (CASE v_1 WHEN 2 THEN 4 ELSE 5 END AS k) FROM pick WHERE val = 1 AND v_1 IN (2, 3)) p")
+
+
+def _rising_windows(n: int) -> str:
+    out = "site, channel, start_idx, end_idx, org_h2, org_sub_delta, round(h2, 6) + 0 AS h2, round(delta, 6) + 0 AS delta, round(sub_delta, 6) + 0 AS sub_delta"
+    return (
+        RISE_EACH + SUMS + f", long0 AS {_rising('0, 1, 2, 3')}, short0 AS {_rising('4, 5')}" + _near("long0", n, "long") + _near("short0", n, "short")
+        + f" SELECT {out} FROM long WHERE flag = 1 UNION ALL SELECT {out} FROM short s WHERE flag = 1 AND NOT EXISTS (SELECT 1 FROM long l WHERE l.flag = 1 AND l.site = s.site AND l.channel = s.channel AND l.start_idx = s.start_idx)"
+    )
+
+
+def _rising_near(spark, sf, n):
+    e = signal.rising_edges(power.from_events(spark, sf), windows=n)
+    return rounded(e.select(*power.KEY, "start_idx", "end_idx", "org_h2", "org_sub_delta", "h2", "delta", "sub_delta"))
+
+
+@query(_rising_windows(1))
+def rising_edges_window(spark, sf):
+    return _rising_near(spark, sf, 1)
+
+
+@query(_rising_windows(2))
+def rising_edges_two_windows(spark, sf):
+    return _rising_near(spark, sf, 2)
+
+
 @query(BAND + f" SELECT {EDGE} FROM band")
 def watt_band_edges(spark, sf):
     return _edge(_band(spark, sf))

@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEY = ("site", "channel")
+SEGMENT_US = 86_400_000_000
+"""Length of a segment in microseconds: a day. Passes over a channel go segment by segment; what they carry over a border
+comes from one row a segment."""
+BLOCK = 1 << 16
+"""Rows of a channel, by index, in a block."""
 
 
-def by_idx(idx: str = "idx") -> Window:
-    return Window.partitionBy(*KEY).orderBy(idx)
+def segment_of(us: Column, span: int = SEGMENT_US) -> Column:
+    """The number of the segment that a time lies in."""
+    return ((us - F.pmod(us, F.lit(span))) / F.lit(span)).cast("long")
 
 
-def normalise(df: DataFrame, *tie: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], span: int = SEGMENT_US) -> DataFrame:
+    """``idx`` from 1 within each channel by ``us``, then ``order``: segments count their rows, the counts' running sum is each one's offset."""
+    rows = rows.withColumn("__seg", segment_of(F.col("us"), span))
+    held = Window.partitionBy(*KEY).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*KEY, "__seg").agg(F.count("*").alias("__n")).select(*KEY, "__seg", F.coalesce(F.sum("__n").over(held), F.lit(0)).alias("__offset"))
+    own = F.row_number().over(Window.partitionBy(*KEY, "__seg").orderBy("us", *order))
+    return rows.join(offsets, [*KEY, "__seg"]).withColumn("idx", F.col("__offset") + own).drop("__seg", "__offset")
+
+
+def with_neighbours(rows: DataFrame, moved: dict[str, tuple[str, int]], idx: str = "idx", block: int = BLOCK) -> DataFrame:
+    """``rows`` with columns from rows some places on in their channel: {new: (column, places)}, places below 0 are before.
+
+    Rows are dealt to blocks by index, and those near a block's border to the block beyond it too, so none sees a whole channel.
+    """
+    after, before = max(0, *(n for _, n in moved.values())), max(0, *(-n for _, n in moved.values()))
+    own = F.floor(F.col(idx) / block)
+    place = F.pmod(F.col(idx), F.lit(block))
+    to = F.array_compact(F.array(own, F.when(place < after, own - 1), F.when(place >= block - before, own + 1)))
+    w = Window.partitionBy(*KEY, "__block").orderBy(idx)
+    dealt = rows.withColumn("__block", F.explode(to)).withColumns({new: F.lead(c, n).over(w) if n >= 0 else F.lag(c, -n).over(w) for new, (c, n) in moved.items()})
+    return dealt.filter(F.col("__block") == own).drop("__block")
+
+
+def normalise(df: DataFrame, *tie: str, span: int = SEGMENT_US) -> DataFrame:
     """site, channel, us (microseconds), idx, active_power, reactive_power from a frame with ``timestamp`` and both powers.
 
     Channels are numbered by time, equal times by the ``tie`` columns (else by power). A frame without ``site`` is one home.
+    Rows without a site, channel, time or either power are no readings and are left out.
     """
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
     site = F.col("site") if "site" in df.columns else F.lit("s0")
     ties = [F.col(c).alias(f"__tie{k}") for k, c in enumerate(tie)]
     out = df.select(site.cast("string").alias("site"), F.col("channel").cast("int").alias("channel"), us.alias("us"), F.col("active_power").cast("double"), F.col("reactive_power").cast("double"), *ties)
-    order = Window.partitionBy(*KEY).orderBy("us", *([f"__tie{k}" for k in range(len(tie))] or ["active_power", "reactive_power"]))
-    out = out.withColumn("idx", F.row_number().over(order).cast("long"))
-    return out.select(*KEY, "us", "idx", "active_power", "reactive_power")
+    out = out.dropna(subset=[*KEY, "us", "active_power", "reactive_power"])
+    return numbered(out, [f"__tie{k}" for k in range(len(tie))] or ["active_power", "reactive_power"], span).select(*KEY, "us", "idx", "active_power", "reactive_power")
 
 
 def from_events(spark: SparkSession, sf_dir: str, coarse_us: int = 1) -> DataFrame:
@@ -67,7 +96,19 @@ def planted(spark: SparkSession, kind: str, n: int = 216_000) -> DataFrame:
     return homes(spark.createDataFrame([(kind, kind, 0.0)], "site string, kind string, more double"), n)
 
 
+def seconds(spans: DataFrame) -> DataFrame:
+    """``spans`` (lo, hi and more) with one row a second, ``sec``; a row is split by days first, so none grows to more than one."""
+    day = 86400
+    days = spans.filter("hi >= lo").withColumn("__day", F.explode(F.sequence(F.floor(F.col("lo") / day), F.floor(F.col("hi") / day))))
+    first, last = F.greatest(F.col("lo"), F.col("__day") * day), F.least(F.col("hi"), F.col("__day") * day + day - 1)
+    return days.withColumn("sec", F.explode(F.sequence(first, last))).drop("__day", "lo", "hi")
+
+
+def site_range(samples: DataFrame) -> DataFrame:
+    """site, lo, hi: the seconds of a site's first and last sample, both channels included."""
+    return samples.groupBy("site").agg(F.floor(F.min("us") / 1000000).alias("lo"), F.floor(F.max("us") / 1000000).alias("hi"))
+
+
 def second_grid(samples: DataFrame) -> DataFrame:
-    """site, sec: every second from a site's first to its last sample, both channels included."""
-    span = samples.groupBy("site").agg(F.floor(F.min("us") / 1000000).alias("lo"), F.floor(F.max("us") / 1000000).alias("hi"))
-    return span.select("site", F.explode(F.sequence("lo", "hi")).alias("sec"))
+    """site, sec: every second from a site's first to its last sample."""
+    return seconds(site_range(samples))
