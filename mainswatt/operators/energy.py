@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,46 +19,57 @@ def lump_ends(lumps: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return both.withColumn("mid_us", F.avg("end_us").over(w.partitionBy(*by))).drop("a", "z")
 
 
-def cook_energy(samples: DataFrame, lumps: DataFrame, hz: float, max_sec: float, island_gap: float, keys: tuple[str, ...] = KEY) -> DataFrame:
+BUCKET_US = 600_000_000
+"""Width of the time buckets in which edges meet the samples around them."""
+
+
+def cook_energy(samples: DataFrame, lumps: DataFrame, hz: Column | float, max_sec: Column | float, island_gap: Column | float, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Two rows per lump: how long power stayed above half way down the edge around it, and its energy (negative).
 
-    Samples meet edges through time buckets of ``max_sec``: an edge looks into the three that its window touches.
+    The half way level is that of the edge's own ends (``start_v``, ``end_v``), so samples are read once: they meet an
+    edge in the time buckets that its window touches. ``hz``, ``max_sec`` and ``island_gap`` are numbers or columns of the lumps.
     """
-    span = int(max_sec * 1e6)
     by = [*keys, "lump_idx", "edge_pos"]
-    ends = lump_ends(lumps, keys).select(*by, "start_idx", "end_idx", "end_us", "mid_us", "h2")
-    at = samples.select(*KEY, F.col("idx"), F.col("active_power").alias("ap"))
-    ends = ends.join(at.select(*KEY, F.col("idx").alias("start_idx"), F.col("ap").alias("ap0")), [*KEY, "start_idx"]).join(at.select(*KEY, F.col("idx").alias("end_idx"), F.col("ap").alias("ap1")), [*KEY, "end_idx"])
-    ends = ends.withColumn("thr", (F.col("ap0") + F.col("ap1")) / 2)
-    bucket = F.floor(F.col("end_us") / span)
-    spread = ends.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    rows = samples.select(*KEY, "us", F.col("active_power").alias("ap"), F.floor(F.col("us") / span).alias("bucket"))
-    met = spread.join(rows, [*KEY, "bucket"]).filter(F.col("us").between(F.col("end_us") - span, F.col("end_us") + span) & (F.col("ap") >= F.col("thr")))
+    value = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    span = (value(max_sec) * 1e6).cast("long")
+    ends = lump_ends(lumps, keys).select(*by, "end_us", "mid_us", "h2", ((F.col("start_v") + F.col("end_v")) / 2).alias("thr"), value(hz).alias("hz"), span.alias("span"), value(island_gap).alias("island_gap"))
+    bucket = lambda t: F.floor(t / BUCKET_US)
+    spread = ends.withColumn("bucket", F.explode(F.sequence(bucket(F.col("end_us") - F.col("span")), bucket(F.col("end_us") + F.col("span")))))
+    rows = samples.select(*KEY, "us", F.col("active_power").alias("ap"), bucket(F.col("us")).alias("bucket"))
+    met = spread.join(rows, [*KEY, "bucket"]).filter(F.col("us").between(F.col("end_us") - F.col("span"), F.col("end_us") + F.col("span")) & (F.col("ap") >= F.col("thr")))
     w = Window.partitionBy(*by).orderBy("us")
-    new = F.coalesce((F.col("us") - F.lag("us").over(w)) / 1e6 >= island_gap, F.lit(False))
+    new = F.coalesce((F.col("us") - F.lag("us").over(w)) / 1e6 >= F.col("island_gap"), F.lit(False))
     met = met.withColumn("island", F.sum(new.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isle = met.groupBy(*by, "island").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.first("mid_us").alias("mid_us"), F.first("h2").alias("h2"))
+    isle = met.groupBy(*by, "island").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), *[F.first(c).alias(c) for c in ("mid_us", "h2", "hz")])
     every = Window.partitionBy(*by)
     isle = isle.withColumns({"total": F.sum("n").over(every), "all_lo": F.min("lo").over(every), "all_hi": F.max("hi").over(every), "rank": F.row_number().over(every.orderBy(F.desc(F.col("hi") - F.col("lo")), "island"))})
-    best = isle.filter("rank = 1").withColumn("sec_on", F.col("total") / hz)
+    best = isle.filter("rank = 1").withColumn("sec_on", F.col("total") / F.col("hz"))
     whole = (F.col("hi") - F.col("lo")) / 1e6 < F.col("sec_on")
     lo, hi = F.when(whole, F.col("all_lo")).otherwise(F.col("lo")), F.when(whole, F.col("all_hi")).otherwise(F.col("hi"))
     return best.select(*by, ((F.col("mid_us") - lo) / 1e6).alias("start_time"), ((hi - F.col("mid_us")) / 1e6).alias("end_time"), "sec_on", (F.col("sec_on") * F.col("h2") / 3600).alias("wh_on"), F.col("h2").alias("ap_on"))
 
 
-def warm_slots(samples: DataFrame, edges: DataFrame, hz: float, ignore: float, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Per slot between consecutive edges' ends: samples over the slot's first power by more than ``ignore``, seconds, watt-seconds."""
+def warm_slots(samples: DataFrame, edges: DataFrame, hz: float, ignore: float, keys: tuple[str, ...] = KEY, block: int = 1 << 14) -> DataFrame:
+    """Per slot between consecutive edges' ends: samples over the slot's first power by more than ``ignore``, seconds, watt-seconds.
+
+    An as-of merge: a mark for each slot, with the power at it (``end_v`` of its edge), goes into every block of indexes
+    that the slot touches, samples into the one they lie in; in order of index, a sample belongs to the last mark before it.
+    Samples are read once, and a block holds ``block`` of them at most.
+    """
     w = Window.partitionBy(*keys).orderBy("end_idx")
-    slots = edges.select(*keys, "end_idx").distinct().withColumn("next_idx", F.lead("end_idx").over(w)).filter("next_idx is not null")
-    marks = slots.select(*keys, F.col("end_idx").alias("slot"))
-    span = 1 << 14
-    spread = slots.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("end_idx") / span), F.floor(F.col("next_idx") / span))))
-    rows = samples.select(*KEY, "idx", F.col("active_power").alias("ap"), F.floor(F.col("idx") / span).alias("bucket"))
-    met = spread.join(rows, [*KEY, "bucket"]).filter((F.col("idx") > F.col("end_idx")) & (F.col("idx") <= F.col("next_idx")))
-    base = samples.select(*KEY, F.col("idx").alias("end_idx"), F.col("active_power").alias("base"))
-    over = met.join(base, [*KEY, "end_idx"]).withColumn("over", F.col("ap") - F.col("base")).filter(F.col("over") > ignore)
-    out = over.groupBy(*keys, F.col("end_idx").alias("slot")).agg(F.count("*").alias("len"), F.avg("over").alias("watt"))
-    out = marks.join(out, [*keys, "slot"], "left").withColumn("len", F.coalesce("len", F.lit(0)).cast("long"))
+    slots = edges.groupBy(*keys, "end_idx").agg(F.first("end_v").alias("base")).withColumn("next_idx", F.lead("end_idx").over(w)).filter("next_idx is not null")
+    first = lambda c: F.floor(F.col(c) / block)
+    spread = slots.withColumn("block", F.explode(F.sequence(F.floor((F.col("end_idx") + 1) / block), first("next_idx"))))
+    marks = spread.select(*keys, "block", F.greatest(F.col("end_idx"), F.col("block") * block - 1).alias("at"), F.col("end_idx").alias("slot"), "base", "next_idx", F.lit(None).cast("double").alias("ap"))
+    wanted = spread.select(*keys, "block").distinct()
+    rows = samples.select(*KEY, first("idx").alias("block"), F.col("idx").alias("at"), F.col("active_power").alias("ap"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("slot", "long"), ("base", "double"), ("next_idx", "long"))]
+    read = rows.join(wanted, [*KEY, "block"]).select(*keys, "block", "at", *none, "ap")
+    # At one index the sample comes first: it still belongs to the slot before.
+    order = Window.partitionBy(*keys, "block").orderBy("at", F.col("slot").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    merged = marks.unionByName(read).withColumn("mark", F.last(F.when(F.col("slot").isNotNull(), F.struct("slot", "base", "next_idx")), ignorenulls=True).over(order))
+    over = merged.withColumn("over", F.col("ap") - F.col("mark.base")).withColumn("counts", (F.col("at") <= F.col("mark.next_idx")) & (F.col("over") > ignore))
+    out = over.filter("mark is not null").groupBy(*keys, F.col("mark.slot").alias("slot")).agg(F.count_if("counts").alias("len"), F.avg(F.when(F.col("counts"), F.col("over"))).alias("watt"))
     return out.withColumns({"sec": F.greatest(F.floor(F.col("len") / hz), F.lit(1)).cast("double"), "watt_sec": F.coalesce(F.col("len") * F.col("watt") / hz, F.lit(0.0))})
 
 

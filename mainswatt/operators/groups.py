@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -95,22 +95,29 @@ def search(pool: pd.DataFrame, iterations: int, size: int, good: Callable[[pd.Da
         r = max(r - len(found) + 1, 1)
 
 
-MEMBERS = "start_idx long, end_idx long, start_us long, end_us long, h1 double, h2 double, delta double, sub_delta double"
+MEMBERS = "start_idx long, end_idx long, start_us long, end_us long, h1 double, h2 double, delta double, sub_delta double, start_v double, end_v double"
 
 
-def detect_groups(edges: DataFrame, iterations: int = 650, size: int = 7, periodicity: float = 0.2, q: float = 0.25, med_min: float = 10.0, med_max: float = 700.0) -> DataFrame:
-    """Members of every group that looks periodic, with group_id and its rank by size; ``delta`` is the drop's depth."""
+def detect_groups(edges: DataFrame, iterations: Column | int = 650, size: Column | int = 7, periodicity: Column | float = 0.2, q: Column | float = 0.25, med_min: Column | float = 10.0, med_max: Column | float = 700.0) -> DataFrame:
+    """Members of every group that looks periodic, with group_id and its rank by size; ``delta`` is the drop's depth.
+
+    A bound is a number, or a column of the edges that has one value in a channel.
+    """
     columns = [x.split()[0] for x in MEMBERS.split(", ")]
+    bounds = {"iterations": iterations, "size": size, "periodicity": periodicity, "q": q, "med_min": med_min, "med_max": med_max}
+    names = tuple(bounds)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         site, channel = pdf["site"].iloc[0], pdf["channel"].iloc[0]
+        b = {k: float(pdf[f"__{k}"].iloc[0]) for k in names}
         pool = pdf.sort_values(["start_us", "start_idx"]).reset_index(drop=True)
         pool["delta"] = -pool["delta"]
-        ok = lambda cell, info: med_min <= info["med_t"] <= med_max and info["min_med_rate2"] >= periodicity
-        found = [cell[columns].assign(group_id=n, sum=info["sum"]) for n, cell, info in search(pool, iterations, size, ok, q)]
+        ok = lambda cell, info: b["med_min"] <= info["med_t"] <= b["med_max"] and info["min_med_rate2"] >= b["periodicity"]
+        found = [cell[columns].assign(group_id=n, sum=info["sum"]) for n, cell, info in search(pool, int(b["iterations"]), int(b["size"]), ok, b["q"])]
         out = pd.concat(found) if found else pool.iloc[:0][columns].assign(group_id=0, sum=0)
         return out.assign(site=site, channel=channel)[["site", "channel", "group_id", "sum", *columns]]
 
-    members = edges.select(*KEY, *columns).groupBy(*KEY).applyInPandas(kernel, f"site string, channel int, group_id int, sum long, {MEMBERS}")
+    held = edges.select(*KEY, *columns, *[(x if isinstance(x, Column) else F.lit(x)).cast("double").alias(f"__{k}") for k, x in bounds.items()])
+    members = held.groupBy(*KEY).applyInPandas(kernel, f"site string, channel int, group_id int, sum long, {MEMBERS}")
     rank = F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.desc("sum"), "group_id"))
     return members.withColumn("cand_rank", rank)

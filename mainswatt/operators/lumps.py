@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +14,8 @@ def _order(keys: tuple[str, ...]) -> Window:
     return Window.partitionBy(*keys).orderBy("start_us", "start_idx")
 
 
-def watt_band(edges: DataFrame, low: float, high: float, closed: bool = True) -> DataFrame:
-    """Drops of ``low`` to ``high``."""
+def watt_band(edges: DataFrame, low: Column | float, high: Column | float, closed: bool = True) -> DataFrame:
+    """Drops of ``low`` to ``high``. Here and below a bound is a number, or a column of the edges."""
     h = F.col("h2")
     return edges.filter(h.between(-high, -low) if closed else (h > -high) & (h < -low))
 
@@ -26,16 +26,16 @@ def envelope(edges: DataFrame, meta: DataFrame, ap_margin: float, rp_margin: flo
     return edges.join(meta, list(KEY)).filter(near).select(*edges.columns)
 
 
-def period_match(edges: DataFrame, db_times: tuple[float, ...], tolerance: float, keys: tuple[str, ...] = KEY) -> DataFrame:
+def period_match(edges: DataFrame, db_times: Column | tuple[float, ...], tolerance: Column | float, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Both ends of every gap that fits a period, for each period: the edges with ``db_time``."""
     w = _order(keys)
     gaps = edges.withColumns({"gap": (F.col("start_us") - F.lag("start_us").over(w)) / 1e6, "next_gap": (F.lead("start_us").over(w) - F.col("start_us")) / 1e6})
-    each = gaps.withColumn("db_time", F.explode(F.array(*[F.lit(float(t)) for t in db_times])))
+    each = gaps.withColumn("db_time", F.explode(db_times if isinstance(db_times, Column) else F.array(*[F.lit(float(t)) for t in db_times])))
     fits = lambda c: F.coalesce(F.col(c).between(F.col("db_time") - tolerance, F.col("db_time") + tolerance), F.lit(False))
     return each.filter(fits("gap") | fits("next_gap")).drop("gap", "next_gap")
 
 
-def sessionise(edges: DataFrame, gap: float, keys: tuple[str, ...] = KEY) -> DataFrame:
+def sessionise(edges: DataFrame, gap: Column | float, keys: tuple[str, ...] = KEY) -> DataFrame:
     """``lump_idx`` from 1: a new lump begins where the gap to the edge before is ``gap`` seconds or more."""
     w = _order(keys)
     new = F.coalesce((F.col("start_us") - F.lag("start_us").over(w)) / 1e6 >= gap, F.lit(False))
@@ -59,7 +59,7 @@ def summarise(lumps: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     }).drop("q05")
 
 
-def big_enough(lumps: DataFrame, size: int, keys: tuple[str, ...] = KEY) -> DataFrame:
+def big_enough(lumps: DataFrame, size: Column | int, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Lumps of at least ``size`` edges."""
     return lumps.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "lump_idx"))).filter(F.col("__n") >= size).drop("__n")
 
@@ -93,7 +93,7 @@ def within_extents(edges: DataFrame, spans: DataFrame, keys: tuple[str, ...] = K
     return interval_join(edges, spans, "start_idx", "lo_idx", "hi_idx", keys).filter(F.col("end_idx") <= F.col("hi_idx")).drop("lo_idx", "hi_idx")
 
 
-def except_edges(edges: DataFrame, other: DataFrame) -> DataFrame:
-    """Distinct edges that the other table has not, by position, time and height."""
-    columns = [*KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta"] + [c for c in ("start_v", "end_v") if c in edges.columns and c in other.columns]
+def except_edges(edges: DataFrame, other: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct edges that the other table has not, by position, time and height; ``more`` columns follow from these."""
+    columns = [*KEY, "start_idx", "end_idx", "start_us", "end_us", "h2", "sub_delta", *more]
     return edges.select(columns).subtract(other.select(columns))

@@ -190,18 +190,50 @@ def peaks(tables: DataFrame, least: int) -> DataFrame:
     return tables.withColumn("two_peaks", F.least("neg_1", "neg_2", "pos_1", "pos_2") > least)
 
 
-def reliability(samples: DataFrame, cyc: DataFrame, p: Washer = Washer()) -> DataFrame:
-    """0.5 below three cycles; else the interquartile range of the distances between standardised cycles over their range."""
-    before, after = p.span_min[0] * 60 * p.fs, p.span_min[1] * 60 * p.fs
+COLUMNS = 1024
+"""Places of a cycle that a task takes at once, of all cycles of a channel."""
+
+
+def _pair_sums(table: pa.Table) -> pa.Table:
+    """For each two cycles the sum of squared differences of standardised power over the places of one block that both have, and their number.
+
+    A place without spread is missing. Three matrix products: squares by presence, presence by squares, values by values.
+    """
+    start, cycle = np.unique(table.column("start_idx").to_numpy(), return_inverse=True)
+    place = table.column("col").to_numpy()
+    v = np.full((len(start), COLUMNS), np.nan)
+    v[cycle, place - place.min() // COLUMNS * COLUMNS] = table.column("active_power").to_numpy()
+    have = ~np.isnan(v)
+    n = have.sum(axis=0)
+    off = np.where(have, v - np.where(have, v, 0).sum(axis=0) / np.maximum(n, 1), 0)
+    sd = np.sqrt((off**2).sum(axis=0) / np.maximum(n - 1, 1))
+    have &= (n > 1) & (sd > 0)
+    z = np.where(have, off / np.where(sd > 0, sd, 1), 0)
+    present, square = have.astype(float), z * z
+    sums = square @ present.T + present @ square.T - 2 * (z @ z.T)
+    both = present @ present.T
+    i, j = np.nonzero(np.triu(both, 1))
+    one = lambda c: pa.array([table.column(c)[0].as_py()] * len(i), table.column(c).type)
+    return pa.table({"site": one("site"), "channel": one("channel"), "i": start[i], "j": start[j], "s": np.maximum(sums[i, j], 0), "n": both[i, j].astype(np.int64)})
+
+
+def cycle_distances(samples: DataFrame, cyc: DataFrame, before: int, after: int) -> DataFrame:
+    """site, channel, i, j (start indexes, i before j), d: distance of standardised cycles over the places both have, scaled to all places.
+
+    A channel's cycles meet block by block of places; a block's products are added up over blocks, so no row a place and pair is made.
+    """
     span = before + after
-    spread = cyc.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_idx") - before) / span), F.floor((F.col("start_idx") + after) / span))))
+    spread = cyc.select(*KEY, "start_idx").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_idx") - before) / span), F.floor((F.col("start_idx") + after) / span))))
     rows = samples.select(*KEY, "idx", "active_power", F.floor(F.col("idx") / span).alias("bucket"))
     met = rows.join(spread, [*KEY, "bucket"]).filter(F.col("idx").between(F.col("start_idx") - before, F.col("start_idx") + after))
-    met = met.withColumn("col", F.col("idx") - F.col("start_idx")).select(*KEY, "start_idx", "col", "active_power")
-    w = Window.partitionBy(*KEY, "col")
-    z = met.withColumn("z", F.try_divide(F.col("active_power") - F.avg("active_power").over(w), F.stddev_samp("active_power").over(w))).filter("z is not null")
-    a, b = (z.select(*KEY, "col", F.col("start_idx").alias(k), F.col("z").alias(f"z{k}")) for k in "ij")
-    d = a.join(b, [*KEY, "col"]).filter("i < j").groupBy(*KEY, "i", "j").agg((F.sum(F.pow(F.col("zi") - F.col("zj"), 2)) * F.lit(span + 1) / F.count("*")).alias("s"))
-    score = d.withColumn("d", F.sqrt("s")).groupBy(*KEY).agg(F.try_divide(F.percentile("d", F.lit(0.75)) - F.percentile("d", F.lit(0.25)), F.max("d") - F.min("d")).alias("score"))
-    count = cyc.groupBy(*KEY).agg(F.count("*").alias("count"))
+    met = met.select(*KEY, "start_idx", (F.col("idx") - F.col("start_idx") + before).alias("col"), "active_power").withColumn("block", F.floor(F.col("col") / COLUMNS))
+    sums = met.groupBy(*KEY, "block").applyInArrow(_pair_sums, "site string, channel int, i long, j long, s double, n long")
+    return sums.groupBy(*KEY, "i", "j").agg(F.sqrt(F.sum("s") * (span + 1) / F.sum("n")).alias("d"))
+
+
+def reliability(samples: DataFrame, cyc: DataFrame, p: Washer = Washer()) -> DataFrame:
+    """count and confidence of every channel of the samples: 0.5 below three cycles; else the interquartile range of the distances between standardised cycles over their range."""
+    d = cycle_distances(samples, cyc, p.span_min[0] * 60 * p.fs, p.span_min[1] * 60 * p.fs)
+    score = d.groupBy(*KEY).agg(F.try_divide(F.percentile("d", F.lit(0.75)) - F.percentile("d", F.lit(0.25)), F.max("d") - F.min("d")).alias("score"))
+    count = samples.select(*KEY).distinct().join(cyc.groupBy(*KEY).agg(F.count("*").alias("count")), list(KEY), "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return count.join(score, list(KEY), "left").select(*KEY, "count", F.when(F.col("count") >= 3, F.col("score")).otherwise(F.lit(0.5)).alias("confidence"))

@@ -562,6 +562,22 @@ def rice_usage(spark, sf):
     return rounded(rice_plan.predict(home, rice_plan.train(home, Rice()), Rice()))
 
 
+OWN = Rice(db_times=(61.0, 100.0), db_tolerance=2.0, eff_size=9)
+
+
+def _own_models(spark, sf):
+    """Models of the homes that only keep warm, trained with a period table of their own, and of the others with the usual one."""
+    home, keeps = _homes(spark, sf), F.col("r_regionkey") % 5
+    warm = spark.read.parquet(f"{sf}/region.parquet").filter((keeps == 1) | (keeps == 2)).select(F.col("r_name").alias("site"))
+    return home, rice_plan.train(home.join(warm, "site", "left_semi"), OWN).unionByName(rice_plan.train(home.join(warm, "site", "left_anti"), Rice()))
+
+
+@query(SQL["rice_usage"])
+def rice_usage_own_parameters(spark, sf):
+    home, models = _own_models(spark, sf)
+    return rounded(rice_plan.predict(home, models))
+
+
 @query(PULSES + """ SELECT site, CASE k WHEN 0 THEN 0.6 WHEN 3 THEN 0.8 WHEN 4 THEN 0 ELSE 0.4 END::DOUBLE AS confidence, CAST(CASE k WHEN 0 THEN 3 WHEN 3 THEN 2 ELSE 0 END AS BIGINT) AS "count", CAST(1 AS DOUBLE) AS sampling_rate FROM homes""")
 def rice_summary(spark, sf):
     home = _homes(spark, sf)
@@ -585,22 +601,52 @@ def washer_usage(spark, sf):
     return rounded(washer_plan.predict(_wash_homes(spark, sf), Washer()))
 
 
-@query("SELECT r_name AS site, CAST(2 AS INTEGER) AS channel, CAST(1 AS BIGINT) AS \"count\", CAST(0.5 AS DOUBLE) AS confidence FROM region WHERE r_regionkey % 2 = 0")
+@query("SELECT r_name AS site, CAST(2 - r_regionkey % 2 AS INTEGER) AS channel, CAST(1 - r_regionkey % 2 AS BIGINT) AS \"count\", CAST(0.5 AS DOUBLE) AS confidence FROM region")
 def washer_summary(spark, sf):
     return rounded(washer_plan.summary(_wash_homes(spark, sf), Washer()))
 
 
-@query(STARTS + """, top AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), cyc AS (SELECT s.* FROM starts s JOIN top USING (site, channel) WHERE start_idx + 200 <= n),
-met AS (SELECT c.site, c.channel, c.start_idx, p.idx - c.start_idx AS col, p.active_power AS v FROM cyc c JOIN power p ON p.channel = c.channel AND p.idx BETWEEN c.start_idx - 1500 AND c.start_idx + 1800),
+def _distances(before: int, after: int) -> str:
+    """CTEs from ``cyc`` (site, channel, start_idx) to each channel's count and confidence."""
+    return f""", met AS (SELECT c.site, c.channel, c.start_idx, p.idx - c.start_idx AS col, p.active_power AS v FROM cyc c JOIN power p ON p.channel = c.channel AND p.idx BETWEEN c.start_idx - {before} AND c.start_idx + {after}),
 z AS (SELECT site, channel, start_idx, col, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM met WINDOW w AS (PARTITION BY site, channel, col)),
-d AS (SELECT a.site, a.channel, a.start_idx AS i, b.start_idx AS j, sqrt(sum((a.z - b.z) ** 2) * 3301 / count(*)) AS d FROM z a JOIN z b ON a.site = b.site AND a.channel = b.channel AND a.col = b.col AND a.start_idx < b.start_idx WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL),
-score AS (SELECT site, channel, (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / nullif(max(d) - min(d), 0) AS score FROM d GROUP BY ALL), num AS (SELECT site, channel, count(*) AS n FROM cyc GROUP BY ALL)
-SELECT n.site, n.channel, n AS "count", round(CASE WHEN n >= 3 THEN score ELSE 0.5 END, 6) AS confidence FROM num n LEFT JOIN score s ON s.site = n.site AND s.channel = n.channel""")
+d AS (SELECT a.site, a.channel, a.start_idx AS i, b.start_idx AS j, sqrt(sum((a.z - b.z) ** 2) * {before + after + 1} / count(*)) AS d FROM z a JOIN z b ON a.site = b.site AND a.channel = b.channel AND a.col = b.col AND a.start_idx < b.start_idx WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY ALL),
+score AS (SELECT site, channel, (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) / nullif(max(d) - min(d), 0) AS score FROM d GROUP BY ALL),
+num AS (SELECT site, channel, count(cyc.start_idx) AS n FROM (SELECT DISTINCT site, channel FROM power) LEFT JOIN cyc USING (site, channel) GROUP BY ALL)"""
+
+
+CONFIDENCE = """ SELECT n.site, n.channel, n AS "count", round(CASE WHEN n >= 3 THEN score ELSE 0.5 END, 6) AS confidence FROM num n LEFT JOIN score s ON s.site = n.site AND s.channel = n.channel"""
+
+
+@query(STARTS + ", top AS (SELECT site, channel, max(idx) AS n FROM power GROUP BY ALL), cyc AS (SELECT s.* FROM starts s JOIN top USING (site, channel) WHERE start_idx + 200 <= n)" + _distances(1500, 1800) + CONFIDENCE)
 def washer_reliability(spark, sf):
     samples = power.from_events(spark, sf)
     return rounded(washer.reliability(samples, _cycles(spark, sf), WASH))
 
 
+OFTEN = Washer(fs=1, span_min=(5, 10))
+
+
+def _often(samples):
+    """A stretch to compare at every 800th sample of a channel; the first and last lack some of their places."""
+    return samples.filter("idx % 800 = 200").select(*power.KEY, F.col("idx").alias("start_idx"))
+
+
+OFTEN_SQL = POWER + ", cyc AS (SELECT site, channel, idx AS start_idx FROM power WHERE idx % 800 = 200)" + _distances(300, 600)
+
+
+@query(OFTEN_SQL + CONFIDENCE)
+def washer_reliability_often(spark, sf):
+    samples = power.from_events(spark, sf)
+    return rounded(washer.reliability(samples, _often(samples), OFTEN))
+
+
+@query(OFTEN_SQL + " SELECT site, channel, i, j, round(d, 6) AS d FROM d")
+def cycle_distances(spark, sf):
+    samples = power.from_events(spark, sf)
+    return rounded(washer.cycle_distances(samples, _often(samples), 300, 600))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
