@@ -53,10 +53,15 @@ def cell_summary(members: DataFrame, q: float) -> DataFrame:
 
 
 def _walls(x: np.ndarray, n: int) -> np.ndarray:
-    x = np.sort(x)
+    """Midpoints of the ``n`` largest gaps of sorted values; ties to the lower gap."""
     gap = np.diff(x)
-    top = np.argsort(-gap, kind="stable")[:n]
-    return np.sort((x[top] + x[top + 1]) / 2)
+    if n < len(gap):
+        least = np.partition(gap, len(gap) - n)[len(gap) - n]
+        top = np.flatnonzero(gap > least)
+        top = np.sort(np.r_[top, np.flatnonzero(gap == least)[: n - len(top)]])
+    else:
+        top = np.arange(len(gap))
+    return (x[top] + x[top + 1]) / 2
 
 
 def _times(us: np.ndarray, q: float) -> dict[str, float]:
@@ -69,30 +74,52 @@ def _times(us: np.ndarray, q: float) -> dict[str, float]:
 
 
 def search(pool: pd.DataFrame, iterations: int, size: int, good: Callable[[pd.DataFrame, dict], bool], q: float) -> Iterator[tuple[int, pd.DataFrame, dict]]:
-    """Groups in order of discovery. Cells too small are dropped for good; cells that are good leave as groups."""
+    """Groups in order of discovery. Cells too small are dropped for good; cells that are good leave as groups.
+
+    Both axes are sorted once; what leaves is taken out of the order. A cell is known by the sum of its members' random
+    marks, and judged when it first takes shape: most walls stay where they are from one iteration to the next, so an iteration
+    costs a pass over the arrays and judgement of the cells that it cuts or thins.
+    """
+    x, y, us = pool["delta"].to_numpy(float), pool["sub_delta"].to_numpy(float), pool["start_us"].to_numpy()
+    by_x, by_y = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    mark = np.random.default_rng(0).integers(0, 2**63, len(pool))
+    here = np.ones(len(pool), bool)
+    judged: set[tuple[int, int]] = set()
     r, number = 1, 0
     for _ in range(iterations):
-        if len(pool) + 1 <= r or len(pool) < 2:
+        alive = np.flatnonzero(here)
+        if len(alive) + 1 <= r or len(alive) < 2:
             return
-        x, y = pool["delta"].to_numpy(float), pool["sub_delta"].to_numpy(float)
-        pool = pool.assign(x_division=np.searchsorted(_walls(x, r), x, "right"), y_division=np.searchsorted(_walls(y, r), y, "right"))
-        held = pool.groupby(["x_division", "y_division"])["delta"].transform("size")
-        dropped = pool[held < size].groupby(["x_division", "y_division"]).ngroups
-        pool = pool[held >= size]
-        r = max(r - dropped, 1)
-        if not len(pool):
+        column = np.searchsorted(_walls(x[by_x], r), x[alive], "right")
+        line = np.searchsorted(_walls(y[by_y], r), y[alive], "right")
+        cell = column * (r + 1) + line
+        order = np.argsort(cell, kind="stable")  # members stay in the pool's order
+        first = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
+        count = np.diff(np.r_[first, len(order)])
+        known = np.add.reduceat(mark[alive[order]], first)
+        small = np.repeat(count < size, count)
+        leaving = [alive[order[small]]]
+        r = max(r - int((count < size).sum()), 1)
+        if small.all():
             r += 1
-            continue
-        found = []
-        for (xd, _), cell in pool.groupby(["x_division", "y_division"], sort=True):
-            info = _times(cell["start_us"].to_numpy(), q)
-            if xd != 0 and good(cell, info):
-                found.append(cell)
-                number += 1
-                yield number, cell, info
-        if found:
-            pool = pool.drop(pd.concat(found).index)
-        r = max(r - len(found) + 1, 1)
+        else:
+            found = 0
+            for k in np.flatnonzero(count >= size).tolist():
+                if column[order[first[k]]] == 0 or (int(known[k]), int(count[k])) in judged:
+                    continue
+                members = alive[order[first[k] : first[k] + count[k]]]
+                info, frame = _times(us[members], q), pool.iloc[members]
+                if good(frame, info):
+                    found, number = found + 1, number + 1
+                    leaving.append(members)
+                    yield number, frame, info
+                else:
+                    judged.add((int(known[k]), int(count[k])))
+            r = max(r - found + 1, 1)
+        gone = np.concatenate(leaving)
+        if len(gone):
+            here[gone] = False
+            by_x, by_y = by_x[here[by_x]], by_y[here[by_y]]
 
 
 MEMBERS = "start_idx long, end_idx long, start_us long, end_us long, h1 double, h2 double, delta double, sub_delta double, start_v double, end_v double"

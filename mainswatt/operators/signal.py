@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.power import KEY, SEGMENT_US, segment_of, with_neighbours
+from ..sources.shared import materialise
 
 FALLING = ((3, 4), (3, 1), (3, 2))
 RISING = ((1, 2, 3, 4), (1, 3, 4), (1, 2, 3, 1), (1, 3, 1))
@@ -30,11 +31,12 @@ def segmented(signal: DataFrame, span: int = SEGMENT_US) -> DataFrame:
     """``signal`` with its segment ``seg`` and, from one row a segment, what lies beyond: ``beyond`` (v, s, us of the next
     segment's first sample) and ``speed_in`` (the slope over the border into the segment; never over equal times)."""
     rows = signal.withColumn("seg", segment_of(F.col("us"), span))
-    ends = rows.groupBy(*KEY, "seg").agg(F.min_by(F.struct("v", "s", "us"), "idx").alias("head"), F.max_by(F.struct("v", "us"), "idx").alias("tail"))
+    # Plain values, so that they are aggregated by hash: structs would have all samples sorted.
+    ends = rows.groupBy(*KEY, "seg").agg(*[F.min_by(c, "idx").alias(f"{c}_head") for c in ("v", "s", "us")], *[F.max_by(c, "idx").alias(f"{c}_tail") for c in ("v", "us")])
     w = Window.partitionBy(*KEY).orderBy("seg")
-    ends = ends.withColumns({"beyond": F.lead("head").over(w), "before": F.lag("tail").over(w)})
-    speed_in = (F.col("head.v") - F.col("before.v")) / ((F.col("head.us") - F.col("before.us")) / 1e6)
-    return rows.join(ends.select(*KEY, "seg", "beyond", speed_in.alias("speed_in")), [*KEY, "seg"])
+    beyond = F.when(F.lead("us_head").over(w).isNotNull(), F.struct(*[F.lead(f"{c}_head").over(w).alias(c) for c in ("v", "s", "us")]))
+    speed_in = (F.col("v_head") - F.lag("v_tail").over(w)) / ((F.col("us_head") - F.lag("us_tail").over(w)) / 1e6)
+    return rows.join(ends.select(*KEY, "seg", beyond.alias("beyond"), speed_in.alias("speed_in")), [*KEY, "seg"])
 
 
 def _in_segment() -> Window:
@@ -77,18 +79,21 @@ def runs(stated: DataFrame) -> DataFrame:
     """
     w = _in_segment()
     change = (F.col("state") != F.lag("state").over(w)) | F.lag("state").over(w).isNull()
+    first, last = {"v_at": "v", "s_at": "s", "us_at": "us"}, {"v_end": "v", "v_past": "v1", "s_past": "s1", "us_past": "us1", "speed_end": "speed"}
     parts = stated.withColumn("part", F.sum(change.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*KEY, "seg", "part").agg(
         F.min("idx").alias("str"), F.max("idx").alias("end"), F.first("state").alias("val"),
-        F.min_by(F.struct(F.col("v").alias("v_at"), F.col("s").alias("s_at"), F.col("us").alias("us_at")), "idx").alias("begin"),
-        F.max_by(F.struct(F.col("v").alias("v_end"), F.col("v1").alias("v_past"), F.col("s1").alias("s_past"), F.col("us1").alias("us_past"), F.col("speed").alias("speed_end")), "idx").alias("finish"),
+        *[F.min_by(c, "idx").alias(k) for k, c in first.items()], *[F.max_by(c, "idx").alias(k) for k, c in last.items()],
     )
+    parts = materialise(parts)  # numbered from their own ends: read twice, scanned once
     order = Window.partitionBy(*KEY).orderBy("seg")
     ends = parts.groupBy(*KEY, "seg").agg(F.max("part").alias("n"), F.min_by("val", "part").alias("head"), F.max_by("val", "part").alias("tail"))
     ends = ends.withColumn("goes_on", F.coalesce(F.col("head") == F.lag("tail").over(order), F.lit(False)).cast("long"))
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("goes_on").over(order.rowsBetween(Window.unboundedPreceding, 0))
     joined = parts.join(ends.select(*KEY, "seg", before.alias("before")), [*KEY, "seg"]).withColumn("run", F.col("before") + F.col("part"))
-    merged = joined.groupBy(*KEY, "run").agg(F.min("str").alias("str"), F.max("end").alias("end"), F.first("val").alias("val"), F.min_by("begin", "str").alias("begin"), F.max_by("finish", "end").alias("finish"))
-    return merged.select(*KEY, "run", "str", "end", "val", "begin.*", "finish.*")
+    return joined.groupBy(*KEY, "run").agg(
+        F.min("str").alias("str"), F.max("end").alias("end"), F.first("val").alias("val"),
+        *[F.min_by(k, "str").alias(k) for k in first], *[F.max_by(k, "end").alias(k) for k in last],
+    )
 
 
 def ngram_starts(run_rows: DataFrame, pattern: tuple[int, ...]) -> DataFrame:

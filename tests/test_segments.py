@@ -79,10 +79,11 @@ def test_neighbours_are_found_beyond_blocks(samples, block):
 
 def test_no_window_sees_a_whole_channel(samples):
     """Windows over samples or runs are within a segment or a block; those over a channel read one row a segment."""
-    plan = signal.falling_edges(power.normalise(samples, "order"))._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and not any(k in line for k in ("seg#", "__seg#", "__block#")):
-            raise AssertionError(line)
+    held = power.normalise(samples, "order")
+    for frame in (signal.states(signal.repaired(signal.slopes(signal.with_signal(held)))), signal.falling_edges(held), signal.prefix_sums(held, "active", "reactive")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all(any(k in line for k in ("seg#", "__seg#", "__block#")) for line in windows)
 
 
 def test_edges_meet_extents_by_size_class(spark):
