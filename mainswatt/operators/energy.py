@@ -19,6 +19,22 @@ def lump_ends(lumps: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return both.withColumn("mid_us", F.avg("end_us").over(w.partitionBy(*by))).drop("a", "z")
 
 
+def validity(energy: DataFrame, sizes: DataFrame, min_on: float, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Metrics of each candidate (``keys``): of all its lumps' ends and of the proper ones, on for ``min_on`` seconds or more.
+
+    ``energy`` is that of cooking, ``sizes`` has keys, lump_idx and sig, the edges of a lump. A candidate without a proper end has zeros
+    and nulls for these. Each lump has two ends, so ``lumps`` and ``proper_lumps`` are halves of the counts.
+    """
+    rows = energy.join(sizes, [*keys, "lump_idx"])
+    of = lambda c: F.when(F.col("sec_on") >= min_on, F.col(c))
+    return rows.groupBy(*keys).agg(
+        F.min("sig").alias("least_sig"), F.count("*").alias("ends"), F.count(of("sig")).alias("proper_ends"), (F.count("*") / 2).alias("lumps"), (F.count(of("sig")) / 2).alias("proper_lumps"),
+        F.coalesce(F.min(of("sig")), F.lit(0)).alias("min_flucs_proper_lump"), F.coalesce(F.max(of("sig")), F.lit(0)).alias("max_flucs_proper_lump"),
+        F.median(of("start_time")).alias("usage_start_time"), F.median(of("end_time")).alias("usage_end_time"), F.median(of("sec_on")).alias("usage_sec_on"), F.stddev_samp(of("sec_on")).alias("sd_sec_on"),
+        F.median(of("wh_on")).alias("usage_wh_on"), F.median(of("ap_on")).alias("usage_ap_on"),
+    )
+
+
 BUCKET_US = 600_000_000
 """Width of the time buckets in which edges meet the samples around them."""
 

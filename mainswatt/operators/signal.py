@@ -63,6 +63,12 @@ def repaired(sloped: DataFrame) -> DataFrame:
     return sloped.withColumn("speed", fixed)
 
 
+def strict(sloped: DataFrame) -> DataFrame:
+    """Slopes as they are, where equal times are an error instead of being repaired: reading such a row fails."""
+    wrong = F.col("us1").isNotNull() & F.col("speed").isNull()
+    return sloped.withColumn("speed", F.when(wrong, F.raise_error(F.lit("two samples of a channel have one time")).cast("double")).otherwise(F.col("speed")))
+
+
 def states(sloped: DataFrame) -> DataFrame:
     """``state`` of each slope by the signs of speed and acceleration; 0 on a channel's first."""
     accel = F.col("speed") - F.coalesce(F.lag("speed").over(_in_segment()), "speed_in")

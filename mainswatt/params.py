@@ -56,3 +56,15 @@ class Washer:
     block_sec: int = 10
     quantile: float = 0.01
     span_min: tuple[int, int] = (25, 30)
+
+
+# The washing machine's configuration as a model states it. Prediction reads the kernel of active power and the end delay.
+WASHER_CONFIG = {
+    "meta_version": 1, "shape_type": "WashingMachine", "version": "0.0.10", "epsilon": 3.0,
+    "active_power": {"washing_kernel": 180, "washing_epsilon": 100.0, "spindry_kernel": 300, "spindry_epsilon": 1.0, "min_usage": 50.0, "local_window": 10},
+    "reactive_power": {"washing_kernel": 180, "washing_epsilon": 25.0, "spindry_kernel": 300, "spindry_epsilon": 1.0, "min_usage": 5.0},
+    "voltage": {"washing_kernel": 180, "washing_epsilon": 0.5, "spindry_kernel": 300, "spindry_epsilon": 1.0},
+    "current": {"washing_kernel": 180, "washing_epsilon": 0.5, "spindry_kernel": 300, "spindry_epsilon": 1.0},
+    "spin_dry": {"start_delay": 1500, "end_delay": 3000, "duration": 600, "difference": 2, "max": 50, "fix": True},
+    "generation_info": {"start": "2015-11-01 00:00:00", "end": "2015-11-01 23:59:59", "sampling_rate": 15, "training": True, "debug": False},
+}

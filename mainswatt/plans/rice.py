@@ -19,6 +19,7 @@ from ..params import META_VERSION, SHAPE_TYPE, Rice
 from ..sources.power import KEY, seconds, site_range
 from ..sources.shared import materialise
 
+COOK_USAGE = ("min_flucs_proper_lump", "proper_lumps", "usage_start_time", "usage_end_time", "usage_sec_on", "usage_wh_on", "usage_ap_on")
 CAND = (*KEY, "cand_rank", "db_time")
 
 
@@ -86,11 +87,7 @@ def _cook(samples: DataFrame, held: DataFrame, p: Rice) -> DataFrame:
     """The cook part of the model: the short candidate whose least proper lump is the largest."""
     e = energy.cook_energy(samples, held, p.hz, p.proper_cook_time, p.min_cook_on, CAND)
     size = held.groupBy(*CAND, "lump_idx").agg(F.count("*").alias("sig"))
-    proper = e.join(size, [*CAND, "lump_idx"]).filter(F.col("sec_on") >= p.min_cook_on)
-    usage = proper.groupBy(*CAND).agg(
-        F.min("sig").alias("min_flucs_proper_lump"), (F.count("*") / 2).alias("proper_lumps"), F.median("start_time").alias("usage_start_time"), F.median("end_time").alias("usage_end_time"),
-        F.median("sec_on").alias("usage_sec_on"), F.median("wh_on").alias("usage_wh_on"), F.median("ap_on").alias("usage_ap_on"),
-    )
+    usage = energy.validity(e, size, p.min_cook_on, CAND).filter("proper_ends > 0").select(*CAND, *COOK_USAGE)
     order = Window.partitionBy(*KEY).orderBy(F.desc("min_flucs_proper_lump"), "cand_rank", "db_time")
     best = usage.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
     shape = held.groupBy(*CAND).agg(F.countDistinct("lump_idx").alias("lumps"), F.min("h2").alias("min_h2"), F.max("h2").alias("max_h2"), F.min("sub_delta").alias("min_sub"), F.max("sub_delta").alias("max_sub"))

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import washer
-from ..params import Washer
+from ..params import WASHER_CONFIG, Washer
 from ..sources.power import KEY
 
 
-def meta(channels: tuple[int, ...] = (1, 2), p: Washer = Washer()) -> dict[int, Washer]:
-    """The configuration of each channel; nothing is learnt."""
-    return {c: p for c in channels}
+def _config(value, changed: dict) -> Column:
+    """A configuration as a struct, fields named in ``changed`` replaced wherever they stand."""
+    return F.struct(*[_config(v, changed).alias(k) if isinstance(v, dict) else F.lit(changed.get(k, v)).alias(k) for k, v in value.items()])
+
+
+def meta(samples: DataFrame, **changed) -> DataFrame:
+    """site, channel, config: the configuration of every channel; nothing is learnt, so all have the same.
+
+    ``changed`` replaces fields by name (``end_delay=...``); one of no such name is an error.
+    """
+    known = {k for part in WASHER_CONFIG.values() if isinstance(part, dict) for k in part} | {k for k, v in WASHER_CONFIG.items() if not isinstance(v, dict)}
+    if changed.keys() - known:
+        raise ValueError(f"no such field: {', '.join(sorted(changed.keys() - known))}")
+    return samples.select(*KEY).distinct().withColumn("config", _config(WASHER_CONFIG, changed))
+
+
+def force_meta(samples: DataFrame, sampling_rate: int = 10, debug: bool = False) -> DataFrame:
+    """The configuration as the whole home's model states it, with the data's rate."""
+    return meta(samples, sampling_rate=sampling_rate, debug=debug)
 
 
 def find_cycles(samples: DataFrame, p: Washer = Washer(), dip: bool = True) -> DataFrame:

@@ -17,7 +17,8 @@ from .operators import annihilation, energy, groups, lumps, signal, washer
 from .params import Rice, Washer
 from .plans import rice as rice_plan
 from .plans import washer as washer_plan
-from .sources import power
+from .sources import power, sinks
+from .sources.shared import fresh_path
 
 LOW, HIGH, BOX, GAP = 25000.0, 135000.0, 45, 3600.0
 TIMES, TOLERANCE = (60.0, 300.0, 900.0), 30.0
@@ -364,7 +365,7 @@ def lump_extent_join(spark, sf):
     return lumps.within_extents(signal.falling_edges(power.from_events(spark, sf)), spans).select(*power.KEY, "start_idx", "lump_idx")
 
 
-@query(LUMP + """, pos AS (
+COOKING = LUMP + """, pos AS (
   SELECT *, row_number() OVER (PARTITION BY site, channel, lump_idx ORDER BY start_us, start_idx) AS a, row_number() OVER (PARTITION BY site, channel, lump_idx ORDER BY start_us DESC, start_idx DESC) AS z FROM lumps
 ), ends AS (SELECT *, 0 AS edge_pos FROM pos WHERE a = 1 UNION ALL SELECT *, 1 FROM pos WHERE z = 1), mid AS (SELECT *, avg(end_us) OVER (PARTITION BY site, channel, lump_idx) AS mid_us FROM ends),
 th AS (SELECT m.*, (p0.active_power + p1.active_power) / 2 AS thr FROM mid m JOIN power p0 ON p0.channel = m.channel AND p0.idx = m.start_idx JOIN power p1 ON p1.channel = m.channel AND p1.idx = m.end_idx),
@@ -374,12 +375,26 @@ num AS (SELECT *, sum(f) OVER (PARTITION BY site, channel, lump_idx, edge_pos OR
 agg AS (SELECT site, channel, lump_idx, edge_pos, island, count(*) AS n, min(us) AS lo, max(us) AS hi, min(mid_us) AS mid_us, min(h2) AS h2 FROM num GROUP BY ALL),
 b AS (SELECT *, sum(n) OVER w / 10.0 AS sec_on, min(lo) OVER w AS alo, max(hi) OVER w AS ahi, row_number() OVER (PARTITION BY site, channel, lump_idx, edge_pos ORDER BY hi - lo DESC, island) AS r FROM agg WINDOW w AS (PARTITION BY site, channel, lump_idx, edge_pos))
 SELECT site, channel, lump_idx, CAST(edge_pos AS INTEGER) AS edge_pos, round((mid_us - CASE WHEN (hi - lo) / 1e6 < sec_on THEN alo ELSE lo END) / 1e6, 4) + 0 AS start_time,
-  round((CASE WHEN (hi - lo) / 1e6 < sec_on THEN ahi ELSE hi END - mid_us) / 1e6, 4) + 0 AS end_time, CAST(sec_on AS DOUBLE) AS sec_on, round(sec_on * h2 / 3600, 6) + 0 AS wh_on, h2 AS ap_on FROM b WHERE r = 1""")
+  round((CASE WHEN (hi - lo) / 1e6 < sec_on THEN ahi ELSE hi END - mid_us) / 1e6, 4) + 0 AS end_time, CAST(sec_on AS DOUBLE) AS sec_on, round(sec_on * h2 / 3600, 6) + 0 AS wh_on, h2 AS ap_on FROM b WHERE r = 1"""
+
+
+@query(COOKING)
 def cook_energy(spark, sf):
     out = energy.cook_energy(power.from_events(spark, sf), _lumps(spark, sf), 10.0, 2400.0, 360.0)
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("start_time", "end_time")}))
 
 
+@query("WITH e AS (" + COOKING + """), sizes AS (""" + LUMP + """ SELECT site, channel, lump_idx, count(*) AS sig FROM lumps GROUP BY ALL), j AS (SELECT e.*, sig, sec_on >= 1.5 AS ok FROM e JOIN sizes USING (site, channel, lump_idx))
+SELECT site, channel, min(sig) AS least_sig, count(*) AS ends, count(*) FILTER (ok) AS proper_ends, count(*) / 2.0 AS lumps, count(*) FILTER (ok) / 2.0 AS proper_lumps, coalesce(min(sig) FILTER (ok), 0) AS min_flucs_proper_lump,
+  coalesce(max(sig) FILTER (ok), 0) AS max_flucs_proper_lump, round(median(sec_on) FILTER (ok), 3) AS usage_sec_on, round(stddev_samp(sec_on) FILTER (ok), 3) AS sd_sec_on, round(median(wh_on) FILTER (ok), 3) AS usage_wh_on, round(median(ap_on) FILTER (ok), 3) AS usage_ap_on
+FROM j GROUP BY site, channel""")
+def cook_validity(spark, sf):
+    held = _lumps(spark, sf)
+    sizes = held.groupBy(*power.KEY, "lump_idx").agg(F.count("*").alias("sig"))
+    out = energy.validity(energy.cook_energy(power.from_events(spark, sf), held, 10.0, 2400.0, 360.0), sizes, 1.5).drop("usage_start_time", "usage_end_time")
+    return out.withColumns({c: F.round(c, 3) for c in ("usage_sec_on", "sd_sec_on", "usage_wh_on", "usage_ap_on")})
+
+
 @query(BAND + """, slots AS (SELECT site, channel, end_idx, lead(end_idx) OVER (PARTITION BY site, channel ORDER BY end_idx) AS nx FROM (SELECT DISTINCT site, channel, end_idx FROM band) q),
 o AS (SELECT s.site, s.channel, s.end_idx AS slot, count(p.idx) AS len, avg(p.active_power - b.active_power) AS watt FROM slots s JOIN power b ON b.channel = s.channel AND b.idx = s.end_idx
   LEFT JOIN power p ON p.channel = s.channel AND p.idx > s.end_idx AND p.idx <= s.nx AND p.active_power - b.active_power > 5 WHERE nx IS NOT NULL GROUP BY ALL)
@@ -562,6 +577,25 @@ def rice_usage(spark, sf):
     return rounded(rice_plan.predict(home, rice_plan.train(home, Rice()), Rice()))
 
 
+@query(POWER + """ SELECT DISTINCT site, channel, CAST(1 AS INTEGER) AS meta_version, 'WashingMachine' AS shape_type, '0.0.10' AS version, CAST(3 AS DOUBLE) AS epsilon, CAST(180 AS INTEGER) AS kernel, CAST(25 AS DOUBLE) AS reactive_epsilon, CAST(0.5 AS DOUBLE) AS voltage_epsilon,
+  CAST(300 AS INTEGER) AS current_kernel, CAST(3000 AS INTEGER) AS end_delay, TRUE AS fix, '2015-11-01 23:59:59' AS "end", CAST(10 AS INTEGER) AS sampling_rate, TRUE AS training, FALSE AS debug FROM power""")
+def washer_config(spark, sf):
+    c = washer_plan.force_meta(power.from_events(spark, sf))
+    of = {"kernel": "active_power.washing_kernel", "reactive_epsilon": "reactive_power.washing_epsilon", "voltage_epsilon": "voltage.washing_epsilon", "current_kernel": "current.spindry_kernel", "end_delay": "spin_dry.end_delay", "fix": "spin_dry.fix"}
+    info = [F.col(f"config.generation_info.{k}").alias(k) for k in ("end", "sampling_rate", "training", "debug")]
+    return c.select(*power.KEY, *[F.col(f"config.{k}").alias(k) for k in ("meta_version", "shape_type", "version", "epsilon")], *[F.col(f"config.{v}").alias(k) for k, v in of.items()], *info)
+
+
+@query(POWER + " SELECT site, CAST(floor(us / 1e6) AS BIGINT) AS sec, sum(active_power) AS p, sum(reactive_power) AS q FROM power GROUP BY ALL")
+def usage_sink(spark, sf):
+    """Usage written by site and read back."""
+    samples = power.from_events(spark, sf)
+    usage = samples.groupBy("site", F.floor(F.col("us") / 1000000).alias("sec")).agg(F.sum("active_power").alias("p"), F.sum("reactive_power").alias("q"))
+    path = fresh_path(spark)
+    sinks.write_usage(usage, path)
+    return spark.read.schema("sec long, p double, q double, site string").parquet(path)
+
+
 OWN = Rice(db_times=(61.0, 100.0), db_tolerance=2.0, eff_size=9)
 
 

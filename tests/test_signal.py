@@ -7,6 +7,7 @@ import pytest
 from mainswatt.operators import energy, groups, lumps, signal, washer
 from mainswatt.params import Rice, Washer
 from mainswatt.plans import rice
+from mainswatt.plans import washer as plan_washer
 from mainswatt.queries import oracle_sql, queries
 from mainswatt.sources import power
 
@@ -124,3 +125,22 @@ def test_dip():
     rng = np.random.default_rng(2)
     two = np.r_[rng.normal(0, 1, 100), rng.normal(12, 1, 100)]
     assert washer.dip_p_value(two) < 0.05 < washer.dip_p_value(rng.normal(0, 1, 200))
+
+
+def test_strict_slopes_fail_on_equal_times(spark):
+    rows = [("a", 1, 1, 0, 1.0, 1.0), ("a", 1, 2, 10**6, 3.0, 1.0), ("a", 1, 3, 2 * 10**6, 2.0, 1.0)]
+    frame = lambda r: spark.createDataFrame(r, "site string, channel int, idx long, us long, active_power double, reactive_power double")
+    good = signal.strict(signal.slopes(signal.with_signal(frame(rows))))
+    assert [r.speed for r in good.orderBy("idx").collect()] == [2.0, -1.0, None]
+    with pytest.raises(Exception, match="one time"):
+        signal.strict(signal.slopes(signal.with_signal(frame([*rows, ("a", 1, 4, 2 * 10**6, 5.0, 1.0)])))).collect()
+
+
+def test_washer_config_states_every_field(spark):
+    samples = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "site string, channel int")
+    rows = plan_washer.meta(samples, end_delay=2000).collect()
+    assert sorted((r.site, r.channel) for r in rows) == [("a", 1), ("a", 2)] and rows[0].config == rows[1].config
+    assert rows[0].config.spin_dry.end_delay == 2000 and rows[0].config.active_power.min_usage == 50.0 and rows[0].config.generation_info.sampling_rate == 15
+    assert plan_washer.force_meta(samples).first().config.generation_info.sampling_rate == 10
+    with pytest.raises(ValueError, match="no such field"):
+        plan_washer.meta(samples, endDelay=1)
