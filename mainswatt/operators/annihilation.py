@@ -72,6 +72,16 @@ def _refine(cell: pd.DataFrame, size: int) -> pd.DataFrame:
     return cell[keep(anti[order[:1]])[0]]
 
 
+def refined(particles: DataFrame, size: int) -> DataFrame:
+    """The particles of each channel, as one group, that the best cut leaves; all of them where fewer than ``size`` are anti-particles."""
+    columns = [x.split()[0] for x in _TAGGED.split(", ")]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _refine(pdf.sort_values(["start_us", "start_idx", "lump_idx", "side"]).reset_index(drop=True), size)
+
+    return particles.select(*KEY, *columns).groupBy(*KEY).applyInPandas(kernel, f"site string, channel int, {_TAGGED}")
+
+
 def annihilation_edges(particles: DataFrame, edges: DataFrame, cook_lumps: DataFrame, iterations: int = 650, size: int = 7, prob: float = 0.9, max_gap: float = 300.0, med_min: float = 10.0, med_max: float = 700.0, coverage: float = 0.75, lump_size: int = 8) -> DataFrame:
     """All edges in the bounding box of the best refined group; ``cook_lumps`` has site, channel, n_lumps.
 

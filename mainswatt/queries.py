@@ -352,6 +352,21 @@ def particle_summary(spark, sf):
     return rounded(annihilation.particle_summary(_particles(spark, sf)))
 
 
+CUT = PART + """, members AS (SELECT *, row_number() OVER (PARTITION BY site, channel ORDER BY start_us, start_idx, lump_idx, side) AS place, particle_position < 0 AS is_anti, median(delta) OVER (PARTITION BY site, channel) AS md, median(sub_delta) OVER (PARTITION BY site, channel) AS ms FROM particles),
+held AS (SELECT a.site, a.channel, a.place AS cut, b.place, b.is_anti, (CASE WHEN a.delta < a.md THEN b.delta > a.delta ELSE b.delta < a.delta END) AND (CASE WHEN a.sub_delta < a.ms THEN b.sub_delta > a.sub_delta ELSE b.sub_delta < a.sub_delta END) AS keep
+  FROM members a JOIN members b ON a.site = b.site AND a.channel = b.channel WHERE a.is_anti),
+cuts AS (SELECT site, channel, cut, count(*) FILTER (NOT keep AND is_anti) AS gone, count(*) FILTER (NOT keep AND NOT is_anti) AS lost FROM held GROUP BY ALL),
+cost AS (SELECT *, CASE WHEN gone > 0 THEN lost / gone ELSE 'infinity'::DOUBLE END AS cost, gone >= count(*) OVER (PARTITION BY site, channel) - 8 AS enough FROM cuts),
+rated AS (SELECT *, bool_or(enough) OVER (PARTITION BY site, channel) AS any_enough FROM cost),
+best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY site, channel ORDER BY CASE WHEN any_enough THEN CASE WHEN enough THEN 0 ELSE 1 END ELSE -gone END, cost, cut) = 1)"""
+
+
+@query(CUT + """ SELECT m.site, m.channel, m.start_idx, m.lump_idx, CAST(m.side AS INTEGER) AS side FROM members m LEFT JOIN (SELECT site, channel, count(*) AS n FROM cuts GROUP BY ALL) c ON c.site = m.site AND c.channel = m.channel
+  LEFT JOIN best b ON b.site = m.site AND b.channel = m.channel LEFT JOIN held h ON h.site = m.site AND h.channel = m.channel AND h.cut = b.cut AND h.place = m.place WHERE coalesce(c.n, 0) < 8 OR h.keep""")
+def refine_cut(spark, sf):
+    return annihilation.refined(_particles(spark, sf), 8).select(*power.KEY, "start_idx", "lump_idx", "side")
+
+
 @query(FALL + f" SELECT site, channel, start_idx, end_idx, start_us, end_us, h2, sub_delta FROM edges EXCEPT SELECT site, channel, start_idx, end_idx, start_us, end_us, h2, sub_delta FROM edges WHERE h2 BETWEEN {-HIGH} AND {-LOW}")
 def edge_except(spark, sf):
     edges = signal.falling_edges(power.from_events(spark, sf))
@@ -415,6 +430,19 @@ def paint_seconds(spark, sf):
     return rice_plan.painted(big, F.lit(120.0), F.lit(180.0)).select("site", "sec").distinct().withColumn("p", F.lit(250.0))
 
 
+@query(LUMP + """, l AS (SELECT site, channel, lump_idx, count(*) AS n, floor(min(start_us) / 1e6 + (max(end_us) - min(start_us)) / 2e6) AS c FROM lumps GROUP BY ALL),
+g AS (SELECT site, CAST(floor(min(us) / 1e6) AS BIGINT) AS a, CAST(floor(max(us) / 1e6) AS BIGINT) AS b FROM power GROUP BY site),
+s AS (SELECT DISTINCT site, n >= 3 AS big, unnest(generate_series(CAST(c - 43200 AS BIGINT), CAST(c + CASE WHEN n >= 3 THEN 86399 ELSE 599 END AS BIGINT))) AS sec FROM l WHERE channel = 1),
+t AS (SELECT site, sec, sum(CASE WHEN big THEN 250.0 ELSE 40.0 END) AS p FROM s GROUP BY site, sec)
+SELECT g.site, t.sec, CAST(t.p AS DOUBLE) AS p FROM t JOIN g ON g.site = t.site AND t.sec BETWEEN g.a AND g.b""")
+def paint_levels(spark, sf):
+    """Power around the lumps of channel 1, large and small ones, cut at the ends of the series."""
+    spans = _lumps(spark, sf).filter("channel = 1").groupBy(*power.KEY, "lump_idx").agg(F.count("*").alias("n"), F.min("start_us").alias("lump_start"), F.max("end_us").alias("lump_end"))
+    parts = {"major": rice_plan.around(spans.filter("n >= 3"), F.lit(43200.0), F.lit(86400.0)), "minor": rice_plan.around(spans.filter("n < 3"), F.lit(43200.0), F.lit(600.0))}
+    bounds = power.site_range(power.from_events(spark, sf))
+    return rice_plan.levels(bounds, parts, bounds.select("site", F.lit(250.0).alias("major"), F.lit(40.0).alias("minor"))).filter("p > 0")
+
+
 @query(BAND + """, m AS (SELECT site, channel, count(*) AS n, max(h2) > -26000 AS cook, median(sub_delta) > 0 AS warm FROM band GROUP BY ALL)
 SELECT site, channel FROM m QUALIFY row_number() OVER (PARTITION BY site ORDER BY cook DESC, warm DESC, n DESC, channel) = 1""")
 def channel_choice(spark, sf):
