@@ -8,8 +8,8 @@ proven small and is broadcast.
 
 Law ``bytes``: shards hold nearly equal bytes. The first map assigns slots, largest first, each to the
 shard with the fewest bytes so far; that greedy pass is a SQL ``aggregate`` over the slot array. Rows are
-hashed by id and text, so a group of equal texts spreads over all shards: kept together, a group that holds a
-third of all rows would break the law.
+hashed by id, text and, where rows repeat, their number among equal ones, so a group of equal texts or rows spreads
+over all shards: kept together, a group that holds a third of all rows would break the law.
 """
 
 from __future__ import annotations
@@ -21,14 +21,26 @@ from pyspark.sql.window import Window
 from ..sources.shared import fresh_path, materialise
 
 SLOTS = 4096
+COPIES = 4096
+"""Copies of one row that are numbered together."""
 
 
-def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 and the virtual slot of every row."""
+def with_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", block: int = COPIES) -> DataFrame:
+    """id, size (UTF-8 bytes of the text, null as none, plus 1), text_crc32 and the virtual slot of every row.
+
+    Equal rows are counted, numbered from 0 and hashed with their number, so the slots of a row's copies depend on
+    how many there are and on nothing else. A row of many copies is numbered in blocks of ``block``.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    mark = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string")))
-    return narrow.withColumn("vslot", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % slots).cast("int"))
+    key = ["doc_id", "size", "text_crc32"]
+    counted = materialise(narrow.groupBy(*key).agg(F.count("*").alias("copies")))
+    few = counted.filter(F.col("copies") <= block).withColumn("first", F.lit(0).cast("long"))
+    many = counted.filter(F.col("copies") > block).withColumn("first", F.explode(F.expr(f"sequence(0L, copies - 1, {int(block)}L)"))).repartition(*key, "first")
+    last = F.least(F.col("first") + block, F.col("copies")) - 1
+    rows = few.unionByName(many).withColumn("copy", F.explode(F.sequence("first", last)))
+    mark = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string"), F.when(F.col("copy") > 0, F.col("copy").cast("string"))))
+    return rows.select(*key, (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % slots).cast("int").alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -95,7 +107,7 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str |
     The map is stored at ``map_path`` (a new one in the shared folder unless given). Where that holds versions
     already, the last one counts, or with ``resize`` is first edited for the present sizes and ``shards``. The place is the slot's start within its shard plus the row's rank
     within its virtual slot, so no window is larger than one slot. Null texts count as empty (size 1) and null
-    ids hash like any value; wholly equal rows share a virtual slot and get places of their own. An empty table
+    ids hash like any value; wholly equal rows are dealt to slots by number and get places of their own. An empty table
     gives no rows; other columns are not read, whatever their names. Texts of any length cost one hash.
     """
     spark = docs.sparkSession

@@ -427,6 +427,23 @@ def test_sharding(spark, corpus, nothing, tmp_path):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_repeated_rows_keep_the_law(spark):
+    """A row of 4 KB that stands 400 times among 300 others, numbered in one block and in many; a null id and text too."""
+    rows = [(i, prose(12, i)) for i in range(300)] + [(7000, "y" * 4096)] * 400 + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((i is None, i or 0, len(t or "") + 1) for i, t in rows)
+    for block in (sharding.COPIES, 7):
+        slots = [(r.doc_id is None, r.doc_id or 0, r.size, r.vslot) for r in sharding.with_slots(docs, block=block).collect()]
+        assert sorted(s[:3] for s in slots) == want
+        assert len({s[3] for s in slots if s[1] == 7000}) > 300
+        assert block == 7 or sorted(slots) == sorted((r.doc_id is None, r.doc_id or 0, r.size, r.vslot) for r in sharding.with_slots(docs, block=9).collect())
+    out = sharding.shard(docs, 16).collect()
+    load = [sum(r.size for r in out if r.shard == s) for s in range(16)]
+    assert max(load) - min(load) <= 4097 and sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in out) == want
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_slot_map_is_stored_and_edited(spark, tmp_path):
     docs = spark.range(400).selectExpr("id doc_id", "repeat('x', cast(id % 37 as int)) text")
     path = f"{tmp_path}/map"
