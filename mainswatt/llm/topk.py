@@ -10,8 +10,10 @@ of the table, so blocks prune from the first. Where more than half of a tile is
 (directions without structure, which no pivot tells apart), the tile is scored by one matrix product.
 
 Queries go in rounds of about ``round_queries`` (a fixed bound): a round is broadcast, run against every block
-of candidates and written before the next one is fetched. A task keeps k per query, and the tasks' lists are
-merged by rank.
+of candidates, merged by rank and written before the next one is fetched. A round takes the table in two waves:
+first one row in ``WAVE``, drawn by hash, whose merged k-th scores are the floors of the second. A task keeps at
+most k per query, and what all tasks of the second wave send is so about ``WAVE`` times k a query together, however
+many they are.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from ..sources.shared import fresh_path, materialise
 SAMPLE = 2048
 """Rows that pivots are picked from, and that queries draw their first floors from."""
 
+WAVE = 64
+"""One row in so many is searched before the others."""
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column as a matrix, shorter ones padded with zeros."""
@@ -145,7 +150,8 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, r
     """The ``k`` highest integer inner products of each query over ``table``: query_id, rank, vec_id, score.
 
     Rows with a null id or vector, or a vector holding null or a non-finite number, take no part on either
-    side. A query's own id is no candidate. Ties go to the smaller id; repeated rows are candidates each.
+    side. A query's own id is no candidate. Ties go to the smaller id; repeated rows are candidates each. Query
+    rows of one id and vector are one query; those of one id and different vectors are ranked apart. Ids must be whole numbers.
     Vectors of unequal length count as padded with zeros. Fewer than k candidates are all returned; an empty
     table or query set gives no rows. Other columns are not read. ``scored`` counts the pairs that were scored.
     """
@@ -153,9 +159,9 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, r
     ints = quantised(table, id_col, vec_col)
     norm = F.aggregate("v", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     stats = ints.agg(F.max(norm).alias("most"), F.max(F.size("v")).alias("dim")).first()
-    asked = quantised(queries, id_col, vec_col)
+    asked = quantised(queries, id_col, vec_col).distinct()
     n_asked, q_most = asked.agg(F.count("*"), F.max(norm)).first()
-    out_schema = "query_id long, vec_id long, score long"
+    found_schema = "query_id long, query int, vec_id long, score long"
     if stats["most"] is None or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     most, dim = float(stats["most"]), max(1, int(stats["dim"]))
@@ -170,13 +176,21 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, r
             d = _distances(np.c_[x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))], pivot)
             yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "v": b.column("v"), "dist": pa.array(list(d), pa.list_(pa.float32()))})
 
-    measured = materialise(ints.mapInArrow(measure, "vec_id long, v array<long>, dist array<float>"))
+    first_wave = (F.pmod(F.xxhash64(F.lit(WAVE), "vec_id"), F.lit(WAVE)) > 0).cast("int")
+    measured_path = fresh_path(spark)
+    ints.mapInArrow(measure, "vec_id long, v array<long>, dist array<float>").withColumn("wave", first_wave).write.partitionBy("wave").parquet(measured_path)
+    measured = spark.read.schema("vec_id long, v array<long>, dist array<float>, wave int").parquet(measured_path)
     asked = materialise(asked)
     rounds = (n_asked - 1) // round_queries + 1
     path = fresh_path(spark)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
     for r in range(rounds):
         mine = asked if rounds == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r)
-        held = mine.orderBy("vec_id").toArrow().combine_chunks()
+        held = mine.orderBy("vec_id", "v").toArrow().combine_chunks()
         if not held.num_rows:
             continue
         column = held.column("v").combine_chunks()
@@ -185,9 +199,8 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, r
         q = {"id": held.column("vec_id").to_numpy(), "v": v, "lift": squares + most, "dist": _distances(np.c_[v, np.zeros(len(v))], pivot)}
         q["slack"] = np.float32(1e-3 + 1e-5 * np.sqrt(squares.max() + most))  # beyond any rounding of the float32 distances
         q["floor"] = _sample_floor(q["id"], v, sample_ids, sample, k, exact)
-        sent = spark.sparkContext.broadcast(q)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             q = sent.value
             best, ids, x, d, n = _Best(q["floor"], k), [], [], [], 0
 
@@ -211,10 +224,17 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 64, r
             row, place = np.nonzero(best.id != np.iinfo(np.int64).max)
             for at in range(0, len(row), 1 << 16):
                 i, j = row[at : at + (1 << 16)], place[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q["id"][i]), "vec_id": pa.array(best.id[i, j]), "score": pa.array(best.score[i, j])})
-
-        measured.select("vec_id", "v", "dist").mapInArrow(search, out_schema).write.mode("append").parquet(path)
-        sent.unpersist()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = spark.read.schema(out_schema).parquet(path)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q["id"][i]), "query": pa.array(i.astype(np.int32)), "vec_id": pa.array(best.id[i, j]), "score": pa.array(best.score[i, j])})
+
+        def searched(wave: int) -> DataFrame:
+            sent = spark.sparkContext.broadcast(q)
+            rows = measured.filter(F.col("wave") == wave).select("vec_id", "v", "dist")
+            return materialise(merged(rows.mapInArrow(lambda batches: search(batches, sent), found_schema)))
+
+        first = searched(0)
+        full = first.filter(F.col("rank") == k).select("query", "score").toArrow()  # a row a query of the round
+        at = full.column("query").to_numpy()
+        q["floor"][at] = np.maximum(q["floor"][at], full.column("score").to_numpy())
+        merged(first.drop("rank").unionByName(searched(1).drop("rank"))).write.mode("append").parquet(path)
+    found = spark.read.schema(found_schema + ", rank int").parquet(path)
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -50,6 +50,25 @@ def test_topk_is_exact(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_queries_and_rounds(spark):
+    """A query row that stands twice is one query; two vectors of one id are ranked apart; rounds and waves change nothing."""
+    x = np.random.default_rng(5).standard_normal((400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (40, x[41].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = table.filter("vec_id % 20 = 0")
+    ids, v = np.array([r[0] for r in rows]), np.floor(64 * np.array([r[1] for r in rows])).astype(int)
+    want = defaultdict(int)
+    for q in {(int(i), tuple(w.tolist())) for i, w in zip(ids, v) if i % 20 == 0}:
+        s = v @ np.array(q[1])
+        for rank, at in enumerate([i for i in np.lexsort((ids, -s)) if ids[i] != q[0]][:5], 1):
+            want[q[0], rank, int(ids[at]), int(s[at])] += 1
+    for round_queries in (7, 16384):
+        got = defaultdict(int)
+        for r in topk.top_k(table, asked, k=5, pivots=4, round_queries=round_queries, block=64).collect():
+            got[r.query_id, r.rank, r.vec_id, r.score] += 1
+        assert got == want
+
+
 def test_topk_stops_early_on_clustered_vectors(spark):
     rng = np.random.default_rng(3)
     x = (rng.standard_normal((20, 16)) * 4)[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 16)) * 0.05
