@@ -14,7 +14,10 @@ sending any string twice: consecutive strings of one minimiser travel as one seg
 4. Units mark the answered strings, and give each document's digest.
 
 Copies collapse in each unit before they are sent and in each bucket before they are sorted, so a document or
-passage that a third of the corpus holds costs one segment a unit. The number of buckets grows with the input.
+passage that a third of the corpus holds costs one segment a unit. The number of buckets grows with the input. A
+bucket to which more than ``CROWD`` units send something (the one of a string that stands everywhere) has a level
+below it: its units are dealt to parts, each part merges what is equal, the bucket judges the merged parts, and the
+parts answer their units.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ KGRAM = 20
 UNIT = 2 << 20
 BUCKET_BYTES = 1 << 20
 """Bytes of corpus text for each bucket."""
+CROWD = 1 << 20
+"""Units whose entries a bucket takes at once."""
 _BLOCK = 1 << 19
 _RUN = 200
 """Strings in a segment at most; a longer run of one minimiser (a period) makes several segments."""
@@ -180,12 +185,7 @@ def hashes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def sorted_answer(text: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For every string of the segments ``text`` (end to end, sizes ``size``), whether a smaller document holds it."""
-    end = np.cumsum(size)
-    prefix_at = end - size
-    key = hashes_of(text, prefix_at, size)
-    _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
-    least = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, doc)
+    prefix_at, index, inverse, least = _distinct_segments(size, doc, text)
     one = size[index]
     begin = np.cumsum(one + 1) - (one + 1)
     t = np.full(int((one + 1).sum()), SEPARATOR, np.uint8)
@@ -204,6 +204,93 @@ def sorted_answer(text: np.ndarray, size: np.ndarray, doc: np.ndarray, length: i
     return answer[np.repeat(begin[inverse], strings) + nth] < np.repeat(doc, strings)
 
 
+def _values_in(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of minimisers: the size of each entry, the distinct values, where each value of each entry is among them, and which two documents hold."""
+    vals = [np.frombuffer(v, "<u4") for v in table.column("vals").to_pylist()]
+    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool) for f, v in zip(table.column("flags").to_pylist(), vals)]
+    distinct, inverse, count = np.unique(np.concatenate(vals), return_inverse=True, return_counts=True)
+    many = count > 1
+    many[inverse[np.concatenate(flags)]] = True
+    return [len(v) for v in vals], distinct, inverse, many
+
+
+def judge_values(table: pa.Table) -> pa.Table:
+    """For the entries of one bucket, which of their minimisers two documents hold; entries of none are left out."""
+    count, _, inverse, many = _values_in(table)
+    return _answers(table, count, many[inverse], always=False)
+
+
+def merge_values(table: pa.Table) -> pa.Table:
+    """The entries of one part as one entry."""
+    _, distinct, _, many = _values_in(table)
+    return pa.table({"bucket": table.column("bucket")[:1], "unit": table.column("part")[:1], "vals": pa.array([distinct.tobytes()], pa.binary()), "flags": pa.array([np.packbits(many).tobytes()], pa.binary())})
+
+
+def spread_values(table: pa.Table, judged: pa.Table) -> pa.Table:
+    """The bucket's answer to a part, as answers to the part's units."""
+    if not judged.num_rows or not table.num_rows:
+        return _answers(table.slice(0, 0), [], np.zeros(0, bool), always=False)
+    count, distinct, inverse, _ = _values_in(table)
+    bits = np.unpackbits(np.frombuffer(judged.column("bits")[0].as_py(), np.uint8), count=len(distinct)).astype(bool)
+    return _answers(table, count, bits[inverse], always=False)
+
+
+def _answers(table: pa.Table, count: list[int], bits: np.ndarray, always: bool) -> pa.Table:
+    """unit, bucket and the bits of each entry, where any is set or ``always``."""
+    at, kept, out = 0, [], []
+    for i, n in enumerate(count):
+        if always or bits[at : at + n].any():
+            kept.append(i), out.append(np.packbits(bits[at : at + n]).tobytes())
+        at += n
+    kept = pa.array(kept, pa.int64())
+    return pa.table({"unit": table.column("unit").take(kept), "bucket": table.column("bucket").take(kept), "bits": pa.array(out, pa.binary())})
+
+
+def _segments_in(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of entries of segments: the sizes of each entry, and the documents and the text of all."""
+    sizes = [np.frombuffer(s, "<u2").astype(np.int64) for s in table.column("sizes").to_pylist()]
+    doc = np.concatenate([np.frombuffer(pa.decompress(d, decompressed_size=8 * len(s), codec="zstd", asbytes=True), "<i8") for d, s in zip(table.column("docs").to_pylist(), sizes)])
+    text = np.concatenate([np.frombuffer(pa.decompress(t, decompressed_size=int(s.sum()), codec="zstd", asbytes=True), np.uint8) for t, s in zip(table.column("text").to_pylist(), sizes)])
+    return sizes, doc, text
+
+
+def _segment_entry(bucket: int, unit: int, sizes: np.ndarray, docs: np.ndarray, text: np.ndarray) -> dict:
+    return {
+        "bucket": pa.array([bucket], pa.int32()), "unit": pa.array([unit], pa.int64()), "sizes": pa.array([sizes.astype("<u2").tobytes()], pa.binary()),
+        "docs": pa.array([pa.compress(docs.astype("<i8").tobytes(), codec="zstd", asbytes=True)], pa.binary()), "text": pa.array([pa.compress(text.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+    }
+
+
+def _distinct_segments(sizes: np.ndarray, doc: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each segment, a representative of each distinct one, the number of each segment among them, and their least documents."""
+    start = np.cumsum(sizes) - sizes
+    _, index, inverse = np.unique(hashes_of(text, start, sizes), return_index=True, return_inverse=True)
+    least = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, doc)
+    return start, index, inverse, least
+
+
+def merge_segments(table: pa.Table) -> pa.Table:
+    """The entries of one part as one entry: equal segments once, with their least document."""
+    sizes, doc, text = _segments_in(table)
+    sizes = np.concatenate(sizes)
+    start, index, _, least = _distinct_segments(sizes, doc, text)
+    return pa.table(_segment_entry(table.column("bucket")[0].as_py(), table.column("part")[0].as_py(), sizes[index], least, gather(text, start[index], sizes[index])))
+
+
+def spread_segments(table: pa.Table, judged: pa.Table, length: int) -> pa.Table:
+    """The bucket's answer to a part, as answers to the part's units: a string goes too where its segment stands in a smaller document of the part."""
+    each, doc, text = _segments_in(table)
+    sizes = np.concatenate(each)
+    _, index, inverse, least = _distinct_segments(sizes, doc, text)
+    strings = sizes - length + 1
+    begin = np.cumsum(strings[index]) - strings[index]
+    bits = np.unpackbits(np.frombuffer(judged.column("bits")[0].as_py(), np.uint8), count=int(strings[index].sum())).astype(bool)
+    nth = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+    gone = bits[np.repeat(begin[inverse], strings) + nth] | np.repeat(doc > least[inverse], strings)
+    return _answers(table, [int((s - length + 1).sum()) for s in each], gone, always=True)
+
+
 class Unit:
     """A unit's documents, its segments and its distinct minimisers."""
 
@@ -253,7 +340,7 @@ class Unit:
         return bucket[order][new], mine[order][new], least, mine, number
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _units(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +348,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         n = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in chunks(whole, "text", UNIT):
+            for batch in chunks(whole, "text", size):
                 data, offsets = as_bytes(batch.column("text"))
                 held = pa.compress(np.ascontiguousarray(data), codec="zstd", asbytes=True) if len(data) else b""
                 yield pa.RecordBatch.from_pydict({"unit": pa.array([n]), "ids": pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([np.diff(offsets)], pa.list_(pa.int64())), "data": pa.array([held], pa.binary())})
@@ -276,19 +363,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, unit: int = UNIT, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes, if asked for).
 
     Null and empty texts, and those shorter than ``length`` bytes, lose nothing. Rows with a null id neither
     lose bytes nor cause others to. Rows that repeat an id are one document: neither is smaller. An empty table
-    gives no rows; other columns are not read. Memory is that of a unit or bucket; a text longer than a unit is
+    gives no rows; other columns are not read. Ids must be whole numbers. Memory is that of a unit of ``unit`` bytes or a bucket,
+    whose equal entries are merged ``crowd`` units at a time; a text longer than a unit is
     a unit of its own, hashed in blocks. ``length`` must be at least 28.
     """
     spark = docs.sparkSession
     if length < KGRAM + 8:
         raise ValueError(f"length must be at least {KGRAM + 8}")
-    units = materialise(_units(docs, id_col, text_col))
-    total = units.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    units = materialise(_units(docs, id_col, text_col, unit))
+    total, n_units = units.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.count("*")).first()
     bits = min(24, max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
 
     def send_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,22 +392,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 "flags": pa.array([np.packbits(shared[edge[k] : edge[k + 1]]).tobytes() for k in used], pa.binary()),
             })
 
-    def judge_values(table: pa.Table) -> pa.Table:
-        vals = [np.frombuffer(v, "<u4") for v in table.column("vals").to_pylist()]
-        flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).astype(bool) for f, v in zip(table.column("flags").to_pylist(), vals)]
-        _, inverse, count = np.unique(np.concatenate(vals), return_inverse=True, return_counts=True)
-        many = count > 1
-        many[inverse[np.concatenate(flags)]] = True
-        at, units_, buckets_, out = 0, [], [], []
-        for unit, bucket, v in zip(table.column("unit").to_pylist(), table.column("bucket").to_pylist(), vals):
-            mine = many[inverse[at : at + len(v)]]
-            at += len(v)
-            if mine.any():
-                units_.append(unit), buckets_.append(bucket), out.append(np.packbits(mine).tobytes())
-        return pa.table({"unit": pa.array(units_, pa.int64()), "bucket": pa.array(buckets_, pa.int32()), "bits": pa.array(out, pa.binary())})
+    def by_bucket(entries: DataFrame, judge, merge, spread) -> DataFrame:
+        """The answers to all entries; a unit sends a bucket one, so none is crowded where units are fewer."""
+        answer = "unit long, bucket int, bits binary"
+        if n_units <= crowd:
+            return entries.groupBy("bucket").applyInArrow(judge, answer)
+        entries = materialise(entries)
+        crowded = F.broadcast(materialise(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("bucket")))  # of 2^24 buckets
+        plain = entries.join(crowded, "bucket", "left_anti").groupBy("bucket").applyInArrow(judge, answer)
+        parts = entries.join(crowded, "bucket", "left_semi").withColumn("part", F.pmod(F.xxhash64("unit"), F.lit((n_units - 1) // crowd + 1)))
+        merged = parts.groupBy("bucket", "part").applyInArrow(merge, entries.schema)
+        judged = materialise(merged.groupBy("bucket").applyInArrow(judge, answer).withColumnRenamed("unit", "part"))
+        return plain.unionByName(parts.groupBy("bucket", "part").cogroup(judged.groupBy("bucket", "part")).applyInArrow(spread, answer))
 
     values = units.mapInArrow(send_values, "bucket int, unit long, vals binary, flags binary")
-    judged = values.groupBy("bucket").applyInArrow(judge_values, "unit long, bucket int, bits binary")
+    judged = by_bucket(values, judge_values, merge_values, spread_values)
     answers = materialise(judged.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("answers")))
 
     def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,26 +417,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
             for lo, hi in zip(edge[:-1], edge[1:]):
                 pack = gather(u.data, u.start[first[lo:hi]], size[lo:hi])
-                docs_ = least[lo:hi].astype("<i8")
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([bucket[lo]], pa.int32()), "unit": pa.array([row["unit"]], pa.int64()), "sizes": pa.array([size[lo:hi].astype("<u2").tobytes()], pa.binary()),
-                    "docs": pa.array([pa.compress(docs_.tobytes(), codec="zstd", asbytes=True)], pa.binary()), "text": pa.array([pa.compress(pack.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
-                })
+                yield pa.RecordBatch.from_pydict(_segment_entry(bucket[lo], row["unit"], size[lo:hi], least[lo:hi], pack))
 
     def judge_segments(table: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(s, "<u2").astype(np.int64) for s in table.column("sizes").to_pylist()]
-        doc = np.concatenate([np.frombuffer(pa.decompress(d, decompressed_size=8 * len(s), codec="zstd", asbytes=True), "<i8") for d, s in zip(table.column("docs").to_pylist(), sizes)])
-        text = np.concatenate([np.frombuffer(pa.decompress(t, decompressed_size=int(s.sum()), codec="zstd", asbytes=True), np.uint8) for t, s in zip(table.column("text").to_pylist(), sizes)])
-        gone = sorted_answer(text, np.concatenate(sizes), doc, length)
-        at, out = 0, []
-        for s in sizes:
-            n = int((s - length + 1).sum())
-            out.append(np.packbits(gone[at : at + n]).tobytes())
-            at += n
-        return pa.table({"unit": table.column("unit"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+        sizes, doc, text = _segments_in(table)
+        return _answers(table, [int((s - length + 1).sum()) for s in sizes], sorted_answer(text, np.concatenate(sizes), doc, length), always=True)
 
     repeated = units.join(answers, "unit").mapInArrow(send_segments, "bucket int, unit long, sizes binary, docs binary, text binary")
-    found = repeated.groupBy("bucket").applyInArrow(judge_segments, "unit long, bucket int, bits binary")
+    found = by_bucket(repeated, judge_segments, merge_segments, lambda table, judged: spread_segments(table, judged, length))
     marks = materialise(found.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("marks")).join(answers, "unit"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

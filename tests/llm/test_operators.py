@@ -505,11 +505,13 @@ def test_remove_repeats(corpus, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
-def test_remove_repeats_of_a_passage_in_every_document(spark):
+@pytest.mark.parametrize("split", [{}, {"unit": 100, "crowd": 16}, {"unit": 700, "crowd": 3}])
+def test_remove_repeats_of_a_passage_in_every_document(spark, split):
+    """Few units; one a document, whose crowded buckets have a level of parts below; and units of several documents."""
     passage = prose(40, 77)
     rows = [(i, f"{prose(12, 2000 + i)} {passage} {prose(int(i % 5), i)}{i}") for i in range(300)]
     rows.append((300, prose(400000, 3)))  # a long text of its own unit, which repeats none of the others
-    out = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    out = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **split).collect()}
     first = {}
     for i, t in rows[:300]:
         for p in range(len(t) - 49):
