@@ -215,8 +215,9 @@ def removals(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_c
         pairs = materialise(pairs)
         later = rows.select("doc_id", F.col("hashes").alias("b"), F.col("words").alias("w"))
         earlier = rows.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-        both = join_split(pairs, earlier, "first", pairs.groupBy("first").agg(F.count("*").alias("n")), pairs.count())
-        return materialise(both.join(later, "doc_id").select("doc_id", "a", "b", "w").mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long"))
+        count, total = (lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))), pairs.count()
+        both = join_split(join_split(pairs, later, "doc_id", count("doc_id"), total), earlier, "first", count("first"), total)
+        return materialise(both.select("doc_id", "a", "b", "w").mapInArrow(align, f"doc_id {kind}, gone array<int>, blocks long"))
 
     def merged(found: DataFrame) -> DataFrame:
         return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.sum("blocks").alias("blocks"))

@@ -121,6 +121,18 @@ def test_line_dedup_tries_every_holder(spark):
     assert out[62].text == prose(9, 403) and out[62].n_removed == 2 and out[0].n_removed == 0
 
 
+def test_line_dedup_of_a_document_with_many_earlier_ones(spark, monkeypatch):
+    """One later document that takes a line from each of 60 earlier ones, its pairs dealt to parts: all is deleted as if whole."""
+    rows = [(i, f"{prose(9, 900 + i)}\n{prose(9, 1900 + i)}") for i in range(60)]
+    rows += [(100, "\n".join(t.split("\n")[0] for _, t in rows)), (101, prose(9, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr("mainswatt.sources.shared.HOT_ROWS", 4)
+    monkeypatch.setattr("mainswatt.sources.shared.HOT_KEYS", 16)
+    assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == whole
+    assert {r[0]: r[3] for r in whole} == {i: 60 if i == 100 else 0 for i, _ in rows}
+
+
 def test_line_dedup_of_short_lines_and_no_spaces(spark):
     short = "\n\n".join(prose(3, 600 + i) for i in range(20))
     han = "".join(chr(0x4E00 + c) for c in np.random.default_rng(4).integers(0, 3000, 40))
