@@ -6,16 +6,20 @@ sentence become one name placeholder (capitals of ASCII and Latin-1), all else i
 tokens are hashed on both sides and hash-joined; where a window of a document equals one of an item, the
 values in its slots are paired, and the window stands only if each value of the item meets one value of the
 document, and each of the document one of the item, throughout the window; every window is judged on its own. A question with other numbers or names is thus found, a chance template is not.
+The windows that stand are then judged together: of the meanings that they give to a value, the one that most windows
+give is taken, and the windows that agree with all meanings taken are the consistent ones. So an item copied but for one
+number is still found whole, and a question whose values change midway is told from one that keeps them.
 An item's first word, which opens a sentence there but not where a document quotes it after other words, is
 read both ways. Windows that hold too few plain words, and items too short, are found by their raw words.
 
-The item windows are broadcast in blocks of at most ``block_bytes`` of benchmark text, so the broadcast
-has a fixed bound and a large benchmark costs more passes over the documents. Matching is local to a
+The item windows are broadcast in blocks of at most ``block_bytes`` of benchmark text, one after the other, so driver
+and broadcast have a fixed bound and a large benchmark costs more passes over the documents. Matching is local to a
 document: nothing is shuffled, and a passage that a third of all documents hold makes no hot key.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .common import as_bytes, chunks, mix, powers, prefix_hash, span_hash
 
-UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs day days week weeks month months year years hz khz mhz ghz w kw v a mph kmh percent usd eur gbp dollars euros cents degrees kb mb gb tb".split()
+_NOUNS = "inch inches foot feet hertz mph kmh percent".split()
+_PLURALS = "day week month year hour minute second gram kilogram ton pound ounce litre liter millilitre milliliter metre meter kilometre kilometer centimetre centimeter mile yard dollar euro cent degree watt volt".split()
+UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs hz khz mhz ghz w kw v a usd eur gbp kb mb gb tb".split() + _NOUNS + _PLURALS + [x + "s" for x in _PLURALS]
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _LETTER, _DIGIT = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -110,6 +117,30 @@ def raw_windows(t: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.nda
     return template_windows({"hash": t["raw"], "kind": np.zeros(len(t["raw"]), np.uint8), "row": t["raw_row"]}, size, 0)
 
 
+def _value(data: np.ndarray, t: dict[str, np.ndarray], i: int) -> tuple[int, bytes]:
+    """Kind and lower-cased bytes of a slot."""
+    return int(t["kind"][i]), bytes(data[t["start"][i] : t["end"][i]]).lower()
+
+
+def consistent_windows(runs: list[list[tuple[int, set]]]) -> set[int]:
+    """The windows that agree on what each value of the item means in the document.
+
+    A run has the windows of one alignment, each with its pairs (value of the item, value of the document). Long runs
+    go first; in a run the pair that most windows hold is taken first (ties: the smaller), if neither value is taken.
+    """
+    means: dict[tuple, tuple] = {}
+    taken: set[tuple] = set()
+    out: set[int] = set()
+    for run in sorted(runs, key=len, reverse=True):
+        held = Counter(x for _, pairs in run for x in pairs)
+        for (theirs, ours), _ in sorted(held.items(), key=lambda x: (-x[1], x[0])):
+            if theirs not in means and ours not in taken:
+                means[theirs] = ours
+                taken.add(ours)
+        out |= {window for window, pairs in run if all(means.get(theirs) == ours for theirs, ours in pairs)}
+    return out
+
+
 def item_index(items: list[tuple], window: int, literal: float) -> dict:
     """The items' windows, sorted by hash, with their slots' values, for a broadcast; ``raw`` has those found by raw words."""
     data, offsets = as_bytes(pa.array([x[1] or "" for x in items], pa.string()))
@@ -130,7 +161,7 @@ def item_index(items: list[tuple], window: int, literal: float) -> dict:
         length = ends[other + size] - ends[other]
         length = np.where(count[t["row"][other]] > window, np.minimum(length, window), length)
         plain += zip(other.tolist(), length.tolist(), [size] * len(other))
-    values = {int(i): bytes(data[t["start"][i] : t["end"][i]]).lower() for i in np.flatnonzero(t["kind"] != WORD)}
+    values = {int(i): _value(data, t, i) for i in np.flatnonzero(t["kind"] != WORD)}
     # First windows of items whose first word is a name where a sentence goes on before it; their tokens follow the others.
     u, n = template(data, offsets, inside=True), len(t["hash"])
     first = np.flatnonzero(np.r_[True, u["row"][1:] != u["row"][:-1]]) if len(u["row"]) else np.zeros(0, np.int64)
@@ -140,7 +171,7 @@ def item_index(items: list[tuple], window: int, literal: float) -> dict:
         h, at = template_windows(u, size, literal)
         keep = np.isin(at, first[short == size])
         found.append((h[keep], at[keep] + n, np.full(int(keep.sum()), size)))
-        values |= {int(i) + n: bytes(data[u["start"][i] : u["end"][i]]).lower() for f in at[keep] for i in range(f, f + size) if u["kind"][i] != WORD}
+        values |= {int(i) + n: _value(data, u, i) for f in at[keep] for i in range(f, f + size) if u["kind"][i] != WORD}
     rows = np.r_[t["row"], u["row"]]
     ordinal = np.r_[np.arange(n) - begin[t["row"]], np.zeros(len(u["row"]), np.int64)]
 
@@ -169,8 +200,8 @@ def _hits(table: dict, size: int, h: np.ndarray, at: np.ndarray) -> Iterator[tup
             k += 1
 
 
-def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[int, int, int, int, int, float]]:
-    """(row, item, windows, slots, changed slots, coverage) for each row and item with a consistent match."""
+def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[int, int, int, int, int, float, int, float]]:
+    """(row, item, windows, slots, changed slots, coverage, consistent windows, their coverage) for each row and item of which a window stands."""
     data, offsets = as_bytes(batch.column("text"))
     t = template(data, offsets)
     pairs: dict[tuple[int, int, int], list[tuple[int, int, int, int, bool]]] = {}
@@ -186,51 +217,54 @@ def matches(batch: pa.RecordBatch, index: dict, literal: float) -> list[tuple[in
     best: dict[tuple[int, int], list] = {}
     for (row, item, _), hits in pairs.items():
         slots: dict[int, bool] = {}
-        stands = set()
+        stands: list[tuple[int, set]] = []
         for i, there, ordinal, size, same in hits:
-            means: dict[tuple[int, bytes], bytes] = {}
-            stems: dict[tuple[int, bytes], bytes] = {}
+            means: dict[tuple, tuple] = {}
+            stems: dict[tuple, tuple] = {}
             mine: dict[int, bool] = {}
             good = True
             for k in range(size):
                 theirs = index["values"].get(there + k)
                 if theirs is None:
                     continue
-                if same:
-                    mine[there + k] = False
-                    continue
-                ours = bytes(data[t["start"][i + k] : t["end"][i + k]]).lower()
-                kind = int(t["kind"][i + k])
-                good &= means.setdefault((kind, theirs), ours) == ours and stems.setdefault((kind, ours), theirs) == theirs
+                ours = theirs if same else _value(data, t, i + k)
+                good &= means.setdefault(theirs, ours) == ours and stems.setdefault(ours, theirs) == theirs
                 mine[there + k] = ours != theirs
             if good:
-                stands.add(ordinal)
+                stands.append((ordinal, set(means.items())))
                 slots |= mine
         if stands:
-            x = best.setdefault((row, item), [set(), 0, 0])
-            x[0] |= stands
+            x = best.setdefault((row, item), [[], 0, 0])
+            x[0].append(stands)
             x[1], x[2] = max(x[1], len(slots)), max(x[2], sum(slots.values()))
-    return [(r, i, len(x[0]), x[1], x[2], min(1.0, len(x[0]) / int(index["total"][i]))) for (r, i), x in best.items()]
+    out = []
+    for (row, item), (runs, slots, changed) in best.items():
+        every = {window for run in runs for window, _ in run}
+        agree, total = consistent_windows(runs), int(index["total"][item])
+        out.append((row, item, len(every), slots, changed, min(1.0, len(every) / total), len(agree), min(1.0, len(agree) / total)))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, literal: float = 0.6, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and item that share a template window: n_windows, n_slots, n_changed, coverage.
+    """One row per document and item that share a template window: n_windows, n_slots, n_changed, coverage, n_consistent, consistent_coverage.
 
+    n_windows and coverage count windows that stand each on its own, n_consistent and consistent_coverage those that agree on
+    one meaning of each value (at least one does); where the two differ, the document changes a value's meaning on its way.
     Null and empty texts match nothing; items of under ``window`` template tokens have one window. Items of
     under six template tokens (down to one word), and windows of which less than ``literal`` are plain words,
-    match verbatim only (case and punctuation aside). Repeated document rows are matched each on its own; null ids stay null. An
-    empty table on either side gives no rows; extra columns are not read. A very long text is one chunk.
+    match verbatim only (case and punctuation aside). Repeated document rows are matched each on its own, repeated
+    rows of the benchmark are one item; null ids stay null. An empty table on either side gives no rows; extra columns are not read. A very long text is one chunk.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = int(total // block_bytes) + 1
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_windows long, n_slots long, n_changed long, coverage double"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_windows long, n_slots long, n_changed long, coverage double, n_consistent long, consistent_coverage double"
     out = None
     for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
+        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         index = item_index([(r.i, r.t) for r in mine.collect()], window, literal)  # at most about block_bytes of text
         held = spark.sparkContext.broadcast(index)
 
@@ -242,12 +276,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, litera
                         row, item, *rest = zip(*rows)
                         out = {"doc_id": batch.column("doc_id").take(pa.array(row))}
                         out["item_id"] = pa.array([index["ids"][i] for i in item], target[1])
-                        out |= {k: pa.array(v, pa.float64() if k == "coverage" else pa.int64()) for k, v in zip(("n_windows", "n_slots", "n_changed", "coverage"), rest)}
+                        out |= {k: pa.array(v, pa.float64() if k.endswith("coverage") else pa.int64()) for k, v in zip(("n_windows", "n_slots", "n_changed", "coverage", "n_consistent", "consistent_coverage"), rest)}
                         yield pa.RecordBatch.from_pydict(out)
 
         from pyspark.sql.pandas.types import to_arrow_type
 
         target = (None, to_arrow_type(benchmark.schema[item_col].dataType))
         part = narrow.mapInArrow(find, schema)
+        if blocks > 1:  # so that one block's index at a time is held
+            part = materialise(part)
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
