@@ -4,7 +4,7 @@ The tagger is trained in numpy on labelled spans: windows of a bounded sample of
 base patterns, together with made-up strings of each kind. Those are written side by side (which a pattern that
 takes the longest match reads as one and drops), and in ways that the patterns do not know: addresses with the at
 sign or the points spelled out, phone numbers without a plus, cards cut by points, bracketed points in IP addresses;
-dates, amounts, versions and plain numbers stand among them unlabelled. Tags are begin and inside of the four
+dates, amounts, versions, rows of numbers, book and order numbers and plain numbers stand among them unlabelled. Tags are begin and inside of the four
 kinds, and outside.
 
 Windows of ``WINDOW`` characters, half overlapping, are laid over every digit, at sign or spelled-out at and its
@@ -32,7 +32,7 @@ from .spans import PERSONAL, digest, holds, joined, luhn, personal
 WINDOW, STRIDE, MARGIN = 64, 32, 24
 SAMPLE = 512
 TAGS = 1 + 2 * len(PERSONAL)
-_CLASSES = "@.-+()% _,:\n\"'="
+_CLASSES = "@.-+()% _,:\n\"'=atdo[]{}"
 CLASSES = len(_CLASSES) + 6
 _trigger = re.compile(r"[0-9@]|[(\[{] ?[Aa][Tt] ?[)\]}]| (?:at|AT) (?=[^\n]{1,40} (?:dot|DOT) )")
 _at = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at ", re.IGNORECASE)
@@ -55,15 +55,20 @@ def plausible(kind: str, s: str) -> bool:
         return bool(_ip_shape.fullmatch(plain)) and holds("ip", plain)
     if kind == "card":
         return bool(_card_shape.fullmatch(s)) and holds("card", s)
-    parts = len(re.findall("[0-9]+", s))
-    return bool(_phone_shape.fullmatch(s)) and holds("phone", s) and (s[0] == "+" or parts > 2) and not _date.search(s) and not _ip_shape.fullmatch(s)
+    return bool(_phone_shape.fullmatch(s)) and holds("phone", s) and (s[0] == "+" or _national(s)) and not _date.search(s) and not _ip_shape.fullmatch(s)
+
+
+def _national(s: str) -> bool:
+    """Three groups or more, the last of four digits at least, or, after a leading 0, all of two at least."""
+    sizes = [len(x) for x in re.findall("[0-9]+", s)]
+    return len(sizes) > 2 and (sizes[-1] >= 4 or (s.lstrip("(")[0] == "0" and min(sizes) > 1))
 
 
 def _class_table() -> np.ndarray:
     table = np.full(128, CLASSES - 1, np.uint8)
     table[48:58], table[65:91], table[97:123] = len(_CLASSES), len(_CLASSES) + 1, len(_CLASSES) + 2
     for i, c in enumerate(_CLASSES):
-        table[ord(c)] = i
+        table[ord(c)] = table[ord(c.upper())] = i
     return table
 
 
@@ -72,7 +77,7 @@ _PAD = len(_CLASSES) + 4
 
 
 def encode(text: str) -> np.ndarray:
-    """Character classes: digits, upper and lower case letters, single signs, other letters, the rest."""
+    """Character classes: digits, the letters of at and dot in either case, other letters by case, single signs, other scripts, the rest."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     return np.where(code < 128, _TABLE[np.minimum(code, 127)], len(_CLASSES) + 3).astype(np.uint8)
 
@@ -195,9 +200,11 @@ def _made_up(rng: np.random.Generator, kind: str, odd: float = 0.0) -> str:
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     strange = rng.random() < odd
     if kind == "email":
-        out = f"{word()}{rng.choice(['', '.', '_', '-'])}{d(rng.integers(0, 3))}@{word()}{d(rng.integers(0, 2))}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk'])}".replace(".@", "@")
+        tail = word() if rng.random() < 0.4 else d(rng.integers(0, 3))
+        out = f"{word()}{rng.choice(['', '.', '_', '-'])}{tail}@{word()}{d(rng.integers(0, 2))}.{rng.choice(['com', 'org', 'net', 'example.com', 'co.uk', 'de', 'info'])}".replace(".@", "@")
         if strange:
-            at, dot = [(" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot "), (" AT ", " DOT ")][rng.integers(0, 6)]
+            ways = [(" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" [at] ", "."), ("{at}", "."), (" at ", " dot "), (" AT ", " DOT ")]
+            at, dot = ways[rng.integers(0, len(ways))]
             name, host = out.split("@")
             out = name + at + host.replace(".", dot)
         return out
@@ -205,7 +212,7 @@ def _made_up(rng: np.random.Generator, kind: str, odd: float = 0.0) -> str:
         return ["[.]", "(.)"][rng.integers(0, 2)].join(str(x) for x in rng.integers(0, 256, 4)) if strange else ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "phone":
         if strange:
-            return str(rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{rng.integers(2, 10)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{rng.integers(2, 10)}{d(2)}.{d(3)}.{d(4)}"]))
+            return str(rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{rng.integers(2, 10)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{rng.integers(2, 10)}{d(2)}.{d(3)}.{d(4)}", f"(0{d(2)}) {d(4)} {d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}"]))
         return f"+{rng.integers(1, 99)} " + rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(10)}"])
     body = str(rng.integers(3, 7)) + d(14)
     body += next(c for c in "0123456789" if luhn(body + c))
@@ -217,6 +224,10 @@ def _distractor(rng: np.random.Generator) -> str:
     """Digits and ats that are nobody's data."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     forms = [d(rng.integers(1, 9)), f"20{d(2)}-0{rng.integers(1, 10)}-1{d(1)}", f"1{d(1)}/0{rng.integers(1, 10)}/19{d(2)}", f"{rng.integers(0, 9)}.{d(1)}.{d(2)}", f"${d(3)},{d(3)}.{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", d(rng.integers(16, 40)), f"at {d(1)} or", f"{d(3)}-{d(3)}", f"@{d(2)}"]
+    if rng.random() < 0.4:  # rows of numbers, book and order numbers
+        size, n = int(rng.integers(1, 5)), int(rng.integers(3, 9))
+        rows = [" ".join(d(size) for _ in range(n)), " ".join(str(x) for x in range(1, 3 + n)), "-".join(d(size) for _ in range(n))]
+        forms = [*rows, f"97{d(1)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(3)}-{d(3)}-{d(4)}-{d(2)}", f"20{d(2)}-{d(4)}-{d(4)}", f"{d(4)}-{d(4)}-{d(2)}", f"{d(2)}.{d(6)}"]
     return forms[rng.integers(0, len(forms))]
 
 
@@ -257,14 +268,14 @@ def made_up_text(rng: np.random.Generator, plain: list[str], odd: float) -> tupl
         kind = str(rng.choice(PERSONAL))
         parts.append((_made_up(rng, kind, odd), kind))
         parts += words(rng.integers(0, 2))
-    parts += words(2)
+    parts += words(rng.integers(0, 3))
     for _ in range(rng.integers(0, 3)):
         parts.insert(int(rng.integers(0, len(parts) + 1)), (_distractor(rng), ""))
     text, spans = "", []
     for s, kind in parts:
         if kind:
             spans.append((kind, len(text), len(text) + len(s)))
-        text += s + (", " if rng.random() < 0.1 else " ")
+        text += s + str(rng.choice([" ", ", ", ". ", ": ", " (", ") ", "! ", "; ", "=", "\n"], p=[0.6, 0.08, 0.08, 0.08, 0.03, 0.03, 0.02, 0.03, 0.02, 0.03]))
     return text, spans
 
 
