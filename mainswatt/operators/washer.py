@@ -7,12 +7,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import percentiles
 from ..params import Washer
 from ..sources.power import KEY
+from ..sources.shared import materialise
 
 
 def box_features(samples: DataFrame, size: int) -> DataFrame:
@@ -191,49 +194,87 @@ def peaks(tables: DataFrame, least: int) -> DataFrame:
 
 
 COLUMNS = 1024
-"""Places of a cycle that a task takes at once, of all cycles of a channel."""
+"""Places of a cycle in one product."""
+TILE = 1024
+"""Cycles in a tile, about; all pairs of two tiles are one task."""
+TILE_VALUES = 1 << 23
+"""Values of a tile, about: cycles of more places make smaller tiles."""
 
 
-def _pair_sums(table: pa.Table) -> pa.Table:
-    """For each two cycles the sum of squared differences of standardised power over the places of one block that both have, and their number.
+def _dense(places: int):
+    """Packs a cycle's places and values into the doubles of all places, NaN where it has none."""
 
-    A place without spread is missing. Three matrix products: squares by presence, presence by squares, values by values.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.column("held"):
+                v = np.full(places, np.nan)
+                v[row.values.field("col").to_numpy()] = row.values.field("z").to_numpy(zero_copy_only=False)
+                out.append(v.tobytes())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in (*KEY, "tiles", "start_idx")} | {"z": pa.array(out, pa.binary())})
+
+    return pack
+
+
+def _tile_distances(places: int):
+    """The distances of the pairs of two tiles ``a`` and ``b`` (or of one) over the places that both cycles have.
+
+    Three matrix products a block of places: squares by presence, presence by squares, values by values.
     """
-    start, cycle = np.unique(table.column("start_idx").to_numpy(), return_inverse=True)
-    place = table.column("col").to_numpy()
-    v = np.full((len(start), COLUMNS), np.nan)
-    v[cycle, place - place.min() // COLUMNS * COLUMNS] = table.column("active_power").to_numpy()
-    have = ~np.isnan(v)
-    n = have.sum(axis=0)
-    off = np.where(have, v - np.where(have, v, 0).sum(axis=0) / np.maximum(n, 1), 0)
-    sd = np.sqrt((off**2).sum(axis=0) / np.maximum(n - 1, 1))
-    have &= (n > 1) & (sd > 0)
-    z = np.where(have, off / np.where(sd > 0, sd, 1), 0)
-    present, square = have.astype(float), z * z
-    sums = square @ present.T + present @ square.T - 2 * (z @ z.T)
-    both = present @ present.T
-    i, j = np.nonzero(np.triu(both, 1))
-    one = lambda c: pa.array([table.column(c)[0].as_py()] * len(i), table.column(c).type)
-    return pa.table({"site": one("site"), "channel": one("channel"), "i": start[i], "j": start[j], "s": np.maximum(sums[i, j], 0), "n": both[i, j].astype(np.int64)})
-
-
-def cycle_distances(samples: DataFrame, cyc: DataFrame, before: int, after: int) -> DataFrame:
+
+    def tile(table: pa.Table, number: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = table.filter(pa.compute.equal(table.column("tile"), number))
+        z = [np.frombuffer(x.as_buffer(), float) for x in rows.column("z")]
+        return rows.column("start_idx").to_numpy(), np.array(z).reshape(len(z), places)
+
+    def distances(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        start, left = tile(table, a)
+        other, right = (start, left) if a == b else tile(table, b)
+        sums, both = np.zeros((2, len(start), len(other)))
+        for lo in range(0, places, COLUMNS):
+            x, y = left[:, lo : lo + COLUMNS], right[:, lo : lo + COLUMNS]
+            p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            sums += (x * x) @ q.T + p @ (y * y).T - 2 * (x @ y.T)
+            both += p @ q.T
+        i, j = np.nonzero(both)
+        if a == b:
+            i, j = i[start[i] < start[j]], j[start[i] < start[j]]
+        d = np.sqrt(np.maximum(sums[i, j], 0) * places / both[i, j])
+        one = lambda c: pa.repeat(table.column(c)[0], len(i))
+        return pa.table({"site": one("site"), "channel": one("channel"), "i": np.minimum(start[i], other[j]), "j": np.maximum(start[i], other[j]), "d": d})
+
+    return distances
+
+
+def cycle_distances(samples: DataFrame, cyc: DataFrame, before: int, after: int, tile: int = TILE) -> DataFrame:
     """site, channel, i, j (start indexes, i before j), d: distance of standardised cycles over the places both have, scaled to all places.
 
-    A channel's cycles meet block by block of places; a block's products are added up over blocks, so no row a place and pair is made.
+    Places are standardised over all cycles of the channel; one without spread is missing. A channel's cycles are dealt to tiles, and a
+    task takes the pairs of two tiles, whatever the number of cycles; a cycle is sent once to each tile of its channel.
     """
     span = before + after
-    spread = cyc.select(*KEY, "start_idx").withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_idx") - before) / span), F.floor((F.col("start_idx") + after) / span))))
+    tile = max(1, min(tile, TILE_VALUES // (span + 1)))
+    number = cyc.groupBy(*KEY).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    spread = cyc.select(*KEY, "start_idx").join(F.broadcast(number), list(KEY))  # one row a channel
+    spread = spread.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start_idx") - before) / span), F.floor((F.col("start_idx") + after) / span))))
     rows = samples.select(*KEY, "idx", "active_power", F.floor(F.col("idx") / span).alias("bucket"))
     met = rows.join(spread, [*KEY, "bucket"]).filter(F.col("idx").between(F.col("start_idx") - before, F.col("start_idx") + after))
-    met = met.select(*KEY, "start_idx", (F.col("idx") - F.col("start_idx") + before).alias("col"), "active_power").withColumn("block", F.floor(F.col("col") / COLUMNS))
-    sums = met.groupBy(*KEY, "block").applyInArrow(_pair_sums, "site string, channel int, i long, j long, s double, n long")
-    return sums.groupBy(*KEY, "i", "j").agg(F.sqrt(F.sum("s") * (span + 1) / F.sum("n")).alias("d"))
+    met = met.select(*KEY, "start_idx", "tiles", (F.col("idx") - F.col("start_idx") + before).cast("int").alias("col"), "active_power")
+    level = met.groupBy(*KEY, "col").agg(F.avg("active_power").alias("mean"), F.stddev_samp("active_power").alias("sd")).filter("sd > 0")
+    z = met.join(level, [*KEY, "col"]).withColumn("z", (F.col("active_power") - F.col("mean")) / F.col("sd"))
+    held = z.groupBy(*KEY, "tiles", "start_idx").agg(F.collect_list(F.struct("col", "z")).alias("held"))
+    packed = held.mapInArrow(_dense(span + 1), "site string, channel int, tiles int, start_idx long, z binary").withColumn("tile", F.pmod(F.xxhash64("start_idx"), F.col("tiles")).cast("int"))
+    dealt = packed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(*KEY, F.least("tile", "__other").alias("a"), F.greatest("tile", "__other").alias("b"), "tile", "start_idx", "z")
+    return dealt.groupBy(*KEY, "a", "b").applyInArrow(_tile_distances(span + 1), "site string, channel int, i long, j long, d double")
 
 
 def reliability(samples: DataFrame, cyc: DataFrame, p: Washer = Washer()) -> DataFrame:
     """count and confidence of every channel of the samples: 0.5 below three cycles; else the interquartile range of the distances between standardised cycles over their range."""
     d = cycle_distances(samples, cyc, p.span_min[0] * 60 * p.fs, p.span_min[1] * 60 * p.fs)
-    score = d.groupBy(*KEY).agg(F.try_divide(F.percentile("d", F.lit(0.75)) - F.percentile("d", F.lit(0.25)), F.max("d") - F.min("d")).alias("score"))
+    # Pairs are many: no task holds a channel's distances.
+    score = percentiles(materialise(d.select(*KEY, "d")), "d", (0.25, 0.75)).select(*KEY, F.try_divide(F.col("p1") - F.col("p0"), F.col("hi") - F.col("lo")).alias("score"))
     count = samples.select(*KEY).distinct().join(cyc.groupBy(*KEY).agg(F.count("*").alias("count")), list(KEY), "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return count.join(score, list(KEY), "left").select(*KEY, "count", F.when(F.col("count") >= 3, F.col("score")).otherwise(F.lit(0.5)).alias("confidence"))
