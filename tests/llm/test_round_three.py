@@ -302,3 +302,16 @@ def test_tails_and_digests(spark):
 
 def test_new_queries_are_registered():
     assert {"op11_spelling_variants", "op12_superminhash", "op13_periodic_runs"} <= set(queries.queries()) & set(queries.oracle_sql())
+
+
+def test_entries_of_a_unit_go_in_few_batches():
+    from mainswatt.llm import suffixes
+
+    sizes, docs = np.array([50, 60, 51, 70]), np.array([7, 2**40, 3, 9])
+    text = np.arange(sizes.sum()).astype(np.uint8)
+    table = pa.table(suffixes._segment_entries(np.array([4, 9]), 5, np.array([0, 1, 4]), sizes, docs, text))
+    assert table.select(["bucket", "unit"]).to_pylist() == [{"bucket": 4, "unit": 5}, {"bucket": 9, "unit": 5}]
+    assert table.column("text").to_pylist() == [text[:50].tobytes(), text[50:].tobytes()]
+    each, s, d, t = suffixes._segments_in(table)
+    assert each.tolist() == [1, 3] and s.tolist() == sizes.tolist() and d.tolist() == docs.tolist() and t.tolist() == text.tolist()
+    assert suffixes._strings_of(each, s, 50) == [1, 11 + 2 + 21]
