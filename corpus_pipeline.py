@@ -47,9 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least; of no documents none stay. Extra columns of any names stay.
     """
     own = materialise(near_dup.near_duplicates(docs))
-    gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("doc")).distinct()
     again = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    kept = near_dup.without(docs, gone)
     if again.isEmpty():
         return kept
     once = kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti")
@@ -63,8 +63,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts hold none. Rows that repeat an id go together; documents without an id stay. An empty
     benchmark drops nothing. Extra columns of any names stay.
     """
-    gone = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return near_dup.without(docs, materialise(found.select(F.col("doc_id").alias("doc")).distinct()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, sp
 from .components import components
 
 TOKENS = SKETCH = 128
-"""Tokens that paths choose from, and bytes of the sketch that leaves compare: each token's last."""
+"""Tokens that paths choose from (whole, as among many sets short ones are equal by chance), and bytes of the sketch that leaves compare: each token's last."""
 BUCKET = 2048
 DEEPEST = 8
 """Levels of splitting; sets that are still many in a node then are mostly near each other."""
@@ -80,7 +80,7 @@ def children_of(path: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np
     row = np.r_[np.arange(len(path)), more]
     at = np.r_[first, (first[more] + step[more]) % TOKENS]
     with np.errstate(over="ignore"):
-        return row, mix(path[row] * np.uint64(_BASE) + (at.astype(np.uint64) << np.uint64(16)) + tokens[row, at].astype(np.uint64))
+        return row, mix(path[row] * np.uint64(_BASE) + (at.astype(np.uint64) << np.uint64(32)) + tokens[row, at].astype(np.uint64))
 
 
 def survival(share: np.ndarray, depth: int, second: float) -> np.ndarray:
@@ -154,12 +154,27 @@ def _marked(rows: DataFrame, ids: DataFrame, bits: int = 1 << 27) -> DataFrame:
 
     The bitmap is broadcast in pages; it has ``bits`` bits (16 MB) at most, however many ids there are.
     """
+    return _bit(rows, ids, bits, "inner").filter("bit = 1").select(rows.columns)
+
+
+def _bit(rows: DataFrame, ids: DataFrame, bits: int, how: str) -> DataFrame:
+    """``rows`` with the ``bit`` that ``ids`` set at the place of their doc."""
     place = F.pmod(F.xxhash64("doc"), F.lit(bits))
     page, at = F.shiftright(place, 15), place.bitwiseAND(F.lit(32767))
     pages = ids.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(at).alias("held"))
     byte = F.conv(F.hex(F.col("held").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.join(F.broadcast(pages), page == F.col("page"))
-    return found.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+    return rows.join(F.broadcast(pages), page == F.col("page"), how).withColumn("bit", F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """``docs`` less those whose id is one of ``ids`` (doc, distinct; read twice, as are ``docs``). Null ids stay.
+
+    A broadcast bitmap of ``bits`` bits (2 MB) tells most of those that stay; only the others meet the ids in a shuffle.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast(ids.schema["doc"].dataType).alias("doc"))
+    told = _bit(rows, ids, bits, "left")
+    maybe = told.filter("bit = 1").join(ids, "doc", "left_anti")
+    return told.filter("bit is null or bit = 0").select("__row.*").union(maybe.select("__row.*"))
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +184,7 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
 def near_sketches(table: pa.Table, least: float) -> pa.Table:
@@ -357,11 +372,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
             for batch in chunks(whole, "text"):
                 value, row, key = sets_of(batch.column("text"), shingle)
                 have, tokens = tokens_of(value, row)
-                held = (tokens & 0xFFFF).astype(np.uint16)
-                sketch = (held[:, :SKETCH] & 0xFF).astype(np.uint8)
+                sketch = (tokens[:, :SKETCH] & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_pydict({
                     "doc": batch.column("doc").take(pa.array(have)), "key": pa.array(signed(key[have])),
-                    "tokens": pa.array([x.tobytes() for x in held], pa.binary()), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    "tokens": pa.array([x.tobytes() for x in tokens], pa.binary()), "sketch": pa.array([x.tobytes() for x in sketch], pa.binary()),
                 })
 
     signs = materialise(rows.mapInArrow(sign, "doc long, key long, tokens binary, sketch binary"))
