@@ -48,12 +48,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     own = materialise(near_dup.near_duplicates(docs))
     gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("doc")).distinct()
-    again = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    again = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("doc"))
     kept = near_dup.without(docs, gone)
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti")
-    many = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("__row"))
+    once = near_dup.without(docs, gone.union(again).distinct())
+    many = near_dup.only(kept, again).groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("__row"))
     return once.unionByName(many.select("__row.*"))
 
 

@@ -171,12 +171,22 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int =
 
     A broadcast bitmap of ``bits`` bits (2 MB) tells most of those that stay; only the others meet the ids in a shuffle.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast(ids.schema["doc"].dataType).alias("doc"))
-    told = _bit(rows, ids, bits, "left")
+    told = _told(docs, ids, id_col, bits)
     maybe = told.filter("bit = 1").join(ids, "doc", "left_anti")
     return told.filter("bit is null or bit = 0").select("__row.*").union(maybe.select("__row.*"))
 
 
+def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """The other rows of :func:`without`."""
+    return _told(docs, ids, id_col, bits).filter("bit = 1").join(ids, "doc", "left_semi").select("__row.*")
+
+
+def _told(docs: DataFrame, ids: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """The rows as ``__row``, their id as ``doc``, and its ``bit``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast(ids.schema["doc"].dataType).alias("doc"))
+    return _bit(rows, ids, bits, "left")
+
+
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the first and of the second block of a task (the same ones where the blocks are one)."""
     block, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))

@@ -26,6 +26,7 @@ def test_ids_are_left_out_without_a_shuffle_of_texts(spark):
     for bits in (1 << 24, 64):  # with few bits every id may be one that goes
         out = near_dup.without(docs, ids, bits=bits)
         assert out.columns == docs.columns
+        assert sorted(r.text for r in near_dup.only(docs, ids, bits=bits).collect()) == sorted(t for i, t, _ in rows if i is not None and i % 50 == 7)
         assert sorted(r.text for r in out.collect()) == sorted(t for i, t, _ in rows if i is None or i % 50 != 7)
     assert near_dup.without(docs, ids.limit(0)).count() == len(rows) and near_dup.without(docs.limit(0), ids).count() == 0
 
