@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import join_split, materialise
+from ..sources.shared import materialise
 from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 
@@ -172,13 +172,14 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int =
     A broadcast bitmap of ``bits`` bits (2 MB) tells most of those that stay; only the others meet the ids in a shuffle.
     """
     told = _told(docs, ids, id_col, bits)
-    maybe = told.filter("bit = 1").join(ids, "doc", "left_anti")
+    # No anti join: Spark would move it below the bitmap's join, where all rows are shuffled.
+    maybe = told.filter("bit = 1").join(ids.select("doc", F.lit(True).alias("__gone")), "doc", "left").filter("__gone is null")
     return told.filter("bit is null or bit = 0").select("__row.*").union(maybe.select("__row.*"))
 
 
 def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
-    """The other rows of :func:`without`."""
-    return _told(docs, ids, id_col, bits).filter("bit = 1").join(ids, "doc", "left_semi").select("__row.*")
+    """The other rows of :func:`without`, by an inner join, as Spark would move a semi join too."""
+    return _told(docs, ids, id_col, bits).filter("bit = 1").join(ids, "doc").select("__row.*")
 
 
 def _told(docs: DataFrame, ids: DataFrame, id_col: str, bits: int) -> DataFrame:
@@ -239,6 +240,8 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
     for go on with further runs, from the root, until none is left.
     """
     second, guess = 1 / threshold - 1, least_share(threshold, recall)
+    # Few sets are split or run again, so the others' tokens stay out of the shuffle; as for filters, a bitmap of 2 MB tells them.
+    of = lambda ids: _marked(reps.select("doc", "tokens"), ids.select("doc"), 1 << 24)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -281,12 +284,13 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
             total = big.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             if not total:
                 break
-            going = join_split(rows.select("doc", "path"), big.select("path", F.col("n").alias("size")), "path", big, total)
+            # Nodes of more than a bucket are one in so many of all rows at most, so their table is broadcast; crowded ones need no split then.
+            going = rows.select("doc", "path").join(F.broadcast(big.select("path", F.col("n").alias("size"))), "path")
             if level == DEEPEST:
                 crowds.append(going)
                 break
             level += 1
-            rows = going.join(reps.select("doc", "tokens"), "doc").select("doc", "path", "tokens").mapInArrow(split, shape)
+            rows = going.join(of(going), "doc").select("doc", "path", "tokens").mapInArrow(split, shape)
         if not opened:
             break
         runs += [runs_for(d, threshold, recall) for d in range(len(runs), level + 1)]
@@ -297,7 +301,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         if grown.isEmpty():
             break
         rest = grown.select("doc", "depth") if rest is None else rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth"))
-        wanted = reps.select("doc", "tokens").join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi")
+        wanted = of(grown).join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi")
     met = reduce(DataFrame.unionByName, [r.select("doc", "path").join(s.filter(F.col("n") <= bucket).select("path"), "path") for r, s in nodes])
     met = materialise(met)
     out = leaf_links(met.join(reps.select("doc", "sketch"), "doc"), met.count())

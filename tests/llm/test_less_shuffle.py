@@ -41,3 +41,28 @@ def test_pipeline_filters_shuffle_no_whole_table(spark, tmp_path):
         plan = stage(spark, spark.read.parquet(f"{tmp_path}/docs.parquet"), str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         straight = re.search(r"Union.*?\n((?:.|\n)*?)\n\+- ", plan)
         assert straight and "LeftAnti" not in straight.group(1), plan
+
+
+def test_filters_meet_ids_after_the_bitmap(spark):
+    """Anti and semi joins would move below the bitmap's join and shuffle every row."""
+    spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text").createOrReplaceTempView("docs_of_filters")
+    docs, ids = spark.table("docs_of_filters"), spark.range(0, 5000, 50).withColumnRenamed("id", "doc")
+    for filtered in (near_dup.without(docs, ids), near_dup.only(docs, ids)):
+        plan = filtered._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "LeftSemi" not in plan, plan
+    assert near_dup.without(docs, ids).count() == 4900 and near_dup.only(docs, ids).count() == 100
+
+
+def test_few_tokens_are_shuffled_when_few_sets_split(spark, monkeypatch):
+    """Of 6,000 texts of their own and 300 that nearly agree, hardly more than these send their tokens on."""
+    rng = np.random.default_rng(5)
+    rows = [" ".join(f"{w:x}" for w in rng.integers(0, 1 << 40, 8)) for _ in range(6000)]
+    base = [f"{w:x}" for w in rng.integers(0, 1 << 40, 60)]
+    rows += [" ".join(base[:-1] + [f"tail{k}"]) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sent = []
+    monkeypatch.setattr(near_dup, "_marked", lambda rows, ids, *bits, real=near_dup._marked: sent.append(real(rows, ids, *bits)) or sent[-1])
+    out = near_dup.near_duplicates(docs, bucket=64)
+    assert out.filter("class_id = 6000").count() == 300 and out.filter("n_links = 299").count() == 300
+    tokens = [df.count() for df in sent if df.columns == ["doc", "tokens"]]
+    assert tokens and max(tokens) < 600
