@@ -15,6 +15,7 @@ that the models were not trained on.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
@@ -150,14 +151,13 @@ class Models:
         for lang in langs:
             code, row, _ = normalised(pa.array(texts[lang], pa.string()))
             alphabet |= set(np.unique(code).tolist())
-            full, raw = np.unique(np.c_[[keys(code, row, n) for n in range(order, 0, -1)]], axis=1, return_counts=True) if len(code) else (np.zeros((order, 0), np.uint64), np.zeros(0, np.int64))
-            first = np.c_[[contexts(code, row, n) for n in range(order, 0, -1)]]
             where = {}
-            for n in range(1, order + 1):
-                k, at = np.unique(keys(code, row, n), return_index=True)
-                low = keys(code, row, n - 1)[at] if n > 1 else np.zeros(len(k), np.uint64)
-                where[n] = k, first[order - n][at], low
-            counts = {order: np.bincount(np.searchsorted(where[order][0], full[0]), raw, len(where[order][0]))}
+            for n in range(1, order + 1):  # an order at a time: a position takes many bytes
+                grams_of = Grams(code, row, n)
+                k, at, raw = np.unique(grams_of.keys(n), return_index=True, return_counts=True)
+                low = Grams(code, row, n - 1).keys(n - 1, at) if n > 1 else np.zeros(len(k), np.uint64)
+                where[n] = k, grams_of.contexts(n, at), low
+            counts = {order: raw.astype(float)}
             for n in range(order - 1, 0, -1):
                 counts[n] = np.bincount(np.searchsorted(where[n][0], where[n + 1][2]), minlength=len(where[n][0])).astype(float)
             seen.append({n: (*where[n], counts[n]) for n in where})
@@ -259,19 +259,25 @@ def fit(labelled: DataFrame, sample: int = 400, lang_col: str = "lang", id_col:
     chance = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(draw < chance).withColumn("draw", draw)
-    texts: dict[str, list] = {k: [] for k in counts}
-    held = 0
     picked = picked.withColumn("text", F.substring("text", 1, MOST_CHARS)).orderBy("draw", "id", "text").limit(2 * sample * len(counts))
-    for r in picked.collect():
-        held += len(r["text"])
-        if held <= bytes_most and len(texts[r["lang"]]) < 2 * sample:
-            texts[r["lang"]].append((r["draw"], r["text"]))
-    for k in texts:
-        texts[k] = [t for _, t in sorted(texts[k])]
-    few = {k: max(1, len(v) // 5) if len(v) > 1 else 0 for k, v in texts.items()}
-    models = Models.train({k: v[few[k] :] for k, v in texts.items()}, order)
-    models.calibrate({k: v[: few[k]] or v for k, v in texts.items()})
-    return models
+
+    def learn(rows: list[dict]) -> Models:
+        texts: dict[str, list] = {k: [] for k in counts}
+        held = 0
+        for r in sorted(rows, key=lambda r: (r["draw"], r["id"] or "", r["text"])):
+            held += len(r["text"])
+            if held <= bytes_most and len(texts[r["lang"]]) < 2 * sample:
+                texts[r["lang"]].append((r["draw"], r["text"]))
+        for k in texts:
+            texts[k] = [t for _, t in sorted(texts[k])]
+        few = {k: max(1, len(v) // 5) if len(v) > 1 else 0 for k, v in texts.items()}
+        models = Models.train({k: v[few[k] :] for k, v in texts.items()}, order)
+        models.calibrate({k: v[: few[k]] or v for k, v in texts.items()})
+        return models
+
+    # The sample is bounded, but its n-grams take more than a driver may have to spare: a task learns them.
+    packed = picked.groupBy().applyInArrow(lambda t: pa.table({"models": pa.array([pickle.dumps(learn(t.select(["lang", "text", "id", "draw"]).to_pylist()))], pa.binary())}), "models binary").first()
+    return pickle.loads(packed["models"]) if packed else learn([])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -66,3 +66,18 @@ def test_few_tokens_are_shuffled_when_few_sets_split(spark, monkeypatch):
     assert out.filter("class_id = 6000").count() == 300 and out.filter("n_links = 299").count() == 300
     tokens = [df.count() for df in sent if df.columns == ["doc", "tokens"]]
     assert tokens and max(tokens) < 600
+
+
+def test_language_models_are_learnt_in_a_task(spark, monkeypatch):
+    import os
+
+    from mainswatt.llm import language
+
+    docs = spark.createDataFrame([(i, f"ein kleiner satz {i}" if i % 2 else f"a little line {i}", "de" if i % 2 else "en") for i in range(60)], "doc_id long, text string, lang string")
+
+    def here(self, texts, order=4, real=language.Models.train.__func__, driver=os.getpid()):
+        assert os.getpid() != driver, "the driver learns"
+        return real(self, texts, order)
+
+    monkeypatch.setattr(language.Models, "train", classmethod(here))
+    assert language.fit(docs).langs == ["de", "en"]
