@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
+from ..sources.shared import few_files, materialise
 from .common import _BASE, as_bytes, chunks, lower, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 
@@ -275,8 +275,8 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
     while True:
         rows, level, opened = wanted.mapInArrow(first, shape), 1, []
         while True:
-            rows = materialise(rows)
-            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
+            rows = materialise(few_files(rows) if nodes else rows)
+            sizes = materialise(few_files(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")))
             nodes.append((rows, sizes))
             if level > 1:
                 opened.append(rows.select("doc", F.lit(level).alias("depth")))
@@ -303,7 +303,7 @@ def candidate_links(reps: DataFrame, n: int, threshold: float, recall: float, bu
         rest = grown.select("doc", "depth") if rest is None else rest.unionByName(grown.select("doc", "depth")).groupBy("doc").agg(F.max("depth").alias("depth"))
         wanted = of(grown).join(grown.select("doc", "lo", "hi"), "doc").select("doc", "tokens", "lo", "hi")
     met = reduce(DataFrame.unionByName, [r.select("doc", "path").join(s.filter(F.col("n") <= bucket).select("path"), "path") for r, s in nodes])
-    met = materialise(met)
+    met = materialise(few_files(met))
     out = leaf_links(met.join(reps.select("doc", "sketch"), "doc"), met.count())
     if crowds:
         tasks = _blocks(reduce(DataFrame.unionByName, crowds).join(reps.select("doc", "sketch"), "doc"), "bucket", "size").select("path", "lo", "hi", "block", "doc", "sketch")
@@ -418,7 +418,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
     chosen = _marked(rows, placed).join(placed, "doc").dropDuplicates(["doc"])
     wanted = chosen.mapInArrow(hold, "doc long, root long, size long, held binary")
     exact = _blocks(wanted, "group", "size").groupBy("root", "lo", "hi").applyInArrow(lambda t: near_sets(t, threshold), "a long, b long, links long")
-    exact = materialise(exact)
+    exact = materialise(few_files(exact))
     classes = components(exact.filter("b is not null").select("a", "b"))
     counted = exact.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     texts = texts.join(counted, "rep", "left").join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left")

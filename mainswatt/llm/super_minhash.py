@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import join_split, materialise
+from ..sources.shared import few_files, join_split, materialise
 from .common import _BASE, as_bytes, chunks, mix, prefix_hash, signed, span_hash, windows, words
 from .components import components
 from .near_dup import _marked, least_share, near_leaves, near_sets
@@ -114,9 +114,9 @@ def candidates(reps: DataFrame, threshold: float, recall: float, bucket: int = B
 
     def shared(rows: DataFrame) -> DataFrame:
         """doc, path, n, least of the rows whose bucket holds n > 1 documents, ``least`` the smallest."""
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1"))
+        sizes = materialise(few_files(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1")))
         total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return materialise(join_split(rows, sizes, "path", sizes.select("path", "n"), total))
+        return materialise(few_files(join_split(rows, sizes, "path", sizes.select("path", "n"), total)))
 
     met = shared(reps.select("doc", F.explode("bands").alias("path")))
     few, many = met.filter(F.col("n") <= bucket).select("doc", "path"), met.filter(F.col("n") > bucket)
@@ -149,7 +149,7 @@ def verified(sets: DataFrame, threshold: float, bucket: int = BUCKET, block_byte
 
     def links(rows: DataFrame) -> DataFrame:
         tasks = rows.select("root", "lo", "hi", "block", "doc", "held").groupBy("root", "lo", "hi")
-        return materialise(tasks.applyInArrow(kernel, shape).filter("b is not null").select("a", "b"))
+        return materialise(few_files(tasks.applyInArrow(kernel, shape).filter("b is not null").select("a", "b")))
 
     placed = dealt(sets)
     inside = links(placed.withColumns({"lo": F.col("block"), "hi": F.col("block")}))
