@@ -57,7 +57,7 @@ def few_files(df: DataFrame) -> DataFrame:
     """``df`` dealt to as few tasks as its bytes ask for, to be written in as few files.
 
     For results much smaller than what the tasks that make them read, by an extra shuffle of the result. Each file of a
-    local folder costs Hadoop four runs of chmod, and for the moment of its launch a second process holds the executor's memory.
+    local folder costs Hadoop runs of chmod, and for the moment of its launch a second process holds the executor's memory.
     """
     return df.hint("rebalance")
 
