@@ -56,10 +56,19 @@ def normalise(df: DataFrame, *tie: str, span: int = SEGMENT_US) -> DataFrame:
     return numbered(out, [f"__tie{k}" for k in range(len(tie))] or ["active_power", "reactive_power"], span).select(*KEY, "us", "idx", "active_power", "reactive_power")
 
 
+def micros(rows: DataFrame, name: str) -> Column:
+    """Microseconds from 1970 of a time column. A time without a zone is taken as it reads, as in SQL, whatever the session's zone: that one's clock may leave out or repeat an hour."""
+    at = F.col(name)
+    if rows.schema[name].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(at.cast("timestamp"))
+    minutes = (F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
 def from_events(spark: SparkSession, sf_dir: str, coarse_us: int = 1) -> DataFrame:
     """An irregular series from the events table; ``coarse_us`` floors its times, to make equal ones."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(e, "ts")
     rows = e.select(
         (F.col("user_id") % 2 + 1).alias("channel"), F.timestamp_micros(us - F.pmod(us, F.lit(coarse_us))).alias("timestamp"), us.alias("exact"), "event_id",
         F.round(F.col("value") * 500).cast("long").alias("active_power"), F.get_json_object("props", "$.k").cast("long").alias("reactive_power"),
